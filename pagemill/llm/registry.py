@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op5_scaled_sketch import op5_scaled_sketch
+from .op6_simhash import op6_simhash
 from .op8_mixing import op8_mixing
 from .op8_mixing import oracle as op8_oracle
 from .op10_digest_cache import op10_digest_cache
@@ -13,6 +15,8 @@ from .op10_digest_cache import op10_digest_cache
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_scaled_sketch": op5_scaled_sketch,
+        "op6_simhash": op6_simhash,
         "op8_mixing": op8_mixing,
         "op10_digest_cache": op10_digest_cache,
     }
