@@ -6,19 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op3_bradley_terry import op3_bradley_terry
 from .op5_scaled_sketch import op5_scaled_sketch
 from .op6_simhash import op6_simhash
+from .op7_chunked_bpe import op7_chunked_bpe
 from .op8_mixing import op8_mixing
 from .op8_mixing import oracle as op8_oracle
 from .op10_digest_cache import op10_digest_cache
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_bradley_terry": op3_bradley_terry,
         "op5_scaled_sketch": op5_scaled_sketch,
         "op6_simhash": op6_simhash,
+        "op7_chunked_bpe": op7_chunked_bpe,
         "op8_mixing": op8_mixing,
         "op10_digest_cache": op10_digest_cache,
+        "pipeline": pipeline,
     }
 
 
