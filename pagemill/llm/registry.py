@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op2_warc import op2_warc
+from .op2_warc import oracle as op2_oracle
 from .op3_bradley_terry import op3_bradley_terry
 from .op5_scaled_sketch import op5_scaled_sketch
 from .op6_simhash import op6_simhash
@@ -23,6 +25,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_warc": op2_warc,
         "op3_bradley_terry": op3_bradley_terry,
         "op5_scaled_sketch": op5_scaled_sketch,
         "op6_simhash": op6_simhash,
@@ -34,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": op8_oracle()}
+    return {"op2_warc": op2_oracle(), "op8_mixing": op8_oracle()}
