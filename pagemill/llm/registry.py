@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op1_katz import op1_katz
 from .op2_warc import op2_warc
 from .op2_warc import oracle as op2_oracle
 from .op3_bradley_terry import op3_bradley_terry
@@ -25,6 +26,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_katz": op1_katz,
         "op2_warc": op2_warc,
         "op3_bradley_terry": op3_bradley_terry,
         "op5_scaled_sketch": op5_scaled_sketch,
