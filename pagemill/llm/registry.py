@@ -10,6 +10,7 @@ from .op1_katz import op1_katz
 from .op2_warc import op2_warc
 from .op2_warc import oracle as op2_oracle
 from .op3_bradley_terry import op3_bradley_terry
+from .op4_nn_descent import op4_nn_descent
 from .op5_scaled_sketch import op5_scaled_sketch
 from .op6_simhash import op6_simhash
 from .op7_chunked_bpe import op7_chunked_bpe
@@ -29,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_katz": op1_katz,
         "op2_warc": op2_warc,
         "op3_bradley_terry": op3_bradley_terry,
+        "op4_nn_descent": op4_nn_descent,
         "op5_scaled_sketch": op5_scaled_sketch,
         "op6_simhash": op6_simhash,
         "op7_chunked_bpe": op7_chunked_bpe,
