@@ -16,6 +16,7 @@ from .op6_simhash import op6_simhash
 from .op7_chunked_bpe import op7_chunked_bpe
 from .op8_mixing import op8_mixing
 from .op8_mixing import oracle as op8_oracle
+from .op9_licence import op9_licence
 from .op10_digest_cache import op10_digest_cache
 
 
@@ -35,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_simhash": op6_simhash,
         "op7_chunked_bpe": op7_chunked_bpe,
         "op8_mixing": op8_mixing,
+        "op9_licence": op9_licence,
         "op10_digest_cache": op10_digest_cache,
         "pipeline": pipeline,
     }
