@@ -247,12 +247,13 @@ def unigrams(rows: DataFrame) -> DataFrame:
 def vocabulary(counts: DataFrame, most: int) -> tuple[Vocabulary, int, list[int]]:
     """The words that occur `least` times or more, of which there are at most
     `most`; least; how many words occur r times, for r up to CUTOFF + 1."""
-    # counts from `most` on need no telling apart: a distinct count for each of `most` rows at most
-    hist = counts.groupBy(F.least("n", F.lit(most)).alias("n")).agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).toArrow()
+    # fewer than `most` words can occur tokens / most times or more: above, counts need no telling apart
+    top = max(CUTOFF + 3, (counts.agg(F.sum("n")).first()[0] or 0) // most + 1)
+    hist = counts.groupBy(F.least("n", F.lit(top)).alias("n")).agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).toArrow()
     n, words, tokens = (hist.column(c).to_numpy() for c in ("n", "words", "tokens"))
     order = np.argsort(-n)
     fits = np.cumsum(words[order]) <= most
-    least = int(n[order][fits][-1]) if fits.any() else most
+    least = int(n[order][fits][-1]) if fits.any() else top
     of = dict(zip(n.tolist(), words.tolist()))
     end = end_hash()
     got = counts.where((F.col("n") >= least) | (F.col("word") == end)).toArrow()
