@@ -28,13 +28,13 @@ def url_list(spark: SparkSession, path: str) -> DataFrame:
 def discovered_json(spark: SparkSession, path: str) -> DataFrame:
     """The table of discovered urls from a JSON object of url to its record; empty where the file is broken."""
     record = "map<string, struct<discovered_from string, timestamp string, source_title string>>"
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", record)).alias("url", "r")).select("url", "r.*")
 
 
 def sources_json(spark: SparkSession, path: str) -> DataFrame:
     """ord, url from a JSON array; empty where the file is broken."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.posexplode(F.from_json("value", "array<string>")).alias("ord", "url")).select(F.col("ord").cast("long").alias("ord"), "url")
 
 
