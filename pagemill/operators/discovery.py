@@ -26,10 +26,10 @@ def page_links(pages: DataFrame, external_only: bool = False) -> DataFrame:
 
 def add_sources(sources: DataFrame, new: DataFrame) -> DataFrame:
     """sources (ord, url) and those of new (ord, url) that it lacks, with a scheme, in order after the others."""
-    base = sources.agg(F.coalesce(F.max("ord") + 1, F.lit(0)).alias("base"))
+    last = sources.agg(F.max("ord")).first()[0]
     add = new.select("ord", with_scheme(strip(F.col("url"))).alias("url"))
     add = first_wins(add, "ord").join(sources.select("url"), "url", "left_anti")
-    return sources.select("ord", "url").unionByName(add.crossJoin(F.broadcast(base)).select((F.col("ord") + F.col("base")).alias("ord"), "url"))  # base is one row
+    return sources.select("ord", "url").unionByName(add.select((F.col("ord") + F.lit(0 if last is None else last + 1)).alias("ord"), "url"))
 
 
 def remove_source(sources: DataFrame, url: str) -> DataFrame:
@@ -37,6 +37,16 @@ def remove_source(sources: DataFrame, url: str) -> DataFrame:
     return sources.where(F.col("url") != url)
 
 
+def get_sources(sources: DataFrame) -> DataFrame:
+    """url, in the order in which they were added."""
+    return sources.orderBy("ord").select("url")
+
+
+def cleared(discovered: DataFrame) -> tuple[DataFrame, int]:
+    """(the empty table, how many rows there were)."""
+    return discovered.limit(0), discovered.count()
+
+
 def discover(sources: DataFrame, pages: DataFrame, discovered: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """(new rows of discovered, counters by source).
 
@@ -65,4 +75,6 @@ def url_info(discovered: DataFrame, url: str) -> DataFrame:
 
 def stats(sources: DataFrame, discovered: DataFrame) -> DataFrame:
     """One row: total_sources, total_discovered, latest."""
-    return sources.agg(F.count("*").alias("total_sources")).join(discovered.agg(F.count("*").alias("total_discovered"), F.max("timestamp").alias("latest")))
+    none = F.lit(None).cast("string")
+    x = sources.select(F.lit(1).alias("s"), F.lit(0).alias("d"), none.alias("timestamp")).union(discovered.select(F.lit(0), F.lit(1), "timestamp"))
+    return x.agg(F.count_if(F.col("s") == 1).alias("total_sources"), F.count_if(F.col("d") == 1).alias("total_discovered"), F.max("timestamp").alias("latest"))

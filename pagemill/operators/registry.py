@@ -81,6 +81,11 @@ def refresh(sitemaps: DataFrame, urls: DataFrame, domains: DataFrame, captures:
     return add_domain(sitemaps, urls, domains.select("domain").join(sitemaps.select("domain", "sitemap_url"), "domain", "left"), captures, now)
 
 
+def refresh_stale(sitemaps: DataFrame, urls: DataFrame, captures: DataFrame, now: Column, days: int = STALE_AFTER_DAYS) -> tuple[DataFrame, DataFrame]:
+    """The tables after all stale domains were refreshed."""
+    return refresh(sitemaps, urls, stale_domains(sitemaps, sitemaps, now, days).where("stale").select("domain"), captures, now)
+
+
 def with_scraped(urls: DataFrame, scraped_log: DataFrame) -> DataFrame:
     """urls with scraped and scraped_at, the latest of the log; log rows of unknown urls count for nothing."""
     log = scraped_log.groupBy("url").agg(F.max("scraped_at").alias("scraped_at"))
@@ -122,9 +127,10 @@ def list_domains(sitemaps: DataFrame) -> DataFrame:
 
 def stats(sitemaps: DataFrame, urls: DataFrame) -> DataFrame:
     """One row: total_sitemaps, total_urls, scraped_urls, unscraped_urls. urls has scraped."""
-    s = sitemaps.agg(F.count_if(F.col("status") == "success").alias("total_sitemaps"))
-    u = urls.agg(F.count("*").alias("total_urls"), F.count_if("scraped").alias("scraped_urls"), F.count_if(~F.col("scraped")).alias("unscraped_urls"))
-    return s.join(u)  # one row each
+    flag = lambda c: c.cast("long")
+    s = sitemaps.select(flag(F.col("status") == "success").alias("total_sitemaps"), *[F.lit(0).cast("long").alias(c) for c in ("total_urls", "scraped_urls", "unscraped_urls")])
+    u = urls.select(F.lit(0).cast("long").alias("total_sitemaps"), F.lit(1).cast("long").alias("total_urls"), flag(F.col("scraped")).alias("scraped_urls"), flag(~F.col("scraped")).alias("unscraped_urls"))
+    return s.unionByName(u).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in s.columns])
 
 
 def domain_progress(sitemaps: DataFrame, urls: DataFrame) -> DataFrame:
@@ -138,10 +144,19 @@ def mark_scraped(scraped_log: DataFrame, urls: DataFrame, done: DataFrame, now:
     return scraped_log.unionByName(done.select("url").distinct().join(urls.select("url"), "url", "left_semi").select("url", now.cast("timestamp_ntz").alias("scraped_at")))
 
 
-def scrape_from_sitemap(sitemaps: DataFrame, urls: DataFrame, scraped_log: DataFrame, pages: DataFrame, domain_name: str, now: dt.datetime, limit: int = 10, unscraped_only: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(documents, scraped_log) of a domain's next urls that pages (url, html) holds."""
+def scrape_from_sitemap(sitemaps: DataFrame, urls: DataFrame, scraped_log: DataFrame, pages: DataFrame, domain_name: str, now: dt.datetime, limit: int = 10, unscraped_only: bool = True, captures: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, scraped_log) of a domain's next urls that pages (url, html) holds.
+
+    With captures of sitemaps (url, content), a domain without a sitemap is added and
+    a stale one refreshed first.
+    """
     from .html import scrape
 
+    if captures is not None:
+        at = F.lit(now).cast("timestamp_ntz")
+        one = sitemaps.sparkSession.createDataFrame([(domain_name,)], "domain string")
+        lacking = has_sitemap(sitemaps, one).where("not has_sitemap").select("domain").union(stale_domains(one, sitemaps, at).where("stale").select("domain")).distinct()
+        sitemaps, urls = refresh(sitemaps, urls, lacking, captures, at)
     known = with_scraped(urls, scraped_log)
     top = get_urls(known, domain_name, limit, unscraped_only=unscraped_only).select("url")
     docs = scrape(pages.join(top, "url", "left_semi"))

@@ -54,6 +54,15 @@ def positions(raw: DataFrame, num_results: int = 10) -> DataFrame:
     return x.select("query", F.row_number().over(by.orderBy("raw_pos")).alias("position"), "title", "url", F.coalesce("snippet", F.lit("")).alias("snippet"), F.lit("duckduckgo").alias("source"))
 
 
+def search_sources(serp: DataFrame, query: str, num_results: int = 10, cap: int = SEARCH_CAP) -> DataFrame:
+    """A query's results up to num_results (and cap), by position."""
+    return serp.where((F.col("query") == query) & (F.col("position") <= min(num_results, cap))).orderBy("position")
+
+
+def search_urls(serp: DataFrame, query: str, num_results: int = 10) -> DataFrame:
+    return search_sources(serp, query, num_results).select("url")
+
+
 def from_library(rows: DataFrame) -> DataFrame:
     """query, position, title, url, snippet of (query, ord, title, href, link, body, snippet)."""
     w = Window.partitionBy("query").orderBy("ord")

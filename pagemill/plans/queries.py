@@ -547,6 +547,22 @@ def serp(spark, d) -> DataFrame:
     return pages(spark, d).select(h.alias("query"), F.row_number().over(Window.partitionBy(h).orderBy("page_id")).alias("position"), "url", F.concat(F.lit("Result "), F.col("page_id").cast("string")).alias("title"), F.concat(F.lit("about "), F.col("page_id").cast("string")).alias("snippet"))
 
 
+@query(f"WITH {SERP} SELECT position, url, title FROM serp WHERE query = (SELECT query FROM serp GROUP BY query ORDER BY count(*) DESC, query LIMIT 1) AND position <= 3")
+def search_sources(spark, d):
+    return search.search_sources(serp(spark, d), top_domain(spark, d), 3).select("position", "url", "title")
+
+
+@query("SELECT url FROM pages WHERE page_id % 2 = 0")
+def get_sources(spark, d):
+    return discovery.get_sources(pages(spark, d).where("page_id % 2 = 0").select((-F.col("page_id")).alias("ord"), "url"))
+
+
+@query(f"""WITH {SERP} SELECT query, position, title, url, snippet FROM serp""")
+def library_results(spark, d):
+    x = serp(spark, d).select("query", F.col("position").alias("ord"), "title", F.when(F.col("position") % 2 == 0, F.col("url")).alias("href"), F.col("url").alias("link"), F.lit("").alias("body"), "snippet")
+    return search.from_library(x)
+
+
 def research_rows(spark, d) -> DataFrame:
     got = research.retrieve(spread(pages(spark, d).where("page_id % 9 <> 0")))
     return research.joined(serp(spark, d), got, 300)

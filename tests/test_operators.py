@@ -57,6 +57,11 @@ def test_registry_lifecycle(spark, tmp_path):
     pages = spark.createDataFrame([("https://e.org/2", "<article>hello</article>")], "url string, html string")
     docs, log = registry.scrape_from_sitemap(s, u, log, pages, "e.org", NOW)
     assert [r.content for r in docs.collect()] == ["hello"] and log.count() == 2
+    later = F.lit(dt.datetime(2024, 2, 1)).cast("timestamp_ntz")
+    s3, u3 = registry.refresh_stale(s, u, caps, later)
+    assert u3.count() == 2 and {r.last_fetched.month for r in s3.collect()} == {2}
+    docs, _ = registry.scrape_from_sitemap(registry.empty(spark, registry.SITEMAPS), registry.empty(spark, registry.URLS), registry.empty(spark, registry.SCRAPED), pages, "e.org", NOW, captures=caps)
+    assert [r.content for r in docs.collect()] == ["hello"]
 
 
 def test_gzipped_sitemap_files(spark, tmp_path):
