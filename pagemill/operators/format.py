@@ -35,7 +35,7 @@ def as_json(df: DataFrame, ascii_only: bool = False) -> DataFrame:
     """One column `value`, a JSON object for each row with its nulls; ascii_only escapes what lies beyond ASCII."""
     x = F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"})
     if ascii_only:
-        code = lambda c: F.lower(F.lpad(F.hex(F.encode(c, "UTF-16BE")), 4, "0"))
+        code = lambda c: F.lower(F.hex(F.encode(c, "UTF-16BE")))
         one = lambda c: F.when(F.octet_length(c) == 1, c).when(F.octet_length(c) < 4, F.concat(F.lit("\\u"), code(c))).otherwise(F.concat(F.lit("\\u"), F.left(code(c), F.lit(4)), F.lit("\\u"), F.right(code(c), F.lit(4))))
         x = F.when(x.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(F.split(x, ""), one), "")).otherwise(x)
     return df.select(x.alias("value"))

@@ -15,6 +15,11 @@ from pagemill.sources import captures
 NOW = dt.datetime(2024, 1, 10)
 
 
+def settled(*tables):
+    """The tables as a caller would write and read them between merges."""
+    return [t.sparkSession.createDataFrame(t.collect(), t.schema) for t in tables]
+
+
 def now():
     return F.lit(NOW).cast("timestamp_ntz")
 
@@ -46,19 +51,23 @@ def test_registry_lifecycle(spark, tmp_path):
     caps = spark.createDataFrame([("https://e.org/sitemap_index.xml", INDEX.encode()), ("https://e.org/c1.xml", URLSET.encode()), ("https://f.org/sitemap.xml", b"<broken")], "url string, content binary")
     domains = spark.createDataFrame([("https://www.E.org",), ("f.org",), ("g.org",)], "domain string")
     s, u = registry.add_domain(registry.empty(spark, registry.SITEMAPS), registry.empty(spark, registry.URLS), domains, caps, now())
+    s, u = settled(s, u)
     rows = {r.domain: r for r in s.collect()}
     assert (rows["e.org"].status, rows["e.org"].url_count, rows["e.org"].error_message) == ("success", 2, None)
     assert (rows["f.org"].status, rows["f.org"].sitemap_url, rows["g.org"].status) == ("failed", "", "failed")
     assert sorted(r.url for r in u.collect()) == ["https://e.org/1", "https://e.org/2"]
     s2, u2 = registry.refresh(s, u, spark.createDataFrame([("e.org",)], "domain string"), caps, now())
+    s2, u2 = settled(s2, u2)
     assert u2.count() == 2 and s2.count() == 3
     log = registry.mark_scraped(registry.empty(spark, registry.SCRAPED), u, spark.createDataFrame([("https://e.org/1",), ("https://x/",)], "url string"), now())
+    (log,) = settled(log)
     assert [(r.url, r.scraped) for r in registry.with_scraped(u, log).orderBy("url").collect()] == [("https://e.org/1", True), ("https://e.org/2", False)]
     pages = spark.createDataFrame([("https://e.org/2", "<article>hello</article>")], "url string, html string")
     docs, log = registry.scrape_from_sitemap(s, u, log, pages, "e.org", NOW)
     assert [r.content for r in docs.collect()] == ["hello"] and log.count() == 2
     later = F.lit(dt.datetime(2024, 2, 1)).cast("timestamp_ntz")
     s3, u3 = registry.refresh_stale(s, u, caps, later)
+    s3, u3 = settled(s3, u3)
     assert u3.count() == 2 and {r.last_fetched.month for r in s3.collect()} == {2}
     docs, _ = registry.scrape_from_sitemap(registry.empty(spark, registry.SITEMAPS), registry.empty(spark, registry.URLS), registry.empty(spark, registry.SCRAPED), pages, "e.org", NOW, captures=caps)
     assert [r.content for r in docs.collect()] == ["hello"]
