@@ -1,6 +1,8 @@
 import numpy as np
+import pytest
 
 import corpus_pipeline
+from pagemill.llm import near_texts
 from pagemill.llm import op4_nn_descent as nn
 from pagemill.llm.op3_bradley_terry import op3_bradley_terry
 from pagemill.llm.op6_simhash import op6_simhash
@@ -88,3 +90,40 @@ def test_pipeline_of_odd_rows(spark, sf):
         for _, stage in corpus_pipeline.STAGES:
             y = stage(spark, y, sf).persist()
         assert y.count() >= 0
+
+
+@pytest.mark.parametrize("paired", [8, 1])
+def test_pipeline_drops_near_copies_by_five_word_similarity(spark, sf, monkeypatch, paired):
+    monkeypatch.setattr(near_texts, "PAIRED_BUCKET", paired)
+    monkeypatch.setattr(near_texts, "HUBS", paired)
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(3000)]
+    rows, texts = [], {}
+
+    def add(w):
+        texts[len(rows)] = {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
+        rows.append((len(rows), " ".join(w), "en", "a", 0))
+
+    for edits in (1, 2, 3, 4, 5, 6, 8, 10) * 3:
+        w = list(rng.choice(words, 200))
+        add(w)
+        for _ in range(5):
+            x = list(w)
+            for at in rng.choice(len(x), edits, replace=False):
+                x[at] = "edited"
+            add(x)
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in texts:
+        for j in range(i):
+            if len(texts[i] & texts[j]) / len(texts[i] | texts[j]) >= 0.8:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()}
+    assert kept == {find(i) for i in texts} and len(kept) < len(rows)
