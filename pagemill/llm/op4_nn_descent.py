@@ -11,9 +11,15 @@ component of links around such a class is then compared as a whole, in tiles of
 TILE x TILE vectors that return sums for each vector and not pairs; this enlarges
 its lists to all they can hold, whatever the component's size.
 
-Recall is audited: a bounded sample of classes is compared with all vectors of
-its label. Below GOOD_RECALL the search goes on with lists twice as long and
-new codes; a last audit below LEAST_RECALL raises an error.
+A pair at the threshold shares the leading bits of a code that tell n vectors of
+a label apart with a probability that falls with n; the number of codes grows so
+that GOOD_RECALL of such pairs, alone as they may be, meet in one of them.
+
+Recall is audited: bounded samples of classes, of all and of those outside the
+components compared as a whole, are compared with all vectors of their label.
+Links within one such component are found by construction and do not count.
+Below GOOD_RECALL the search goes on with lists twice as long and new codes; a
+last audit below LEAST_RECALL raises an error.
 
 Cosines are taken in double precision from the vectors as given. Labels and
 vector lengths must be equal.
@@ -62,28 +68,44 @@ def with_class(rows: DataFrame) -> DataFrame:
     return rows.withColumn("node", F.when(F.coalesce(fine, F.lit(False)), F.xxhash64("label", "embedding")))
 
 
-def first_pairs(vectors: DataFrame, seed: int) -> DataFrame:
+def code_count(n: int, threshold: float) -> int:
+    """How many codes make GOOD_RECALL of the pairs at the threshold neighbours in
+    one of them, among n vectors: by then they share about log2(n) bits."""
+    agree = 1 - np.arccos(min(1.0, threshold)) / np.pi
+    once = agree ** max(1.0, np.log2(max(2, n)) - 1)
+    return max(CODES, int(np.ceil(np.log(1 - GOOD_RECALL) / np.log1p(-min(once, 0.99)))))
+
+
+def first_pairs(vectors: DataFrame, seed: int, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b): classes that stand within CODE_WINDOW places in the order of a code."""
-    n = vectors.count()
-    prefix = max(0, (n // ROWS_PER_BUCKET).bit_length() - 1)
+    spaces = vectors.groupBy("space").agg(F.count("*").alias("n"))
+    most = spaces.agg(F.max("n")).first()[0] or 0
+    number = code_count(most, threshold)
+    # slices by the rows of the label, each of about ROWS_PER_BUCKET
+    prefix = F.greatest(F.lit(0), F.length(F.bin(F.floor(F.col("n") / ROWS_PER_BUCKET).cast("long"))) - 1)
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for b in batches:
             for d in set(b.column("dim").to_pylist()):
                 if d not in planes:
-                    planes[d] = np.random.default_rng([seed, d]).normal(size=(d, CODES * CODE_BITS))
+                    planes[d] = np.random.default_rng([seed, d]).normal(size=(d, number * CODE_BITS))
                 here = b.filter(pa.array(b.column("dim").to_numpy() == d))
-                bits = (matrix(here.column("embedding")) @ planes[d] > 0).reshape(-1, CODES, CODE_BITS).astype(np.int64)
+                bits = (matrix(here.column("embedding")) @ planes[d] > 0).reshape(-1, number, CODE_BITS).astype(np.int64)
                 code = (bits << np.arange(CODE_BITS - 1, -1, -1)).sum(axis=2)
                 k = len(code)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(here.column("node").to_numpy(), CODES)), pa.array(np.repeat(here.column("space").to_numpy(), CODES)), pa.array(np.tile(np.arange(CODES, dtype=np.int32), k)), pa.array(code.ravel())], ["node", "space", "code", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(here.column("node").to_numpy(), number)), pa.array(np.repeat(here.column("space").to_numpy(), number)), pa.array(np.tile(np.arange(number, dtype=np.int32), k)), pa.array(code.ravel())], ["node", "space", "code", "bits"])
 
     x = vectors.select("node", "space", "dim", "embedding").mapInArrow(codes, "node long, space long, code int, bits long")
-    # a slice of codes by their first bits: neighbours in the order share them, or are found by another code
-    w = Window.partitionBy("space", "code", F.shiftright("bits", CODE_BITS - prefix)).orderBy("bits", "node")
+    # slices by the first bits, and again half a slice further: what stands at a border of one is inside the other
+    x = x.join(spaces.select("space", prefix.alias("prefix")), "space")
+    half = F.when(F.col("prefix") > 0, F.expr(f"shiftleft(1L, {CODE_BITS} - prefix - 1)"))
+    shift = F.explode(F.when(half.isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.array(F.lit(0).cast("long"), half)))
+    x = x.select("node", "space", "code", "bits", "prefix", shift.alias("shift"))
+    w = Window.partitionBy("space", "code", "shift", F.expr(f"shiftright(bits + shift, {CODE_BITS} - prefix)")).orderBy("bits", "node")
     near = x.select("node", *[F.lead("node", i).over(w).alias(f"n{i}") for i in range(1, CODE_WINDOW + 1)])
-    return near.select(F.col("node").alias("a"), F.explode(F.array(*[f"n{i}" for i in range(1, CODE_WINDOW + 1)])).alias("b")).where("b is not null and a <> b").distinct()
+    near = near.select(F.col("node").alias("a"), F.explode(F.array(*[f"n{i}" for i in range(1, CODE_WINDOW + 1)])).alias("b")).where("b is not null and a <> b")
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def scored(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -139,7 +161,7 @@ def local_join(lists: DataFrame, vectors: DataFrame, most: int, threshold: float
 
 def descend(vectors: DataFrame, most: int, threshold: float, seed: int, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(lists, links): the final lists (a, b, cos) and all links seen (a < b)."""
-    pairs = scored(first_pairs(vectors, seed), vectors)
+    pairs = scored(first_pairs(vectors, seed, threshold), vectors)
     if known is not None:
         pairs = pairs.union(known)
     seen = written(pairs, "nn-pairs")
@@ -158,9 +180,11 @@ def descend(vectors: DataFrame, most: int, threshold: float, seed: int, known: D
 
 
 def audit(vectors: DataFrame, links: DataFrame, inside: DataFrame, threshold: float, sample: int = AUDIT) -> float:
-    """Share of the true links of a bounded sample of classes that are in links or
-    join members of one component in `inside` (node, root), which was compared as a whole."""
-    few = vectors.orderBy(F.xxhash64("node"), "node").limit(sample).select("node", "space", "embedding").toArrow()
+    """Share of the true links of bounded samples of classes that are in links. Links
+    between members of one component in `inside` (node, root), which was compared
+    as a whole, don't count; half of the classes asked lie outside these components."""
+    first = lambda x: x.orderBy(F.xxhash64("node"), "node").limit(sample).select("node", "space", "embedding")
+    few = first(vectors).union(first(vectors.join(inside, "node", "left_anti"))).dropDuplicates(["node"]).toArrow()
     if not few.num_rows:
         return 1.0
     ask: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -187,7 +211,8 @@ def audit(vectors: DataFrame, links: DataFrame, inside: DataFrame, threshold: fl
     true = true.join(links.withColumn("found", F.lit(True)), ["a", "b"], "left")
     root = lambda c: inside.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     true = true.join(root("a"), "a", "left").join(root("b"), "b", "left")
-    got = true.agg(F.count("*").alias("n"), F.count_if(F.col("found") | F.coalesce(F.col("ra") == F.col("rb"), F.lit(False))).alias("found")).first()
+    true = true.where(~F.coalesce(F.col("ra") == F.col("rb"), F.lit(False)))
+    got = true.agg(F.count("*").alias("n"), F.count_if("found").alias("found")).first()
     return got["found"] / got["n"] if got["n"] else 1.0
 
 

@@ -127,3 +127,28 @@ def test_pipeline_drops_near_copies_by_five_word_similarity(spark, sf, monkeypat
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()}
     assert kept == {find(i) for i in texts} and len(kept) < len(rows)
+
+
+def test_audit_is_not_carried_by_a_crowd(spark):
+    rng = np.random.default_rng(2)
+    crowd = rng.normal(size=16) + rng.normal(size=(60, 16)) * 0.05
+    alone = np.repeat(rng.normal(size=(40, 16)), 2, axis=0) + rng.normal(size=(80, 16)) * 0.05
+    rows = [(i, [float(x) for x in v], 1) for i, v in enumerate([*crowd, *alone])]
+    vectors = spark.createDataFrame([(i, 1, v) for i, v, _ in rows], "node long, space long, embedding array<double>")
+    inside = spark.createDataFrame([(i, 0) for i in range(60)], "node long, root long")
+    every = [(i, i + 1) for i in range(60, 140, 2)]
+    part = lambda x: spark.createDataFrame(x, "a long, b long")
+    assert nn.audit(vectors, part(every), inside, 0.93) == 1.0
+    assert nn.audit(vectors, part(every[:20]), inside, 0.93) == 0.5
+
+
+def test_first_pairs_hold_isolated_pairs_of_large_labels(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(5000, 32))
+    twin = base[:500] + rng.normal(size=(500, 32)) * 0.3
+    x = [(i, 1, 32, [float(c) for c in v]) for i, v in enumerate([*base, *twin])]
+    vectors = spark.createDataFrame(x, "node long, space long, dim int, embedding array<double>").persist()
+    got = {(r.a, r.b) for r in nn.first_pairs(vectors, 0).collect()}
+    cos = (base[:500] * twin).sum(axis=1) / np.linalg.norm(base[:500], axis=1) / np.linalg.norm(twin, axis=1)
+    want = [(i, 5000 + i) for i in np.flatnonzero(cos >= nn.THRESHOLD)]
+    assert len(want) > 300 and np.mean([p in got for p in want]) >= 0.95
