@@ -14,9 +14,13 @@ of a template's words that the paragraph has, in order (longest common
 subsequence). Families that differ in a version number alone are told apart
 there.
 
-Paragraphs are the lines of a text. Lines without any word that the templates
-use often in licences are none without further look; the words follow from the
-templates.
+Paragraphs are the lines of a text; licences that are wrapped are found in its
+blocks. A block is the lines between blank ones, without their comment marks,
+joined; one that is not a single line is compared with every template of WRAPPED
+words or more, and names the families whose template it holds to CONFIRM. Only
+families that none of its lines has are added; such a block is one more licensed
+paragraph. Lines and blocks without any word that the templates use often in
+licences are none without further look; the words follow from the templates.
 
 Defined results: a null text is empty and has no licence; null ids and repeated
 rows keep their rows; an empty table gives an empty result; other columns are
@@ -127,6 +131,7 @@ SAMPLE = 2000
 VARIATIONS = 24
 FALSE_RATE = 0.001
 CONFIRM = 0.7
+WRAPPED = 12
 
 _WORD = re.compile(r"[a-z]+(?:\.?\d+)*|\d+(?:\.\d+)*")
 
@@ -268,6 +273,49 @@ def scan_lines(model: Model, lines: list[str]) -> list[tuple[str, float, float]
     return out
 
 
+_MARK = re.compile(r"^\s*(?:(?://+|/\*+|\*+/?|#+|--+|;+|%+|<!--|\.\.)\s*)?")
+
+
+def blocks(text: str) -> list[tuple[list[str], str]]:
+    """(lines, joined) of the blocks of two lines or more, without comment marks."""
+    out: list[tuple[list[str], str]] = []
+    own: list[tuple[str, str]] = []
+    for line in [*text.split("\n"), ""]:
+        bare = _MARK.sub("", line, count=1).strip()
+        if bare:
+            own.append((line, bare))
+            continue
+        if len(own) > 1:
+            out.append(([x for x, _ in own], " ".join(x for _, x in own)))
+        own = []
+    return out
+
+
+@lru_cache(maxsize=1)
+def long_templates() -> list[tuple[str, list[str], set[str]]]:
+    return [(f, w, set(w)) for f, lines in TEMPLATES.items() for w in map(words, lines) if len(w) >= WRAPPED]
+
+
+def scan_block(joined: str) -> dict[str, float]:
+    """Families whose long templates the block holds in order, and how much of each.
+    Of two that share a template but for some words, the better one stays."""
+    w = words(joined)
+    have = set(w)
+    best: dict[str, float] = {}
+    kept: list[tuple[float, str, set[str]]] = []
+    for family, t, unique in long_templates():
+        if sum(x in have for x in t) < CONFIRM * len(t):
+            continue
+        share = order_share([x for x in w if x in unique], t)
+        if share >= CONFIRM:
+            kept.append((share, family, unique))
+    for share, family, unique in sorted(kept, key=lambda x: -x[0]):
+        alike = any(f != family and len(unique & u) > 0.7 * min(len(unique), len(u)) and s > share for s, f, u in kept)
+        if not alike:
+            best[family] = max(best.get(family, 0.0), share)
+    return best
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """The model, with paragraphs of `sample` documents (chosen by the hash of their id) as the class without licence."""
     few = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -279,14 +327,14 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_paragraphs, n_licensed, n_unknown, families, probability, confirmation
     for every row; the last three of the paragraphs of known families."""
     lines = F.split(whole_text(), "\n")
-    rows = docs.select("doc_id", F.size(F.filter(lines, lambda x: F.length(F.trim(x)) > 0)).alias("n_paragraphs"), F.when(whole_text().rlike(has_cues()), F.filter(lines, lambda x: x.rlike(has_cues()))).otherwise(F.array().cast("array<string>")).alias("lines"))
+    rows = docs.select("doc_id", F.size(F.filter(lines, lambda x: F.length(F.trim(x)) > 0)).alias("n_paragraphs"), F.when(whole_text().rlike(has_cues()), F.filter(lines, lambda x: x.rlike(has_cues()))).otherwise(F.array().cast("array<string>")).alias("lines"), F.when(whole_text().rlike(has_cues()), whole_text()).otherwise("").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, tuple[str, float, float] | None] = {}
         for b in batches:
             out = []
-            for x in b.column("lines"):
+            for x, text in zip(b.column("lines"), b.column("text")):
                 own = x.as_py()
                 new = [y for y in dict.fromkeys(own) if y not in memo]
                 if len(memo) > 100_000:
@@ -295,6 +343,14 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
                 memo.update(zip(new, scan_lines(shared.value, new)))
                 got = [r for r in map(memo.__getitem__, own) if r]
                 known = [r for r in got if r[0] != "unknown"]
+                for lines, joined in blocks(text.as_py()) if own else ():
+                    if not cue().search(joined):
+                        continue
+                    of_lines = {r[0] for r in map(memo.get, lines) if r}
+                    new = {f: share for f, share in scan_block(joined).items() if f not in of_lines}
+                    if new:
+                        p = shared.value.probabilities([joined])[0]
+                        known += [(f, float(p[FAMILIES.index(f)]), share) for f, share in new.items()]
                 out.append((len(known), len(got) - len(known), ",".join(sorted({r[0] for r in known})), max((r[1] for r in known), default=0.0), max((r[2] for r in known), default=0.0)))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_paragraphs"), *(pa.array([o[i] for o in out], t) for i, t in enumerate(kinds))], ["doc_id", "n_paragraphs", "n_licensed", "n_unknown", "families", "probability", "confirmation"])

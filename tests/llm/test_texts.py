@@ -2,6 +2,7 @@ import collections
 import hashlib
 import math
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -266,6 +267,18 @@ def test_licences(spark):
     assert lic.scan(docs.limit(0), lic.train(docs.limit(0))).count() == 0
 
 
+def test_wrapped_licences_are_found(spark):
+    model = lic.fit([sentence(12) for _ in range(150)])
+    mit = [t for t in lic.TEMPLATES["MIT"] if t.startswith("Permission")][0]
+    gpl = lic.TEMPLATES["GPL-3.0"][1]
+    bsd = lic.TEMPLATES["BSD"][1]
+    wrap = lambda t, mark="": "\n".join(mark + x for x in textwrap.wrap(t, 68))
+    texts = ["code\n\n" + wrap(mit) + "\n\nmore", wrap(gpl, " * "), wrap(bsd, "# "), wrap(sentence(90)), "one\n\n" + wrap("the general notice of work published on the road by the author " * 6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.families for r in lic.scan(docs, model).collect()}
+    assert got == {0: "MIT", 1: "GPL-3.0", 2: "BSD", 3: "", 4: ""}
+
+
 # -- registered queries
 
 
