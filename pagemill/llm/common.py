@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set (tests)."""
+    """The shared folder of the session. Where none is set, a temporary one on a
+    local master (tests), and an error on a cluster, whose executors would not see it."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pagemill-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -45,7 +50,20 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_paths: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables from `written` that nothing will read again."""
+    for t in tables:
+        ref, path = _paths.pop(id(t), (lambda: None, ""))
+        if ref() is t:
+            drop_path(t.sparkSession, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -94,7 +112,8 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
         # small-star: u and its smaller neighbours link to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = written(small, name)
+        last, e = e, written(small, name)
+        discard(last)
         now = signature(e)
         if now == before:
             break

@@ -1,11 +1,15 @@
+import collections
+import hashlib
+import re
+
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from pagemill.llm import near_texts
 from pagemill.llm import op4_nn_descent as nn
+from pagemill.llm import op8_mixing as mixing
 from pagemill.llm.op3_bradley_terry import op3_bradley_terry
-from pagemill.llm.op6_simhash import op6_simhash
 
 ROWS = "vec_id long, embedding array<float>, label int, node int, m int"
 
@@ -74,18 +78,45 @@ def test_pipeline_stages_decide(spark, sf):
     rejected = {r.doc_id for r in op3_bradley_terry(spark, sf).where("predicted = 0").collect()}
     assert {r.doc_id for r in out["quality"].collect()} == {r.doc_id for r in docs.collect()} - rejected
     assert all(out[n].columns == docs.columns for n in names[:-1])
+    # one of each group stays, by all pairs of the stage's own input
+    texts = {r.doc_id: r.text or "" for r in out["quality"].collect()}
+    sets, by_shingle = {}, {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        sets[i] = {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        for x in sets[i]:
+            by_shingle.setdefault(x, []).append(i)
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = {(a, b) for ids in by_shingle.values() for a in ids for b in ids if a < b} | {(a, b) for a in texts for b in texts if a < b and not sets[a] and not sets[b]}
+    for a, b in pairs:
+        if not sets[a] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
     kept = [r.doc_id for r in out["near_dedup"].collect()]
-    groups = {r.doc_id: r.component_id for r in op6_simhash(spark, sf).collect()}
-    assert len(kept) == len(set(kept)) and len({groups[i] for i in kept}) <= len(kept)
-    assert set(r.doc_id for r in out["mixing"].collect()) <= set(kept)
-    assert out["bpe"].count() == out["mixing"].count()
+    assert sorted(kept) == sorted({find(i) for i in texts})
+    # sources meet their targets within half a document
+    mixed = out["mixing"].collect()
+    assert {r.doc_id for r in mixed} <= set(kept)
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    longest = max(size(texts[i]) for i in kept)
+    for p in mixing.cuts(mixing.narrow(out["near_dedup"], "mix")).collect():
+        assert abs(sum(size(r.text) for r in mixed if (r.source or "") == p.source and (r.source is None) == p.no_source) - p.target) <= longest / 2 + 0.5
+    # and what they hold is encoded
+    want = collections.Counter((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in mixed)
+    assert collections.Counter((r.doc_id, r.decoded_sha256) for r in out["bpe"].collect()) == want
 
 
 def test_pipeline_of_odd_rows(spark, sf):
-    rows = [(None, "text without an id", None, None, None), (1, None, None, None, None), (2, "", "en", "a", 0), (3, "same words here and there", "en", "a", 0), (3, "same words here and there", "en", "a", 0), (4, "same words here and there", "en", "b", 0)]
+    rows = [(None, "text without an id", None, None, None), (None, "same words here and there", None, None, None), (3, "another text of the same id", "en", "a", 0), (3, "a third text under it", "de", "b", None), (1, None, None, None, None), (2, "", "en", "a", 0), (3, "same words here and there", "en", "a", 0), (3, "same words here and there", "en", "a", 0), (4, "same words here and there", "en", "b", 0)]
     x = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     one = corpus_pipeline.near_dedup(spark, x, sf).collect()
-    assert sorted(str(r.doc_id) for r in one) == ["1", "3", "None"]
+    assert sorted(str(r.doc_id) for r in one) == ["1", "3", "3", "3", "None"]
     for y in (x, x.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             y = stage(spark, y, sf).persist()

@@ -233,9 +233,9 @@ def test_simhash_by_hand(spark, monkeypatch, crowd):
 
 def test_mixing_meets_targets_exactly(spark):
     docs = odd_table(spark)
-    got = mixing.mix(docs, rows_per_bucket=3)
-    again = mixing.mix(docs.repartition(3), rows_per_bucket=50)
-    key = lambda x: sorted(map(repr, x.drop("row_key").collect()))
+    got = mixing.mix(docs, slice_rows=3)
+    again = mixing.mix(docs.repartition(3), slice_rows=50)
+    key = lambda x: sorted(map(repr, x.collect()))
     assert key(got) == key(again)
     by = collections.defaultdict(int)
     size = {}
@@ -250,6 +250,36 @@ def test_mixing_meets_targets_exactly(spark):
     assert rows.columns == docs.columns and 0 < rows.count()
 
 
+def test_mixing_of_many_alike_rows_cuts_within_them(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 7)
+    rows = [(None, "three words here", "x")] * 40 + [(1, "one", "y")] * 3 + [(2, "two words", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    for source_size in (120, 5):
+        own = [r for r in got if r.source_size == source_size]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.5
+
+
+def test_mixed_rows_stand_for_themselves(spark):
+    """Rows of one id in two sources or with two texts, or without an id, all have their own copies."""
+    rows = [(i % 50, sentence(5 + i % 7), "en", "abc"[i % 3], i) for i in range(300)]
+    rows += [(1, "the same text here", "en", s, 7) for s in ("a", "b", None)] + [(None, "the same text here", None, "b", None), (1, "another text", "en", "a", 7)] * 4
+    rows += [(i, None, None, "no words", None) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _copies long")
+    got = mixing.mixed_rows(docs, slice_rows=8).collect()
+    have, want = collections.Counter(map(tuple, rows)), collections.Counter(map(tuple, got))
+    assert set(want) <= set(have) and all(want[r] <= 2 * have[r] for r in want)
+    plan = {r.source if not r.no_source else None: r for r in mixing.cuts(mixing.narrow(docs, "mix")).collect()}
+    longest = 12
+    for s, p in plan.items():
+        words = sum(len(tokens_of(r.text)) for r in got if r.source == s)
+        assert abs(words - p.target) <= longest / 2 + 0.5
+    again = mixing.mixed_rows(docs.repartition(3), slice_rows=50).collect()
+    assert collections.Counter(map(tuple, again)) == want
+    assert mixing.mixed_rows(docs.limit(0)).count() == 0
+
+
 # -- licences
 
 
