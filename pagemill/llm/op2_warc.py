@@ -1,15 +1,19 @@
 """Zstandard WARC archives: writing them and reading them back.
 
 An archive is a skippable frame that holds a dictionary, then one Zstandard
-frame per record. Archives are written by Spark's text sink, each row one frame
-and the line separator an empty skippable frame (all of its bytes are ASCII),
-which readers skip: so an archive is a plain file in any store that Spark
-writes, committed by Spark's committer, and a lost task leaves nothing behind.
-Each task trains its archive's dictionary on its first records, a bounded
-sample, so an archive is complete in itself.
-
-Reading takes whole archives (`binaryFile`), one to a task at a time; a writing
-task holds about as many bytes as one input split, which bounds them.
+frame per record, with an empty skippable frame between records, which readers
+skip. Each archive's dictionary is trained on its first records, a bounded
+sample, so an archive is complete in itself. A task starts another archive when
+one has reached ARCHIVE_BYTES, so archives hold that and one record more at
+most, however the rows are dealt out. Each is a row of Spark's text sink and a
+file of its own in any store that Spark writes, committed by Spark's committer:
+a lost task leaves nothing behind.
+
+Reading takes whole archives (`binaryFile`), whose size is bounded as above. The
+end of a frame follows from its block headers, so an archive is read in one pass
+and each record is decoded alone. The rows that meet in the join that finds
+revisits are narrow; where these are too many to broadcast, Spark shuffles the
+pages once to meet them.
 
 The reader checks: the leading frame and its dictionary; that each frame
 decodes to its declared content size; the version line; the header lines and
@@ -21,7 +25,7 @@ Defined results: a null payload is empty; a null id has no header, reads back as
 null, and counts as larger than any id (responses where no other id has their
 payload); rows that share id and
 payload are all alike, so those with the smallest id of their payload are all
-responses; an empty table gives no archives and an empty result; other columns
+responses; a page longer than an archive is an archive of its own; an empty table gives no archives and an empty result; other columns
 are ignored.
 """
 
@@ -30,6 +34,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,10 +43,11 @@ from pyspark.sql import functions as F
 from .common import scratch, table, whole_text, written
 
 DICTIONARY_MAGIC = 0x184D2A5D  # the skippable frame that leads an archive
-SEPARATOR = struct.pack("<II", 0x184D2A50, 0).decode("ascii")  # an empty skippable frame
+SEPARATOR = struct.pack("<II", 0x184D2A50, 0)  # an empty skippable frame, all ASCII
 FRAME_MAGIC = 0xFD2FB528
 DICTIONARY_BYTES = 32_768
 TRAIN_BYTES, TRAIN_RECORDS = 4_000_000, 400
+ARCHIVE_BYTES = 32 * 2**20
 LEAST_BYTES = 100
 LEVEL = 6
 DATE = "2000-01-01T00:00:00Z"  # records of one input are the same bytes in every run
@@ -93,40 +99,62 @@ def leading_frame(dictionary: bytes) -> bytes:
     return struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary
 
 
-def frames(archive: bytes) -> Iterator[bytes]:
+def frame_end(archive: memoryview, at: int) -> int:
+    """Where the Zstandard frame that starts at byte `at` ends: RFC 8878, 3.1.1."""
+    try:
+        descriptor = archive[at + 4]
+        single, checksum = descriptor >> 5 & 1, descriptor >> 2 & 1
+        pos = at + 5 + (not single) + (0, 1, 2, 4)[descriptor & 3] + (single, 2, 4, 8)[descriptor >> 6]
+        last = 0
+        while not last:
+            block = archive[pos] | archive[pos + 1] << 8 | archive[pos + 2] << 16
+            last, kind = block & 1, block >> 1 & 3
+            if kind == 3:
+                raise WarcError(f"the frame at byte {at} has a block of no known kind")
+            pos += 3 + (1 if kind == 1 else block >> 3)
+        pos += 4 * checksum
+    except IndexError:
+        pos = len(archive) + 1
+    if pos > len(archive):
+        raise WarcError(f"the frame at byte {at} is cut off")
+    return pos
+
+
+def frames(archive: bytes | memoryview) -> Iterator[bytes]:
     """The records of an archive, decoded frame by frame."""
     import zstandard
 
+    archive = memoryview(archive).cast("B")
     if len(archive) < 8:
         raise WarcError("no leading frame")
     magic, size = struct.unpack_from("<II", archive)
     if magic != DICTIONARY_MAGIC or 8 + size > len(archive):
         raise WarcError("no dictionary frame leads the archive")
-    raw = archive[8 : 8 + size]
+    raw = bytes(archive[8 : 8 + size])
     if raw[:4] == struct.pack("<I", FRAME_MAGIC):  # the dictionary itself may be compressed
         raw = zstandard.ZstdDecompressor().decompress(raw)
     codec = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
     at = 8 + size
     while at < len(archive):
-        if at + 4 > len(archive):
+        if at + 8 > len(archive):
             raise WarcError("bytes after the last frame")
-        magic = struct.unpack_from("<I", archive, at)[0]
+        magic, size = struct.unpack_from("<II", archive, at)
         if magic & 0xFFFFFFF0 == 0x184D2A50:
-            if at + 8 > len(archive) or (end := at + 8 + struct.unpack_from("<I", archive, at + 4)[0]) > len(archive):
+            at += 8 + size
+            if at > len(archive):
                 raise WarcError("a skippable frame is cut off")
-            at = end
             continue
         if magic != FRAME_MAGIC:
             raise WarcError(f"no frame at byte {at}")
+        end = frame_end(archive, at)
         try:
-            d = codec.decompressobj()
-            data = d.decompress(memoryview(archive)[at:])
-            declared = zstandard.frame_content_size(archive[at : at + 32])
+            data = codec.decompress(archive[at:end])
+            declared = zstandard.frame_content_size(bytes(archive[at : at + 18]))
         except zstandard.ZstdError as e:
             raise WarcError(f"the frame at byte {at} does not decode: {e}") from e
-        if not d.eof or declared != len(data):
+        if declared != len(data):
             raise WarcError(f"the frame at byte {at} has not the size it declares")
-        at = len(archive) - len(d.unused_data)
+        at = end
         yield data
 
 
@@ -141,26 +169,31 @@ def _train(samples: list[bytes]) -> bytes:
     return b"".join(samples)[:DICTIONARY_BYTES]  # a raw content dictionary
 
 
-def archive_frames(records: Iterable[bytes]) -> Iterator[bytes]:
-    """The leading frame and a frame for each record; nothing where there is no record."""
+def archives(records: Iterable[bytes], most: int = ARCHIVE_BYTES) -> Iterator[bytes]:
+    """The records as archives; another one starts when one has `most` bytes."""
     import zstandard
 
-    first: list[bytes] = []
-    size = 0
     records = iter(records)
-    for r in records:
-        first.append(r)
-        size += len(r)
-        if size >= TRAIN_BYTES or len(first) >= TRAIN_RECORDS:
-            break
-    if not first:
-        return
-    dictionary = _train(first)
-    yield leading_frame(dictionary)
-    codec = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True, write_checksum=True)
-    for part in (first, records):
-        for r in part:
-            yield codec.compress(r)
+    while True:
+        first: list[bytes] = []
+        size = 0
+        for r in records:
+            first.append(r)
+            size += len(r)
+            if size >= TRAIN_BYTES or len(first) >= TRAIN_RECORDS:
+                break
+        if not first:
+            return
+        dictionary = _train(first)
+        codec = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True, write_checksum=True)
+        out = bytearray(leading_frame(dictionary))
+        for n, r in enumerate(chain(first, records), 1):
+            out += SEPARATOR
+            out += codec.compress(r)
+            # records that the dictionary was trained on stay with it
+            if n >= len(first) and len(out) >= most:
+                break
+        yield bytes(out)
 
 
 def roles(pages: DataFrame) -> DataFrame:
@@ -172,8 +205,8 @@ def roles(pages: DataFrame) -> DataFrame:
     return x.join(many, "digest").where("refers_to is not null and coalesce(page_id > refers_to, true)").distinct()
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """Writes a record for each row into archives under path, one to a task."""
+def write_archives(pages: DataFrame, path: str, most: int = ARCHIVE_BYTES) -> None:
+    """Writes a record for each row into archives under path."""
     rows = pages.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), whole_text("html").alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     again = written(roles(pages), "warc-revisits").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "refers_to")
@@ -185,18 +218,12 @@ def write_archives(pages: DataFrame, path: str) -> None:
                 for i, url, html, digest, refers in zip(*(b.column(c) for c in ("page_id", "url", "html", "digest", "refers_to"))):
                     yield record("response" if refers.as_py() is None else "revisit", i.as_py(), url.as_py(), digest.as_py(), html.as_py().encode(), refers.as_py())
 
-        part, size = [], 0
-        for f in archive_frames(records()):
-            part.append(f)
-            size += len(f)
-            if size > 4_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary())], ["frame"])
-                part, size = [], 0
-        if part:
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary())], ["frame"])
+        for a in archives(records(), most):
+            yield pa.RecordBatch.from_arrays([pa.array([a], pa.binary())], ["archive"])
 
-    # a cast keeps the bytes as they are, and the sink writes them as they are
-    rows.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(packed, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+    # a cast keeps the bytes as they are, and the sink writes them as they are, a row to a file
+    rows = rows.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(packed, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    rows.write.option("lineSep", SEPARATOR.decode("ascii")).option("maxRecordsPerFile", 1).text(path)
 
 
 FIELDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
@@ -211,7 +238,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             for name, content in zip(b.column("path"), b.column("content")):
                 out = []
                 try:
-                    for data in frames(content.as_buffer().to_pybytes() if content.as_py() else b""):
+                    for data in frames(content.as_buffer()):
                         head, payload = parse(data)
                         kind, digest, size = head["warc-type"], head.get("warc-payload-digest", ""), head.get("x-payload-length", "")
                         if kind not in ("response", "revisit") or not digest.startswith("sha256:") or not size.isdigit():
