@@ -120,9 +120,9 @@ def test_archives_round_trip(spark):
 
 def test_broken_archives_are_refused():
     records = [warc.record("response", i, f"u{i}", hashlib.sha256(p).hexdigest(), p) for i, p in enumerate([b"", b"x" * 500, b"\r\n\r\n"])]
-    whole = b"".join(warc.archive_frames(records))
+    whole = b"".join(warc.archives(records))
     assert list(warc.frames(whole)) == records and [warc.parse(r)[1] for r in records] == [b"", b"x" * 500, b"\r\n\r\n"]
-    sep = warc.SEPARATOR.encode()
+    sep = warc.SEPARATOR
     assert list(warc.frames(whole + sep)) == records
     for bad in (b"", whole[8:], whole[:-3], whole + b"x", whole[:-20] + b"0" * 20, whole + sep[:-1]):
         with pytest.raises(warc.WarcError):
@@ -132,6 +132,40 @@ def test_broken_archives_are_refused():
             warc.parse(bad)
 
 
+def test_archives_are_bounded_and_read_in_one_pass():
+    import time
+
+    pages = [np.random.default_rng(i).integers(0, 256, 60_000, dtype=np.uint8).tobytes() for i in range(1700)]  # these do not compress
+    records = [warc.record("response", i, f"u{i}", hashlib.sha256(p).hexdigest(), p) for i, p in enumerate(pages)]
+
+    def seconds(n):
+        [a] = warc.archives(records[:n], 2**40)
+        began = time.process_time()
+        assert sum(1 for _ in warc.frames(a)) == n
+        return len(a), time.process_time() - began
+
+    (small, quick), (large, slow) = seconds(170), seconds(1700)
+    assert large > 9 * small > 5e7 and large > 1e8 and slow < 30 * quick + 1
+    cut = list(warc.archives(records, 5_000_000))
+    assert len(cut) > 10 and all(len(a) < 5_000_000 + warc.TRAIN_BYTES + 100_000 for a in cut)
+    assert [r for a in cut for r in warc.frames(a)] == records
+    assert list(warc.archives([])) == []
+
+
+def test_archives_without_broadcast(spark, sf, duck):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        same(warc.op2_warc(spark, sf), duck, warc.oracle())
+        pages = spark.createDataFrame([(i, "u", "x" * 9000 + str(i // 2)) for i in range(1500)], "page_id long, url string, html string")
+        path = scratch(spark, "warc-small")
+        warc.write_archives(pages.coalesce(1), path, 5_000)
+        sizes = [r.length for r in spark.read.format("binaryFile").load(path).select("length").collect()]
+        assert len(sizes) == 4 and warc.resolved(warc.read_archives(spark, path)).where("record_type = 'revisit'").count() == 750
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 # -- quality
 
 
@@ -283,30 +317,96 @@ def test_mixed_rows_stand_for_themselves(spark):
 # -- licences
 
 
-def test_licences(spark):
-    plain = [sentence(12) for _ in range(150)]
-    model = lic.fit(plain)
-    cases = [("MIT", "Released under the MIT License."), ("Apache-2.0", "(c) x. Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file"), ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."), ("CC-BY-NC", "Licensed under CC BY-NC 4.0."), ("CC-BY", "Licensed under CC BY 4.0."), ("Proprietary", "All rights reserved.")]
-    got = lic.scan_lines(model, [t for _, t in cases])
-    assert [g and g[0] for g in got] == [f for f, _ in cases]
-    assert sum(g is not None for g in lic.scan_lines(model, plain)) <= 1
-    assert all(g is None or g[0] == "unknown" for g in lic.scan_lines(model, ["the license plate of the car was published", "general notice: work on the road"]))
-    docs = spark.createDataFrame([(1, "intro\nReleased under the MIT License.\nAll rights reserved."), (2, None), (3, ""), (None, "Licensed under CC BY 4.0."), (1, "intro\nReleased under the MIT License.\nAll rights reserved.")], "doc_id long, text string")
-    out = {(r.doc_id, r.families, r.n_licensed) for r in lic.scan(docs, model).collect()}
-    assert out == {(1, "MIT,Proprietary", 2), (2, "", 0), (3, "", 0), (None, "CC-BY", 1)}
+@pytest.fixture(scope="module")
+def licence_model():
+    plain = [lic.words(sentence(n)) for n in (4, 12, 40) for _ in range(100)]
+    return lic.fit([[x if x in lic.weights_of_words() else "" for x in u] for u in plain])
+
+
+#: Lines of licences that the templates do not have, and lines that use their words for other things.
+OTHERS = ["The Software is licensed under the Boost Software License, Version 1.0.", "Licensed under the EUPL, Version 1.2.", "This program is made available under the terms of the Eclipse Public License 2.0.", "SPDX-License-Identifier: CDDL-1.0", "Licensed under the Artistic License 2.0"]
+PLAIN = ["the license plate of the car was published", "general notice: work on the road", "He needs a driving license.", "the author reserved a table for the group", "It works under general conditions of the public road"]
+
+
+def test_licences(spark, licence_model):
+    model = licence_model
+    cases = [("MIT", "Released under the MIT License."), ("Apache-2.0", "(c) x. Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file"), ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."), ("CC-BY-NC", "Licensed under CC BY-NC 4.0."), ("CC-BY", "Licensed under CC BY 4.0."), ("Proprietary", "All rights reserved."), ("GPL-3.0", "Subject to the GPL v3.")]
+    cases += [("unknown", x) for x in OTHERS] + [("", x) for x in PLAIN] + [("", sentence(12)) for _ in range(100)]
+    docs = spark.createDataFrame([(i, t, "x", 0.5) for i, (_, t) in enumerate(cases)], "doc_id long, text string, families string, probability double")
+    got = {r.doc_id: (r.families or ("unknown" if r.n_unknown else "")) for r in lic.scan(docs, model).collect()}
+    assert [got[i] for i in range(len(cases))] == [f for f, _ in cases]
+    odd = [(1, "intro\nReleased under the MIT License.\nAll rights reserved."), (2, None), (3, ""), (4, " \t\n\n "), (None, "Licensed under CC BY 4.0."), (1, "intro\nReleased under the MIT License.\nAll rights reserved.")]
+    long = "\n".join([sentence(30)] * 3000 + ["Licensed under CC BY 4.0."]) + "\n\n" + sentence(30_000) + " Released under the MIT License. " + sentence(300)
+    docs = spark.createDataFrame([(*r, "MIT", 1.0) for r in [*odd, (5, long)]], "doc_id long, text string, families string, n_paragraphs double")
+    out = {(r.doc_id, r.n_paragraphs, r.families, r.n_licensed) for r in lic.scan(docs, model).collect()}
+    assert out == {(1, 3, "MIT,Proprietary", 2), (2, 0, "", 0), (3, 0, "", 0), (4, 0, "", 0), (None, 1, "CC-BY", 1), (5, 3002, "CC-BY,MIT", 2)}
     assert lic.scan(docs.limit(0), lic.train(docs.limit(0))).count() == 0
 
 
-def test_wrapped_licences_are_found(spark):
-    model = lic.fit([sentence(12) for _ in range(150)])
+def test_wrapped_licences_are_found(spark, licence_model):
     mit = [t for t in lic.TEMPLATES["MIT"] if t.startswith("Permission")][0]
-    gpl = lic.TEMPLATES["GPL-3.0"][1]
-    bsd = lic.TEMPLATES["BSD"][1]
+    gpl = [t for t in lic.TEMPLATES["GPL-3.0"] if t.startswith("This program")][0]
+    bsd = [t for t in lic.TEMPLATES["BSD"] if t.startswith("Redistribution")][0]
     wrap = lambda t, mark="": "\n".join(mark + x for x in textwrap.wrap(t, 68))
-    texts = ["code\n\n" + wrap(mit) + "\n\nmore", wrap(gpl, " * "), wrap(bsd, "# "), wrap(sentence(90)), "one\n\n" + wrap("the general notice of work published on the road by the author " * 6)]
+    texts = ["code\n\n" + wrap(mit) + "\n\nmore", wrap(gpl, " * "), wrap(bsd, "# "), wrap(sentence(90)), "one\n\n" + wrap("the road and the car of the group were there at nine " * 6), sentence(100) + " " + gpl + " " + sentence(100)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.families for r in lic.scan(docs, model).collect()}
-    assert got == {0: "MIT", 1: "GPL-3.0", 2: "BSD", 3: "", 4: ""}
+    got = {r.doc_id: r.families for r in lic.scan(docs, licence_model).collect()}
+    assert got == {0: "MIT", 1: "GPL-3.0", 2: "BSD", 3: "", 4: "", 5: "GPL-3.0"}
+
+
+def brute_licences(model, text):
+    """The same result, unit by unit: every line of up to UNIT words and every window, without a filter."""
+    number, pairs = lic.vocabulary()
+    pair_at = {p: len(number) + i for i, p in enumerate(pairs.tolist())}
+
+    def judged(unit, around):
+        f = {number[w] for w in unit if w in number} | {pair_at[k] for a, b in zip(unit, unit[1:]) if a in number and b in number for k in [number[a] * len(number) + number[b]] if k in pair_at}
+        return f, around
+
+    units = []
+    for b, block in enumerate(re.split(r"\n(?:[^\S\n]*\n)+", text)):
+        lines = [lic.words(x) for x in block.split("\n")]
+        flat = [w for x in lines for w in x]
+        for x, w in enumerate(lines):
+            if 0 < len(w) <= lic.UNIT:
+                units.append((b, x, judged(w, w), len(w)))
+        if sum(map(bool, lines)) > 1 or len(flat) > lic.UNIT:
+            starts = list(range(0, len(flat), lic.STEP))
+            for s in starts if len(starts) == 1 else starts[:-1]:
+                w = flat[s : s + lic.UNIT]
+                f, _ = judged(w, w)
+                if s:  # a 2-gram stands where it ends
+                    f |= judged(flat[s - 1 : s + 1], ())[0] - judged(flat[s - 1 : s], ())[0]
+                units.append((b, -1, (f, flat[max(0, s - lic.UNIT) : s + 2 * lic.UNIT]), len(w)))
+    out = []
+    for b, x, (f, around), n in units:
+        z = (sum((model.weights[i] for i in f), np.zeros(lic.CLASSES)) / np.sqrt(n) + model.weights[-1]) / model.temperature
+        q = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        if (got := lic.judge(model, q, around)) is not None:
+            out.append((b, x, got))
+    return out
+
+
+def test_licence_scan_is_that_of_all_units(licence_model):
+    pieces = [*(t for ts in lic.TEMPLATES.values() for t in ts), *OTHERS, *PLAIN]
+    texts = []
+    for i in range(120):
+        own = [str(rng.choice(pieces)) if rng.random() < 0.3 else sentence(int(rng.integers(1, 90))) for _ in range(int(rng.integers(0, 12)))]
+        texts.append("".join(x + str(rng.choice(["\n", "\n\n", " ", "\n \t\n", "\n# "])) for x in own))
+    got = lic.scan_texts(licence_model, texts)
+    for t, g in zip(texts, got):
+        want = brute_licences(licence_model, t)
+        assert sorted((f.family, round(f.probability, 9), round(f.confirmation, 9), x < 0) for _, x, f in g) == sorted((f.family, round(f.probability, 9), round(f.confirmation, 9), x < 0) for _, x, f in want)
+        assert lic.summary(g)[:3] == lic.summary(want)[:3]
+
+
+def test_licence_query_finds_the_planted_lines(spark, sf):
+    """Precision and recall over all documents against whole lines of the templates."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    known = {" ".join(lic.words(t)): f for f, ts in lic.TEMPLATES.items() for t in ts}
+    want = {i: {known[k] for x in t.split("\n") for k in [" ".join(lic.words(x))] if k in known} for i, t in docs.items()}
+    got = {r.doc_id: (set(filter(None, r.families.split(","))), r.n_unknown) for r in lic.op9_licence(spark, sf).collect()}
+    assert sum(map(len, want.values())) >= 3 and all(want[i] == got[i][0] for i in docs) and sum(n for _, n in got.values()) <= 1
 
 
 # -- registered queries
