@@ -6,23 +6,31 @@ neighbours of each class, forward and reverse, with one another and keeps for
 each class the LIST best; rounds end when few lists change. Every pair seen with
 the threshold cosine or more is kept as a link, whether or not it stays in a list.
 
-A list all of whose entries are links is saturated: there may be more. The
-component of links around such a class is then compared as a whole, in tiles of
-TILE x TILE vectors that return sums for each vector and not pairs; this enlarges
-its lists to all they can hold, whatever the component's size.
+A list all of whose entries are links is saturated: there may be more. It is
+enlarged to twice its length, again and again, up to MOST_LIST entries, and the
+rounds go on with the longer lists. Classes with more links than that stand in
+a crowd: the component of links around one is compared as a whole, in tiles of
+about TILE x TILE vectors that return sums for each vector and not pairs, which
+is exact whatever the component's size.
 
 A pair at the threshold shares the leading bits of a code that tell n vectors of
 a label apart with a probability that falls with n; the number of codes grows so
-that GOOD_RECALL of such pairs, alone as they may be, meet in one of them.
-
-Recall is audited: bounded samples of classes, of all and of those outside the
-components compared as a whole, are compared with all vectors of their label.
-Links within one such component are found by construction and do not count.
-Below GOOD_RECALL the search goes on with lists twice as long and new codes; a
-last audit below LEAST_RECALL raises an error.
-
-Cosines are taken in double precision from the vectors as given. Labels and
-vector lengths must be equal.
+that GOOD_RECALL of such pairs, alone as they may be, meet in one of them. Codes
+are range-sorted with the class as the last key, so a group of near copies with
+one code is dealt over as many tasks as it needs.
+
+Recall is audited: bounded samples of classes (of all, of those outside the
+crowds, and of those outside with a link or a near miss) are compared with all
+vectors of their label. Links within a crowd are found by construction and do
+not count. A sample that has fewer than LEAST_TRUE true links is widened, up to
+MOST_AUDIT classes. Below GOOD_RECALL the search goes on with lists twice as long
+and new codes; a last audit below LEAST_RECALL raises an error. The result
+carries the audited recall and the number of true links behind it.
+
+Cosines are taken in double precision from the vectors as given; wherever a
+product of matrices comes within NEAR of the threshold, the sum over the two
+rows decides, so a pair is a link everywhere or nowhere. Labels and vector
+lengths must be equal. Classes are told apart by two 64-bit hashes.
 
 Defined results: a vector that is null, empty or zero or has null or non-finite
 components, or has no label, links with nothing (no links, its own component);
@@ -41,16 +49,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, table, written
+from .common import components, discard, table, written
 
 THRESHOLD = 0.93
-LIST = 8
+LIST, MOST_LIST = 8, 64
 CODES, CODE_BITS, CODE_WINDOW = 4, 32, 2
 MOST_ROUNDS = 6
 TILE = 512
-AUDIT = 500
+AUDIT, MOST_AUDIT, LEAST_TRUE, NEAR_MISS = 500, 8000, 200, 0.05
 GOOD_RECALL, LEAST_RECALL, SEARCHES = 0.98, 0.9, 3
-ROWS_PER_BUCKET = 2048
+NEAR = 1e-9
 
 
 def matrix(lists: pa.Array) -> np.ndarray:
@@ -60,12 +68,22 @@ def matrix(lists: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+def cosines(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Of unit rows, each of x with each of y. Those near the threshold are sums over
+    the two rows, as `scored` takes them: the order of a product's sums varies."""
+    g = x @ y.T
+    i, j = np.nonzero(np.abs(g - threshold) < NEAR)
+    g[i, j] = (x[i] * y[j]).sum(axis=1)
+    return g
+
+
 def with_class(rows: DataFrame) -> DataFrame:
-    """rows and `node`, the hash of label and vector, null where a vector can't link."""
+    """rows and `hash`, two hashes of label and vector, null where a vector can't link."""
     e = F.col("embedding")
     norm = F.aggregate(e, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & e.isNotNull() & (F.size(e) > 0) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (norm > 0) & (norm < float("inf"))
-    return rows.withColumn("node", F.when(F.coalesce(fine, F.lit(False)), F.xxhash64("label", "embedding")))
+    two = F.struct(F.xxhash64("label", "embedding").alias("h1"), F.xxhash64(F.lit("other"), "label", "embedding").alias("h2"))
+    return rows.withColumn("hash", F.when(F.coalesce(fine, F.lit(False)), two))
 
 
 def code_count(n: int, threshold: float) -> int:
@@ -77,12 +95,10 @@ def code_count(n: int, threshold: float) -> int:
 
 
 def first_pairs(vectors: DataFrame, seed: int, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b): classes that stand within CODE_WINDOW places in the order of a code."""
-    spaces = vectors.groupBy("space").agg(F.count("*").alias("n"))
-    most = spaces.agg(F.max("n")).first()[0] or 0
+    """(a, b): classes that stand within CODE_WINDOW places in the order of a code.
+    Where a range of the order ends, its last places meet the next only by other codes."""
+    most = vectors.groupBy("space").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     number = code_count(most, threshold)
-    # slices by the rows of the label, each of about ROWS_PER_BUCKET
-    prefix = F.greatest(F.lit(0), F.length(F.bin(F.floor(F.col("n") / ROWS_PER_BUCKET).cast("long"))) - 1)
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -96,16 +112,27 @@ def first_pairs(vectors: DataFrame, seed: int, threshold: float = THRESHOLD) ->
                 k = len(code)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(here.column("node").to_numpy(), number)), pa.array(np.repeat(here.column("space").to_numpy(), number)), pa.array(np.tile(np.arange(number, dtype=np.int32), k)), pa.array(code.ravel())], ["node", "space", "code", "bits"])
 
-    x = vectors.select("node", "space", "dim", "embedding").mapInArrow(codes, "node long, space long, code int, bits long")
-    # slices by the first bits, and again half a slice further: what stands at a border of one is inside the other
-    x = x.join(spaces.select("space", prefix.alias("prefix")), "space")
-    half = F.when(F.col("prefix") > 0, F.expr(f"shiftleft(1L, {CODE_BITS} - prefix - 1)"))
-    shift = F.explode(F.when(half.isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.array(F.lit(0).cast("long"), half)))
-    x = x.select("node", "space", "code", "bits", "prefix", shift.alias("shift"))
-    w = Window.partitionBy("space", "code", "shift", F.expr(f"shiftright(bits + shift, {CODE_BITS} - prefix)")).orderBy("bits", "node")
-    near = x.select("node", *[F.lead("node", i).over(w).alias(f"n{i}") for i in range(1, CODE_WINDOW + 1)])
-    near = near.select(F.col("node").alias("a"), F.explode(F.array(*[f"n{i}" for i in range(1, CODE_WINDOW + 1)])).alias("b")).where("b is not null and a <> b")
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.Table | None = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            if last is not None:
+                t = pa.concat_tables([last, t])
+            node, space, code = (t.column(c).to_numpy() for c in ("node", "space", "code"))
+            old = 0 if last is None else last.num_rows
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for i in range(1, CODE_WINDOW + 1):
+                near = (space[i:] == space[:-i]) & (code[i:] == code[:-i]) & (node[i:] != node[:-i])
+                near[: max(0, old - i)] = False  # pairs of the batch before
+                out.append((node[:-i][near], node[i:][near]))
+            x, y = (np.concatenate(c) for c in zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            last = t.slice(max(0, t.num_rows - CODE_WINDOW))
+
+    order = ["space", "code", "bits", "node"]
+    x = written(vectors.select("node", "space", "dim", "embedding").mapInArrow(codes, "node long, space long, code int, bits long"), "nn-codes")
+    ranges = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return x.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("node", "space", "code").mapInArrow(neighbours, "a long, b long").distinct()
 
 
 def scored(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -124,10 +151,24 @@ def scored(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return x.select("a", "b", "va", "vb").mapInArrow(run, "a long, b long, cos double")
 
 
-def best(pairs: DataFrame, most: int) -> DataFrame:
-    """The `most` best b of each a, from (a, b, cos) in either order."""
+def room(links):
+    """How many entries a list of so many links may have: LIST, or twice that while all are links."""
+    size = F.lit(MOST_LIST)
+    k = MOST_LIST // 2
+    while k >= LIST:
+        size = F.when(links < k, F.lit(k)).otherwise(size)
+        k //= 2
+    return size
+
+
+def best(pairs: DataFrame, most: int, threshold: float) -> DataFrame:
+    """The best b of each a, from (a, b, cos) in either order: `most`, and more where
+    these are all links."""
     both = pairs.select("a", "b", "cos").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos")).groupBy("a", "b").agg(F.max("cos").alias("cos"))
-    return both.withColumn("at", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cos"), "b"))).where(f"at <= {most}").select("a", "b", "cos")
+    w = Window.partitionBy("a")
+    ranked = both.withColumn("at", F.row_number().over(w.orderBy(F.desc("cos"), "b"))).where(f"at <= {max(most, MOST_LIST)}")
+    ranked = ranked.withColumn("links", F.count_if(F.col("cos") >= threshold).over(w))
+    return ranked.where(F.col("at") <= F.greatest(F.lit(most), room(F.col("links")))).select("a", "b", "cos")
 
 
 def local_join(lists: DataFrame, vectors: DataFrame, most: int, threshold: float) -> DataFrame:
@@ -150,7 +191,7 @@ def local_join(lists: DataFrame, vectors: DataFrame, most: int, threshold: float
                 continue
             ids, worst, x = flat.field("b").to_numpy(), flat.field("worst").to_numpy(), matrix(flat.field("embedding"))
             for lo, hi in zip(np.append(0, ends[:-1]), ends):
-                g = x[lo:hi] @ x[lo:hi].T
+                g = cosines(x[lo:hi], x[lo:hi], threshold)
                 w = worst[lo:hi]
                 i, j = np.nonzero(np.triu((g >= threshold) | (g > np.minimum(w[:, None], w[None, :])), 1))
                 out.append((ids[lo:hi][i], ids[lo:hi][j], g[i, j]))
@@ -166,27 +207,41 @@ def descend(vectors: DataFrame, most: int, threshold: float, seed: int, known: D
         pairs = pairs.union(known)
     seen = written(pairs, "nn-pairs")
     link = lambda x: x.where(F.col("cos") >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links, lists = [link(seen)], written(best(seen, most), "nn-lists")
+    links, lists = [link(seen)], written(best(seen, most, threshold), "nn-lists")
     size = lists.count()
     for _ in range(MOST_ROUNDS if size else 0):
         found = written(local_join(lists, vectors, most, threshold), "nn-found")
         links.append(link(found))
-        now = written(best(found.union(lists), most), "nn-lists")
+        now = written(best(found.union(lists), most, threshold), "nn-lists")
         changed = now.join(lists.select("a", "b"), ["a", "b"], "left_anti").count()
+        discard(lists)
         lists = now
         if changed <= 0.005 * size:
             break
     return lists, written(reduce(DataFrame.union, links).distinct(), "nn-links")
 
 
-def audit(vectors: DataFrame, links: DataFrame, inside: DataFrame, threshold: float, sample: int = AUDIT) -> float:
-    """Share of the true links of bounded samples of classes that are in links. Links
-    between members of one component in `inside` (node, root), which was compared
-    as a whole, don't count; half of the classes asked lie outside these components."""
+def audit(vectors: DataFrame, links: DataFrame, inside: DataFrame, threshold: float, near: DataFrame | None = None, sample: int = AUDIT) -> tuple[float, int]:
+    """Share of the true links of bounded samples of classes that are in links, and the
+    number of true links. Links between members of one component in `inside` (node, root),
+    which was compared as a whole, don't count; near: classes to sample besides."""
+    while True:
+        got = _audited(vectors, links, inside, threshold, near, sample)
+        if got[1] >= LEAST_TRUE or got[2] or sample * 4 > MOST_AUDIT:
+            return got[:2]
+        sample *= 4
+
+
+def _audited(vectors: DataFrame, links: DataFrame, inside: DataFrame, threshold: float, near: DataFrame | None, sample: int) -> tuple[float, int, bool]:
+    """(recall, true links, whether all classes were asked)."""
     first = lambda x: x.orderBy(F.xxhash64("node"), "node").limit(sample).select("node", "space", "embedding")
-    few = first(vectors).union(first(vectors.join(inside, "node", "left_anti"))).dropDuplicates(["node"]).toArrow()
+    outside = vectors.join(inside, "node", "left_anti")
+    few = first(vectors).union(first(outside))
+    if near is not None:
+        few = few.union(first(outside.join(near, "node", "left_semi")))
+    few = few.dropDuplicates(["node"]).toArrow()
     if not few.num_rows:
-        return 1.0
+        return 1.0, 0, True
     ask: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     space = few.column("space").to_numpy()
     for s in np.unique(space):
@@ -201,11 +256,13 @@ def audit(vectors: DataFrame, links: DataFrame, inside: DataFrame, threshold: fl
                 if int(s) in asked.value:
                     q, x = asked.value[int(s)]
                     here = b.filter(pa.array(space == s))
-                    ids = here.column("node").to_numpy()
-                    i, j = np.nonzero(x @ matrix(here.column("embedding")).T >= threshold)
-                    keep = q[i] != ids[j]
-                    i, j = i[keep], j[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(q[i], ids[j])), pa.array(np.maximum(q[i], ids[j]))], ["a", "b"])
+                    ids, y = here.column("node").to_numpy(), matrix(here.column("embedding"))
+                    for lo in range(0, len(ids), TILE):
+                        i, j = np.nonzero(cosines(x, y[lo : lo + TILE], threshold) >= threshold)
+                        j += lo
+                        keep = q[i] != ids[j]
+                        i, j = i[keep], j[keep]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(q[i], ids[j])), pa.array(np.maximum(q[i], ids[j]))], ["a", "b"])
 
     true = vectors.select("node", "space", "embedding").mapInArrow(run, "a long, b long").distinct()
     true = true.join(links.withColumn("found", F.lit(True)), ["a", "b"], "left")
@@ -213,15 +270,14 @@ def audit(vectors: DataFrame, links: DataFrame, inside: DataFrame, threshold: fl
     true = true.join(root("a"), "a", "left").join(root("b"), "b", "left")
     true = true.where(~F.coalesce(F.col("ra") == F.col("rb"), F.lit(False)))
     got = true.agg(F.count("*").alias("n"), F.count_if("found").alias("found")).first()
-    return got["found"] / got["n"] if got["n"] else 1.0
+    return (got["found"] / got["n"] if got["n"] else 1.0), got["n"], few.num_rows == vectors.count()
 
 
 def tiles(members: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
     """(node, links): sums of m over the links of each node within its root, from
     (root, node, m, embedding). A tile is all a task holds."""
-    place = members.select("root", "node").withColumn("block", F.floor((F.row_number().over(Window.partitionBy("root").orderBy("node")) - 1) / tile).cast("int"))
-    blocks = place.groupBy("root").agg((F.max("block") + 1).alias("blocks"))
-    x = members.join(place.join(blocks, "root").drop("root"), "node")
+    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("blocks"))
+    x = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = x.select("root", F.col("block").alias("i"), other.alias("j"), F.lit(True).alias("left"), "node", "m", "embedding")
     right = x.select("root", other.alias("i"), F.col("block").alias("j"), F.lit(False).alias("left"), "node", "m", "embedding")
@@ -230,7 +286,9 @@ def tiles(members: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
         t = t.combine_chunks()
         side = t.column("left").to_numpy()
         a, b = t.filter(pa.array(side)).combine_chunks(), t.filter(pa.array(~side)).combine_chunks()
-        near = matrix(a.column("embedding").combine_chunks()) @ matrix(b.column("embedding").combine_chunks()).T >= threshold
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
+        near = cosines(matrix(a.column("embedding").combine_chunks()), matrix(b.column("embedding").combine_chunks()), threshold) >= threshold
         ids = a.column("node").to_numpy()
         near &= ids[:, None] != b.column("node").to_numpy()[None, :]
         return pa.table({"node": ids, "links": near @ b.column("m").to_numpy()})
@@ -239,18 +297,21 @@ def tiles(members: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
     return both.groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, most: int = LIST) -> tuple[DataFrame, float]:
-    """vec_id, n_links, component_id, kept for every row, and the audited recall."""
+def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, most: int = LIST) -> tuple[DataFrame, float, int]:
+    """vec_id, n_links, component_id, kept for every row; the audited recall and the true links behind it."""
     own = written(with_class(rows.select("vec_id", "embedding", "label")), "nn-rows")
-    classes = own.where("node is not null").select("node", "label", "embedding", "vec_id").distinct().groupBy("node", "label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("m"))
-    vectors = written(classes.select("node", F.xxhash64("label", F.size("embedding")).alias("space"), F.size("embedding").alias("dim"), "embedding", "first", "m"), "nn-vectors")
-    known, recall = None, 0.0
+    each = own.where("hash is not null").groupBy("hash", "vec_id").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+    classes = each.groupBy("hash").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("first"), F.count("*").alias("m"))
+    classes = classes.select("hash", F.xxhash64("label", F.size("embedding")).alias("space"), F.size("embedding").alias("dim"), "embedding", "first", "m")
+    vectors = written(classes.withColumn("node", F.monotonically_increasing_id()), "nn-vectors")
+    known, recall, true = None, 0.0, 0
     for search in range(SEARCHES):
         lists, links = descend(vectors, most, threshold, search, known)
         roots = written(components(links, "nn-components"), "nn-roots")
-        full = lists.groupBy("a").agg(F.count_if(F.col("cos") >= threshold).alias("n")).where(f"n >= {most}").select(F.col("a").alias("node"))
+        full = lists.groupBy("a").agg(F.count_if(F.col("cos") >= threshold).alias("n")).where(f"n >= {max(most, MOST_LIST)}").select(F.col("a").alias("node"))
         crowded = written(roots.join(roots.join(full, "node", "left_semi").select("root").distinct(), "root", "left_semi"), "nn-crowded")
-        recall = audit(vectors, links, crowded, threshold)
+        near = lists.where(F.col("cos") >= threshold - NEAR_MISS).select(F.col("a").alias("node")).distinct()
+        recall, true = audit(vectors, links, crowded, threshold, near)
         if recall >= GOOD_RECALL:
             break
         known, most = scored(links, vectors).union(lists), 2 * most
@@ -260,14 +321,15 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, most: int = L
     counted = tiles(crowded.join(vectors.select("node", "m", "embedding"), "node"), threshold)
     ends = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(crowded.select(F.col("node").alias("a")), "a", "left_anti")
     listed = ends.join(m.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("m").alias("links"))
-    whole = vectors.select("node", "first", "m").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(counted.union(listed), "node", "left")
+    whole = vectors.select("hash", "node", "first", "m").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(counted.union(listed), "node", "left")
     smallest = whole.groupBy("root").agg(F.min("first").alias("component_id"))
-    done = written(whole.join(smallest, "root").select("node", "component_id", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "nn-result")
-    out = own.select("vec_id", "node").join(done, "node", "left")
+    done = written(whole.join(smallest, "root").select("hash", "component_id", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "nn-result")
+    out = own.select("vec_id", "hash").join(done, "hash", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), recall
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), recall, true
 
 
 def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links, components and what stays, of all embeddings."""
-    return near_duplicates(table(spark, sf_dir, "embeddings"))[0]
+    """Links, components and what stays, of all embeddings; the audit's figures in each row."""
+    out, recall, true = near_duplicates(table(spark, sf_dir, "embeddings"))
+    return out.withColumns({"audited_recall": F.lit(recall), "audited_links": F.lit(true).cast("long")})

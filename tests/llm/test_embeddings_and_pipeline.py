@@ -56,14 +56,15 @@ def test_links_are_those_of_all_pairs(spark):
     n = len(rows)
     rows += [(n, None, 1, 0, 0), (n + 1, [0.0] * 16, 1, 0, 0), (n + 2, [float("nan")] * 16, 1, 0, 0), (n + 3, rows[0][1], None, 0, 0), (n + 4, [], 1, 0, 0), (n + 5, [1.0, None], 1, 0, 0), (n + 6, [1.0, 2.0], 1, 0, 0), (n + 7, [1.0, 2.0], 1, 0, 0), (n + 8, [float("inf")] * 16, 1, 0, 0), rows[5], (None, rows[0][1], 1, 0, 0)]
     df = spark.createDataFrame(rows, ROWS)
-    got, recall = nn.near_duplicates(df)
+    got, recall, true = nn.near_duplicates(df)
     want = brute(rows)
     got = got.collect()
     assert len(got) == len(rows) and recall >= 0.98
     for r in got:
         links, root = want.get(r.vec_id, (0, r.vec_id))
         assert (r.n_links, r.component_id, r.kept) == (links, root, r.vec_id is None or r.vec_id == root)
-    none, _ = nn.near_duplicates(df.limit(0))
+    assert true > 0
+    none, *_ = nn.near_duplicates(df.limit(0))
     assert none.count() == 0
 
 
@@ -169,8 +170,44 @@ def test_audit_is_not_carried_by_a_crowd(spark):
     inside = spark.createDataFrame([(i, 0) for i in range(60)], "node long, root long")
     every = [(i, i + 1) for i in range(60, 140, 2)]
     part = lambda x: spark.createDataFrame(x, "a long, b long")
-    assert nn.audit(vectors, part(every), inside, 0.93) == 1.0
-    assert nn.audit(vectors, part(every[:20]), inside, 0.93) == 0.5
+    assert nn.audit(vectors, part(every), inside, 0.93) == (1.0, 40)
+    assert nn.audit(vectors, part(every[:20]), inside, 0.93) == (0.5, 40)
+    assert nn.audit(vectors.where("node < 0"), part(every), inside, 0.93) == (1.0, 0)
+
+
+def test_a_bounded_sample_finds_rare_links(spark):
+    """300 pairs among 12,000 vectors: the sample of near misses and links has most, and missing ones show."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(11_700, 16))
+    rows = [(i, 1, [float(x) for x in v]) for i, v in enumerate([*base, *(base[:300] + rng.normal(size=(300, 16)) * 0.05)])]
+    vectors = spark.createDataFrame(rows, "node long, space long, embedding array<double>").persist()
+    every = [(i, 11_700 + i) for i in range(300)]
+    near = spark.createDataFrame([(i,) for p in every[:200] for i in p], "node long")
+    none = spark.createDataFrame([], "node long, root long")
+    recall, true = nn.audit(vectors, spark.createDataFrame(every[:200], "a long, b long"), none, 0.93, near)
+    assert true >= 200 and recall < 0.99
+
+
+@pytest.mark.parametrize("longest", [8, 64])
+def test_saturated_lists_are_enlarged(spark, monkeypatch, longest):
+    """Groups of 30 near copies: in lists of up to 64 entries, or in tiles."""
+    monkeypatch.setattr(nn, "MOST_LIST", longest)
+    rng = np.random.default_rng(8)
+    rows = [(30 * g + i, [float(np.float32(x)) for x in v], 1, 0, 0) for g in range(12) for c in [rng.normal(size=12)] for i, v in enumerate(c + rng.normal(size=(30, 12)) * 0.15)]
+    df = spark.createDataFrame(rows, ROWS)
+    got, recall, _ = nn.near_duplicates(df)
+    want = brute(rows)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got.collect()} == want and max(n for n, _ in want.values()) > 8
+
+
+def test_pairs_at_the_threshold_are_links_everywhere_or_nowhere():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 64))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    at = float((x[3] * x[7]).sum())
+    whole = nn.cosines(x, x, at) >= at
+    assert whole[3, 7] and (whole == whole.T).all()
+    assert all(((nn.cosines(x[i : i + 7], x[j : j + 90], at) >= at) == whole[i : i + 7, j : j + 90]).all() for i in range(0, 400, 7) for j in range(0, 400, 90))
 
 
 def test_first_pairs_hold_isolated_pairs_of_large_labels(spark):
