@@ -6,12 +6,17 @@ appended; every row then takes its count from the cache. Normalisation before
 the digest is what the tokenizer itself applies to a text, which for plain
 byte-level BPE is nothing, so equal digests mean equal counts.
 
-Shuffles: one of the distinct missing texts (pre-aggregated, so a group of
-copies crosses it once for each map task) and narrow ones of digests.
-
-Defined results: a null text counts as empty (0 tokens); null ids and repeated
-rows keep their rows; an empty table gives an empty result; other columns are
-ignored.
+Digests are joined to the cache first, as narrow rows; texts are looked at again
+only for what is missing there. Up to BROADCAST_MISSES missing digests are
+broadcast to the texts, so that a warm cache shuffles no text that it knows;
+where more are missing, texts meet them in a shuffle. Missing texts are
+pre-aggregated: a group of copies crosses the shuffle once for each map task.
+With an empty cache all digests are missing and no join is needed.
+
+Defined results: a null text counts as empty (0 tokens); a very long text is one
+row and encoded whole; equal texts share a digest; null ids and repeated rows keep
+their rows; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import exists, scratch, whole_text, written
 
+#: Missing digests, 32 bytes each, that are broadcast at most.
+BROADCAST_MISSES = 2**20
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 
 
@@ -51,11 +58,16 @@ def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = 1024) -> D
     spark = docs.sparkSession
     v = tokens.version(path)
     rows = docs.select("doc_id", whole_text().alias("text")).withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    missing = rows.select("digest", "text").dropDuplicates(["digest"]).join(read_cache(spark, cache, v), "digest", "left_anti")
-    counted = missing.select("digest", "text").mapInArrow(_counter(path), "digest binary, n_tokens long")
-    counted.select(F.lit(v).alias("tokenizer"), "digest", "n_tokens").write.mode("append").option("compression", "zstd").parquet(cache)
+    narrow = written(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "count-rows")
+    texts = rows.select("digest", "text")
+    if exists(spark, cache):
+        missing = written(narrow.select("digest").distinct().join(read_cache(spark, cache, v), "digest", "left_anti"), "count-misses")
+        n = missing.count()
+        texts = texts.join(F.broadcast(missing) if n <= BROADCAST_MISSES else missing, "digest", "left_semi") if n else None
+    if texts is not None:
+        counted = texts.dropDuplicates(["digest"]).select("digest", "text").mapInArrow(_counter(path), "digest binary, n_tokens long")
+        counted.select(F.lit(v).alias("tokenizer"), "digest", "n_tokens").write.mode("append").option("compression", "zstd").parquet(cache)
     known = written(read_cache(spark, cache, v), "counts")
-    narrow = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     return narrow.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
