@@ -15,10 +15,12 @@ The fit takes a bounded sample, SAMPLE labelled rows chosen by the hash of
 their id; scoring covers all rows and whole texts, without a shuffle.
 
 Defined results: a null text is empty, and an empty text is scored like any
-other; labels other than 0 and 1 and null ids teach nothing; an id labelled
-twice counts once, with its smallest label; without both labels all strengths
-are equal and every text is kept; null ids and repeated rows keep their rows;
-an empty table gives an empty result; other columns are ignored.
+other; a very long text is scored whole, in one pass over it; labels other than 0 and 1
+and null ids teach nothing; an id labelled twice counts once, with its smallest
+label, and an id with several texts with the one of the smallest hash; without both labels all strengths
+are equal and every text is kept; equal texts score alike; null ids and repeated
+rows keep their rows; an empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -136,7 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def feats(texts: pd.Series) -> pd.Series:
         return texts.map(features)
 
-    got = own.select("doc_id", "quality", feats("text").alias("x")).dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    # of several texts of one id, that with the smallest hash
+    got = own.select("doc_id", "quality", F.xxhash64("text").alias("h"), feats("text").alias("x")).groupBy("doc_id").agg(F.min_by(F.struct("quality", "x"), "h").alias("y")).select("doc_id", "y.*").orderBy("doc_id").toArrow()
     x = np.array(got.column("x").to_pylist(), dtype=np.float64)
     return fit(x, got.column("quality").to_numpy())
 
