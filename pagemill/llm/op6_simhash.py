@@ -17,9 +17,11 @@ Copies are one fingerprint from the start; components are found among distinct
 fingerprints.
 
 Defined results: null and empty texts, and texts of white space, have the
-fingerprint zero and link like any other; null ids and repeated rows keep their
+fingerprint zero and link like any other; a very long text is hashed in parts of
+65,536 shingles; a bit set in just half of them is 0; null ids and repeated rows keep their
 rows, null ids count for no component's smallest id (null where there is no
-other); an empty table gives an empty result; other columns are ignored.
+other); an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
