@@ -10,13 +10,20 @@ smallest one; a merge drops it again as soon as a lower one comes.
 The neighbour of a document in id order comes from one shuffle: ids are cut at
 approximate quantiles into buckets of near-equal size, each bucket also gets
 the first row of the bucket that follows, and a window inside the bucket reads
-the next row. There is no global window and no join of texts.
+the next row. There is no global window and no join of texts. Rows without an
+id are cut into buckets of their own by the hash of their text, which orders
+them. There are up to MOST_BUCKETS buckets and as many again for null ids, each
+a sort that spills: at 100 TB one is some 400 MB.
+
+Rows of one id and text that occur more than HEAVY times are counted and stand
+as one row: all but one of them are followed by their own text.
 
 Defined results: a null text is empty and has the empty sketch; two empty
 sketches are alike (1.0), an empty and another are not (0.0); null ids stand
-last; rows of one id stand in the order of their texts' hashes; a single row is
-its own neighbour; an empty table gives an empty result; other columns are
-ignored.
+last; rows of one id, or of none, stand in the order of their texts' hashes; a
+single row is its own neighbour; a very long text is one row throughout, its
+sketch an eighth of its distinct shingles; an empty table gives an empty result;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,13 +33,16 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, table, whole_text
+from .common import WORD, ascii_lower, table, whole_text, written
+from .op8_mixing import repeated
 
 WORDS = 5
 #: A sketch keeps one hash in so many; a power of two from 2 on.
 SCALE = 8
 ROWS_PER_BUCKET = 2048
-MOST_BUCKETS = 65_536
+MOST_BUCKETS = 2**18
+#: Rows of one id and text from which they are counted; there are fewer than rows / HEAVY such pairs.
+HEAVY = 100_000
 
 
 def shingle_hashes(w: Column, words: int = WORDS) -> Column:
@@ -88,7 +98,11 @@ def with_next(df: DataFrame, columns: dict[str, str], rows_per_bucket: int = ROW
     """df (doc_id, h, ...) and, under new names, columns of the row that follows
     in descending order of (doc_id, h), nulls last; after the last row, the first."""
     ids = df.select("doc_id", "h")
-    n = ids.count()
+    size = ids.agg(F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    n, none_buckets = size["n"], max(1, min(most_buckets, -(-size["nulls"] // rows_per_bucket)))
+    # null ids: buckets -1, -2, ..., the larger the hash the nearer to 0; h is uniform
+    of_hash = F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * none_buckets).cast("long")
+    of_none = F.greatest(F.lit(-none_buckets), F.least(F.lit(-1), of_hash - none_buckets)).cast("long")
     k = max(1, math.isqrt(min(most_buckets, -(-n // rows_per_bucket)) - 1) + 1) if n else 1
     parts = [i / k for i in range(1, k)]
     # two levels of quantiles: k slices, then k slices of each; at most most_buckets rows of bounds
@@ -103,11 +117,11 @@ def with_next(df: DataFrame, columns: dict[str, str], rows_per_bucket: int = ROW
     def placed(x: DataFrame) -> DataFrame:
         x = x.withColumn("b1", F.when(F.col("doc_id").isNull(), -1).otherwise(outer))
         x = x.join(F.broadcast(inner), "b1")
-        return x.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("b1") * k + above(F.coalesce("bounds", none)))).drop("b1", "bounds")
+        return x.withColumn("bucket", F.when(F.col("doc_id").isNull(), of_none).otherwise(F.col("b1") * k + above(F.coalesce("bounds", none)))).drop("b1", "bounds")
 
     key = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "h")
     heads = placed(df.select("doc_id", "h")).groupBy("bucket").agg(F.max(key).alias("head"))
-    line = Window.orderBy(F.desc("bucket"))  # at most most_buckets + 1 rows
+    line = Window.orderBy(F.desc("bucket"))  # at most 2 * most_buckets rows
     heads = heads.select("bucket", "head", F.coalesce(F.lag("bucket").over(line), F.min("bucket").over(Window.partitionBy())).alias("guest_in"))
     x = placed(df).join(F.broadcast(heads), "bucket")
     # the head of a bucket is also a guest in the bucket before it; of rows alike, the window takes any
@@ -118,21 +132,39 @@ def with_next(df: DataFrame, columns: dict[str, str], rows_per_bucket: int = ROW
     return x.where(~F.col("home.guest")).drop("home")
 
 
-def fingerprints(docs: DataFrame, scale: int = SCALE, words: int = WORDS) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    rows = docs.select("doc_id", whole_text().alias("text")).withColumn("h", F.xxhash64("text"))
-    rows = with_next(with_sketch(rows, "text", "own", scale, words), {"text": "next_text", "own": "next_own"})
+def finished(rows: DataFrame, scale: int, words: int, *more: str) -> DataFrame:
+    """The result's columns from doc_id, text, own, next_text, next_own; and more ones."""
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.left(F.col("text"), n - half), F.left(F.col("next_text"), half))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", "next_own")
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", "next_own", *more)
     rows = with_sketch(rows, "edited", "changed", scale, words)
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"), *more,
     )
 
 
+def fingerprints(docs: DataFrame, scale: int = SCALE, words: int = WORDS, heavy: int = HEAVY, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    rows = docs.select("doc_id", whole_text().alias("text")).withColumn("h", F.xxhash64("text"))
+    many = rows.groupBy("doc_id", "h").agg(F.count("*").alias("copies")).where(f"copies > {heavy}")
+    many = written(many.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "copies"), "sketch-heavy")
+    alike = None
+    if not many.isEmpty():
+        x = rows.join(F.broadcast(many), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left").drop("_id", "_h")
+        alike = x.where("copies is not null").groupBy("doc_id", "h", "copies").agg(F.first("text").alias("text"))
+        rows = x.where("copies is null").drop("copies").unionByName(alike.drop("copies"))
+    rows = with_next(with_sketch(rows, "text", "own", scale, words), {"text": "next_text", "own": "next_own"}, rows_per_bucket)
+    out = finished(rows, scale, words)
+    if alike is None:
+        return out
+    # all rows of a counted pair but the last are followed by one of their own
+    alike = with_sketch(alike.withColumn("copies", F.col("copies") - 1), "text", "own", scale, words)
+    alike = alike.withColumn("next_text", F.col("text")).withColumn("next_own", F.col("own"))
+    return out.unionByName(repeated(finished(alike, scale, words, "copies"), "copies"))
+
+
 def op5_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of all documents and of their edited texts, one hash in eight."""
     return fingerprints(table(spark, sf_dir, "documents"))

@@ -182,41 +182,99 @@ def test_quality_learns_and_keeps(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got if r.doc_id is not None)
     assert bt.score_documents(docs, labels.where("quality = 1")).where("predicted = 0").count() == 0
     assert bt.score_documents(empty(spark), labels).count() == 0
+    # an id with two texts, a very long text: the same fit in any order of rows
+    more = docs.union(spark.createDataFrame([(3, bad[0], *[None] * 8), (70, good[0], *[None] * 8), (600, sentence(200_000), *[None] * 8)], ROWS))
+    key = lambda x: sorted((str(r.doc_id), r.score) for r in x.collect())
+    assert key(bt.score_documents(more, labels)) == key(bt.score_documents(more.orderBy("text").repartition(3), labels.repartition(2)))
+
+
+def test_quality_weights_minimise_the_logistic_loss_of_pairs():
+    """The model against a loss and a score of another hand."""
+    x = np.array([bt.features(sentence(40)) for _ in range(60)] + [bt.features(sentence(8).upper() + " a a a a") for _ in range(40)])
+    y = np.array([1] * 60 + [0] * 40)
+    m = bt.fit(x, y, pairs=500)
+    r = np.random.default_rng(0)  # the pairs that the fit draws
+    a, b = r.choice(np.flatnonzero(y == 1), 500), np.resize(r.permutation(np.flatnonzero(y == 0)), 500)
+
+    def strength(w, row):
+        out, base = 0.0, 0
+        for value, edges in zip(row, m.edges):
+            out += w[base + sum(e <= value for e in edges)]
+            base += len(edges) + 1
+        return out
+
+    def loss(w):
+        s = [strength(w, row) for row in x]
+        return sum(math.log1p(math.exp(-(s[i] - s[j]))) for i, j in zip(a, b)) + bt.RIDGE / 2 * float(w @ w)
+
+    best = loss(m.weights)
+    for _ in range(6):
+        step = r.normal(size=len(m.weights))
+        assert loss(m.weights + 0.05 * step / np.linalg.norm(step)) > best
+    s = np.array([strength(m.weights, row) for row in x])
+    assert abs(m.threshold - np.quantile(s, 0.4)) < 1e-9
+    z = m.slope * (s - m.threshold) + math.log(0.3 / 0.7)
+    assert np.allclose(m.score(x), 1 / (1 + np.exp(-z)))
+
+
+def test_quality_query_is_the_model_and_right_on_held_out_labels(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = bt.train(docs, labels)
+    got = {r.doc_id: r for r in bt.op3_bradley_terry(spark, sf).collect()}
+    for r in docs.collect():
+        assert abs(got[r.doc_id].score - float(model.score(np.array([bt.features(r.text or "")]))[0])) < 1e-12
+    held = [(got[r.doc_id].predicted, r.quality) for r in labels.collect() if got[r.doc_id].held_out]
+    assert held and np.mean([p == q for p, q in held]) >= 0.9
 
 
 # -- sketches
 
 
-def test_sketches_by_hand(spark):
+def sketch_by_hand(text):
+    """Hashes of the five-word shingles below an eighth of the range, or the smallest one: XXH64 as Spark chains it."""
+    w = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in tokens_of(text)]
+    if not w:
+        return ()
+    out = set()
+    for i in range(max(1, len(w) - 4)):
+        h = 42
+        for x in w[i : i + 5]:
+            h = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed=h)
+        out.add(h)
+    return tuple(sorted(h for h in out if h < 2**61)) or (min(out),)
+
+
+def alike(a, b):
+    return len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
+
+
+@pytest.mark.parametrize(("heavy", "bucket"), [(100_000, 2048), (1, 3)])
+def test_sketches_by_hand(spark, heavy, bucket):
     docs = odd_table(spark)
-    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0)))
-    got = collections.Counter()
-    for small in (3, 2048):  # many buckets, one bucket
-        x = sketch.with_next(docs.selectExpr("doc_id", "coalesce(text, '') text", "xxhash64(coalesce(text, '')) h"), {"text": "nxt", "doc_id": "nid"}, rows_per_bucket=small).collect()
-        assert len(x) == len(rows)
-        ids = [r.doc_id for r in rows]
-        for r in x:
-            if r.doc_id is not None and ids.count(r.doc_id) == 1:
-                assert r.nid == ids[(ids.index(r.doc_id) + 1) % len(ids)]
-    out = sketch.fingerprints(docs).collect()
-    text_of = {r.doc_id: r.text or "" for r in rows}
-    prints = {}
-    for r in out:
-        got[r.doc_id] += 1
-        if r.doc_id is not None:
-            assert prints.setdefault(text_of[r.doc_id], r.fingerprint) == r.fingerprint
-            assert r.n_chars == len(text_of[r.doc_id]) and 0 <= r.near_next <= 1
-    assert got == collections.Counter(r.doc_id for r in rows)
-    by = {r.doc_id: r for r in out}
-    i = 10
-    t, nxt = text_of[i], text_of[9]
-    assert by[i].edited_sha256 == hashlib.sha256((t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]).encode()).hexdigest()
-    assert 0.1 < by[i].near_edited < 0.6 and by[i].near_next < 0.2
-    one = sketch.fingerprints(docs.where("doc_id = 5")).first()
-    assert one.near_next == 1.0
+    signed = lambda t: (lambda h: h - 2**64 if h >> 63 else h)(xxhash.xxh64_intdigest((t or "").encode(), seed=42))
+    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), -signed(r.text)))
+    want = []
+    for r, n in zip(rows, [*rows[1:], rows[0]]):
+        t, nxt = r.text or "", n.text or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        own, changed, other = map(sketch_by_hand, (t, edited, nxt))
+        hexed = lambda s: "".join(f"{h:016x}" for h in s)
+        want.append((str(r.doc_id), len(t), hashlib.sha256(edited.encode()).hexdigest(), hexed(own), hexed(changed), round(alike(own, changed), 12), round(alike(own, other), 12)))
+    got = [(str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 12), round(r.near_next, 12)) for r in sketch.fingerprints(docs, heavy=heavy, rows_per_bucket=bucket).collect()]
+    assert sorted(got) == sorted(want)
+    assert sketch.fingerprints(docs.where("doc_id = 5")).first().near_next == 1.0
     assert sketch.fingerprints(empty(spark)).count() == 0
 
 
+def test_null_ids_have_buckets_of_their_own(spark):
+    rows = [(None if i % 3 else i, f"text {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "xxhash64(text) h")
+    x = sketch.with_next(docs, {"text": "nxt"}, rows_per_bucket=20)
+    order = sorted(docs.collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), -r.h))
+    assert {(r.text, r.nxt) for r in x.collect()} == {(a.text, b.text) for a, b in zip(order, [*order[1:], order[0]])}
+
+
 def test_sketches_merge_and_contain(spark):
     from pyspark.sql import functions as F
 
