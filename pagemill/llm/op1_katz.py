@@ -1,184 +1,249 @@
 """Language-model scores by a Katz back-off model.
 
-Tokens are lower-cased (A-Z) words and an end. The model's classes are the most
-frequent training words, VOCABULARY at most, and one class for all others; a
-word of that class has the class's probability times its own add-0.1 share of
-the class's training tokens (with one more share for words never seen).
-
-Bigrams of classes are counted over all training texts. Counts up to CUTOFF are
-discounted by Good-Turing; after a context, unseen classes get the remaining
-mass in proportion to their unigram probability, by a back-off weight that makes
-each context's probabilities sum to 1. A context whose counts are all above the
-cutoff counts one event more, so that it also leaves some mass.
-
-What grows with the corpus stays distributed. The counts are a table with a row
-for each part, an equal share of all bigrams: sorted keys and counts, packed.
-Words outside the vocabulary lie in the same parts. Texts are worked off in
-blocks; a block's bigrams are sorted, packed and sent to their parts once each,
-with the numbers of the texts that hold them, and sums for each text come back.
-The vocabulary, its back-off weights and the HOT most frequent bigrams are of
-fixed size; they go to all tasks, which keeps the most frequent keys out of the
-shuffle.
-
-Word keys are 64-bit hashes. The unit of every shuffle is a packed run of
-numbers, a few bytes for a token.
-
-Defined results: a null text is empty, one end token; null ids belong to the
-training rows and keep their rows; a repeated row counts again; without
-training rows every token is unknown and scores by the shares alone; an empty
-table gives an empty result; other columns are ignored.
+Tokens are lower-cased (A-Z) words and an end; every training word is a word of
+the model, and words never seen in training are one more, the unknown word. The
+model's n-grams go up to ORDER words. Counts up to CUTOFF are discounted by
+Good-Turing; after a context, unseen words get the remaining mass in proportion
+to their probability after the context without its first word, by a back-off
+weight that makes each context's probabilities sum to 1. A context whose counts
+are all above the cutoff counts one event more, so that it also leaves some mass.
+A word is scored after its longest context, and recursively after shorter ones
+where it was never seen.
+
+The tables of a level (n-grams of so many words) are partitioned by context: a
+row for each part, which holds the part's words, its n-grams with their counts,
+and its contexts with their totals and back-off weights, packed. Level by level,
+texts are worked off in blocks; a block's n-grams are sorted, packed and sent to
+their parts once each. A part asks the parts of the level below for the
+probabilities of its n-grams without their first word, and finds its weights. At
+the top level n-grams go with the numbers of the texts that hold them, and sums
+for each text come back; only n-grams that were never seen in training ask the
+levels below.
+
+Contexts with more than a fixed share of all tokens would make a part too large;
+they are at most HOT_CONTEXTS a level, their n-grams are dealt out by the whole
+n-gram, and their totals and weights go to all tasks. So do the HOT_WORDS most
+frequent words with their counts, which spares most questions and changes no
+result. All other tables stay distributed. Blocks and parts hold BLOCK_TOKENS and
+PART_TOKENS tokens; with more memory for each task, larger ones make messages
+fewer at the largest inputs.
+
+A word is known by 48 bits of a hash, a context on the list of the hottest by 63;
+an n-gram is the tuple of its words.
+
+Defined results: a null text is empty, one end token; a very long text is part
+of one block, which grows by it; null ids belong to the training rows and keep
+their rows; a repeated row counts again; without training rows every token is
+unknown and has probability 1; an empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole_text, written
+from .common import discard, table, whole_text, written
 
-VOCABULARY = 2**20
+ORDER = 3
 CUTOFF = 5
-HOT = 2**16
+HOT_WORDS, HOT_CONTEXTS = 2**20, 2**20
 BLOCK_TOKENS = 1_000_000
-PART_TOKENS = 4_000_000
+PART_TOKENS = 2_000_000
 ADD = 0.1
-BITS = 21  # of a class number
-END_WORD = b"\n"  # no word holds white space
-
+START, END = 0, 1  # hashes that stand for the start of a text and the end token
 
 # -- packed numbers ---------------------------------------------------------
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Numbers of 8 bytes, byte planes apart, compressed."""
-    import zstandard
-
-    x = np.ascontiguousarray(x)
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, 8).T.tobytes())
-
-
-def unpack(b: bytes, dtype=np.int64) -> np.ndarray:
+@lru_cache(maxsize=1)
+def _codecs():
     import zstandard
 
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, -1).T).view(dtype).ravel()
-
-
-def pack_sorted(x: np.ndarray) -> bytes:
-    return pack(np.diff(x, prepend=x.dtype.type(0)))
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def pack(**arrays: np.ndarray) -> bytes:
+    """Named arrays of numbers: whole ones from 0 on in as many byte planes as the
+    largest needs, ascending ones as differences; others as doubles."""
+    head, body = [], []
+    for name, x in arrays.items():
+        if x.dtype.kind == "f":
+            kind, width = "f", 8
+            x = np.ascontiguousarray(x, np.float64)
+        else:
+            x = np.ascontiguousarray(x, np.int64)
+            kind = "i"
+            if len(x) > 1:
+                step = np.diff(x, prepend=0)
+                if step.min() >= 0:
+                    kind, x = "s", step
+            width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+        head.append((name, kind, width, len(x)))
+        body.append(x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+    top = json.dumps(head).encode()
+    return len(top).to_bytes(4, "little") + top + _codecs()[0].compress(b"".join(body))
+
+
+def unpack(data: bytes) -> dict[str, np.ndarray]:
+    size = int.from_bytes(data[:4], "little")
+    raw = np.frombuffer(_codecs()[1].decompress(data[4 + size :]), np.uint8)
+    out, at = {}, 0
+    for name, kind, width, n in json.loads(data[4 : 4 + size]):
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :width] = raw[at : at + n * width].reshape(width, n).T
+        at += n * width
+        out[name] = x.view(np.float64 if kind == "f" else np.int64).ravel()
+        if kind == "s":
+            out[name] = np.cumsum(out[name])
+    return out
 
 
-def unpack_sorted(b: bytes) -> np.ndarray:
-    return np.cumsum(unpack(b))
+def find(ascending: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places of x in an ascending array, -1 where absent."""
+    if not len(ascending):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(ascending, x), len(ascending) - 1)
+    return np.where(ascending[at] == x, at, -1)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: spreads keys over parts."""
+def scrambled(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser, to 63 bits."""
     x = x.astype(np.uint64)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53) >> np.uint64(11)
-
-
-def find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Places of x in a sorted table, -1 where absent."""
-    if not len(table):
-        return np.full(len(x), -1)
-    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
-    return np.where(table[at] == x, at, -1)
-
-
-# -- blocks of texts --------------------------------------------------------
-
-
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return ((x ^ (x >> np.uint64(33))) >> np.uint64(1)).astype(np.int64)
+
+
+# -- texts to words ---------------------------------------------------------
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: A number for each byte; A-Z have those of a-z.
+_BYTE = np.frombuffer(b"".join(sha256(bytes([b])).digest()[:8] for b in bytes(range(256)).lower()), np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_PIECE = 2**20
+
+
+@lru_cache(maxsize=2)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2**64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 2**64)):
+        x = np.full(1 << bits, base, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, words of each text) of texts that lie one behind the other
+    in data, which offsets cut. A hash is that of the word's bytes alone."""
+    hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    lo, n = int(offsets[0]), int(offsets[-1])
+    while lo < n:
+        hi = min(n, lo + _PIECE)
+        while hi < n and not _SPACE[data[hi]] and offsets[np.searchsorted(offsets, hi)] != hi:
+            stop = min(n, hi + 4096, int(offsets[np.searchsorted(offsets, hi)]))
+            gap = np.flatnonzero(_SPACE[data[hi:stop]])
+            hi = hi + int(gap[0]) if len(gap) else stop
+        x = data[lo:hi]
+        # where a word may not go on: behind the piece, at a space, where a text begins
+        stop = np.append(_SPACE[x], True)
+        word = ~stop[:-1]
+        cut = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi)] - lo
+        begins = np.append(True, stop[:-2])
+        begins[cut] = True
+        stop[cut] = True
+        start, last = np.flatnonzero(word & begins), np.flatnonzero(word & stop[1:])
+        power, inverse = _powers(max(20, (len(x) - 1).bit_length()))
+        sums = np.append(np.uint64(0), np.cumsum(_BYTE[x] * power[: len(x)], dtype=np.uint64))
+        hashes.append((scrambled((sums[last + 1] - sums[start]) * inverse[start]) >> 15) | 2)  # over START and END
+        at.append(start + lo)
+        lo = hi
+    place = np.searchsorted(np.concatenate(at), offsets)
+    return np.concatenate(hashes), np.diff(place)
 
 
 @dataclass
 class Block:
+    """Texts and the hashes of their tokens, one text behind the other."""
+
     ids: pa.Array
     held_out: np.ndarray
-    words: np.ndarray  # hash of each distinct word
-    tokens: np.ndarray  # number of each token's word
-    doc: np.ndarray  # number of each token's text
-
-
-def word_hash(words: list[bytes]) -> np.ndarray:
-    import xxhash
-
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
-
-
-def end_hash() -> int:
-    return int(word_hash([END_WORD])[0])
-
-
-def blocks(batches: Iterator[pa.RecordBatch], training: bool) -> Iterator[Block]:
-    """Blocks of whole texts of about BLOCK_TOKENS tokens; training: without texts held out."""
-    ids: list = []
-    held: list[bool] = []
+    hashes: np.ndarray
+    n: np.ndarray  # tokens of each text
+
+    def numbered(self, texts: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """(ascending hashes from START on, for each token the numbers of itself and of the
+        ORDER - 1 tokens before it, its text), of all texts or of some."""
+        h, n = self.hashes, self.n
+        if texts is not None:
+            h, n = h[np.repeat(texts, n)], n[texts]
+        words, own = np.unique(h, return_inverse=True)
+        first = np.cumsum(n) - n
+        out = [own + 1]
+        for _ in range(ORDER - 1):
+            before = np.zeros_like(out[-1])
+            before[1:] = out[-1][:-1]
+            before[first] = 0
+            out.append(before)
+        return np.append(START, words), out, np.repeat(np.arange(len(n)), n)
+
+
+def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Block]:
+    """Blocks of whole texts of `size` tokens or little more."""
+    ids: list[pa.Array] = []
+    held: list[np.ndarray] = []
     parts: list[np.ndarray] = []
-    numbers, size = _Numbers(), 0
+    counts: list[np.ndarray] = []
+    have = 0
 
     def block() -> Block:
-        n = np.fromiter(map(len, parts), np.int64, len(parts))
-        return Block(pa.array(ids, pa.int64()), np.array(held, bool), word_hash(list(numbers)), np.concatenate(parts) if parts else np.zeros(0, np.int64), np.repeat(np.arange(len(parts)), n))
+        return Block(pa.concat_arrays(ids), np.concatenate(held), np.concatenate(parts), np.concatenate(counts))
 
     for b in batches:
-        for i, h, t in zip(b.column("doc_id"), b.column("held_out"), b.column("text")):
-            if training and h.as_py():
-                continue
-            words = t.as_py().encode("utf-8", "replace").lower().split()  # bytes: A-Z and ASCII white space only
-            words.append(END_WORD)
-            parts.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
-            ids.append(i.as_py())
-            held.append(h.as_py())
-            size += len(words)
-            if size >= BLOCK_TOKENS:
+        if not b.num_rows:
+            continue
+        text = b.column("text").cast(pa.large_string())
+        _, offsets, data = text.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[text.offset : text.offset + len(text) + 1]
+        h, n = words_of(np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), offsets)
+        n = n + 1
+        tokens = np.full(int(n.sum()), END, np.int64)
+        ends = np.cumsum(n)
+        inner = np.ones(len(tokens), bool)
+        inner[ends - 1] = False
+        tokens[inner] = h
+        flags = b.column("held_out").to_numpy(zero_copy_only=False)
+        lo = 0
+        while lo < len(n):
+            base = int(ends[lo - 1]) if lo else 0
+            hi = min(len(n), int(np.searchsorted(ends, base + size - have)) + 1)
+            ids.append(b.column("doc_id").slice(lo, hi - lo))
+            held.append(flags[lo:hi])
+            parts.append(tokens[base : int(ends[hi - 1])])
+            counts.append(n[lo:hi])
+            have += len(parts[-1])
+            lo = hi
+            if have >= size:
                 yield block()
-                ids, held, parts, numbers, size = [], [], [], _Numbers(), 0
-    if parts:
+                ids, held, parts, counts, have = [], [], [], [], 0
+    if ids:
         yield block()
 
 
 # -- the model --------------------------------------------------------------
 
 
-@dataclass
-class Vocabulary:
-    """hashes ascend; counts in training go with them. Class numbers are places
-    in hashes; then come the class of other words and the start of a text."""
-
-    hashes: np.ndarray
-    counts: np.ndarray
-    tokens: int
-    types: int
-
-    @property
-    def other(self) -> int:
-        return len(self.hashes)
-
-    @property
-    def start(self) -> int:
-        return len(self.hashes) + 1
-
-    def classes(self, block: Block) -> np.ndarray:
-        at = find(self.hashes, block.words)
-        return np.where(at < 0, self.other, at)[block.tokens]
-
-    def keys(self, block: Block, classes: np.ndarray) -> np.ndarray:
-        before = np.roll(classes, 1)
-        before[np.flatnonzero(np.diff(block.doc, prepend=-1))] = self.start
-        return before << BITS | classes
-
-
 def discounts(n: list[int], cutoff: int = CUTOFF) -> np.ndarray:
     """Factor of each count 0..cutoff from n[r], the number of n-grams that occur
     r times (r up to cutoff + 1). Where the numbers are too few for Good-Turing,
@@ -195,272 +260,593 @@ def discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
     return counts * np.where(counts < len(d), d[np.minimum(counts, len(d) - 1)], 1.0)
 
 
+def context_key(words: list[np.ndarray]) -> np.ndarray:
+    """A number for each context, given as columns of word hashes."""
+    key = words[0]
+    for w in words[1:]:
+        key = scrambled(key * 0x2545F4914F6CDD1D + w)
+    return key
+
+
+@dataclass
+class Hot:
+    """Contexts of a level that are on the list, ascending by key."""
+
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    total: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # occurrences, one more where no small count leaves mass
+    full: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))  # whether that one more is counted
+    weight: np.ndarray = field(default_factory=lambda: np.ones(0))
+
+
 @dataclass
 class Model:
-    vocabulary: Vocabulary
     parts: int
-    spread: np.ndarray  # contexts whose bigrams are dealt out by the whole key
-    discount: np.ndarray
-    unigram: np.ndarray  # probability of each class
-    total: np.ndarray  # of each context: its divisor
-    backoff: np.ndarray
-    hot_keys: np.ndarray
-    hot_scores: np.ndarray
-    other_share: float  # log10 of the divisor of a word's share of its class
+    tokens: int = 0
+    types: int = 0
+    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # the most frequent, ascending
+    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    scale: float = 1.0  # of word probabilities
+    unknown: float = 1.0  # probability of the unknown word
+    discount: dict[int, np.ndarray] = field(default_factory=dict)
+    hot: dict[int, Hot] = field(default_factory=dict)
+
+    def of_words(self, counts: np.ndarray) -> np.ndarray:
+        """Probabilities of words by their counts."""
+        if not self.tokens:
+            return np.full(len(counts), self.unknown)
+        return np.where(counts > 0, discounted(counts, self.discount[1]) * self.scale / self.tokens, self.unknown)
+
+    def route(self, level: int, words: list[np.ndarray]) -> np.ndarray:
+        """Parts of n-grams, given as columns of word hashes."""
+        if level == 1:
+            return scrambled(words[0]) % self.parts
+        key = context_key(words[:-1])
+        hot = self.hot.get(level)
+        if hot is not None and len(hot.keys):
+            key = np.where(find(hot.keys, key) >= 0, context_key(words), key)
+        return scrambled(key) % self.parts
+
+
+# -- messages ---------------------------------------------------------------
+
+_ROW = "level int, part int, src long, kind int, data binary"
+_NAMES = ["level", "part", "src", "kind", "data"]
+_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+#: Kinds of rows: n-grams to count, those of texts to score, a part's table, questions,
+#: answers, what a block's texts are, sums for them, and what depends on contexts on the list.
+COUNT, SCORE, TABLE, ASK, ANSWER, META, SUMS, HELD = range(8)
+
+
+def rows_of(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(_TYPES)], _NAMES)
+
+
+def by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of each part, in their order."""
+    order = np.argsort(part.astype(np.uint16) if parts <= 2**16 else part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order])) + 1
+    for x in np.split(order, cuts) if len(order) else ():
+        yield int(part[x[0]]), x
 
-    def part(self, keys: np.ndarray) -> np.ndarray:
-        return part_of(keys, self.spread, self.parts)
 
-    def seen(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return np.log10(discounted(counts, self.discount) / self.total[keys >> BITS])
+def local(words: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The words that columns of numbers use, and the columns as numbers among these."""
+    if len(words) <= 64 * len(columns[0]):
+        used = np.zeros(len(words), bool)
+        for c in columns:
+            used[c] = True
+        number = np.cumsum(used) - 1
+        return words[used], [number[c] for c in columns]
+    some = np.unique(np.concatenate(columns))
+    return words[some], [np.searchsorted(some, c) for c in columns]
 
-    def unseen(self, keys: np.ndarray) -> np.ndarray:
-        return np.log10(self.backoff[keys >> BITS]) + np.log10(self.unigram[keys & (2**BITS - 1)])
 
+def tuple_key(columns: list[np.ndarray], size: int) -> np.ndarray:
+    """One number for each row of columns of numbers below size, in the rows' order."""
+    key = columns[0]
+    bound = size
+    for c in columns[1:]:
+        if bound * size >= 2**62:  # ranks of what there is so far
+            values, key = np.unique(key, return_inverse=True)
+            bound = len(values)
+        key = key * size + c
+        bound *= size
+    return key
 
-def part_of(keys: np.ndarray, spread: np.ndarray, parts: int) -> np.ndarray:
-    context = keys >> BITS
-    return (mixed(np.where(spread[context], keys, context)) % np.uint64(parts)).astype(np.int64)
 
+def names(k: int) -> list[str]:
+    return [f"c{i}" for i in range(k)]
 
-def _sliced(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(part, kind="stable")
-    cuts = np.flatnonzero(np.diff(part[order])) + 1
-    for x in np.split(order, cuts) if len(order) else ():
-        yield int(part[x[0]]), x
 
+def together(messages: list[dict[str, np.ndarray]], k: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(ascending words of all messages, columns of n-grams as numbers among them)."""
+    sizes = [len(m["words"]) for m in messages]
+    words, number = np.unique(np.concatenate([m["words"] for m in messages]), return_inverse=True)
+    base = np.cumsum(sizes) - sizes
+    return words, [np.concatenate([number[b + m[c]] for b, m in zip(base, messages)]) for c in names(k)]
 
-def held_out():
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
+def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order that sorts key, where its groups begin)."""
+    order = np.argsort(key, kind="stable")
+    s = key[order]
+    return order, np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
+
+
+def times(counts: np.ndarray) -> np.ndarray:
+    """How many counts are 1, ..., CUTOFF + 1."""
+    return np.bincount(np.minimum(counts, CUTOFF + 2), minlength=CUTOFF + 3)[1 : CUTOFF + 2]
+
+
+def block_number(i: int) -> int:
+    from pyspark import TaskContext
+
+    return (TaskContext.get().partitionId() << 32) + i
+
+
+# -- counting ---------------------------------------------------------------
+
+
+def counting(level: int, model: Model, block_tokens: int):
+    """Sends the n-grams of the training texts, with their counts, to their parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, block_tokens):
+            if b.held_out.all():
+                continue
+            words, tokens, _ = b.numbered(~b.held_out)
+            columns = tokens[:level][::-1]
+            order, first = grouped(tuple_key(columns, len(words)))
+            n = np.diff(np.append(first, len(order)))
+            columns = [c[order[first]] for c in columns]
+            out = []
+            for p, x in by_part(model.route(level, [words[c] for c in columns]), model.parts):
+                own, cols = local(words, [c[x] for c in columns])
+                out.append((level, p, 0, COUNT, pack(words=own, n=n[x], **dict(zip(names(level), cols)))))
+            yield rows_of(out)
+
+    return run
+
+
+def counted(level: int):
+    """The table of a part from what was sent to it."""
+
+    def run(key, t):
+        messages = [unpack(x.as_py()) for x in t.column("data")]
+        words, columns = together(messages, level)
+        order, first = grouped(tuple_key(columns, len(words)))
+        n = np.add.reduceat(np.concatenate([m["n"] for m in messages])[order], first)
+        columns = [c[order[first]] for c in columns]
+        data = pack(words=words, n=n, **dict(zip(names(level), columns)), times=times(n))
+        return pa.Table.from_batches([rows_of([(level, key[1].as_py(), 0, TABLE, data)])])
+
+    return run
 
-def unigrams(rows: DataFrame) -> DataFrame:
-    """(word, n) over the training texts."""
+
+def table_of(level: int, rows: DataFrame, model: Model, block_tokens: int, name: str) -> DataFrame:
+    sent = rows.mapInArrow(counting(level, model, block_tokens), _ROW)
+    return written(sent.groupBy("level", "part").applyInArrow(counted(level), _ROW), name, "uncompressed")
+
+
+def summed(tables: DataFrame, bins: int = 512) -> dict[str, np.ndarray]:
+    """Over all parts: times, the sum of counts, the number of n-grams, and how many
+    there are by eighths of the logarithm of the count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, training=True):
-            yield pa.RecordBatch.from_arrays([pa.array(b.words), pa.array(np.bincount(b.tokens, minlength=len(b.words)))], ["word", "n"])
-
-    return rows.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(counts: DataFrame, most: int) -> tuple[Vocabulary, int, list[int]]:
-    """The words that occur `least` times or more, of which there are at most
-    `most`; least; how many words occur r times, for r up to CUTOFF + 1."""
-    # fewer than `most` words can occur tokens / most times or more: above, counts need no telling apart
-    top = max(CUTOFF + 3, (counts.agg(F.sum("n")).first()[0] or 0) // most + 1)
-    hist = counts.groupBy(F.least("n", F.lit(top)).alias("n")).agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).toArrow()
-    n, words, tokens = (hist.column(c).to_numpy() for c in ("n", "words", "tokens"))
-    order = np.argsort(-n)
-    fits = np.cumsum(words[order]) <= most
-    least = int(n[order][fits][-1]) if fits.any() else top
-    of = dict(zip(n.tolist(), words.tolist()))
-    end = end_hash()
-    got = counts.where((F.col("n") >= least) | (F.col("word") == end)).toArrow()
-    h, c = got.column("word").to_numpy(), got.column("n").to_numpy()
-    if end not in h:
-        h, c = np.append(h, end), np.append(c, 0)
-    order = np.argsort(h)
-    return Vocabulary(h[order], c[order], int(tokens.sum()), int(words.sum())), least, [0, *(of.get(r, 0) for r in range(1, CUTOFF + 2))]
-
-
-def count_table(rows: DataFrame, vocab: Vocabulary, spread: np.ndarray, parts: int) -> DataFrame:
-    """(part, keys, counts, times, bins): a row for each part; times[r - 1] is how many
-    of its bigrams occur r times, bins how many by eighths of the logarithm."""
-    v = rows.sparkSession.sparkContext.broadcast(vocab)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, training=True):
-            keys, n = np.unique(v.value.keys(b, v.value.classes(b)), return_counts=True)
-            out = [(p, pack_sorted(keys[x]), pack(n[x])) for p, x in _sliced(part_of(keys, spread, parts))]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *(pa.array([o[i] for o in out], pa.binary()) for i in (1, 2))], ["part", "keys", "counts"])
-
-    def merge(key, t):
-        keys = np.concatenate([unpack_sorted(x.as_py()) for x in t.column("keys")])
-        n = np.concatenate([unpack(x.as_py()) for x in t.column("counts")])
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        first = np.flatnonzero(np.diff(keys, prepend=-1))
-        keys, n = keys[first], np.add.reduceat(n, first)
-        times = np.bincount(np.minimum(n, CUTOFF + 2), minlength=CUTOFF + 3)[1 : CUTOFF + 2]
-        bins = np.bincount(np.floor(8 * np.log2(n)).astype(np.int64), minlength=512)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "keys": [pack_sorted(keys)], "counts": [pack(n)], "times": [times.tolist()], "bins": [bins.tolist()]})
-
-    sent = rows.mapInArrow(send, "part int, keys binary, counts binary")
-    return sent.groupBy("part").applyInArrow(merge, "part int, keys binary, counts binary, times array<long>, bins array<long>")
-
-
-def fit(rows: DataFrame, vocabulary_size: int = VOCABULARY) -> tuple[Model, DataFrame, DataFrame]:
-    """The model, its count table, and (word, n) of the training words outside the vocabulary."""
-    counts = written(unigrams(rows), "katz-words")
-    vocab, least, of_words = vocabulary(counts, vocabulary_size)
-    outside = counts.where((F.col("n") < least) & (F.col("word") != end_hash()))
-    parts = max(1, -(-vocab.tokens // PART_TOKENS))
-    spread = np.append(vocab.counts > vocab.tokens / (8 * parts), [True, True])
-    bigrams = written(count_table(rows, vocab, spread, parts), "katz-bigrams")
-    got = bigrams.select(*[F.sum(F.col("times")[i]).alias(f"t{i}") for i in range(CUTOFF + 1)], *[F.sum(F.col("bins")[i]).alias(f"b{i}") for i in range(512)]).first()
-    n = [0, *(got[f"t{i}"] or 0 for i in range(CUTOFF + 1))]
-    d = discounts(n)
-
-    unigram = np.zeros(len(vocab.hashes) + 1)
-    unigram[:-1] = discounted(vocab.counts, discounts(of_words)) / max(1, vocab.tokens)
-    if unigram.sum() >= 1 - 1e-12:  # nothing is left for other words
-        unigram[:-1] *= vocab.tokens / (vocab.tokens + 1)
-    unigram[-1] = 1 - unigram[:-1].sum()
-    zero = unigram <= 0  # an end that no training text has
-    if zero.any():
-        unigram = np.where(zero, unigram[-1] / 2 / zero.sum(), unigram)
-        unigram[-1] -= unigram[-1] / 2
-
-    # sums of each context over the bigrams seen after it
-    at = rows.sparkSession.sparkContext.broadcast((unigram, d))
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, disc = at.value
         for b in batches:
-            for ks, cs in zip(b.column("keys"), b.column("counts")):
-                keys, c = unpack_sorted(ks.as_py()), unpack(cs.as_py())
-                first = np.flatnonzero(np.diff(keys >> BITS, prepend=-1))
-                cols = [(keys >> BITS)[first], np.add.reduceat(c, first), np.add.reduceat(discounted(c, disc), first), np.add.reduceat(p[keys & (2**BITS - 1)], first)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["context", "n", "mass", "below"])
-
-    got_sums = bigrams.select("keys", "counts").mapInArrow(sums, "context long, n long, mass double, below double").groupBy("context").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass"), F.sum("below").alias("below")).toArrow()
-    context, m, mass, below = (got_sums.column(c).to_numpy() for c in ("context", "n", "mass", "below"))
-    total, backoff = np.ones(len(vocab.hashes) + 2), np.ones(len(vocab.hashes) + 2)
-    total[context] = np.where(m - mass < 1e-6, m + 1, m)
-    backoff[context] = (1 - mass / total[context]) / np.maximum(1 - below, 1e-12)
-
-    # the most frequent bigrams: whole bins from the top, HOT at most
-    bins = np.array([got[f"b{i}"] or 0 for i in range(512)])
-    top = np.cumsum(bins[::-1])[::-1]
-    enough = np.flatnonzero(top <= HOT)[0]
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in b.column("data"):
+                row = unpack(x.as_py())
+                got = [*row["times"], row["n"].sum(), len(row["n"]), *np.bincount(np.floor(8 * np.log2(row["n"])).astype(np.int64), minlength=bins)]
+                yield pa.RecordBatch.from_arrays([pa.array([list(map(int, got))], pa.list_(pa.int64()))], ["x"])
+
+    each = tables.where(f"kind = {TABLE}").select("data").mapInArrow(run, "x array<long>")
+    width = CUTOFF + 3 + bins
+    got = each.agg(*[F.sum(F.col("x")[i]).alias(f"x{i}") for i in range(width)]).first()
+    x = np.array([v or 0 for v in got], np.int64)
+    return {"times": np.append(0, x[: CUTOFF + 1]), "tokens": x[CUTOFF + 1], "types": x[CUTOFF + 2], "bins": x[CUTOFF + 3 :]}
+
+
+def frequent(level: int, tables: DataFrame, above: float) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) of the n-grams with larger counts, ascending by key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column("data"):
+                row = unpack(x.as_py())
+                some = row["n"] > above
+                key = context_key([row["words"][row[c][some]] for c in names(level)])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(row["n"][some])], ["key", "n"])
+
+    got = tables.where(f"kind = {TABLE}").select("data").mapInArrow(run, "key long, n long").toArrow()
+    key, n = got.column("key").to_numpy(), got.column("n").to_numpy()
+    order = np.argsort(key)
+    return key[order], n[order]
+
+
+# -- questions and weights --------------------------------------------------
+
+
+def questions(level: int, row: dict[str, np.ndarray], model: Model) -> tuple[list[np.ndarray], list[tuple[int, int, np.ndarray]], np.ndarray]:
+    """What a part of a level asks: (columns of the n-grams of one word less, in order;
+    (level, part, places among them or among words) for each question; which words are
+    asked for). N-grams of texts that were never seen ask for their last word too."""
+    k = level
+    suffix = [np.concatenate([row[c], row[f"o{c}"]]) if "oc0" in row else row[c] for c in names(k)][1:]
+    _, first = np.unique(tuple_key(suffix, len(row["words"])), return_index=True)
+    asked = [c[first] for c in suffix]
+    out = [(k - 1, p, x) for p, x in by_part(model.route(k - 1, [row["words"][c] for c in asked]), model.parts)]
+    last = np.zeros(0, np.int64)
+    if k > 2 and "oc0" in row:
+        last = np.unique(row[f"oc{k - 1}"])
+        out += [(1, p, x) for p, x in by_part(model.route(1, [row["words"][last]]), model.parts)]
+    return asked, out, last
+
+
+def asking(level: int, model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p, x in zip(b.column("part"), b.column("data")):
+                row = unpack(x.as_py())
+                asked, each, last = questions(level, row, model.value)
+                out = []
+                for lower, q, at in each:
+                    columns = [c[at] for c in asked] if lower == level - 1 else [last[at]]
+                    words, columns = local(row["words"], columns)
+                    out.append((lower, q, p.as_py(), ASK, pack(words=words, **dict(zip(names(lower), columns)))))
+                yield rows_of(out)
+
+    return run
+
+
+def answering(model):
+    """Answers in the order of the question: counts, totals, and the weight of the context
+    where the n-gram was never seen."""
+
+    def run(key, own, asked):
+        m, level = model.value, key[0].as_py()
+        row = unpack(own.column("data")[0].as_py()) if own.num_rows else {"words": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), **{c: np.zeros(0, np.int64) for c in names(level)}, "x": np.zeros(0, np.int64), "total": np.zeros(0, np.int64), "weight": np.zeros(0)}
+        size = len(row["words"]) + 1
+        have = tuple_key([row[c] for c in names(level)], size)
+        contexts = tuple_key([row[c][row["x"]] for c in names(level - 1)], size) if level > 1 else None
+        hot = m.hot.get(level, Hot())
+        out = []
+        for src, data in zip(asked.column("src"), asked.column("data")):
+            q = unpack(data.as_py())
+            at = find(row["words"], q["words"])
+            columns = [at[q[c]] for c in names(level)]
+            there = np.logical_and.reduce([c >= 0 for c in columns])
+            place = np.where(there, find(have, tuple_key([np.maximum(c, 0) for c in columns], size)), -1)
+            n = np.where(place >= 0, row["n"][place] if len(row["n"]) else 0, 0)
+            got = {"n": n}
+            if level > 1:
+                there = np.logical_and.reduce([c >= 0 for c in columns[:-1]])
+                place = np.where(there, find(contexts, tuple_key([np.maximum(c, 0) for c in columns[:-1]], size)), -1)
+                total, weight = np.zeros(len(n), np.int64), np.ones(len(n))
+                total[place >= 0], weight[place >= 0] = row["total"][place[place >= 0]], row["weight"][place[place >= 0]]
+                place = find(hot.keys, context_key([q["words"][q[c]] for c in names(level - 1)]))
+                total[place >= 0], weight[place >= 0] = hot.total[place[place >= 0]], hot.weight[place[place >= 0]]
+                got |= {"total": total, "weight": np.where(n > 0, 0.0, weight)}
+            out.append((0, src.as_py(), level << 32 | key[1].as_py(), ANSWER, pack(**got)))
+        return pa.Table.from_batches([rows_of(out)])
+
+    return run
+
+
+def weighted(level: int, model):
+    """A part's table with its contexts' totals and weights; partial sums of contexts on
+    the list; and sums for texts of n-grams that were never seen."""
+
+    def run(key, own, answers):
+        m = model.value
+        if not own.num_rows:
+            return pa.Table.from_batches([rows_of([])])
+        p, row = own.column("part")[0].as_py(), unpack(own.column("data")[0].as_py())
+        asked, each, last = questions(level, row, m)
+        got = {s.as_py(): unpack(d.as_py()) for s, d in zip(answers.column("src"), answers.column("data"))}
+        n = np.zeros(len(asked[0]), np.int64)
+        total, weight = np.ones(len(n), np.int64), np.ones(len(n))
+        of_last = np.zeros(len(last), np.int64)
+        for lower, q, at in each:
+            a = got[lower << 32 | q]
+            if lower == level - 1:
+                n[at] = a["n"]
+                if lower > 1:
+                    total[at], weight[at] = a["total"], a["weight"]
+            else:
+                of_last[at] = a["n"]
+        size = len(row["words"])
+        have = tuple_key(asked, size)
+
+        def below(columns: list[np.ndarray]) -> np.ndarray:
+            """Probabilities of the last words after the contexts without their first words."""
+            at = np.searchsorted(have, tuple_key(columns[1:], size))
+            if level == 2:
+                return m.of_words(n[at])
+            seen = discounted(n[at], m.discount[level - 1]) / np.maximum(1, total[at])
+            count = np.zeros(len(at), np.int64)
+            unseen = n[at] == 0
+            count[unseen] = of_last[np.searchsorted(last, columns[-1][unseen])]
+            return np.where(unseen, weight[at] * m.of_words(count), seen)
+
+        columns = [row[c] for c in names(level)]
+        context = tuple_key(columns[:-1], size)
+        x = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(context) else np.zeros(0, np.int64)
+        small = np.maximum.reduceat(row["n"] <= CUTOFF, x) if len(x) else np.zeros(0, bool)
+        sums = [np.add.reduceat(v, x) if len(x) else np.zeros(0) for v in (row["n"], discounted(row["n"], m.discount[level]), below(columns))]
+        whole = sums[0] + ~small
+        own_weight = (1 - sums[1] / whole) / (1 - sums[2]) if len(x) else np.zeros(0)
+        keys = context_key([row["words"][c[x]] for c in columns[:-1]])
+        listed = find(m.hot[level].keys, keys) >= 0
+        out = []
+        if listed.any():
+            out.append((level, p, 0, HELD, pack(key=keys[listed], small=small[listed].astype(np.int64), mass=sums[1][listed].astype(float), below=sums[2][listed])))
+        out.append((level, p, 0, TABLE, pack(words=row["words"], n=row["n"], **dict(zip(names(level), columns)), x=x[~listed], total=whole[~listed], weight=own_weight[~listed])))
+        if "oc0" in row and len(row["oc0"]):
+            columns = [row[f"o{c}"] for c in names(level)]
+            score = np.log10(below(columns))
+            open_keys = context_key([row["words"][c] for c in columns[:-1]])
+            hot = find(m.hot[level].keys, open_keys) >= 0
+            at = find(context[x], tuple_key(columns[:-1], size))
+            cold = (at >= 0) & ~hot
+            score[cold] += np.log10(own_weight[at[cold]])
+            for b, where in by_block(row["block"]):
+                doc, value = summed_by(row["doc"][where], row["on"][where] * score[where])
+                out.append((0, 0, b, SUMS, pack(doc=doc, score=value)))
+                h = where[hot[where]]
+                if len(h):
+                    out.append((0, 0, b, HELD, pack(doc=row["doc"][h], key=open_keys[h], n=row["on"][h], seen=np.zeros(len(h), np.int64))))
+        return pa.Table.from_batches([rows_of(out)])
+
+    return run
+
+
+def by_block(block: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order, first = grouped(block)
+    for x in np.split(order, first[1:]) if len(order) else ():
+        yield int(block[x[0]]), x
+
+
+def summed_by(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    docs, at = np.unique(doc, return_inverse=True)
+    return docs, np.bincount(at, value, minlength=len(docs)).astype(float)
+
+
+def with_weights(level: int, tables: DataFrame, lower: DataFrame, model) -> DataFrame:
+    """The rows of `weighted`; lower: the finished tables of the levels below."""
+    own = tables.where(f"kind = {TABLE}")
+    asks = own.select("part", "data").mapInArrow(asking(level, model), _ROW)
+    answers = lower.where(f"kind = {TABLE}").groupBy("level", "part").cogroup(asks.groupBy("level", "part")).applyInArrow(answering(model), _ROW)
+    return own.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(weighted(level, model), _ROW)
+
+
+def listed(level: int, tables: DataFrame, model: Model) -> Hot:
+    """The contexts on the list with their totals and weights, from the partial sums of the parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ks, cs in zip(b.column("keys"), b.column("counts")):
-                keys, c = unpack_sorted(ks.as_py()), unpack(cs.as_py())
-                keep = np.floor(8 * np.log2(c)) >= enough
-                yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(c[keep])], ["key", "n"])
+            for x in b.column("data"):
+                r = unpack(x.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(r[c]) for c in ("key", "small", "mass", "below")], ["key", "small", "mass", "below"])
 
-    hot = bigrams.select("keys", "counts").mapInArrow(frequent, "key long, n long").toArrow()
-    keys, c = hot.column("key").to_numpy(), hot.column("n").to_numpy()
-    order = np.argsort(keys)
-    inside = int(vocab.counts.sum())
-    share = np.log10(vocab.tokens - inside + ADD * (vocab.types - int((vocab.counts > 0).sum()) + 1))
-    model = Model(vocab, parts, spread, d, unigram, total, backoff, keys[order], np.zeros(0), share)
-    model.hot_scores = model.seen(model.hot_keys, c[order])
-    return model, bigrams, outside
+    each = tables.where(f"kind = {HELD} and level = {level}").select("data").mapInArrow(run, "key long, small long, mass double, below double")
+    got = each.groupBy("key").agg(F.max("small").alias("small"), F.sum("mass").alias("mass"), F.sum("below").alias("below")).orderBy("key").toArrow()
+    old = model.hot[level]
+    at = find(got.column("key").to_numpy(), old.keys)
+    small, mass, below = (got.column(c).to_numpy()[at] if got.num_rows else np.zeros(len(at)) for c in ("small", "mass", "below"))
+    full = (small == 0) & (at >= 0)
+    total = old.total + full
+    return Hot(old.keys, total, full, np.where(at >= 0, (1 - mass / np.maximum(1, total)) / (1 - below), 1.0))
 
 
 # -- scoring ----------------------------------------------------------------
 
-_SENT = "part int, block long, kind int, a binary, b binary, c binary"
-_SUMS = "block long, kind int, a binary, b binary, c binary, d binary"
-META, BIGRAMS, WORDS, TABLE = range(4)
 
+def sending(model, block_tokens: int):
+    """Sends the n-grams of all texts, with the texts that hold them, to their parts; so the
+    words that are not among the most frequent; and what the texts are."""
 
-def score(docs: DataFrame, vocabulary_size: int = VOCABULARY) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", held_out().alias("held_out"), whole_text().alias("text"))
-    fitted, bigrams, outside = fit(rows, vocabulary_size)
-    shared = spark.sparkContext.broadcast(fitted)
-
-    def word_part(h: np.ndarray) -> np.ndarray:
-        return (mixed(h.view(np.uint64)) % np.uint64(shared.value.parts)).astype(np.int64)
-
-    def batch(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], ["part", "block", "kind", "a", "b", "c"])
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        m, here = shared.value, TaskContext.get().partitionId() << 32
-        for number, b in enumerate(blocks(batches, training=False)):
-            v, docs_in = m.vocabulary, len(b.ids)
-            classes = v.classes(b)
-            known = classes != v.other
-            of_doc = lambda x, b=b, n=docs_in: np.bincount(b.doc, x, minlength=n)
-            base = np.zeros(len(classes))
-            base[known] = np.log10(v.counts[classes[known]] + ADD)
-            # each bigram of each text, with how often it occurs there
-            pairs, times = np.unique(v.keys(b, classes) * docs_in + b.doc, return_counts=True)
-            keys, doc = pairs // docs_in, pairs % docs_in
-            hot = find(m.hot_keys, keys)
-            is_hot = hot >= 0
-            own = np.bincount(doc[is_hot], times[is_hot] * m.hot_scores[hot[is_hot]], minlength=docs_in)
-            ids = b.ids.fill_null(0).to_numpy(zero_copy_only=False)
-            flags = b.held_out.astype(np.int64) | b.ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64) << 1
-            seen_count = of_doc((known & (v.counts[np.minimum(classes, v.other - 1)] > 0)).astype(np.float64))
-            meta = np.concatenate([np.bincount(b.doc, minlength=docs_in).astype(np.float64), seen_count, of_doc(base), own])
-            out = [(number % m.parts, here + number, META, pack(ids), pack(flags), pack(meta))]
-            keys, doc, times = keys[~is_hot], doc[~is_hot], times[~is_hot]
-            out += [(p, here + number, BIGRAMS, pack_sorted(keys[x]), pack(doc[x]), pack(times[x])) for p, x in _sliced(m.part(keys))]
-            # words outside the vocabulary; the sort is by word, then text
-            rest = np.flatnonzero(~known)
-            pairs, times = np.unique(b.tokens[rest] * docs_in + b.doc[rest], return_counts=True)
-            word, doc = b.words[pairs // docs_in], pairs % docs_in
-            out += [(p, here + number, WORDS, pack(word[x]), pack(doc[x]), pack(times[x])) for p, x in _sliced(word_part(word))]
-            yield batch(out)
-
-    def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, n = b.column("word").to_numpy(), b.column("n").to_numpy()
-            yield batch([(p, 0, TABLE, pack(h[x]), pack(n[x]), b"") for p, x in _sliced(word_part(h))])
-
-    def answer(key, own, sent):
-        m = shared.value
-        keys, counts = (unpack_sorted(own.column("keys")[0].as_py()), unpack(own.column("counts")[0].as_py())) if own.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        kinds = sent.column("kind").to_pylist()
-        rows_of = lambda *k: ({c: sent.column(c)[i].as_py() for c in ("block", "kind", "a", "b", "c")} for i, kind in enumerate(kinds) if kind in k)
-        words = [(unpack(r["a"]), unpack(r["b"])) for r in rows_of(TABLE)]
-        word, n = (np.concatenate(x) for x in zip(*words)) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        order = np.argsort(word)
-        word, n = word[order], n[order]
-        out = [(r["block"], META, r["a"], r["b"], r["c"], b"") for r in rows_of(META)]
-        for r in rows_of(BIGRAMS):
-            k, doc, times = unpack_sorted(r["a"]), unpack(r["b"]), unpack(r["c"])
-            at = find(keys, k)
-            got = np.empty(len(k))
-            s = at >= 0
-            got[s], got[~s] = m.seen(k[s], counts[at[s]]), m.unseen(k[~s])
-            sums = np.bincount(doc, got * times)
-            some = np.flatnonzero(np.bincount(doc))
-            out.append((r["block"], BIGRAMS, pack_sorted(some), pack(sums[some]), b"", b""))
-        for r in rows_of(WORDS):
-            h, doc, times = unpack(r["a"]), unpack(r["b"]), unpack(r["c"])
-            at = find(word, h)
-            c = np.where(at >= 0, n[at], 0) if len(n) else np.zeros(len(h))
-            share = np.log10(c + ADD)
-            some = np.flatnonzero(np.bincount(doc))
-            out.append((r["block"], WORDS, pack_sorted(some), pack(np.bincount(doc, times * (c > 0))[some]), pack(np.bincount(doc, times * share)[some]), pack(np.bincount(doc, times * (share - m.other_share))[some])))
-        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.Table.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], ["block", "kind", "a", "b", "c", "d"])
-
-    tokens, divisor = fitted.vocabulary.tokens, float(np.log10(fitted.vocabulary.tokens + ADD * (fitted.vocabulary.types + 1)))
-
-    def gather(key, t):
-        rows_in = t.to_pylist()
-        meta = next(r for r in rows_in if r["kind"] == META)
-        ids, flags = unpack(meta["a"]), unpack(meta["b"])
-        n, known, base, total = unpack(meta["c"], np.float64).reshape(4, -1).copy()
-        for r in rows_in:
-            if r["kind"] == BIGRAMS:
-                total[unpack_sorted(r["a"])] += unpack(r["b"], np.float64)
-            elif r["kind"] == WORDS:
-                at = unpack_sorted(r["a"])
-                known[at] += unpack(r["b"], np.float64)
-                base[at] += unpack(r["c"], np.float64)
-                total[at] += unpack(r["d"], np.float64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for i, b in enumerate(blocks(batches, block_tokens)):
+            number, docs = block_number(i), len(b.ids)
+            words, tokens, doc = b.numbered()
+            place = find(m.words, words)
+            hot = (place >= 0)[tokens[0]]
+            count = np.where(place >= 0, m.counts[place] if len(m.counts) else 0, 0)
+            value = np.log10(count + ADD)
+            base = np.bincount(doc[hot], value[tokens[0][hot]], minlength=docs).astype(float)
+            known = np.bincount(doc[hot], (count > 0)[tokens[0][hot]], minlength=docs).astype(np.int64)
+            ids = b.ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            lacks = b.ids.is_null().to_numpy(zero_copy_only=False)
+            out = [(0, number % m.parts, number, META, pack(sign=(ids < 0).astype(np.int64), ids=np.where(ids < 0, -(ids + 1), ids), null=lacks.astype(np.int64), held=b.held_out.astype(np.int64), n=b.n, base=base, known=known))]
+
+            def message(level: int, at: np.ndarray) -> None:
+                """The n-grams that end at these tokens."""
+                columns = [c[at] for c in tokens[:level][::-1]]  # noqa: B023
+                key, d = tuple_key(columns, len(words)), doc[at]  # noqa: B023
+                order = np.argsort(key, kind="stable")  # within an n-gram, texts ascend
+                key, d = key[order], d[order]
+                first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (d[1:] != d[:-1])))
+                n = np.diff(np.append(first, len(order)))
+                columns, d = [c[order[first]] for c in columns], d[first]
+                for p, x in by_part(m.route(level, [words[c] for c in columns]), m.parts):  # noqa: B023
+                    own, cols = local(words, [c[x] for c in columns])  # noqa: B023
+                    out.append((level, p, number, SCORE, pack(words=own, doc=d[x], n=n[x], held=b.held_out[d[x]].astype(np.int64), **dict(zip(names(level), cols)))))  # noqa: B023
+
+            rare = np.flatnonzero(~hot)
+            if len(rare):
+                message(1, rare)
+            message(ORDER, np.arange(len(doc)))
+            yield rows_of(out)
+
+    return run
+
+
+def scored(model):
+    """A part of the top level: its table, n-grams never seen, and sums for texts; a part of
+    words: sums for texts; what blocks are goes on as it is."""
+
+    def run(key, t):
+        m, level, part = model.value, key[0].as_py(), key[1].as_py()
+        if level == 0:
+            return t
+        out: list[tuple] = []
+        sent = [(s.as_py(), unpack(d.as_py())) for s, kind, d in zip(t.column("src"), t.column("kind"), t.column("data")) if kind.as_py() == SCORE]
+        if level == 1:
+            tables = [unpack(d.as_py()) for kind, d in zip(t.column("kind"), t.column("data")) if kind.as_py() == TABLE]
+            for number, s in sent:
+                n = np.zeros(len(s["words"]), np.int64)
+                for x in tables:
+                    at = find(x["words"], s["words"])
+                    n[at >= 0] = x["n"][at[at >= 0]]  # a table of words has each once, in order
+                n = n[s["c0"]]
+                doc, base = summed_by(s["doc"], s["n"] * np.log10(n + ADD))
+                out.append((0, 0, number, SUMS, pack(doc=doc, base=base, known=summed_by(s["doc"], s["n"] * (n > 0))[1].astype(np.int64))))
+            return pa.Table.from_batches([rows_of(out)])
+        words, columns = together([s for _, s in sent], level)
+        size = len(words)
+        order, first = grouped(tuple_key(columns, size))
+        group = np.empty(len(order), np.int64)
+        group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        del order
+        n, held = (np.concatenate([s[c] for _, s in sent]) for c in ("n", "held"))
+        count = np.bincount(group, n * (held == 0), minlength=len(first)).astype(np.int64)
+        one = np.empty(len(first), np.int64)
+        one[group] = np.arange(len(group))  # an n-gram's place among all
+        each = [c[one] for c in columns]
+        context = tuple_key(each[:-1], size)
+        x = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+        of = np.repeat(np.arange(len(x)), np.diff(np.append(x, len(context))))
+        total = np.add.reduceat(count, x)
+        small = np.maximum.reduceat((count > 0) & (count <= CUTOFF), x)
+        keys = context_key([words[c[x]] for c in each[:-1]])
+        hot = find(m.hot[level].keys, keys)
+        # where no small count leaves mass, one event more; of contexts on the list that is known later
+        total = np.where(hot >= 0, m.hot[level].total[hot] if len(m.hot[level].keys) else 0, total + (~small & (total > 0)))
+        value = np.log10(np.maximum(1, count) / np.maximum(1, total)[of])
+        maybe = ((hot >= 0) & ~small)[of]
+        base = 0
+        for number, s in sent:
+            g = group[base : base + len(s["doc"])]
+            base += len(g)
+            c = count[g]
+            seen = c > 0
+            doc, at = np.unique(s["doc"][seen], return_inverse=True)
+            times_in = s["n"][seen]
+            got = {"doc": doc, "score": np.bincount(at, times_in * value[g[seen]], minlength=len(doc)).astype(float)}
+            for r in range(1, CUTOFF + 1):
+                is_r = c[seen] == r
+                got[f"r{r}"] = np.bincount(at[is_r], times_in[is_r], minlength=len(doc)).astype(np.int64)
+            out.append((0, 0, number, SUMS, pack(**got)))
+            later = seen & maybe[g]
+            if later.any():
+                out.append((0, 0, number, HELD, pack(doc=s["doc"][later], key=keys[of[g[later]]], n=s["n"][later], seen=np.ones(int(later.sum()), np.int64))))
+        some = count > 0
+        opens = np.flatnonzero(~some[group])
+        block = np.repeat([number for number, _ in sent], [len(s["doc"]) for _, s in sent])
+        doc = np.concatenate([s["doc"] for _, s in sent])
+        data = pack(
+            words=words, n=count[some], **{c: e[some] for c, e in zip(names(level), each)}, times=times(count[some]),
+            **{f"o{c}": e[opens] for c, e in zip(names(level), columns)}, block=block[opens], doc=doc[opens], on=n[opens],
+        )
+        out.append((level, part, 0, TABLE, data))
+        return pa.Table.from_batches([rows_of(out)])
+
+    return run
+
+
+def gathering(model):
+    def run(key, t):
+        m = model.value
+        rows = [(kind.as_py(), unpack(d.as_py())) for kind, d in zip(t.column("kind"), t.column("data"))]
+        meta = next(r for kind, r in rows if kind == META)
+        score, base, known = np.zeros(len(meta["n"])), meta["base"], meta["known"].copy()
+        d, hot = np.log10(m.discount[ORDER]), m.hot[ORDER]
+        for kind, r in rows:
+            if kind == SUMS:
+                if "score" in r:
+                    score[r["doc"]] += r["score"]
+                for x in range(1, CUTOFF + 1):
+                    if f"r{x}" in r:
+                        score[r["doc"]] += r[f"r{x}"] * d[x]
+                if "base" in r:
+                    base[r["doc"]] += r["base"]
+                    known[r["doc"]] += r["known"]
+            elif kind == HELD:
+                at = find(hot.keys, r["key"])
+                total = hot.total[at]
+                more = np.where(r["seen"] > 0, np.where(hot.full[at], np.log10((total - 1) / total), 0.0), np.log10(hot.weight[at]))
+                np.add.at(score, r["doc"], r["n"] * more)
+        ids = np.where(meta["sign"] > 0, -meta["ids"] - 1, meta["ids"])
         return pa.table({
-            "doc_id": pa.array(ids, pa.int64(), mask=(flags & 2) > 0), "held_out": pa.array((flags & 1) > 0), "n_tokens": n.astype(np.int64), "n_known": known.astype(np.int64),
-            "train_tokens": np.full(len(n), tokens), "base_score": base - n * divisor, "score": total,
+            "doc_id": pa.array(ids, pa.int64(), mask=meta["null"] > 0), "held_out": pa.array(meta["held"] > 0), "n_tokens": meta["n"], "n_known": known,
+            "train_tokens": np.full(len(ids), m.tokens, np.int64), "base_score": base - meta["n"] * np.log10(m.tokens + ADD * (m.types + 1)), "score": score,
         })
 
-    sent = rows.mapInArrow(send, _SENT).unionByName(outside.mapInArrow(send_words, _SENT))
-    sums = bigrams.select("part", "keys", "counts").groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(answer, _SUMS)
-    return sums.groupBy("block").applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return run
+
+
+# -- all together -----------------------------------------------------------
+
+
+def held_out():
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
+
+
+def hot_contexts(level: int, tables: DataFrame | None, model: Model, most: float, texts: int) -> Hot:
+    """The contexts of a level with more than `most` occurrences: n-grams of the level
+    below, and the start of a text."""
+    keys, total = frequent(level - 1, tables, most) if tables is not None else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    if texts > most:
+        start = context_key([np.full(1, START, np.int64)] * (level - 1))
+        keys, total = np.append(keys, start), np.append(total, texts)
+        order = np.argsort(keys)
+        keys, total = keys[order], total[order]
+    return Hot(keys, total, np.zeros(len(keys), bool), np.ones(len(keys)))
+
+
+def score(docs: DataFrame, hot_words: int = HOT_WORDS, part_tokens: int = PART_TOKENS, block_tokens: int = BLOCK_TOKENS, hot_share: float = 1 / 8) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
+    Contexts of more than hot_share of a part's tokens are on the list."""
+    spark = docs.sparkSession
+    share = lambda x: spark.sparkContext.broadcast(x)
+    rows = docs.select("doc_id", held_out().alias("held_out"), whole_text().alias("text"))
+    # words: as many parts as their number asks for is known only later; texts have six bytes a word or more
+    guess = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    m = Model(max(1, -(-guess // part_tokens)))
+    words = table_of(1, rows, m, block_tokens, "katz-words")
+    got = summed(words)
+    m.tokens, m.types = int(got["tokens"]), int(got["types"])
+    m.discount[1] = discounts(got["times"].tolist())
+    # the most frequent words: whole bins of counts from the top
+    top = np.cumsum(got["bins"][::-1])[::-1]
+    m.words, m.counts = frequent(1, words, 2 ** (int(np.flatnonzero(top <= hot_words)[0]) / 8) * (1 - 1e-9) if (top <= hot_words).any() else np.inf)
+    # what small counts leave to the unknown word; without any, one event more
+    small = got["times"][1 : CUTOFF + 1]
+    left = float((small * np.arange(1, CUTOFF + 1) * (1 - m.discount[1][1:])).sum())
+    if m.tokens:
+        m.scale = 1.0 if left > 0 else m.tokens / (m.tokens + 1)
+        m.unknown = left / m.tokens if left > 0 else 1 / (m.tokens + 1)
+    texts = rows.where(~F.col("held_out")).count()
+    most = max(part_tokens * hot_share, m.tokens / HOT_CONTEXTS)
+    below, finished = words, words
+    for level in range(2, ORDER):
+        m.hot[level] = hot_contexts(level, below, m, most, texts)
+        counts = table_of(level, rows, m, block_tokens, f"katz-counts-{level}")
+        m.discount[level] = discounts(summed(counts)["times"].tolist())
+        tables = written(with_weights(level, counts, finished, share(m)), f"katz-weights-{level}", "uncompressed")
+        discard(counts)
+        m.hot[level] = listed(level, tables, m)
+        below, finished = tables, finished.unionByName(tables)
+    m.hot[ORDER] = hot_contexts(ORDER, below, m, most, texts)
+    shared = share(m)
+    sent = rows.mapInArrow(sending(shared, block_tokens), _ROW).unionByName(words)
+    top = written(sent.groupBy("level", "part").applyInArrow(scored(shared), _ROW), "katz-top", "uncompressed")
+    m.discount[ORDER] = discounts(summed(top)["times"].tolist())
+    last = written(with_weights(ORDER, top, finished, share(m)), "katz-weights", "uncompressed")
+    m.hot[ORDER] = listed(ORDER, last, m)
+    sums = top.where(f"kind in ({META}, {SUMS}, {HELD})").unionByName(last.where(f"kind = {SUMS} or kind = {HELD} and level = 0"))
+    return sums.groupBy("src").applyInArrow(gathering(share(m)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

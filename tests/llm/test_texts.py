@@ -49,51 +49,79 @@ def tokens_of(text):
 # -- language model
 
 
-@pytest.mark.parametrize("most", [2**20, 60])
-def test_katz_is_the_model_by_the_book(spark, most):
-    docs = odd_table(spark)
-    rows = [(r.doc_id, [w.encode() for w in tokens_of(r.text)] + [b"\n"]) for r in docs.collect()]
+def book(texts):
+    """Katz back-off of order three by the book: (probability of w after (t, u), counts of each order)."""
+    counts = [collections.Counter() for _ in range(3)]
+    for t in texts:
+        line = ["<s>", "<s>", *t]
+        for i in range(2, len(line)):
+            for k in range(3):
+                counts[k][tuple(line[i - k : i + 1])] += 1
+    d = [katz.discounts([0] + [collections.Counter(c.values())[r] for r in range(1, katz.CUTOFF + 2)]) for c in counts]
+    cut = lambda k, x: x * (d[k][x] if x <= katz.CUTOFF else 1)
+    n = sum(counts[0].values())
+    left = n - sum(cut(0, x) for x in counts[0].values())
+    after = [collections.defaultdict(dict) for _ in range(3)]
+    for k in (1, 2):
+        for g, x in counts[k].items():
+            after[k][g[:-1]][g[-1]] = x
+
+    def prob(context, w):
+        k = len(context)
+        if not k:
+            if not n:
+                return 1.0
+            if (w,) in counts[0]:
+                return cut(0, counts[0][w,]) / n * (1 if left > 0 else n / (n + 1))
+            return left / n if left > 0 else 1 / (n + 1)
+        seen = after[k].get(context)
+        if not seen:
+            return prob(context[1:], w)
+        total = sum(seen.values()) + (min(seen.values()) > katz.CUTOFF)
+        if w in seen:
+            return cut(k, seen[w]) / total
+        if context not in weights:
+            weights[context] = (1 - sum(cut(k, x) for x in seen.values()) / total) / (1 - sum(prob(context[1:], v) for v in seen))
+        return weights[context] * prob(context[1:], w)
+
+    weights = {}
+    return prob, counts, after
+
+
+@pytest.mark.parametrize("settings", [{}, {"hot_words": 0, "part_tokens": 900, "block_tokens": 700, "hot_share": 0.02}, {"hot_words": 40, "part_tokens": 5000, "block_tokens": 300, "hot_share": 0.01}])
+def test_katz_is_the_model_by_the_book(spark, settings):
+    """With one part and without contexts on the list, and with many parts and many such contexts."""
+    few = [" ".join(rng.choice(WORDS[:12], 30)) for _ in range(60)]  # contexts after which every word was seen
+    docs = odd_table(spark).unionByName(spark.createDataFrame([(1000 + i, t, *[None] * 8) for i, t in enumerate(few)] + [(1100 + i, "all right", *[None] * 8) for i in range(40)], ROWS))
+    rows = [(r.doc_id, [*tokens_of(r.text), "\n"]) for r in docs.collect()]
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
-    c = collections.Counter(w for i, t in rows if not out(i) for w in t)
-    n, v = sum(c.values()), len(c)
-    least = next(x for x in sorted(set(c.values())) if sum(y >= x for y in c.values()) <= most)
-    vocab = {w for w in c if c[w] >= least} | {b"\n"}
-    kind = lambda w: w if w in vocab else None
-    cut = lambda x, d: x * (d[x] if x <= katz.CUTOFF else 1)
-    times = lambda cc: [0] + [collections.Counter(cc.values())[r] for r in range(1, katz.CUTOFF + 2)]
-    du = katz.discounts(times(c))
-    p = {w: cut(c[w], du) / n for w in vocab}
-    if sum(p.values()) >= 1 - 1e-12:
-        p = {w: x * n / (n + 1) for w, x in p.items()}
-    p[None] = 1 - sum(p.values())
-    big = collections.Counter()
-    for i, t in rows:
-        if not out(i):
-            for a, b in zip(["start", *map(kind, t)], map(kind, t)):
-                big[a, b] += 1
-    db = katz.discounts(times(big))
-    ctx = collections.defaultdict(lambda: [0, 0.0, 0.0])
-    for (a, b), x in big.items():
-        ctx[a][0] += x
-        ctx[a][1] += cut(x, db)
-        ctx[a][2] += p[b]
-    outside = {w: x for w, x in c.items() if w not in vocab}
-
-    def prob(a, b):
-        m, mass, below = ctx.get(a, (1, 0.0, 0.0))
-        total = m + 1 if m - mass < 1e-6 else m
-        return cut(big[a, b], db) / total if (a, b) in big else (1 - mass / total) / (1 - below) * p[b]
-
-    for a in list(ctx)[:40]:
-        assert abs(sum(prob(a, b) for b in p) - 1) < 1e-9  # exactly normalised
+    prob, counts, after = book([t for i, t in rows if not out(i)])
+    c, n = counts[0], sum(counts[0].values())
+    contexts = [*list(after[2])[:25], *list(after[1])[:25], ("\n", "all"), ("all",), ("<s>", "<s>"), ("<s>",), ()]
+    for x in contexts:
+        assert abs(sum(prob(x, w) for (w,) in c) + prob(x, "never seen") - 1) < 1e-9
     want = []
     for i, t in rows:
-        s = sum(math.log10(prob(a, b)) for a, b in zip(["start", *map(kind, t)], map(kind, t)))
-        s += sum(math.log10((outside.get(w, 0) + 0.1) / (sum(outside.values()) + 0.1 * (len(outside) + 1))) for w in t if w not in vocab)
-        want.append((str(i), out(i), len(t), sum(w in c for w in t), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), 5), round(s, 5)))
-    got = [(str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in katz.score(docs, most).collect()]
+        line = ["<s>", "<s>", *t]
+        s = sum(math.log10(prob(tuple(line[j - 2 : j]), line[j])) for j in range(2, len(line)))
+        base = sum(math.log10((c[w,] + 0.1) / (n + 0.1 * (len(c) + 1))) for w in t)
+        want.append((str(i), out(i), len(t), sum((w,) in c for w in t), n, round(base, 5), round(s, 5)))
+    got = [(str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in katz.score(docs, **settings).collect()]
     assert sorted(got) == sorted(want)
     assert katz.score(empty(spark)).count() == 0
+    held = docs.where("crc32(cast(doc_id as string)) % 10 = 0")
+    assert all(r.score == 0 and r.n_known == 0 for r in katz.score(held).collect())
+
+
+def test_words_are_cut_and_hashed_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(katz, "_PIECE", 64)
+    texts = ["", " ", "Ab ab  AB\tx", "é\x0bÉ \x1c\u00a0x " + "long" * 100, sentence(300), "", "ab", "x" * 500 + " ab"]
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([7, *map(len, raw)])
+    h, n = katz.words_of(np.frombuffer(b"before " + b"".join(raw) + b"after", np.uint8), offsets)
+    want = [w for t in texts for w in tokens_of(t)]
+    assert n.tolist() == [len(tokens_of(t)) for t in texts] and len(h) == len(want)
+    assert len(set(h.tolist())) == len(set(want)) == len(set(zip(h.tolist(), want))) and h.min() > katz.END
 
 
 # -- archives
