@@ -2,8 +2,8 @@
 
 Equal vectors are one class from the start. Each class begins with neighbours
 that stand next to it in the order of random sign codes. A round joins the
-neighbours of each class, forward and reverse, with one another and keeps for
-each class the LIST best; rounds end when few lists change. Every pair seen with
+neighbours of each class, forward and reverse, with one another, where one is
+new, and keeps for each class the LIST best; rounds end when few lists change. Every pair seen with
 the threshold cosine or more is kept as a link, whether or not it stays in a list.
 
 A list all of whose entries are links is saturated: there may be more. It is
@@ -171,16 +171,36 @@ def best(pairs: DataFrame, most: int, threshold: float) -> DataFrame:
     return ranked.where(F.col("at") <= F.greatest(F.lit(most), room(F.col("links")))).select("a", "b", "cos")
 
 
+def tree(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(child, parent): edges of a symmetric matrix that join all that it joins, one for each child."""
+    todo, out = near.any(axis=1), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    while todo.any():
+        reached = np.array([np.argmax(todo)])
+        todo[reached] = False
+        while len(reached):
+            to = near[reached] & todo
+            found = np.flatnonzero(to.any(axis=0))
+            out.append((found, reached[to[:, found].argmax(axis=0)]))
+            todo[found] = False
+            reached = found
+    child, parent = (np.concatenate(c) for c in zip(*out))
+    return child, parent
+
+
 def local_join(lists: DataFrame, vectors: DataFrame, most: int, threshold: float) -> DataFrame:
     """(a, b, cos) of pairs of neighbours of one class that are links or better than
-    what one of them has in its list. Reverse neighbours: the `most` best; others
-    meet the class from their own lists, and saturated ones in their component."""
-    back = lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos")
-    back = back.withColumn("at", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cos"), "b"))).where(f"at <= {most}").select("a", "b")
-    around = lists.select("a", "b").union(back).union(lists.select("a", F.col("a").alias("b"))).distinct()
-    worst = lists.groupBy("a").agg(F.when(F.count("*") >= most, F.min("cos")).alias("worst")).withColumnRenamed("a", "b")
-    v = vectors.select(F.col("node").alias("b"), "embedding").join(worst, "b", "left").select("b", "embedding", F.coalesce("worst", F.lit(-2.0)).alias("worst"))
-    groups = around.join(v, "b").groupBy("a").agg(F.collect_list(F.struct("b", "embedding", "worst")).alias("near"))
+    what one of them has in its list; of pairs in which an entry is new. Reverse
+    neighbours: the `most` best; others meet the class from their own lists.
+
+    Of two classes whose lists are full of links to the last entry, the component is
+    compared as a whole later: of such links as many as join the same classes are enough."""
+    back = lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos", "fresh")
+    back = back.withColumn("at", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cos"), "b"))).where(f"at <= {most}").select("a", "b", "fresh")
+    around = lists.select("a", "b", "fresh").union(back).groupBy("a", "b").agg(F.max("fresh").alias("fresh"))
+    low, n = F.min("cos"), F.count("*")
+    state = lists.groupBy(F.col("a").alias("b")).agg(F.when(n >= most, low).alias("worst"), ((n >= max(most, MOST_LIST)) & (low >= threshold)).alias("full"))
+    v = vectors.select(F.col("node").alias("b"), "embedding").join(state, "b", "left").select("b", "embedding", F.coalesce("worst", F.lit(-2.0)).alias("worst"), F.coalesce("full", F.lit(False)).alias("full"))
+    groups = around.join(v, "b").groupBy("a").agg(F.collect_list(F.struct("b", "embedding", "worst", "full", "fresh")).alias("near"), F.max("fresh").alias("any")).where("any")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,11 +209,17 @@ def local_join(lists: DataFrame, vectors: DataFrame, most: int, threshold: float
             ends, flat = near.value_lengths().to_numpy().cumsum(), near.flatten()
             if not len(flat):
                 continue
-            ids, worst, x = flat.field("b").to_numpy(), flat.field("worst").to_numpy(), matrix(flat.field("embedding"))
+            ids, worst, full, fresh = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("b", "worst", "full", "fresh"))
+            x = matrix(flat.field("embedding"))
             for lo, hi in zip(np.append(0, ends[:-1]), ends):
                 g = cosines(x[lo:hi], x[lo:hi], threshold)
-                w = worst[lo:hi]
-                i, j = np.nonzero(np.triu((g >= threshold) | (g > np.minimum(w[:, None], w[None, :])), 1))
+                w, f, s = worst[lo:hi], fresh[lo:hi], full[lo:hi]
+                new, link, both = f[:, None] | f[None, :], g >= threshold, s[:, None] & s[None, :]
+                i, j = np.nonzero(np.triu((link | (g > np.minimum(w[:, None], w[None, :]))) & new & ~both, 1))
+                crowd = link & new & both
+                np.fill_diagonal(crowd, False)
+                child, parent = tree(crowd)
+                i, j = np.append(i, child), np.append(j, parent)
                 out.append((ids[lo:hi][i], ids[lo:hi][j], g[i, j]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["a", "b", "cos"])
 
@@ -206,19 +232,20 @@ def descend(vectors: DataFrame, most: int, threshold: float, seed: int, known: D
     if known is not None:
         pairs = pairs.union(known)
     seen = written(pairs, "nn-pairs")
-    link = lambda x: x.where(F.col("cos") >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links, lists = [link(seen)], written(best(seen, most, threshold), "nn-lists")
+    link = lambda x: x.where(F.col("cos") >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = [written(link(seen), "nn-links")]
+    lists = written(best(seen, most, threshold).withColumn("fresh", F.lit(True)), "nn-lists")
     size = lists.count()
     for _ in range(MOST_ROUNDS if size else 0):
-        found = written(local_join(lists, vectors, most, threshold), "nn-found")
-        links.append(link(found))
-        now = written(best(found.union(lists), most, threshold), "nn-lists")
-        changed = now.join(lists.select("a", "b"), ["a", "b"], "left_anti").count()
-        discard(lists)
+        found = written(local_join(lists, vectors, most, threshold).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("cos").alias("cos")), "nn-found")
+        links.append(written(link(found), "nn-links"))
+        now = best(found.union(lists.select("a", "b", "cos")), most, threshold)
+        now = written(now.join(lists.select("a", "b", F.lit(True).alias("old")), ["a", "b"], "left").select("a", "b", "cos", F.col("old").isNull().alias("fresh")), "nn-lists")
+        discard(lists, found)
         lists = now
-        if changed <= 0.005 * size:
+        if lists.where("fresh").count() <= 0.005 * size:
             break
-    return lists, written(reduce(DataFrame.union, links).distinct(), "nn-links")
+    return lists.select("a", "b", "cos"), written(reduce(DataFrame.union, links).distinct(), "nn-links")
 
 
 def audit(vectors: DataFrame, links: DataFrame, inside: DataFrame, threshold: float, near: DataFrame | None = None, sample: int = AUDIT) -> tuple[float, int]:
@@ -293,7 +320,8 @@ def tiles(members: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
         near &= ids[:, None] != b.column("node").to_numpy()[None, :]
         return pa.table({"node": ids, "links": near @ b.column("m").to_numpy()})
 
-    both = left.union(right).groupBy("root", "i", "j").applyInArrow(run, "node long, links long")
+    # one key, or all tiles of a root would stay in the task that its join left them in
+    both = left.union(right).withColumn("tile", F.concat_ws("/", "root", "i", "j")).drop("root", "i", "j").groupBy("tile").applyInArrow(run, "node long, links long")
     return both.groupBy("node").agg(F.sum("links").alias("links"))
 
 

@@ -200,6 +200,24 @@ def test_saturated_lists_are_enlarged(spark, monkeypatch, longest):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got.collect()} == want and max(n for n, _ in want.values()) > 8
 
 
+def test_a_tree_joins_what_the_matrix_joins():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 30):
+        near = rng.random((n, n)) < 1.5 / n
+        near = (near | near.T) & ~np.eye(n, dtype=bool)
+        child, parent = nn.tree(near.copy())
+        assert near[child, parent].all() and len(set(child.tolist())) == len(child)
+
+        def labels(a, b):
+            out = np.arange(n)
+            for _ in range(n):
+                np.minimum.at(out, a, out[b])
+                np.minimum.at(out, b, out[a])
+            return out.tolist()
+
+        assert labels(child, parent) == labels(*np.nonzero(near))
+
+
 def test_pairs_at_the_threshold_are_links_everywhere_or_nowhere():
     rng = np.random.default_rng(9)
     x = rng.normal(size=(400, 64))
