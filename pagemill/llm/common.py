@@ -10,6 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,11 +47,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def _without_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What runs here deletes its shuffle files when it has ended: a written table needs them no more."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """The rows of df from a table written in the shared folder; cuts lineage."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    with _without_shuffles(spark):
+        df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = (weakref.ref(out), path)
     return out

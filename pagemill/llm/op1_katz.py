@@ -28,8 +28,9 @@ result. All other tables stay distributed. Blocks and parts hold BLOCK_TOKENS an
 PART_TOKENS tokens; with more memory for each task, larger ones make messages
 fewer at the largest inputs.
 
-A word is known by 48 bits of a hash, a context on the list of the hottest by 63;
-an n-gram is the tuple of its words.
+A word is known by its place among the most frequent words or by 48 bits of a
+hash, a context on the list of the hottest by 63 bits; an n-gram is the tuple of
+its words.
 
 Defined results: a null text is empty, one end token; a very long text is part
 of one block, which grows by it; null ids belong to the training rows and keep
@@ -60,6 +61,7 @@ BLOCK_TOKENS = 1_000_000
 PART_TOKENS = 2_000_000
 ADD = 0.1
 START, END = 0, 1  # hashes that stand for the start of a text and the end token
+RARE = 2**48  # a word's code: its place among the most frequent words, from 1 on, or its hash and this
 
 # -- packed numbers ---------------------------------------------------------
 
@@ -182,13 +184,19 @@ class Block:
     hashes: np.ndarray
     n: np.ndarray  # tokens of each text
 
-    def numbered(self, texts: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """(ascending hashes from START on, for each token the numbers of itself and of the
-        ORDER - 1 tokens before it, its text), of all texts or of some."""
+    def numbered(self, model: Model, texts: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """(ascending codes of words from START on, for each token the numbers of itself and
+        of the ORDER - 1 tokens before it, its text), of all texts or of some."""
         h, n = self.hashes, self.n
         if texts is not None:
             h, n = h[np.repeat(texts, n)], n[texts]
         words, own = np.unique(h, return_inverse=True)
+        words = model.codes(words + RARE)
+        if len(model.words):
+            order = np.argsort(words)
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            words, own = words[order], place[own]
         first = np.cumsum(n) - n
         out = [own + 1]
         for _ in range(ORDER - 1):
@@ -283,13 +291,18 @@ class Model:
     parts: int
     tokens: int = 0
     types: int = 0
-    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # the most frequent, ascending
+    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # the most frequent, hashes and RARE, ascending
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     scale: float = 1.0  # of word probabilities
     unknown: float = 1.0  # probability of the unknown word
     discount: dict[int, np.ndarray] = field(default_factory=dict)
     hot: dict[int, Hot] = field(default_factory=dict)
 
+    def codes(self, full: np.ndarray) -> np.ndarray:
+        """Codes of words given by hash and RARE."""
+        at = find(self.words, full)
+        return np.where(at >= 0, at + 1, full)
+
     def of_words(self, counts: np.ndarray) -> np.ndarray:
         """Probabilities of words by their counts."""
         if not self.tokens:
@@ -394,7 +407,7 @@ def counting(level: int, model: Model, block_tokens: int):
         for b in blocks(batches, block_tokens):
             if b.held_out.all():
                 continue
-            words, tokens, _ = b.numbered(~b.held_out)
+            words, tokens, _ = b.numbered(model, ~b.held_out)
             columns = tokens[:level][::-1]
             order, first = grouped(tuple_key(columns, len(words)))
             n = np.diff(np.append(first, len(order)))
@@ -474,11 +487,17 @@ def questions(level: int, row: dict[str, np.ndarray], model: Model) -> tuple[lis
     suffix = [np.concatenate([row[c], row[f"o{c}"]]) if "oc0" in row else row[c] for c in names(k)][1:]
     _, first = np.unique(tuple_key(suffix, len(row["words"])), return_index=True)
     asked = [c[first] for c in suffix]
-    out = [(k - 1, p, x) for p, x in by_part(model.route(k - 1, [row["words"][c] for c in asked]), model.parts)]
-    last = np.zeros(0, np.int64)
-    if k > 2 and "oc0" in row:
-        last = np.unique(row[f"oc{k - 1}"])
-        out += [(1, p, x) for p, x in by_part(model.route(1, [row["words"][last]]), model.parts)]
+    last = np.unique(row[f"oc{k - 1}"]) if k > 2 and "oc0" in row else np.zeros(0, np.int64)
+    out = []
+    for lower, columns in ((k - 1, asked), (1, [last])):
+        if lower == 1:  # the counts of the most frequent words are everywhere
+            rare = np.flatnonzero(row["words"][columns[0]] >= RARE)
+            columns = [c[rare] for c in columns]
+        if len(columns[0]):
+            each = by_part(model.route(lower, [row["words"][c] for c in columns]), model.parts)
+            out += [(lower, p, rare[x] if lower == 1 else x) for p, x in each]
+        if k == 2:
+            break
     return asked, out, last
 
 
@@ -546,14 +565,16 @@ def weighted(level: int, model):
         n = np.zeros(len(asked[0]), np.int64)
         total, weight = np.ones(len(n), np.int64), np.ones(len(n))
         of_last = np.zeros(len(last), np.int64)
+        for counts, place in ((n, asked[0]), (of_last, last)) if level == 2 else ((of_last, last),):
+            code = row["words"][place]
+            hot_word = code < RARE
+            counts[hot_word] = m.counts[code[hot_word] - 1]
         for lower, q, at in each:
             a = got[lower << 32 | q]
-            if lower == level - 1:
-                n[at] = a["n"]
-                if lower > 1:
-                    total[at], weight[at] = a["total"], a["weight"]
+            if lower > 1:
+                n[at], total[at], weight[at] = a["n"], a["total"], a["weight"]
             else:
-                of_last[at] = a["n"]
+                (n if level == 2 else of_last)[at] = a["n"]
         size = len(row["words"])
         have = tuple_key(asked, size)
 
@@ -649,10 +670,11 @@ def sending(model, block_tokens: int):
         m = model.value
         for i, b in enumerate(blocks(batches, block_tokens)):
             number, docs = block_number(i), len(b.ids)
-            words, tokens, doc = b.numbered()
-            place = find(m.words, words)
-            hot = (place >= 0)[tokens[0]]
-            count = np.where(place >= 0, m.counts[place] if len(m.counts) else 0, 0)
+            words, tokens, doc = b.numbered(m)
+            is_hot = (words < RARE) & (words > START)
+            hot = is_hot[tokens[0]]
+            count = np.zeros(len(words), np.int64)
+            count[is_hot] = m.counts[words[is_hot] - 1]
             value = np.log10(count + ADD)
             base = np.bincount(doc[hot], value[tokens[0][hot]], minlength=docs).astype(float)
             known = np.bincount(doc[hot], (count > 0)[tokens[0][hot]], minlength=docs).astype(np.int64)
