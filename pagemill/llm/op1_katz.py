@@ -184,6 +184,14 @@ class Block:
     hashes: np.ndarray
     n: np.ndarray  # tokens of each text
 
+    def training_first(self) -> Block:
+        """The same texts, those held out behind the others."""
+        order = np.argsort(self.held_out, kind="stable")
+        n = self.n[order]
+        start = (np.cumsum(self.n) - self.n)[order]
+        at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(len(self.hashes))
+        return Block(self.ids.take(pa.array(order)), self.held_out[order], self.hashes[at], n)
+
     def numbered(self, model: Model, texts: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """(ascending codes of words from START on, for each token the numbers of itself and
         of the ORDER - 1 tokens before it, its text), of all texts or of some."""
@@ -669,6 +677,8 @@ def sending(model, block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for i, b in enumerate(blocks(batches, block_tokens)):
+            b = b.training_first()
+            train = np.array([int((~b.held_out).sum())])
             number, docs = block_number(i), len(b.ids)
             words, tokens, doc = b.numbered(m)
             is_hot = (words < RARE) & (words > START)
@@ -693,7 +703,7 @@ def sending(model, block_tokens: int):
                 columns, d = [c[order[first]] for c in columns], d[first]
                 for p, x in by_part(m.route(level, [words[c] for c in columns]), m.parts):  # noqa: B023
                     own, cols = local(words, [c[x] for c in columns])  # noqa: B023
-                    out.append((level, p, number, SCORE, pack(words=own, doc=d[x], n=n[x], held=b.held_out[d[x]].astype(np.int64), **dict(zip(names(level), cols)))))  # noqa: B023
+                    out.append((level, p, number, SCORE, pack(words=own, doc=d[x], n=n[x], train=train, **dict(zip(names(level), cols)))))  # noqa: B023
 
             rare = np.flatnonzero(~hot)
             if len(rare):
@@ -731,8 +741,9 @@ def scored(model):
         group = np.empty(len(order), np.int64)
         group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
         del order
-        n, held = (np.concatenate([s[c] for _, s in sent]) for c in ("n", "held"))
-        count = np.bincount(group, n * (held == 0), minlength=len(first)).astype(np.int64)
+        n = np.concatenate([s["n"] for _, s in sent])
+        training = np.concatenate([s["doc"] < s["train"][0] for _, s in sent])
+        count = np.bincount(group, n * training, minlength=len(first)).astype(np.int64)
         one = np.empty(len(first), np.int64)
         one[group] = np.arange(len(group))  # an n-gram's place among all
         each = [c[one] for c in columns]
