@@ -19,9 +19,10 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def truncated(c: Column, most: int, note: str = "Truncated") -> Column:
+def truncated(c: Column, most: int | Column, note: str = "Truncated") -> Column:
     """The first `most` code points and a note of the whole length, where longer."""
-    return F.when(F.length(c) > most, F.concat(F.left(c, F.lit(most)), F.lit(f"\n\n[{note} - "), F.length(c).cast("string"), F.lit(" total chars]"))).otherwise(c)
+    head = F.left(c, most if isinstance(most, Column) else F.lit(most))
+    return F.when(F.length(c) > most, F.concat(head, F.lit(f"\n\n[{note} - "), F.length(c).cast("string"), F.lit(" total chars]"))).otherwise(c)
 
 
 def preview(c: Column, lines: int = 10) -> Column:
@@ -33,15 +34,22 @@ def preview(c: Column, lines: int = 10) -> Column:
 
 
 def extract(content: Column, pattern: str) -> Column:
-    """Distinct matches, sorted, of a preset's name or a regular expression; the
-    first group's where the expression has groups. Empty for null or empty input."""
+    """Distinct matches, sorted, of a preset's name or a regular expression, in which
+    ^ and $ stand at every line. Of an expression with one group, what that matched;
+    with more, an array for each match, a group that took no part being ''. Empty for
+    null or empty input."""
     expression = PRESETS.get(pattern, pattern)
     if not expression:
         return F.array().cast("array<string>")
     import re
 
-    group = 1 if re.compile(expression).groups else 0
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit(expression), F.lit(group))))
+    groups = re.compile(expression).groups
+    # multi-line, with the line feed as the one end of a line
+    found = lambda i: F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit(f"(?md){expression}"), F.lit(i))
+    if groups < 2:
+        return F.array_sort(F.array_distinct(found(groups)))
+    each = F.arrays_zip(*[found(i + 1).alias(f"g{i}") for i in range(groups)])
+    return F.array_sort(F.array_distinct(F.transform(each, lambda x: F.array(*[x[f"g{i}"] for i in range(groups)]))))
 
 
 def extract_everything(content: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import falsy, parts_joined, truncated
@@ -31,14 +31,34 @@ def summary(text: Column, max_length: int = 5000) -> Column:
     return truncated(text, max_length, "Content truncated")
 
 
+def ascii_escaped(json: Column) -> Column:
+    """JSON text in which what lies beyond printable ASCII is escaped, by pairs above U+FFFF."""
+    code = lambda c: F.lower(F.hex(F.encode(c, "UTF-16BE")))
+    escaped = lambda c: F.when(F.octet_length(c) < 4, F.concat(F.lit("\\u"), code(c))).otherwise(F.concat(F.lit("\\u"), F.left(code(c), F.lit(4)), F.lit("\\u"), F.right(code(c), F.lit(4))))
+    one = lambda c: F.when(c.rlike(r"^[\x20-\x7E]?$"), c).otherwise(escaped(c))
+    return F.when(json.rlike(r"[^\x20-\x7E]"), F.array_join(F.transform(F.split(json, ""), one), "")).otherwise(json)
+
+
 def as_json(df: DataFrame, ascii_only: bool = False) -> DataFrame:
     """One column `value`, a JSON object for each row with its nulls; ascii_only escapes what lies beyond ASCII."""
     x = F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"})
-    if ascii_only:
-        code = lambda c: F.lower(F.hex(F.encode(c, "UTF-16BE")))
-        one = lambda c: F.when(F.octet_length(c) == 1, c).when(F.octet_length(c) < 4, F.concat(F.lit("\\u"), code(c))).otherwise(F.concat(F.lit("\\u"), F.left(code(c), F.lit(4)), F.lit("\\u"), F.right(code(c), F.lit(4))))
-        x = F.when(x.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(F.split(x, ""), one), "")).otherwise(x)
-    return df.select(x.alias("value"))
+    return df.select((ascii_escaped(x) if ascii_only else x).alias("value"))
+
+
+def batch_files(docs: DataFrame, name: Column) -> tuple[DataFrame, DataFrame]:
+    """(file, text of the documents (ord, url, text) with a text; one row: success_count, total).
+    ord counts from 0; files are numbered from 1 by it."""
+    good = F.coalesce(F.col("text"), F.lit("")) != ""
+    number = F.lpad((F.col("ord") + 1).cast("string"), 3, "0")
+    number = F.when(F.col("ord") < 999, number).otherwise((F.col("ord") + 1).cast("string"))
+    files = docs.where(good).select(F.concat(number, F.lit("_"), name, F.lit(".md")).alias("file"), "text")
+    return files, docs.agg(F.count_if(good).alias("success_count"), F.count("*").alias("total"))
+
+
+def unique_names(files: DataFrame, order: str, name: str = "name", extension: str = ".md") -> DataFrame:
+    """files and `file`: of equal names the first keeps its name, the others get _1, _2, ... in order."""
+    at = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
+    return files.withColumn("file", F.concat(F.col(name), F.when(at > 0, F.concat(F.lit("_"), at.cast("string"))).otherwise(""), F.lit(extension)))
 
 
 def write_text_files(df: DataFrame, key: str, text: str, path: str) -> None:

@@ -235,8 +235,6 @@ def parse_page(html: str | None, url: str | None, want: frozenset[str] = frozens
     return out
 
 
-
-
 def parsed(pages: DataFrame, *fields: str, html: str = "html", url: str = "url", out: str = "page") -> DataFrame:
     """pages and a struct column of the wanted fields of PAGE. Each page is parsed
     once, for those fields only; filters on other columns are best put before."""
@@ -327,9 +325,9 @@ def json_ld(page: str = "page") -> Column:
 _NEEDS = {"clean_text": ("lines", "fallback"), "full_html": (), "metadata": ("title", "metas"), "links": ("links_all", "links_kept"), "images": ("images_all", "images_kept"), "structured": ("json_ld",)}
 
 
-def scrape(pages: DataFrame, types: tuple[str, ...] = ("clean_text", "metadata"), method: str = "static") -> DataFrame:
+def scrape(pages: DataFrame, types: tuple[str, ...] = ("clean_text", "metadata"), method: str = "static", keep: tuple[str, ...] = ()) -> DataFrame:
     """url, title, content, metadata, links, images, structured_data, status_code of
-    captured pages (url, html[, status_code]).
+    captured pages (url, html[, status_code]), and the columns of keep as they are.
 
     Extractors count in the order of types: what comes after clean_text sees only
     what that left, so links lose those of the navigation and there is no JSON-LD;
@@ -347,7 +345,7 @@ def scrape(pages: DataFrame, types: tuple[str, ...] = ("clean_text", "metadata")
     status = F.col("status_code") if "status_code" in pages.columns else F.lit(200)
     if method == "rendered":
         status = F.when(F.coalesce(F.col("html"), F.lit("")) == "", 0).otherwise(200)
-    x = pages.select("url", "html", status.cast("int").alias("status_code"))
+    x = pages.select("url", "html", status.cast("int").alias("status_code"), *keep)
     x = parsed(x, *sorted(need)) if need else x.withColumn("page", F.lit(None).cast("struct<title:string>"))
     cleaned = types.index("clean_text") if "clean_text" in types else len(types)
     after = lambda t: t in types and types.index(t) > cleaned
@@ -370,4 +368,5 @@ def scrape(pages: DataFrame, types: tuple[str, ...] = ("clean_text", "metadata")
         (F.when(has, F.col(field("images"))) if "images" in types else null(strings_)).alias("images"),
         F.struct(F.when(has, structured).alias("json_ld"), F.when(has & F.lit("structured" in types), F.array().cast(strings_)).alias("microdata")).alias("structured_data"),
         "status_code",
+        *keep,
     )

@@ -7,6 +7,7 @@ one) when they are complete. Scraped urls are a log, joined in when asked for.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,11 +50,11 @@ def failed(domains: DataFrame, now: Column, message: Column) -> DataFrame:
     return domains.select("domain", F.lit("").alias("sitemap_url"), F.lit("").alias("content_hash"), now.cast("timestamp_ntz").alias("last_fetched"), F.lit(0).cast("long").alias("url_count"), F.lit("failed").alias("status"), message.alias("error_message"))
 
 
-def process(fetched: DataFrame, children: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+def process(fetched: DataFrame, children: DataFrame, now: Column, settled: Callable[[DataFrame], DataFrame] = lambda x: x) -> tuple[DataFrame, DataFrame]:
     """(sitemaps, urls) rows to merge from fetched (domain, sitemap_url, content) and
     the captured child sitemaps (url, content). A sitemap without urls is failed."""
     top = fetched.select(F.col("sitemap_url").alias("url"), "content")
-    urls = sitemap.expanded(top, children)
+    urls = settled(sitemap.expanded(top, children))
     counts = urls.groupBy("sitemap_url").agg(F.count("*").alias("url_count"))
     x = fetched.join(counts, "sitemap_url", "left")
     good = x.where("url_count > 0").select("domain", "sitemap_url", sitemap.content_hash(F.col("content")).alias("content_hash"), now.cast("timestamp_ntz").alias("last_fetched"), "url_count", F.lit("success").alias("status"), F.lit(None).cast("string").alias("error_message"))
@@ -61,18 +62,20 @@ def process(fetched: DataFrame, children: DataFrame, now: Column) -> tuple[DataF
     return good.unionByName(bad), urls
 
 
-def add_domain(sitemaps: DataFrame, urls: DataFrame, domains: DataFrame, captures: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+def add_domain(sitemaps: DataFrame, urls: DataFrame, domains: DataFrame, captures: DataFrame, now: Column, settled: Callable[[DataFrame], DataFrame] = lambda x: x) -> tuple[DataFrame, DataFrame]:
     """The registry's tables after domains (domain[, sitemap_url]) were added.
 
     Names are normalised; the sitemap is the given one or the first candidate that
-    captures (url, content) holds. The first row of a url anywhere stays.
+    captures (url, content) holds; of several given for a domain, the first by
+    name. The first row of a url anywhere stays. Both results read the fetched
+    sitemaps and their rows: settled may write these and return what it reads back.
     """
     d = domains.select(domain(F.col("domain")).alias("domain"), (F.nullif("sitemap_url", F.lit("")) if "sitemap_url" in domains.columns else F.lit(None).cast("string")).alias("given"))
     tried = sitemap.candidates(d.where("given is null")).unionByName(d.where("given is not null").select("domain", F.lit(0).alias("pos"), F.col("given").alias("sitemap_url")))
-    found = sitemap.first_fetchable(tried.join(captures.select(F.col("url").alias("sitemap_url"), "content"), "sitemap_url"))
-    new, rows = process(found, captures, now)
+    found = settled(sitemap.first_fetchable(tried.join(captures.select(F.col("url").alias("sitemap_url"), "content"), "sitemap_url")))
+    new, rows = process(found, captures, now, settled)
     lost = failed(d.select("domain").join(found.select("domain"), "domain", "left_anti").distinct(), now, F.lit("Could not fetch sitemap"))
-    merged = insert_or_replace(sitemaps, new.unionByName(lost), F.lit(0))
+    merged = insert_or_replace(sitemaps, new.unionByName(lost), F.struct("url_count", "sitemap_url"))
     return merged, insert_or_ignore(urls, rows.withColumn("_order", F.struct("sitemap_url", "ord")), "_order")
 
 
@@ -161,3 +164,14 @@ def scrape_from_sitemap(sitemaps: DataFrame, urls: DataFrame, scraped_log: DataF
     top = get_urls(known, domain_name, limit, unscraped_only=unscraped_only).select("url")
     docs = scrape(pages.join(top, "url", "left_semi"))
     return docs, mark_scraped(scraped_log, urls, docs.where("content is not null"), F.lit(now))
+
+
+def quick_add_domain(sitemaps: DataFrame, urls: DataFrame, captures: DataFrame, name: str, now: dt.datetime) -> tuple[DataFrame, DataFrame]:
+    """The registry's tables after one domain was added."""
+    one = sitemaps.sparkSession.createDataFrame([(name,)], "domain string")
+    return add_domain(sitemaps, urls, one, captures, F.lit(now).cast("timestamp_ntz"))
+
+
+def quick_get_urls(urls: DataFrame, name: str, limit: int = 100) -> list[str]:
+    """A domain's next urls, `limit` at most."""
+    return [r["url"] for r in get_urls(urls, name, limit).select("url").collect()]

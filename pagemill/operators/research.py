@@ -50,11 +50,9 @@ def with_signals(scraped: DataFrame, method: str = "static", encoding_error: Col
 
 def retrieve(captures: DataFrame, method: str = "static") -> DataFrame:
     """Captured pages (url, html[, status_code, encoding_error]) as retrieval records."""
-    error = F.col("encoding_error") if "encoding_error" in captures.columns else F.lit(False)
-    scraped = scrape(captures, ("clean_text", "metadata"), method)
-    if "encoding_error" not in captures.columns:
-        return with_signals(scraped, method)
-    return with_signals(scraped.join(captures.select("url", error.alias("_error")), "url"), method, F.col("_error"))
+    flags = tuple(c for c in ("encoding_error",) if c in captures.columns)
+    scraped = scrape(captures, ("clean_text", "metadata"), method, keep=flags)
+    return with_signals(scraped, method, F.col("encoding_error") if flags else None)
 
 
 def to_dict(scraped: DataFrame, include_links: bool = False) -> DataFrame:
@@ -63,10 +61,11 @@ def to_dict(scraped: DataFrame, include_links: bool = False) -> DataFrame:
     return scraped.select("url", "title", "content", "metadata", links.alias("links"))
 
 
-def joined(serp: DataFrame, retrieved: DataFrame, max_content_length: int = 5000) -> DataFrame:
+def joined(serp: DataFrame, retrieved: DataFrame, max_content_length: int | Column = 5000, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each search result with a url: the retrieval's fields, the title of the
     page or else of the result, the content cut at max_content_length, and a reason
-    where the page is not usable. Results without a retrieval are errors."""
+    where the page is not usable; and the result's columns of keep. Results without a
+    retrieval are errors."""
     s = serp.where(F.coalesce(F.col("url"), F.lit("")) != "")
     r = retrieved.select(F.col("url").alias("_url"), F.col("title").alias("_title"), "content", "signals", "classification")
     x = s.join(r, F.col("url") == F.col("_url"), "left")
@@ -75,7 +74,7 @@ def joined(serp: DataFrame, retrieved: DataFrame, max_content_length: int = 5000
     reason = F.when(status == "error", F.array(F.lit("not retrieved"))).when(~usable, F.col("classification.detected_patterns"))
     return x.select(
         "query", "position", "url", F.coalesce(falsy(F.col("_title")), F.col("title")).alias("title"), "snippet", status.alias("status"),
-        F.col("signals.method").alias("method"), F.col("signals.content_length").alias("content_length"), F.when(usable, truncated(F.col("content"), max_content_length)).alias("content"), reason.alias("reason"),
+        F.col("signals.method").alias("method"), F.col("signals.content_length").alias("content_length"), F.when(usable, truncated(F.col("content"), max_content_length)).alias("content"), reason.alias("reason"), *keep,
     )
 
 
@@ -87,15 +86,29 @@ def failures(rows: DataFrame) -> DataFrame:
     return rows.where("status <> 'usable'").drop("content")
 
 
+def counts() -> list[Column]:
+    """total, usable_count, blocked_count, thin_count over rows of a query."""
+    is_ = lambda s: F.count_if(F.col("status") == s)
+    return [F.count("*").alias("total"), is_("usable").alias("usable_count"), is_("blocked").alias("blocked_count"), is_("thin").alias("thin_count")]
+
+
+def usable_rate() -> Column:
+    return F.when(F.col("total") == 0, F.lit(0.0)).otherwise(F.bround(F.col("usable_count") / F.nullif(F.col("total"), F.lit(0)), 2))
+
+
 def metrics(rows: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """query, total, usable_count, usable_rate, blocked_count, thin_count. Queries
     without results (a failed search) have zeros. Other outcomes count in total alone."""
-    is_ = lambda s: F.count_if(F.col("status") == s)
-    m = rows.groupBy("query").agg(F.count("*").alias("total"), is_("usable").alias("usable_count"), is_("blocked").alias("blocked_count"), is_("thin").alias("thin_count"))
+    m = rows.groupBy("query").agg(*counts())
     if queries is not None:
         m = queries.select("query").distinct().join(m, "query", "left").fillna(0, ["total", "usable_count", "blocked_count", "thin_count"])
-    rate = F.when(F.col("total") == 0, F.lit(0.0)).otherwise(F.bround(F.col("usable_count") / F.nullif(F.col("total"), F.lit(0)), 2))
-    return m.select("query", "total", "usable_count", rate.alias("usable_rate"), "blocked_count", "thin_count")
+    return m.select("query", "total", "usable_count", usable_rate().alias("usable_rate"), "blocked_count", "thin_count")
+
+
+def search_errors(queries: DataFrame, failed: DataFrame) -> DataFrame:
+    """query, search_error: what failed (query, error) says of a query, null where its search went well."""
+    e = failed.groupBy("query").agg(F.min(F.coalesce("error", F.lit("Search failed"))).alias("search_error"))
+    return queries.select("query").distinct().join(e, "query", "left")
 
 
 def search_and_scrape(serp: DataFrame, retrieved: DataFrame, max_content_length: int = 5000) -> DataFrame:

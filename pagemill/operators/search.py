@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,26 +72,43 @@ def from_library(rows: DataFrame) -> DataFrame:
     return rows.select("query", F.row_number().over(w).alias("position"), "title", either("href", "link").alias("url"), either("body", "snippet").alias("snippet"))
 
 
-def first_source(cached: Column, library: Column, html: Column, failure: Column) -> Column:
-    """The first of captured candidate responses that is there."""
-    return F.coalesce(cached, library, html, failure)
+def first_source(queries: DataFrame, sources: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(results, failures) of queries (query): the rows of the first source, in their order,
+    that has any for the query, and `answered_by`; (query, error) of queries without any."""
+    parts = [x.withColumn("answered_by", F.lit(name)).withColumn("_rank", F.lit(i)) for i, (name, x) in enumerate(sources.items())]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).join(queries.select("query").distinct(), "query", "left_semi")
+    best = every.groupBy("query").agg(F.min("_rank").alias("_rank"))
+    failed = queries.select("query").distinct().join(best, "query", "left_anti").withColumn("error", F.lit("All search methods failed"))
+    return every.join(best, ["query", "_rank"]).drop("_rank"), failed
 
 
 def capped(n: Column, cap: int = SEARCH_CAP) -> Column:
+    """How many results a request gets; research takes RESEARCH_CAP at most."""
     return F.least(n, F.lit(cap))
 
 
-def lookup(entries: DataFrame, requests: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
-    """requests (query, num_results, ts) and hit: whether entries (query, num_results,
+def cleared(entries: DataFrame) -> tuple[DataFrame, int]:
+    """(the empty cache, how many entries there were)."""
+    return entries.limit(0), entries.count()
+
+
+def lookup(entries: DataFrame, requests: DataFrame, ttl: int = TTL_SECONDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """requests (query, num_results, ts, and the columns of keep) and hit: whether entries (query, num_results,
     ts, success) hold a successful one of the same key, made at most ttl seconds before
-    (exclusive). An as-of join: the latest entry up to the request, by one window over both."""
+    (exclusive). An as-of join: the latest entry up to the request, by one window over
+    both. What counts is at most ttl old, so a key's line is cut into slices of ttl
+    seconds; a slice also gets the latest entry of the one before, and a key with very
+    many requests is dealt over as many tasks as it has slices."""
     key = cache_key(F.col("query"), F.col("num_results"))
-    e = entries.where("success").select(key.alias("key"), F.lit(None).cast("string").alias("query"), F.lit(None).cast("int").alias("num_results"), "ts", F.lit(0).alias("side"))
-    r = requests.select(key.alias("key"), "query", F.col("num_results").cast("int").alias("num_results"), "ts", F.lit(1).alias("side"))
-    w = Window.partitionBy("key").orderBy("ts", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = e.unionByName(r).withColumn("made", F.last(F.when(F.col("side") == 0, F.col("ts")), ignorenulls=True).over(w)).where("side = 1")
-    age = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("made").cast("timestamp"))
-    return x.select("query", "num_results", "ts", F.coalesce(age < ttl * 1_000_000, F.lit(False)).alias("hit"))
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    slice_ = F.floor(at("ts") / F.lit(ttl * 1_000_000)).alias("slice")
+    none = [F.lit(None).cast(requests.schema[c].dataType).alias(c) for c in keep]
+    e = entries.where("success").select(key.alias("key"), slice_, F.lit(None).cast("string").alias("query"), F.lit(None).cast("int").alias("num_results"), "ts", F.lit(0).alias("side"), *none)
+    before = e.groupBy("key", "slice").agg(F.max("ts").alias("ts")).select("key", (F.col("slice") + 1).alias("slice"), F.lit(None).cast("string").alias("query"), F.lit(None).cast("int").alias("num_results"), "ts", F.lit(0).alias("side"), *none)
+    r = requests.select(key.alias("key"), slice_, "query", F.col("num_results").cast("int").alias("num_results"), "ts", F.lit(1).alias("side"), *keep)
+    w = Window.partitionBy("key", "slice").orderBy("ts", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = e.unionByName(before).unionByName(r).withColumn("made", F.last(F.when(F.col("side") == 0, F.col("ts")), ignorenulls=True).over(w)).where("side = 1")
+    return x.select("query", "num_results", "ts", *keep, F.coalesce(at("ts") - at("made") < ttl * 1_000_000, F.lit(False)).alias("hit"))
 
 
 def evicted(entries: DataFrame, max_size: int = MAX_ENTRIES) -> DataFrame:

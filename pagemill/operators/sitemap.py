@@ -28,7 +28,7 @@ def candidates(domains: DataFrame, column: str = "domain") -> DataFrame:
 def first_fetchable(found: DataFrame) -> DataFrame:
     """Of (domain, pos, sitemap_url, content), each domain's first with content, whether it parses or not."""
     x = found.where("content is not null")
-    return x.groupBy("domain").agg(F.min_by(F.struct("sitemap_url", "content"), "pos").alias("x")).select("domain", "x.*")
+    return x.groupBy("domain").agg(F.min_by(F.struct("sitemap_url", "content"), F.struct("pos", "sitemap_url")).alias("x")).select("domain", "x.*")
 
 
 def _text(node: ET.Element, name: str) -> str | None:

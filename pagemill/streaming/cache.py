@@ -15,12 +15,14 @@ from ..operators.search import TTL_SECONDS
 OUT = "key string, request_id long, ts timestamp, hit boolean"
 
 
-def hits(requests: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
+def hits(requests: DataFrame, ttl: int = TTL_SECONDS, late: str = "1 hour") -> DataFrame:
     """request_id, ts, key, hit of requests (request_id, query, num_results, ts, success).
 
     A request hits if its key's entry is younger than ttl seconds; otherwise a
     successful request makes a new entry. Works on streams and on tables alike;
-    on a stream, requests of one batch are taken in the order of ts.
+    on a stream, requests of one batch are taken in the order of ts, those further
+    behind the latest ts than `late` are not answered, and an entry's state goes
+    when the time that has passed beyond that has made it older than ttl.
     """
     x = requests.withColumn("key", cache_key(F.col("query"), F.col("num_results"))).select("key", "request_id", "ts", "success")
 
@@ -38,12 +40,17 @@ def hits(requests: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
         return x.groupBy("key").applyInPandas(lambda pdf: step(pdf, None)[0], OUT)
 
     def stream(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         made = pd.Timestamp(state.get[0]) if state.exists and state.get[0] is not None else None
         out, made = step(pd.concat(list(batches)), made)
         if made is None:
-            state.remove()
+            if state.exists:
+                state.remove()
         else:
             state.update((made.to_pydatetime(),))
+            state.setTimeoutTimestamp(max(int(made.timestamp() * 1000) + ttl * 1000, state.getCurrentWatermarkMs() + 1))
         yield out
 
-    return x.groupBy("key").applyInPandasWithState(stream, OUT, "made timestamp", "append", GroupStateTimeout.NoTimeout)
+    return x.withWatermark("ts", late).groupBy("key").applyInPandasWithState(stream, OUT, "made timestamp", "append", GroupStateTimeout.EventTimeTimeout)

@@ -7,6 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.urls import is_external
+from ..operators.discovery import page_links
+from ..operators.format import ascii_escaped
+from ..operators.research import counts, joined, retrieve, usable_rate
+from ..operators.search import RESEARCH_CAP, capped
+
 # Tools and the names that stand for them.
 TOOLS = {"search_sources": "search_sources", "retrieve_source": "retrieve_source", "research_with_sources": "research_with_sources", "extract_urls": "extract_urls", "web_search": "search_sources", "scrape_url": "retrieve_source", "search_and_scrape": "research_with_sources"}
 REQUIRED = {"search_sources": "query", "retrieve_source": "url", "research_with_sources": "query", "extract_urls": "url"}
@@ -37,7 +43,54 @@ def replies(handled: DataFrame) -> DataFrame:
     """value: {ok, result} or {ok, error} of rows with result (JSON text) and error."""
     good = F.concat(F.lit('{"ok":true,"result":'), F.coalesce("result", F.lit("null")), F.lit("}"))
     bad = F.to_json(F.struct(F.lit(False).alias("ok"), F.col("error")))
-    return handled.withColumn("value", F.when(F.col("error").isNull(), good).otherwise(bad))
+    return handled.withColumn("value", ascii_escaped(F.when(F.col("error").isNull(), good).otherwise(bad)))
+
+
+def tools(results: DataFrame, captures: DataFrame) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """The handlers of the four tools, over search results (query, position, title, url,
+    snippet) and captured pages (url, html, ...). Each joins its requests to these tables."""
+    n = lambda name, default: F.coalesce(F.try_element_at("args", F.lit(name)).try_cast("int"), F.lit(default))
+    arg = lambda name: F.try_element_at("args", F.lit(name))
+    js = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
+
+    def search_sources(requests: DataFrame) -> DataFrame:
+        x = requests.withColumn("query", arg("query")).withColumn("_most", capped(n("num_results", 10)))
+        got = x.select("query", "_most").distinct().join(results, "query").where(F.col("position") <= F.col("_most"))
+        rows = got.groupBy("query", "_most").agg(F.array_sort(F.collect_list(F.struct("position", "title", "url", "snippet"))).alias("rows"))
+        x = x.join(rows, ["query", "_most"], "left")
+        return x.withColumn("result", js(F.coalesce("rows", F.array().cast("array<struct<position:int,title:string,url:string,snippet:string>>")))).select(*requests.columns, "result")
+
+    def retrieve_source(requests: DataFrame) -> DataFrame:
+        x = requests.withColumn("url", arg("url"))
+        page = retrieve(captures.join(x.select("url").distinct(), "url", "left_semi")).select("url", js(F.struct("url", "title", "content", "signals", "classification")).alias("result"))
+        x = x.join(page, "url", "left")
+        return x.withColumn("error", F.when(F.col("result").isNull(), F.lit("No capture"))).select(*requests.columns, "result")
+
+    def research_with_sources(requests: DataFrame) -> DataFrame:
+        x = requests.withColumn("query", arg("query")).withColumn("_most", capped(n("limit", RESEARCH_CAP), RESEARCH_CAP)).withColumn("_cut", n("max_content_length", 5000))
+        asked = x.select("query", "_most", "_cut").distinct()
+        serp = asked.join(results, "query").where(F.col("position") <= F.col("_most"))
+        pages = retrieve(captures.join(serp.select("url").distinct(), "url", "left_semi"))
+        rows = joined(serp, pages, F.col("_cut"), ("_most", "_cut"))
+        good = F.col("status") == "usable"
+        entry = lambda *c: F.struct("position", "url", "title", "snippet", "status", "method", "content_length", *c)
+        by = ["query", "_most", "_cut"]
+        lists = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.when(good, entry("content")))).alias("sources"), F.array_sort(F.collect_list(F.when(~good, entry("reason")))).alias("failures"), *counts())
+        lists = lists.select(*by, "sources", "failures", F.struct("total", "usable_count", usable_rate().alias("usable_rate"), "blocked_count", "thin_count").alias("metrics"))
+        none = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("total", "usable_count")], F.lit(0.0).alias("usable_rate"), *[F.lit(0).cast("long").alias(c) for c in ("blocked_count", "thin_count")])
+        x = x.join(lists, by, "left")
+        empty = lambda c: F.coalesce(c, F.array().cast(lists.schema[c].dataType))
+        return x.withColumn("result", js(F.struct("query", empty("sources").alias("sources"), empty("failures").alias("failures"), F.coalesce("metrics", none).alias("metrics")))).select(*requests.columns, "result")
+
+    def extract_urls(requests: DataFrame) -> DataFrame:
+        x = requests.withColumn("url", arg("url")).withColumn("_external", F.coalesce(F.lower(arg("filter_external")) == "true", F.lit(False)))
+        page = page_links(captures.join(x.select("url").distinct(), "url", "left_semi"))
+        x = x.join(page.select("url", "urls"), "url", "left")
+        urls = F.coalesce("urls", F.array().cast("array<string>"))
+        urls = F.when(F.col("_external"), F.filter(urls, lambda u: is_external(u, F.col("url")))).otherwise(urls)
+        return x.withColumn("result", js(F.struct(F.col("url").alias("source_url"), urls.alias("urls"), F.size(urls).alias("count")))).select(*requests.columns, "result")
+
+    return {"search_sources": search_sources, "retrieve_source": retrieve_source, "research_with_sources": research_with_sources, "extract_urls": extract_urls}
 
 
 def serve(spark: SparkSession, source: str, sink: str, checkpoint: str, handlers: dict[str, Callable[[DataFrame], DataFrame]]):
