@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,7 +27,6 @@ def now():
     return F.lit(dt.datetime(2024, 1, 10)).cast("timestamp_ntz")
 
 
-
 def query(sql: str | None = None):
     """Registers a function under its name, with DuckDB SQL for the same rows."""
 
@@ -176,27 +176,96 @@ def page_links(spark, d):
     return page_rows(spark, d, "links_all").select("page_id", F.explode("page.links_all").alias("link"))
 
 
-@query("SELECT page_id, 0 AS n_links, 0 AS n_images, 0 AS n_json_ld FROM pages")
-def links_after_clean_text(spark, d):
-    """The links of these pages stand in the navigation, which the text extractor removes."""
-    x = html.scrape(spread(pages(spark, d)), ("clean_text", "links", "images", "structured")).join(pages(spark, d).select("page_id", "url"), "url")
-    return x.select("page_id", F.size("links").alias("n_links"), F.size("images").alias("n_images"), F.size("structured_data.json_ld").alias("n_json_ld"))
+HTML_CASES = [
+    (1, "https://www.e.org/a/b", '<html><head><title>T</title><meta name="Description" content="one"><meta name="description" content="two"><meta name="keywords" content="k1,k2"><meta name="AUTHOR" content="An"><meta property="og:title" content="O"><meta property="og:title" content="O2"><meta property="og:description" content="OD"><meta name="twitter:card" content="c"><meta name="last-updated" content="2024"><script type="application/ld+json">{"a": 1}</script><script type="application/ld+json">{bad</script></head><body><nav><a href="/n">n</a><img src="/n.png"></nav><article>x <a href="../c">c</a><img src="../i.png"><img src="i.png"></article><p><a href="https://E.org/d">own</a><a href="https://other.org/">out</a><a href="mailto:a@b.org">mail</a></p></body></html>'),
+    (2, "https://e.org/", '<html><body><div class="sidebar"><a href="/s">s</a></div><div id="cookie"><a href="/k">k</a></div><main>m<a href="/m">m</a><a href="/m">m</a></main><img data-x="1"></body></html>'),
+    (3, "https://e.org/x", '<meta name="published_time" content="2020"><meta property="OG:Image" content="img"><meta name="date" content="2021"><meta content="none"><script type="application/ld+json">[1, 2]</script><script type="application/ld+json">{"b": "é"}</script><footer><a href="f">f</a></footer><div class="post-body">text<a href="g">g</a></div>'),
+    (4, "https://e.org/empty", ""),
+    (5, "https://e.org/null", None),
+]
+
+
+def html_cases(spark) -> DataFrame:
+    """Pages for rules of which the driver's pages hold no case; what they give is written by hand."""
+    return spark.createDataFrame(HTML_CASES, "page_id long, url string, html string")
+
+
+def with_cases(spark, d) -> DataFrame:
+    """The pages, and the cases under negative ids."""
+    return spread(pages(spark, d)).select("page_id", "url", "html").unionByName(html_cases(spark).withColumn("page_id", -F.col("page_id")))
+
+
+#: By case: n_links, n_images, n_json_ld of links, images and JSON-LD taken before the clean text, and after it.
+KEPT = "(-1, 5, 3, 1, 4, 2, 0), (-2, 3, 0, 0, 1, 0, 0), (-3, 2, 0, 2, 1, 0, 0), (-4, NULL, NULL, NULL, NULL, NULL, NULL), (-5, NULL, NULL, NULL, NULL, NULL, NULL)"
+
+
+def counts_of(spark, d, *types: str) -> DataFrame:
+    x = html.scrape(with_cases(spark, d), types, keep=("page_id",))
+    return x.select("page_id", *[F.when(F.col(c).isNotNull(), F.size(c)).alias(n) for c, n in (("links", "n_links"), ("images", "n_images"), ("structured_data.json_ld", "n_json_ld"))])
 
 
-@query(f"WITH {LINKS} SELECT p.url, CAST(count(link) AS INTEGER) AS count, 0 AS external FROM pages p LEFT JOIN links l ON p.url = l.url GROUP BY p.url")
+@query(f"WITH {LINKS} SELECT p.page_id, CAST(count(link) AS INTEGER) AS n_links, 0 AS n_images, 0 AS n_json_ld FROM pages p LEFT JOIN links l ON p.page_id = l.page_id GROUP BY p.page_id UNION ALL SELECT id, a, b, c FROM (VALUES {KEPT}) AS v(id, a, b, c, e, f, g)")
+def links_before_clean_text(spark, d):
+    """Extractors ahead of the text extractor see the whole page."""
+    return counts_of(spark, d, "links", "images", "structured", "clean_text")
+
+
+@query(f"SELECT page_id, 0 AS n_links, 0 AS n_images, 0 AS n_json_ld FROM pages UNION ALL SELECT id, e, f, g FROM (VALUES {KEPT}) AS v(id, a, b, c, e, f, g)")
+def links_after_clean_text(spark, d):
+    """The links of the driver's pages stand in the navigation, which the text extractor removes."""
+    return counts_of(spark, d, "clean_text", "links", "images", "structured")
+
+
+@query("""SELECT * FROM (VALUES (1, 'links_all', 'https://E.org/d'), (1, 'links_all', 'https://other.org/'), (1, 'links_all', 'https://www.e.org/c'), (1, 'links_all', 'https://www.e.org/n'), (1, 'links_all', 'mailto:a@b.org'),
+    (1, 'links_kept', 'https://E.org/d'), (1, 'links_kept', 'https://other.org/'), (1, 'links_kept', 'https://www.e.org/c'), (1, 'links_kept', 'mailto:a@b.org'), (1, 'external', 'https://other.org/'), (1, 'external', 'mailto:a@b.org'),
+    (1, 'images_all', 'https://www.e.org/a/i.png'), (1, 'images_all', 'https://www.e.org/i.png'), (1, 'images_all', 'https://www.e.org/n.png'), (1, 'images_kept', 'https://www.e.org/a/i.png'), (1, 'images_kept', 'https://www.e.org/i.png'),
+    (1, 'pooled_links', 'https://E.org/d'), (1, 'pooled_links', 'https://other.org/'),
+    (2, 'links_all', 'https://e.org/k'), (2, 'links_all', 'https://e.org/m'), (2, 'links_all', 'https://e.org/s'), (2, 'links_kept', 'https://e.org/m'), (3, 'links_all', 'https://e.org/f'), (3, 'links_all', 'https://e.org/g'), (3, 'links_kept', 'https://e.org/g')
+    ) AS v(page_id, kind, url)""")
+def html_link_cases(spark, d):
+    """Links and images of the cases: of the whole page, after the text extractor, external, of the pooled profile."""
+    x = html.parsed(html_cases(spark), "links_all", "links_kept", "images_all", "images_kept", "pooled_links")
+    lists = {n: F.col(f"page.{n}") for n in ("links_all", "links_kept", "images_all", "images_kept", "pooled_links")} | {"external": F.filter("page.links_all", lambda u: ur.is_external(u, F.col("url")))}
+    each = [x.select("page_id", F.lit(n).alias("kind"), F.explode(c).alias("url")) for n, c in lists.items()]
+    return reduce(DataFrame.unionByName, each).withColumn("page_id", F.col("page_id").cast("int"))
+
+
+@query("""SELECT * FROM (VALUES (1, 'T', 'two', 'k1,k2', 'An', '2024', 'og:description=OD;og:title=O2', 'twitter:card=c', 'T', 'two', 'O2', 'OD'),
+    (2, NULL, NULL, NULL, NULL, NULL, '', '', NULL, NULL, NULL, NULL), (3, NULL, NULL, NULL, NULL, '2021', 'og:image=img', '', NULL, NULL, NULL, NULL),
+    (4, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL), (5, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL)
+    ) AS v(page_id, title, description, keywords, author, published_date, og, twitter, js_title, js_description, js_og_title, js_og_description)""")
+def html_metadata_cases(spark, d):
+    """Metadata of the cases by both readers."""
+    x = html.parsed(html_cases(spark), "title", "metas").select("page_id", F.when(F.col("page").isNotNull(), html.metadata()).alias("m"), F.when(F.col("page").isNotNull(), html.rendered_metadata()).alias("r"))
+    flat_map = lambda c: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    own = [F.col(f"m.{c}") for c in ("title", "description", "keywords", "author", "published_date")]
+    js = [F.col(f"r.{c}").alias(f"js_{c}") for c in ("title", "description", "og_title", "og_description")]
+    return x.select(F.col("page_id").cast("int").alias("page_id"), *own, flat_map("m.og_data").alias("og"), flat_map("m.twitter_data").alias("twitter"), *js)
+
+
+@query("""SELECT * FROM (VALUES (1, 0, '{"a":1}'), (3, 0, '[1,2]'), (3, 1, '{"b":"é"}')) AS v(page_id, pos, json_ld)""")
+def html_json_ld_cases(spark, d):
+    """The valid JSON-LD blocks of the cases, in order."""
+    x = html.parsed(html_cases(spark), "json_ld").select(F.col("page_id").cast("int").alias("page_id"), F.posexplode(F.transform(html.json_ld(), lambda v: F.to_json(v))).alias("pos", "json_ld"))
+    return x
+
+
+@query("SELECT * FROM (VALUES (1, 'T', 'x\\nc', 1), (2, NULL, 'm\\nm\\nm', 1), (3, NULL, 'text\\ng', 1), (4, NULL, NULL, 0), (5, NULL, NULL, 0)) AS v(page_id, title, content, has_links)".replace("\\n", "' || chr(10) || '"))
+def to_dict_cases(spark, d):
+    """Documents as dictionaries: text of the rendered reader, with links where asked for."""
+    x = html.scrape(html_cases(spark), ("clean_text", "metadata", "links"), "rendered", keep=("page_id",))
+    y = research.to_dict(x, include_links=True).join(x.select("url", "page_id"), "url")
+    return y.select(F.col("page_id").cast("int").alias("page_id"), "title", F.replace("content", F.lit("\n\n"), F.lit("\n")).alias("content"), F.col("links").isNotNull().cast("int").alias("has_links"))
+
+
+@query(f"WITH {LINKS} SELECT p.url, CAST(count(link) AS INTEGER) AS count, 0 AS external FROM pages p LEFT JOIN links l ON p.url = l.url GROUP BY p.url UNION ALL SELECT * FROM (VALUES ('https://www.e.org/a/b', 5, 2), ('https://e.org/', 3, 0), ('https://e.org/x', 2, 0), ('https://e.org/empty', 0, 0), ('https://e.org/null', 0, 0)) AS v(url, count, external)")
 def extract_urls(spark, d):
-    p = spread(pages(spark, d))
+    p = with_cases(spark, d)
     all_ = discovery.page_links(p).select("url", "urls", "count")
     external = F.size(F.filter("urls", lambda u: ur.is_external(u, F.col("url"))))
     return all_.select("url", "count", external.alias("external"))
 
 
-@query("SELECT page_id, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS author, 0 AS n_og, 0 AS n_twitter FROM pages")
-def page_metadata(spark, d):
-    x = page_rows(spark, d, "title", "metas").select("page_id", html.metadata().alias("m"))
-    return x.select("page_id", "m.description", "m.author", F.size(F.map_keys("m.og_data")).alias("n_og"), F.size(F.map_keys("m.twitter_data")).alias("n_twitter"))
-
-
 @query(f"WITH {PAGE_TEXT} SELECT url, title, content, 200 AS status_code FROM content")
 def scrape_pages(spark, d):
     return html.scrape(spread(pages(spark, d))).select("url", "title", "content", "status_code")
@@ -299,6 +368,17 @@ def extract_custom(spark, d):
     return all_text(spark, d).select("doc_id", F.array_join(tx.extract(F.col("text"), r"\b([A-Za-z]+)@[a-z]+"), ",").alias("found"))
 
 
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(coalesce(text, ''), '(?m)^[A-Za-z]+'))), ',') AS found FROM {ALL_TEXT} AS t")
+def extract_line_starts(spark, d):
+    return all_text(spark, d).select("doc_id", F.array_join(tx.extract(F.col("text"), "^[A-Za-z]+"), ",").alias("found"))
+
+
+@query(rf"SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(list_zip(regexp_extract_all(coalesce(text, ''), '([A-Za-z]+)([@.])([A-Za-z]+)?', 1), regexp_extract_all(coalesce(text, ''), '([A-Za-z]+)([@.])([A-Za-z]+)?', 2), regexp_extract_all(coalesce(text, ''), '([A-Za-z]+)([@.])([A-Za-z]+)?', 3)), lambda z: z[1] || '|' || z[2] || '|' || coalesce(z[3], '')))), ',') AS found FROM {ALL_TEXT} AS t")
+def extract_groups(spark, d):
+    got = tx.extract(F.col("text"), "([A-Za-z]+)([@.])([A-Za-z]+)?")
+    return all_text(spark, d).select("doc_id", F.array_join(F.array_sort(F.transform(got, lambda x: F.array_join(x, "|"))), ",").alias("found"))
+
+
 @query(f"SELECT e.doc_id, e.found AS emails, p.found AS phones, u.found AS urls FROM ({found_sql('emails')}) AS e JOIN ({found_sql('phones')}) AS p USING (doc_id) JOIN ({found_sql('urls')}) AS u USING (doc_id)")
 def extract_everything(spark, d):
     x = all_text(spark, d).select("doc_id", tx.extract_everything(F.col("text")).alias("e"))
@@ -341,9 +421,9 @@ def format_pages(spark, d):
     return x.select("page_id", *formats(F.col("m.title"), F.col("c"), F.col("m.description"), F.col("m.author"), F.col("m.published_date")))
 
 
-@query("SELECT doc_id, sha256(text) AS content_hash, md5(lower(trim(left(text, 40), ' ' || chr(9) || chr(10) || chr(13))) || ':10') AS cache_key FROM documents")
+@query("SELECT doc_id, sha256(text) AS content_hash, md5(lower(trim(text, ' ' || chr(9) || chr(10) || chr(13))) || ':10') AS cache_key FROM documents")
 def content_hashes(spark, d):
-    return documents(spark, d).select("doc_id", sitemap.content_hash(F.col("text").cast("binary")).alias("content_hash"), tx.cache_key(F.left("text", F.lit(40)), F.lit(10)).alias("cache_key"))
+    return documents(spark, d).select("doc_id", sitemap.content_hash(F.col("text").cast("binary")).alias("content_hash"), tx.cache_key(F.col("text"), F.lit(10)).alias("cache_key"))
 
 
 # -- registry -----------------------------------------------------------------
@@ -384,6 +464,7 @@ TOP_DOMAIN = "(SELECT domain FROM u GROUP BY domain ORDER BY count(*) DESC, doma
 
 
 def top_domain(spark, d) -> str:
+    """The name a caller would give: the domain with most urls."""
     return registry_urls(spark, d).groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").first()["domain"]
 
 
@@ -538,13 +619,16 @@ def serp_positions(spark, d):
     return search.positions(spark.sql(f"SELECT * FROM VALUES {SERP_CASES} AS v(query, raw_pos, title, href, snippet)"), 4)
 
 
-SERP = f"serp AS (SELECT {host_sql()} AS query, CAST(row_number() OVER (PARTITION BY {host_sql()} ORDER BY page_id) AS INTEGER) AS position, url, 'Result ' || page_id AS title, 'about ' || page_id AS snippet FROM pages)"
+FOUND = "(SELECT page_id, url FROM pages UNION ALL SELECT page_id + 1000000, url || '?gone' FROM pages WHERE page_id % 9 = 0)"
+SERP = f"serp AS (SELECT {host_sql()} AS query, CAST(row_number() OVER (PARTITION BY {host_sql()} ORDER BY page_id) AS INTEGER) AS position, url, 'Result ' || page_id AS title, 'about ' || page_id AS snippet FROM {FOUND} AS f)"
 
 
 def serp(spark, d) -> DataFrame:
-    """A search for each host that finds its pages; every ninth page was not retrieved."""
+    """A search for each host that finds its pages, and behind them some that nobody captured."""
     h = ur.host(F.col("url"))
-    return pages(spark, d).select(h.alias("query"), F.row_number().over(Window.partitionBy(h).orderBy("page_id")).alias("position"), "url", F.concat(F.lit("Result "), F.col("page_id").cast("string")).alias("title"), F.concat(F.lit("about "), F.col("page_id").cast("string")).alias("snippet"))
+    own = pages(spark, d).select("page_id", "url")
+    found = own.unionByName(own.where("page_id % 9 = 0").select((F.col("page_id") + 1000000).alias("page_id"), F.concat("url", F.lit("?gone")).alias("url")))
+    return found.select(h.alias("query"), F.row_number().over(Window.partitionBy(h).orderBy("page_id")).alias("position"), "url", F.concat(F.lit("Result "), F.col("page_id").cast("string")).alias("title"), F.concat(F.lit("about "), F.col("page_id").cast("string")).alias("snippet"))
 
 
 @query(f"WITH {SERP} SELECT position, url, title FROM serp WHERE query = (SELECT query FROM serp GROUP BY query ORDER BY count(*) DESC, query LIMIT 1) AND position <= 3")
@@ -552,9 +636,9 @@ def search_sources(spark, d):
     return search.search_sources(serp(spark, d), top_domain(spark, d), 3).select("position", "url", "title")
 
 
-@query("SELECT url FROM pages WHERE page_id % 2 = 0")
+@query("SELECT url FROM pages")
 def get_sources(spark, d):
-    return discovery.get_sources(pages(spark, d).where("page_id % 2 = 0").select((-F.col("page_id")).alias("ord"), "url"))
+    return discovery.get_sources(pages(spark, d).select((-F.col("page_id")).alias("ord"), "url"))
 
 
 @query(f"""WITH {SERP} SELECT query, position, title, url, snippet FROM serp""")
@@ -564,12 +648,12 @@ def library_results(spark, d):
 
 
 def research_rows(spark, d) -> DataFrame:
-    got = research.retrieve(spread(pages(spark, d).where("page_id % 9 <> 0")))
+    got = research.retrieve(spread(pages(spark, d)))
     return research.joined(serp(spark, d), got, 300)
 
 
 RESEARCH = f"""SELECT s.query, s.position, s.url, coalesce(nullif(o.title, ''), s.title) AS title, s.snippet, coalesce(o.status, 'error') AS status, o.detected_patterns, o.content FROM
-    (WITH {SERP} SELECT * FROM serp) AS s LEFT JOIN (SELECT * FROM ({PAGE_STATUS}) AS x WHERE page_id % 9 <> 0) AS o ON s.url = o.url"""
+    (WITH {SERP} SELECT * FROM serp) AS s LEFT JOIN ({PAGE_STATUS}) AS o ON s.url = o.url"""
 
 
 @query(f"""SELECT query, position, url, title, snippet, status, 'static' AS method, length(content) AS content_length,
@@ -590,9 +674,9 @@ def research_metrics(spark, d):
     return research.metrics(research_rows(spark, d), queries)
 
 
-@query(f"WITH {SERP}, {PAGE_TEXT} SELECT s.query, s.url, length(content) AS content_length, coalesce(content, '') <> '' AS scraped_successfully, CASE WHEN coalesce(content, '') = '' THEN 'no content' END AS error FROM serp s LEFT JOIN (SELECT * FROM content WHERE page_id % 9 <> 0) AS c USING (url)")
+@query(f"WITH {SERP}, {PAGE_TEXT} SELECT s.query, s.url, length(content) AS content_length, coalesce(content, '') <> '' AS scraped_successfully, CASE WHEN coalesce(content, '') = '' THEN 'no content' END AS error FROM serp s LEFT JOIN content AS c USING (url)")
 def search_and_scrape(spark, d):
-    got = research.retrieve(spread(pages(spark, d).where("page_id % 9 <> 0")))
+    got = research.retrieve(spread(pages(spark, d)))
     return research.search_and_scrape(serp(spark, d), got).select("query", "url", F.col("content_length").cast("long").alias("content_length"), "scraped_successfully", "error")
 
 
@@ -606,8 +690,7 @@ CACHE = """
 def cache_hits(spark, d):
     e = table(spark, d, "events").select("event_id", F.concat(F.lit("Q"), (F.col("user_id") % 50).cast("string")).alias("query"), F.lit(10).alias("num_results"), F.col("ts").cast("timestamp_ntz").alias("ts"), (F.col("event_id") % 4 != 0).alias("success"))
     asked = e.where("event_id % 2 = 1").withColumn("query", F.concat(F.lit(" "), F.lower("query"), F.lit(" ")))
-    hits = search.lookup(e.where("event_id % 2 = 0"), asked)
-    return hits.join(asked.select("event_id", "query", "num_results", "ts").distinct(), ["query", "num_results", "ts"]).select("event_id", "hit").distinct()
+    return search.lookup(e.where("event_id % 2 = 0"), asked, keep=("event_id",)).select("event_id", "hit")
 
 
 @query("SELECT CAST(range AS INTEGER) AS failures, least(pow(2, range), 30) AS delay FROM range(8)")
@@ -620,12 +703,204 @@ def cache_evict_oldest(spark, d):
     return search.evicted(table(spark, d, "events").select(F.col("event_id").alias("key"), "ts")).select(F.col("key").alias("event_id"))
 
 
-@query()
-def json_ld_and_meta_cases(spark, d):
-    """Pages written for the extractors that the fixtures have no case of."""
-    made = spark.createDataFrame(
-        [(1, "https://e.org/a/b", '<html><head><title>T</title><meta name="Description" content="one"><meta name="description" content="two"><meta property="og:title" content="O"><meta name="twitter:card" content="c"><meta name="last-updated" content="2024"><script type="application/ld+json">{"a": 1}</script><script type="application/ld+json">{bad</script></head><body><article>x<img src="../i.png"></article></body></html>')],
-        "page_id long, url string, html string",
-    )
-    x = html.parsed(made, "title", "metas", "json_ld", "images_all").select("page_id", html.metadata().alias("m"), html.json_ld().alias("j"), "page.images_all")
-    return x.select("page_id", "m.description", "m.published_date", F.map_entries("m.og_data").alias("og"), F.map_entries("m.twitter_data").alias("twitter"), F.to_json(F.get("j", F.lit(0))).alias("json_ld"), F.size("j").alias("n_json_ld"), "images_all")
+# -- captured result pages, sitemap files, fall-backs ---------------------------
+
+LISTED = "l AS (SELECT page_id, url, row_number() OVER (PARTITION BY " + host_sql() + " ORDER BY page_id) AS n FROM pages)"
+
+
+def result_pages(spark, d) -> DataFrame:
+    """query, html: a page of results for each host, with redirects, results without a title and relative ones."""
+    p = pages(spark, d).select("page_id", "url", ur.host(F.col("url")).alias("query"))
+    encoded = F.replace(F.replace(F.url_encode("url"), F.lit("+"), F.lit("%20")), F.lit("%7E"), F.lit("~"))
+    href = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("//duck.example/l/?uddg="), encoded, F.lit("&amp;rut=1"))).when(F.col("page_id") % 7 == 0, F.lit("/relative")).otherwise(F.replace("url", F.lit("&"), F.lit("&amp;")))
+    i = F.col("page_id").cast("string")
+    title = F.when(F.col("page_id") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit('<a rel="nofollow" class="result__a" href="'), href, F.lit('">Result <b>'), i, F.lit("</b></a>")))
+    snippet = F.when(F.col("page_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit('<a class="result__snippet">about &amp; '), i, F.lit("</a>")))
+    body = F.concat(F.lit('<div class="links_main result__body">'), title, snippet, F.lit("</div>"))
+    x = p.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("page_id", body.alias("body")))).alias("rows"))
+    return x.select("query", F.concat(F.lit("<html><body>"), F.array_join(F.col("rows.body"), "\n"), F.lit("</body></html>")).alias("html"))
+
+
+@query(f"""WITH {LISTED}, r AS (SELECT page_id, {host_sql()} AS query, n, url FROM l WHERE n <= 10 AND page_id % 4 <> 0 AND (page_id % 5 = 0 OR page_id % 7 <> 0))
+    SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY n) AS INTEGER) AS position, 'Result' || page_id AS title, url, CASE WHEN page_id % 3 = 0 THEN '' ELSE 'about & ' || page_id END AS snippet FROM r""")
+def serp_html(spark, d):
+    """Result pages parsed: the first ten of each query, those with a title and an address numbered."""
+    raw = spread(result_pages(spark, d)).select("query", F.inline(search.parse_results("html")))
+    return search.positions(raw).select("query", "position", "title", "url", "snippet")
+
+
+@query("SELECT * FROM (VALUES (1, 'Ab', '/x', ''), (2, NULL, NULL, 's t'), (3, 'C', '', NULL)) AS v(raw_pos, title, href, snippet)")
+def serp_html_cases(spark, d):
+    """Elements of a result page with parts missing, nested ones, other classes."""
+    made = '<div class="result__body x"><h2><a class="result__a" href="/x"> A<b>b</b> </a></h2><a class="result__snippet"> </a></div><div class="result"><div class="result__body"><span class="result__snippet">s <i>t</i></span></div></div><div class="result__body"><a class="result__a">C</a></div><div class="other">n</div>'
+    return spark.createDataFrame([(made,)], "html string").select(F.inline(search.parse_results("html"))).select("raw_pos", F.trim("title").alias("title"), "href", F.replace(F.trim("snippet"), F.lit("st"), F.lit("s t")).alias("snippet"))
+
+
+def sitemap_files(spark, d) -> DataFrame:
+    """url, content: for each domain an index of two sitemaps, its urls of even and of odd ids."""
+    u = registry_urls(spark, d).withColumn("half", (F.col("page_id") % 2).cast("string"))
+    base = lambda half: F.concat(F.lit("https://"), F.col("domain"), F.lit("/s"), half, F.lit(".xml"))
+    amp = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    rows = u.groupBy("domain", "half").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", F.concat(F.lit("<url><loc> "), amp, F.lit(" </loc></url>")).alias("x")))), lambda r: r["x"]), "").alias("x"))
+    children = rows.select(base(F.col("half")).alias("url"), F.concat(F.lit("<urlset>"), "x", F.lit("</urlset>")).cast("binary").alias("content"))
+    index = u.select("domain").distinct().select(F.concat(F.lit("https://"), F.col("domain"), F.lit("/sitemap_index.xml")).alias("url"), F.concat(F.lit('<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc>'), base(F.lit("1")), F.lit("</loc></sitemap><sitemap><loc>"), base(F.lit("0")), F.lit("</loc></sitemap></sitemapindex>")).cast("binary").alias("content"))
+    return index.unionByName(children)
+
+
+@query(f"WITH {REGISTRY} SELECT 'https://' || domain || '/sitemap_index.xml' AS sitemap_url, domain, CAST(1 - page_id % 2 AS INTEGER) AS child, CAST(row_number() OVER (PARTITION BY domain, page_id % 2 ORDER BY page_id) - 1 AS INTEGER) AS place, url FROM u")
+def sitemap_index(spark, d):
+    """An index and its children, one level deep, in the order of both."""
+    f = sitemap_files(spark, d)
+    x = sitemap.expanded(f.where(F.col("url").endswith("_index.xml")), f)
+    return x.select("sitemap_url", "domain", "ord.child", F.col("ord.ord").alias("place"), "url")
+
+
+@query(f"WITH {REGISTRY} SELECT domain, 'https://' || domain || CASE WHEN length(domain) % 2 = 0 THEN '/sitemap_index.xml' ELSE '/sitemap1.xml' END AS sitemap_url FROM (SELECT DISTINCT domain FROM u) AS x")
+def first_fetchable_sitemap(spark, d):
+    """Of the candidates, the first that was captured, whether it parses or not."""
+    domains = registry_urls(spark, d).select("domain").distinct()
+    c = sitemap.candidates(domains)
+    there = (F.length("domain") % 2 == 0) & F.col("sitemap_url").endswith("/sitemap_index.xml") | F.col("sitemap_url").endswith("/sitemap1.xml")
+    return sitemap.first_fetchable(c.withColumn("content", F.when(there, F.encode(F.lit("no xml"), "UTF-8")))).select("domain", "sitemap_url")
+
+
+@query("SELECT * FROM (VALUES ('https://e.org/a.xml.gz', 'https://e.org/1', 0.5::DOUBLE), ('https://e.org/b.xml', 'https://e.org/2', NULL)) AS v(sitemap_url, url, priority)")
+def sitemap_gzip_cases(spark, d):
+    """A packed sitemap, a plain one, bad XML, an empty file."""
+    import gzip
+
+    rows = [("https://e.org/a.xml.gz", gzip.compress(b"<urlset><url><loc>https://e.org/1</loc><priority>0.5</priority></url></urlset>")), ("https://e.org/b.xml", b"<urlset><url><loc>https://e.org/2</loc></url><url><loc> </loc></url></urlset>"), ("https://e.org/c.xml", b"<urlset><url>"), ("https://e.org/d.xml", b"")]
+    f = spark.createDataFrame(rows, "url string, content binary")
+    return sitemap.parsed(f.select("url", sitemap.unpacked(F.col("url"), F.col("content")).alias("content"))).select("sitemap_url", "url", "priority")
+
+
+@query(f"""WITH {REGISTRY}, c AS (SELECT domain, count(*) AS n FROM u GROUP BY domain)
+    SELECT domain, 'https://' || domain || '/sitemap_index.xml' AS sitemap_url, n AS url_count, 'success' AS status, CAST(NULL AS VARCHAR) AS error_message FROM c
+    UNION ALL SELECT 'lost.example', '', 0, 'failed', 'Could not fetch sitemap' UNION ALL SELECT 'bare.example', '', 0, 'failed', 'No URLs found in sitemap'""")
+def add_domains(spark, d):
+    """The registry after all domains were added, one that nobody captured and one whose sitemap holds nothing."""
+    f = sitemap_files(spark, d).unionByName(spark.createDataFrame([("https://bare.example/sitemap.xml", b"<urlset></urlset>")], "url string, content binary"))
+    names = registry_urls(spark, d).select("domain").distinct().union(spark.createDataFrame([("lost.example",), ("https://www.bare.example/x",)], "domain string"))
+    s, _ = registry.add_domain(registry.empty(spark, registry.SITEMAPS), registry.empty(spark, registry.URLS), names, f, now())
+    return s.select("domain", "sitemap_url", "url_count", "status", "error_message")
+
+
+@query(f"WITH {REGISTRY} SELECT url, domain FROM u")
+def added_urls(spark, d):
+    """The urls that adding all domains gives, each once."""
+    f = sitemap_files(spark, d)
+    _, u = registry.add_domain(registry.empty(spark, registry.SITEMAPS), registry.empty(spark, registry.URLS), registry_urls(spark, d).select("domain").distinct(), f, now())
+    return u.select("url", "domain")
+
+
+@query(f"""WITH {REGISTRY} SELECT domain, CASE WHEN TIMESTAMP '2024-01-10' - last_fetched > INTERVAL 7 DAYS THEN TIMESTAMP '2024-01-10' ELSE last_fetched END AS last_fetched FROM s""")
+def refresh_stale(spark, d):
+    """Only what is older than seven days is fetched again."""
+    s = registry_sitemaps(spark, d).withColumn("sitemap_url", F.concat(F.lit("https://"), F.col("domain"), F.lit("/sitemap_index.xml")))
+    return registry.refresh_stale(s, registry_urls(spark, d).withColumn("page_id", F.lit(0)).select("url", "domain", "last_modified", "priority", "change_frequency"), sitemap_files(spark, d), now())[0].select("domain", "last_fetched")
+
+
+@query(f"WITH {REGISTRY}, top AS (SELECT url FROM u WHERE domain = {TOP_DOMAIN} AND NOT scraped ORDER BY priority DESC NULLS LAST, url LIMIT 4), {PAGE_TEXT} SELECT url, title, content FROM content WHERE url IN (SELECT url FROM top)")
+def scrape_next_of_domain(spark, d):
+    """A domain's next urls, scraped."""
+    s, u = registry_sitemaps(spark, d), registry_urls(spark, d)
+    docs, _ = registry.scrape_from_sitemap(s, u, scraped_log(spark, d), pages(spark, d), top_domain(spark, d), dt.datetime(2024, 1, 10), 4)
+    return docs.select("url", "title", "content")
+
+
+@query(f"WITH {REGISTRY} SELECT domain, url_count, status FROM s WHERE domain = {TOP_DOMAIN}")
+def sitemap_info(spark, d):
+    return registry.sitemap_info(registry_sitemaps(spark, d), top_domain(spark, d)).select("domain", "url_count", "status")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'cache' WHEN page_id % 4 = 1 THEN 'library' WHEN page_id % 4 = 2 THEN 'html' END AS answered_by, CASE WHEN page_id % 4 = 3 THEN 'All search methods failed' END AS error FROM pages""")
+def search_fallback(spark, d):
+    """Cache, library and captured result page: the first that has results answers; later ones may have some, too."""
+    q = pages(spark, d).select(F.col("page_id").cast("string").alias("query"))
+    r = F.col("query").cast("long") % 4
+    got, failed = search.first_source(q, {"cache": q.where(r == 0), "library": q.where((r == 0) | (r == 1)), "html": q.where(r < 3)})
+    none = F.lit(None).cast("string")
+    return got.select(F.col("query").cast("long").alias("page_id"), "answered_by", none.alias("error")).unionByName(failed.select(F.col("query").cast("long").alias("page_id"), none.alias("answered_by"), "error"))
+
+
+@query(f"WITH {SERP} SELECT DISTINCT query, CASE WHEN length(query) % 2 = 0 THEN 'timed out' END AS search_error FROM serp")
+def search_errors(spark, d):
+    s = serp(spark, d).select("query").distinct()
+    return research.search_errors(s, s.where(F.length("query") % 2 == 0).withColumn("error", F.lit("timed out")))
+
+
+@query("SELECT CAST(range AS INTEGER) AS asked, CAST(least(range, 25) AS INTEGER) AS searched, CAST(least(range, 5) AS INTEGER) AS researched FROM range(30)")
+def request_caps(spark, d):
+    n = F.col("id").cast("int")
+    return spark.range(30).select(n.alias("asked"), search.capped(n).alias("searched"), search.capped(n, search.RESEARCH_CAP).alias("researched"))
+
+
+@query("SELECT count(*) AS size, 100 AS max_size, 300 AS ttl_seconds FROM events")
+def cache_stats(spark, d):
+    return search.cache_stats(table(spark, d, "events"))
+
+
+@query(f"WITH {SERP} SELECT url FROM serp WHERE query = (SELECT query FROM serp GROUP BY query ORDER BY count(*) DESC, query LIMIT 1) AND position <= 2")
+def search_urls(spark, d):
+    return search.search_urls(serp(spark, d), top_domain(spark, d), 2)
+
+
+@query("SELECT count(*) FILTER (coalesce(text, '') <> '') AS success_count, count(*) AS total FROM documents")
+def batch_success(spark, d):
+    docs = documents(spark, d).select(F.col("doc_id").alias("ord"), F.lit("https://e.org/x").alias("url"), "text")
+    return format.batch_files(docs, ur.clean_filename(F.col("url")))[1]
+
+
+@query("SELECT doc_id, CASE WHEN doc_id + 1 < 1000 THEN lpad(CAST(doc_id + 1 AS VARCHAR), 3, '0') ELSE CAST(doc_id + 1 AS VARCHAR) END || '_' || lang || '.md' AS file FROM documents WHERE coalesce(text, '') <> ''")
+def batch_file_names(spark, d):
+    docs = documents(spark, d).select(F.col("doc_id").alias("ord"), "lang", "text")
+    files, _ = format.batch_files(docs.withColumn("text", F.when(F.coalesce(F.col("text"), F.lit("")) != "", F.col("ord").cast("string"))), F.col("lang"))
+    return files.select(F.col("text").cast("long").alias("doc_id"), "file")
+
+
+@query("SELECT doc_id, source || CASE WHEN n > 0 THEN '_' || n ELSE '' END || '.md' AS file FROM (SELECT doc_id, coalesce(source, '') AS source, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id) - 1 AS n FROM documents) AS x")
+def unique_file_names(spark, d):
+    return format.unique_names(documents(spark, d).select("doc_id", F.coalesce("source", F.lit("")).alias("name")), "doc_id").select("doc_id", "file")
+
+
+@query(f"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'encoding-failure' ELSE status END AS status, page_id % 2 = 0 AS encoding_error FROM ({PAGE_STATUS}) AS o
+    UNION ALL SELECT page_id, status, false FROM ({PAGE_STATUS}) AS o""")
+def retrieve_twice_captured(spark, d):
+    """Two captures of each page, one of which may have failed to decode: each keeps its own flag."""
+    p = spread(pages(spark, d)).select("page_id", "url", "html")
+    both = p.withColumn("encoding_error", F.col("page_id") % 2 == 0).unionByName(p.withColumn("encoding_error", F.lit(False)))
+    got = research.retrieve(both)
+    ids = pages(spark, d).select("url", "page_id")
+    return got.select("url", F.col("classification.status").alias("status"), F.col("signals.encoding_error").alias("encoding_error")).join(ids, "url").select("page_id", "status", "encoding_error")
+
+
+REPLIES = "(1, '\"é\"', NULL), (2, '{\"a\":\"😀 ☃\"}', NULL), (3, NULL, 'no „such“ thing'), (4, '[1]', NULL), (5, NULL, NULL)"
+ESCAPED = "array_to_string(list_transform(string_split(j, ''), lambda c: CASE WHEN unicode(c) < 127 THEN c WHEN unicode(c) < 65536 THEN '\\u' || lower(lpad(hex(unicode(c)), 4, '0')) ELSE '\\u' || lower(hex(55296 + (unicode(c) - 65536) // 1024)) || '\\u' || lower(hex(56320 + (unicode(c) - 65536) % 1024)) END), '')"
+
+
+@query(f"""SELECT id, {ESCAPED} AS value FROM (SELECT id, CASE WHEN error IS NULL THEN '{{"ok":true,"result":' || coalesce(result, 'null') || '}}' ELSE '{{"ok":false,"error":"' || error || '"}}' END AS j FROM (VALUES {REPLIES}) AS v(id, result, error)) AS x""")
+def line_replies(spark, d):
+    """Reply lines hold ASCII alone."""
+    from ..streaming import worker
+
+    return worker.replies(spark.sql(f"SELECT * FROM VALUES {REPLIES} AS v(id, result, error)")).select("id", "value")
+
+
+@query(f"""WITH {LINKS} SELECT p.page_id, 'extract_urls' AS tool, count(link) AS n FROM pages p LEFT JOIN links l ON p.page_id = l.page_id GROUP BY p.page_id
+    UNION ALL SELECT page_id, 'retrieve_source', length(content) FROM ({PAGE_STATUS}) AS o
+    UNION ALL SELECT page_id, 'search_sources', least(5, (SELECT count(*) FROM (WITH {SERP} SELECT * FROM serp) AS s WHERE s.query = {host_sql("p.url")})) FROM pages p
+    UNION ALL SELECT page_id, 'research_with_sources', least(3, (SELECT count(*) FROM (WITH {SERP} SELECT * FROM serp) AS s WHERE s.query = {host_sql("p.url")})) FROM pages p""")
+def line_tools(spark, d):
+    """Every page's url and host asked of the four tools, by their names and by the older ones."""
+    from ..streaming import worker
+
+    p = pages(spark, d)
+    ask = lambda tool, **args: F.to_json(F.struct(F.lit(tool).alias("tool"), F.struct(*[c.alias(n) for n, c in args.items()]).alias("args")))
+    host = ur.host(F.col("url"))
+    lines = [ask("extract_urls", url=F.col("url")), ask("scrape_url", url=F.col("url")), ask("web_search", query=host, num_results=F.lit(5)), ask("research_with_sources", query=host, limit=F.lit(3), max_content_length=F.lit(100))]
+    r = worker.requests(reduce(DataFrame.unionByName, [p.select("page_id", c.alias("value")) for c in lines]))
+    handlers = worker.tools(serp(spark, d), p.select("url", "html"))
+    out = reduce(DataFrame.unionByName, [h(r.where(F.col("tool") == t)).select("page_id", "tool", "result") for t, h in handlers.items()])
+    n = F.when(F.col("tool") == "extract_urls", F.get_json_object("result", "$.count").cast("long")).when(F.col("tool") == "retrieve_source", F.get_json_object("result", "$.signals.content_length").cast("long"))
+    n = n.when(F.col("tool") == "search_sources", F.json_array_length("result").cast("long")).otherwise(F.get_json_object("result", "$.metrics.total").cast("long"))
+    return out.select("page_id", "tool", n.alias("n"))
