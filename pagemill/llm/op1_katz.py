@@ -44,7 +44,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import lru_cache, reduce
 from hashlib import sha256
 
 import numpy as np
@@ -57,7 +57,8 @@ from .common import discard, table, whole_text, written
 ORDER = 3
 CUTOFF = 5
 HOT_WORDS, HOT_CONTEXTS = 2**20, 2**20
-BLOCK_TOKENS = 1_000_000
+ROUNDS = 3
+BLOCK_TOKENS = 500_000
 PART_TOKENS = 2_000_000
 ADD = 0.1
 START, END = 0, 1  # hashes that stand for the start of a text and the end token
@@ -132,7 +133,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: A number for each byte; A-Z have those of a-z.
 _BYTE = np.frombuffer(b"".join(sha256(bytes([b])).digest()[:8] for b in bytes(range(256)).lower()), np.uint64)
 _BASE = 0x9E3779B97F4A7C15
-_PIECE = 2**20
+_PIECE, _BATCH = 2**20, 2**22
 
 
 @lru_cache(maxsize=2)
@@ -192,22 +193,22 @@ class Block:
         at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(len(self.hashes))
         return Block(self.ids.take(pa.array(order)), self.held_out[order], self.hashes[at], n)
 
-    def numbered(self, model: Model, texts: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    def numbered(self, model: Model, order: int, texts: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """(ascending codes of words from START on, for each token the numbers of itself and
-        of the ORDER - 1 tokens before it, its text), of all texts or of some."""
+        of the order - 1 tokens before it, its text), of all texts or of some."""
         h, n = self.hashes, self.n
         if texts is not None:
             h, n = h[np.repeat(texts, n)], n[texts]
         words, own = np.unique(h, return_inverse=True)
         words = model.codes(words + RARE)
         if len(model.words):
-            order = np.argsort(words)
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            words, own = words[order], place[own]
+            sort = np.argsort(words)
+            place = np.empty(len(sort), np.int64)
+            place[sort] = np.arange(len(sort))
+            words, own = words[sort], place[own]
         first = np.cumsum(n) - n
         out = [own + 1]
-        for _ in range(ORDER - 1):
+        for _ in range(order - 1):
             before = np.zeros_like(out[-1])
             before[1:] = out[-1][:-1]
             before[first] = 0
@@ -232,27 +233,32 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Block]:
         text = b.column("text").cast(pa.large_string())
         _, offsets, data = text.buffers()
         offsets = np.frombuffer(offsets, np.int64)[text.offset : text.offset + len(text) + 1]
-        h, n = words_of(np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), offsets)
-        n = n + 1
-        tokens = np.full(int(n.sum()), END, np.int64)
-        ends = np.cumsum(n)
-        inner = np.ones(len(tokens), bool)
-        inner[ends - 1] = False
-        tokens[inner] = h
+        data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
         flags = b.column("held_out").to_numpy(zero_copy_only=False)
-        lo = 0
-        while lo < len(n):
-            base = int(ends[lo - 1]) if lo else 0
-            hi = min(len(n), int(np.searchsorted(ends, base + size - have)) + 1)
-            ids.append(b.column("doc_id").slice(lo, hi - lo))
-            held.append(flags[lo:hi])
-            parts.append(tokens[base : int(ends[hi - 1])])
-            counts.append(n[lo:hi])
-            have += len(parts[-1])
-            lo = hi
-            if have >= size:
-                yield block()
-                ids, held, parts, counts, have = [], [], [], [], 0
+        at = 0
+        while at < len(text):  # some texts at a time
+            till = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _BATCH, side="right")) - 1)
+            h, n = words_of(data, offsets[at : till + 1])
+            n = n + 1
+            tokens = np.full(int(n.sum()), END, np.int64)
+            ends = np.cumsum(n)
+            inner = np.ones(len(tokens), bool)
+            inner[ends - 1] = False
+            tokens[inner] = h
+            lo = 0
+            while lo < len(n):
+                base = int(ends[lo - 1]) if lo else 0
+                hi = min(len(n), int(np.searchsorted(ends, base + size - have)) + 1)
+                ids.append(b.column("doc_id").slice(at + lo, hi - lo))
+                held.append(flags[at + lo : at + hi])
+                parts.append(tokens[base : int(ends[hi - 1])])
+                counts.append(n[lo:hi])
+                have += len(parts[-1])
+                lo = hi
+                if have >= size:
+                    yield block()
+                    ids, held, parts, counts, have = [], [], [], [], 0
+            at = till
     if ids:
         yield block()
 
@@ -375,6 +381,24 @@ def tuple_key(columns: list[np.ndarray], size: int) -> np.ndarray:
     return key
 
 
+def distinct(columns: list[np.ndarray], sizes: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(columns of the distinct rows in ascending order, how often each occurs)."""
+    bits = [max(1, (s - 1).bit_length()) for s in sizes]
+    if sum(bits) > 62:
+        order, first = grouped(tuple_key(columns, max(sizes)))
+        return [c[order[first]] for c in columns], np.diff(np.append(first, len(order)))
+    key = columns[0]
+    for c, b in zip(columns[1:], bits[1:]):
+        key = key << b | c
+    key = np.sort(key)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    n, key, out = np.diff(np.append(first, len(key))), key[first], []
+    for b in bits[:0:-1]:
+        out.append(key & ((1 << b) - 1))
+        key = key >> b
+    return [key, *out[::-1]], n
+
+
 def names(k: int) -> list[str]:
     return [f"c{i}" for i in range(k)]
 
@@ -415,11 +439,12 @@ def counting(level: int, model: Model, block_tokens: int):
         for b in blocks(batches, block_tokens):
             if b.held_out.all():
                 continue
-            words, tokens, _ = b.numbered(model, ~b.held_out)
-            columns = tokens[:level][::-1]
-            order, first = grouped(tuple_key(columns, len(words)))
-            n = np.diff(np.append(first, len(order)))
-            columns = [c[order[first]] for c in columns]
+            if level == 1:
+                words, n = np.unique(b.hashes[np.repeat(~b.held_out, b.n)], return_counts=True)
+                words, columns = words + RARE, [np.arange(len(words))]
+            else:
+                words, tokens, _ = b.numbered(model, level, ~b.held_out)
+                columns, n = distinct(tokens[::-1], [len(words)] * level)
             out = []
             for p, x in by_part(model.route(level, [words[c] for c in columns]), model.parts):
                 own, cols = local(words, [c[x] for c in columns])
@@ -609,7 +634,9 @@ def weighted(level: int, model):
         out = []
         if listed.any():
             out.append((level, p, 0, HELD, pack(key=keys[listed], small=small[listed].astype(np.int64), mass=sums[1][listed].astype(float), below=sums[2][listed])))
-        out.append((level, p, 0, TABLE, pack(words=row["words"], n=row["n"], **dict(zip(names(level), columns)), x=x[~listed], total=whole[~listed], weight=own_weight[~listed])))
+        # the top level's n-grams stay where they are, and its weights beside them
+        grams = {} if level == ORDER else {"words": row["words"], "n": row["n"]} | dict(zip(names(level), columns))
+        out.append((level, p, 0, TABLE, pack(**grams, x=x[~listed], total=whole[~listed], weight=own_weight[~listed])))
         if "oc0" in row and len(row["oc0"]):
             columns = [row[f"o{c}"] for c in names(level)]
             score = np.log10(below(columns))
@@ -680,7 +707,7 @@ def sending(model, block_tokens: int):
             b = b.training_first()
             train = np.array([int((~b.held_out).sum())])
             number, docs = block_number(i), len(b.ids)
-            words, tokens, doc = b.numbered(m)
+            words, tokens, doc = b.numbered(m, ORDER)
             is_hot = (words < RARE) & (words > START)
             hot = is_hot[tokens[0]]
             count = np.zeros(len(words), np.int64)
@@ -692,15 +719,10 @@ def sending(model, block_tokens: int):
             lacks = b.ids.is_null().to_numpy(zero_copy_only=False)
             out = [(0, number % m.parts, number, META, pack(sign=(ids < 0).astype(np.int64), ids=np.where(ids < 0, -(ids + 1), ids), null=lacks.astype(np.int64), held=b.held_out.astype(np.int64), n=b.n, base=base, known=known))]
 
-            def message(level: int, at: np.ndarray) -> None:
-                """The n-grams that end at these tokens."""
-                columns = [c[at] for c in tokens[:level][::-1]]  # noqa: B023
-                key, d = tuple_key(columns, len(words)), doc[at]  # noqa: B023
-                order = np.argsort(key, kind="stable")  # within an n-gram, texts ascend
-                key, d = key[order], d[order]
-                first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (d[1:] != d[:-1])))
-                n = np.diff(np.append(first, len(order)))
-                columns, d = [c[order[first]] for c in columns], d[first]
+            def message(level: int, at: np.ndarray | None) -> None:
+                """The n-grams that end at these tokens, or at all."""
+                columns = [c if at is None else c[at] for c in (*tokens[:level][::-1], doc)]  # noqa: B023
+                (*columns, d), n = distinct(columns, [len(words)] * level + [docs])  # noqa: B023
                 for p, x in by_part(m.route(level, [words[c] for c in columns]), m.parts):  # noqa: B023
                     own, cols = local(words, [c[x] for c in columns])  # noqa: B023
                     out.append((level, p, number, SCORE, pack(words=own, doc=d[x], n=n[x], train=train, **dict(zip(names(level), cols)))))  # noqa: B023
@@ -708,7 +730,7 @@ def sending(model, block_tokens: int):
             rare = np.flatnonzero(~hot)
             if len(rare):
                 message(1, rare)
-            message(ORDER, np.arange(len(doc)))
+            message(ORDER, None)
             yield rows_of(out)
 
     return run
@@ -876,7 +898,10 @@ def score(docs: DataFrame, hot_words: int = HOT_WORDS, part_tokens: int = PART_T
     sent = rows.mapInArrow(sending(shared, block_tokens), _ROW).unionByName(words)
     top = written(sent.groupBy("level", "part").applyInArrow(scored(shared), _ROW), "katz-top", "uncompressed")
     m.discount[ORDER] = discounts(summed(top)["times"].tolist())
-    last = written(with_weights(ORDER, top, finished, share(m)), "katz-weights", "uncompressed")
+    # in rounds over the parts: what goes between the parts of two levels is cleared after each
+    shared = share(m)
+    rounds = [written(with_weights(ORDER, top.where(F.col("part") % ROUNDS == i), finished, shared), "katz-weights", "uncompressed") for i in range(min(ROUNDS, m.parts))]
+    last = reduce(DataFrame.unionByName, rounds)
     m.hot[ORDER] = listed(ORDER, last, m)
     sums = top.where(f"kind in ({META}, {SUMS}, {HELD})").unionByName(last.where(f"kind = {SUMS} or kind = {HELD} and level = 0"))
     return sums.groupBy("src").applyInArrow(gathering(share(m)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
