@@ -362,8 +362,10 @@ def local(words: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, lis
         used = np.zeros(len(words), bool)
         for c in columns:
             used[c] = True
-        number = np.cumsum(used) - 1
-        return words[used], [number[c] for c in columns]
+        some = np.flatnonzero(used)
+        number = np.empty(len(words), np.int64)
+        number[some] = np.arange(len(some))
+        return words[some], [number[c] for c in columns]
     some = np.unique(np.concatenate(columns))
     return words[some], [np.searchsorted(some, c) for c in columns]
 
@@ -413,7 +415,7 @@ def together(messages: list[dict[str, np.ndarray]], k: int) -> tuple[np.ndarray,
 
 def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order that sorts key, where its groups begin)."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     s = key[order]
     return order, np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
 
