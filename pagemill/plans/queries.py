@@ -904,3 +904,38 @@ def line_tools(spark, d):
     n = F.when(F.col("tool") == "extract_urls", F.get_json_object("result", "$.count").cast("long")).when(F.col("tool") == "retrieve_source", F.get_json_object("result", "$.signals.content_length").cast("long"))
     n = n.when(F.col("tool") == "search_sources", F.json_array_length("result").cast("long")).otherwise(F.get_json_object("result", "$.metrics.total").cast("long"))
     return out.select("page_id", "tool", n.alias("n"))
+
+
+@query("""SELECT * FROM (VALUES ('extract_urls', 2, 'url'), ('research_with_sources', 3, 'query'), ('retrieve_source', 2, 'url'), ('scrape_url', 2, 'url'), ('search_and_scrape', 3, 'query'), ('search_sources', 2, 'query'), ('web_search', 2, 'query')) AS v(tool, n_arguments, required)""")
+def tool_schemas(spark, d):
+    from ..streaming import worker
+
+    return worker.schemas(spark).select("tool", F.size("properties").alias("n_arguments"), F.array_join("required", ",").alias("required"))
+
+
+@query(f"WITH {SOURCES}, {PAGE_TEXT} SELECT link AS url, arg_min(l.url, l.page_id) AS discovered_from FROM links l WHERE l.page_id % 4 <> 0 GROUP BY link")
+def discover_by_status(spark, d):
+    """Pages that were not fetched with status 200, or hold nothing, give no links."""
+    p = spread(pages(spark, d))
+    status = F.when(F.col("page_id") % 8 == 0, 403).when(F.col("page_id") % 4 == 0, 0).otherwise(200)
+    sources = pages(spark, d).select(F.col("page_id").alias("ord"), "url")
+    none = pages(spark, d).select("url").limit(0)
+    return discovery.discover(sources, p.withColumn("status_code", status), none, F.lit("2024"))[0].select("url", "discovered_from")
+
+
+@query("SELECT url, 'https://e.org/src' AS discovered_from FROM pages WHERE url = (SELECT max(url) FROM pages)")
+def discovered_url_info(spark, d):
+    x = pages(spark, d).select("url", F.lit("https://e.org/src").alias("discovered_from"))
+    return discovery.url_info(x, pages(spark, d).agg(F.max("url")).first()[0])
+
+
+@query("SELECT count(*) AS n_before, CAST(0 AS BIGINT) AS n_after FROM pages")
+def clear_discovered(spark, d):
+    rest, n = discovery.cleared(pages(spark, d).select("url"))
+    return rest.agg(F.lit(n).cast("long").alias("n_before"), F.count("*").alias("n_after"))
+
+
+@query("SELECT count(*) AS n_before, CAST(0 AS BIGINT) AS n_after FROM events")
+def clear_cache(spark, d):
+    rest, n = search.cleared(table(spark, d, "events").select("event_id"))
+    return rest.agg(F.lit(n).cast("long").alias("n_before"), F.count("*").alias("n_after"))

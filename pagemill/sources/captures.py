@@ -36,10 +36,3 @@ def sources_json(spark: SparkSession, path: str) -> DataFrame:
     """ord, url from a JSON array; empty where the file is broken."""
     text = spark.read.text(path, wholetext=True)
     return text.select(F.posexplode(F.from_json("value", "array<string>")).alias("ord", "url")).select(F.col("ord").cast("long").alias("ord"), "url")
-
-
-def pages_by_host(pages: DataFrame) -> DataFrame:
-    """pages and host, for per-host work."""
-    from ..functions.urls import host
-
-    return pages.withColumn("host", host(F.col("url")))

@@ -16,10 +16,25 @@ from ..operators.search import RESEARCH_CAP, capped
 # Tools and the names that stand for them.
 TOOLS = {"search_sources": "search_sources", "retrieve_source": "retrieve_source", "research_with_sources": "research_with_sources", "extract_urls": "extract_urls", "web_search": "search_sources", "scrape_url": "retrieve_source", "search_and_scrape": "research_with_sources"}
 REQUIRED = {"search_sources": "query", "retrieve_source": "url", "research_with_sources": "query", "extract_urls": "url"}
+#: (tool, argument, type, default, most, required)
+ARGUMENTS = [
+    ("search_sources", "query", "string", None, None, True), ("search_sources", "num_results", "integer", "10", 25, False),
+    ("retrieve_source", "url", "string", None, None, True), ("retrieve_source", "include_links", "boolean", "false", None, False),
+    ("research_with_sources", "query", "string", None, None, True), ("research_with_sources", "limit", "integer", "5", 5, False), ("research_with_sources", "max_content_length", "integer", "5000", None, False),
+    ("extract_urls", "url", "string", None, None, True), ("extract_urls", "filter_external", "boolean", "false", None, False),
+]
 # End of fixed values.
 REQUEST = "tool string, args map<string, string>, _broken string"
 
 
+def schemas(spark: SparkSession) -> DataFrame:
+    """tool, properties (argument to type, default, maximum), required: what the tools accept, older names too."""
+    x = spark.createDataFrame(ARGUMENTS, "tool string, argument string, type string, default string, maximum int, required boolean")
+    x = x.groupBy("tool").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("argument", F.struct("type", "default", "maximum").alias("v"))))).alias("properties"), F.array_sort(F.collect_list(F.when(F.col("required"), F.col("argument")))).alias("required"))
+    names = spark.createDataFrame(list(TOOLS.items()), "name string, tool string")
+    return names.join(x, "tool").select(F.col("name").alias("tool"), "properties", "required")
+
+
 def requests(lines: DataFrame) -> DataFrame:
     """lines (value, ...) without blank ones, and tool (resolved), args, error.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as tx
 from pagemill.functions import urls as ur
-from pagemill.operators import classify, discovery, format, registry, research, search, sitemap
+from pagemill.operators import classify, discovery, format, html, registry, research, search, sitemap
 from pagemill.sources import captures
 
 NOW = dt.datetime(2024, 1, 10)
@@ -154,3 +154,49 @@ def test_text_functions(spark):
     assert x.select(tx.strip(F.col("t"))).first()[0] == "a b"
     row = spark.range(1).select(tx.extract(F.lit("é123-456-7890 1234567890"), "phones").alias("p"), tx.extract(F.lit(None).cast("string"), "emails").alias("e"), tx.extract(F.lit("x"), "").alias("n"), ur.clean_filename(F.lit("https://www.e.org/a/b c.html/"), F.lit("20240101")).alias("f")).first()
     assert (row.p, row.e, row.n, row.f) == (["1234567890"], [], [], "eorg_a_b_chtml_20240101")
+
+
+def test_captures_are_read_with_their_schema(spark, tmp_path):
+    rows = [("https://e.org/", "<p>x</p>", 200, "static", False, None), ("https://e.org/gone", None, 0, "static", None, None)]
+    spark.createDataFrame(rows, captures.CAPTURES).write.parquet(str(tmp_path / "c"))
+    x = captures.captures(spark, str(tmp_path / "c"))
+    assert [f.name for f in x.schema] == ["url", "html", "status_code", "method", "encoding_error", "fetched_at"] and x.count() == 2
+    got = {r.url: (r.content, r.status_code) for r in html.scrape(x).collect()}
+    assert got == {"https://e.org/": ("x", 200), "https://e.org/gone": (None, 0)}
+
+
+def test_quick_wrappers_and_settled_tables(spark, tmp_path):
+    files = spark.createDataFrame([("https://e.org/sitemap.xml", b"<urlset><url><loc>https://e.org/1</loc></url><url><loc>https://e.org/2</loc></url></urlset>")], "url string, content binary")
+    none = [registry.empty(spark, s) for s in (registry.SITEMAPS, registry.URLS)]
+    s, u = registry.quick_add_domain(*none, files, "https://www.e.org/x", dt.datetime(2024, 1, 1))
+    assert [(r.domain, r.url_count, r.status) for r in s.collect()] == [("e.org", 2, "success")]
+    assert registry.quick_get_urls(u, "e.org", 1) == ["https://e.org/1"] and registry.quick_get_urls(u, "none") == []
+    wrote = []
+
+    def settled(df):
+        path = str(tmp_path / f"t{len(wrote)}")
+        df.write.parquet(path)
+        wrote.append(path)
+        return spark.read.parquet(path)
+
+    names = spark.createDataFrame([("e.org", "https://e.org/sitemap.xml"), ("e.org", "https://e.org/b.xml")], "domain string, sitemap_url string")
+    both = files.union(spark.createDataFrame([("https://e.org/b.xml", b"<urlset><url><loc>https://e.org/b</loc></url></urlset>")], files.schema))
+    s, u = registry.add_domain(*none, names, both, F.lit(dt.datetime(2024, 1, 1)), settled)
+    assert [r.sitemap_url for r in s.collect()] == ["https://e.org/b.xml"] and [r.url for r in u.collect()] == ["https://e.org/b"] and len(wrote) == 2
+
+
+def test_fallback_answers_by_the_first_source_that_has_results(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "query string, url string")
+    got, failed = search.first_source(spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "query string"), {"cache": rows(("a", "1"), ("x", "9")), "library": rows(("a", "2"), ("b", "3"), ("b", "4"))})
+    assert {(r.query, r.url, r.answered_by) for r in got.collect()} == {("a", "1", "cache"), ("b", "3", "library"), ("b", "4", "library")}
+    assert [tuple(r) for r in failed.collect()] == [("c", "All search methods failed")]
+
+
+def test_cache_slices_agree_with_all_pairs(spark):
+    t = dt.datetime(2024, 1, 1)
+    e = [("q", 10, t + dt.timedelta(seconds=s), ok) for s, ok in ((0, True), (250, False), (290, True), (1000, True), (1200, True))]
+    r = [(i, " Q ", 10, t + dt.timedelta(seconds=s)) for i, s in enumerate((-1, 0, 299, 300, 301, 589, 590, 599, 600, 1300, 1499, 1500, 5000))]
+    entries = spark.createDataFrame(e, "query string, num_results int, ts timestamp_ntz, success boolean")
+    got = {x.i: x.hit for x in search.lookup(entries, spark.createDataFrame(r, "i int, query string, num_results int, ts timestamp_ntz"), keep=("i",)).collect()}
+    want = {i: any(ok and 0 <= (ts - made).total_seconds() < 300 for _, _, made, ok in e) for i, _, _, ts in r}
+    assert got == want
