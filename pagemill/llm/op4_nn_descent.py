@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 from .common import components, discard, table, written
 
 THRESHOLD = 0.93
-LIST, MOST_LIST = 8, 64
+LIST, MOST_LIST = 8, 32
 CODES, CODE_BITS, CODE_WINDOW = 4, 32, 2
 MOST_ROUNDS = 6
 TILE = 512
