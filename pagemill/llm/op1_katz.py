@@ -59,7 +59,7 @@ CUTOFF = 5
 HOT_WORDS, HOT_CONTEXTS = 2**20, 2**20
 ROUNDS = 3
 BLOCK_TOKENS = 500_000
-PART_TOKENS = 2_000_000
+PART_TOKENS = 3_000_000
 ADD = 0.1
 START, END = 0, 1  # hashes that stand for the start of a text and the end token
 RARE = 2**48  # a word's code: its place among the most frequent words, from 1 on, or its hash and this
@@ -96,7 +96,8 @@ def pack(**arrays: np.ndarray) -> bytes:
     return len(top).to_bytes(4, "little") + top + _codecs()[0].compress(b"".join(body))
 
 
-def unpack(data: bytes) -> dict[str, np.ndarray]:
+def unpack(data: bytes, narrow: bool = False) -> dict[str, np.ndarray]:
+    """The arrays; narrow: those but `words` in 32 bits where they fit."""
     size = int.from_bytes(data[:4], "little")
     raw = np.frombuffer(_codecs()[1].decompress(data[4 + size :]), np.uint8)
     out, at = {}, 0
@@ -107,6 +108,8 @@ def unpack(data: bytes) -> dict[str, np.ndarray]:
         out[name] = x.view(np.float64 if kind == "f" else np.int64).ravel()
         if kind == "s":
             out[name] = np.cumsum(out[name])
+        if narrow and kind != "f" and name != "words" and (not n or out[name].max() < 2**31):
+            out[name] = out[name].astype(np.int32)
     return out
 
 
@@ -128,12 +131,10 @@ def scrambled(x: np.ndarray) -> np.ndarray:
 
 # -- texts to words ---------------------------------------------------------
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: A number for each byte; A-Z have those of a-z.
 _BYTE = np.frombuffer(b"".join(sha256(bytes([b])).digest()[:8] for b in bytes(range(256)).lower()), np.uint64)
 _BASE = 0x9E3779B97F4A7C15
-_PIECE, _BATCH = 2**20, 2**22
+_PIECE, _BATCH = 2**17, 2**22
 
 
 @lru_cache(maxsize=2)
@@ -147,29 +148,40 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def is_space(x: np.ndarray) -> np.ndarray:
+    """Which bytes are 0x20 or 0x09 to 0x0D."""
+    return (x - np.uint8(9) < np.uint8(5)) | (x == np.uint8(0x20))
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words, words of each text) of texts that lie one behind the other
     in data, which offsets cut. A hash is that of the word's bytes alone."""
     hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    room = np.empty(0, np.uint64)
     lo, n = int(offsets[0]), int(offsets[-1])
     while lo < n:
         hi = min(n, lo + _PIECE)
-        while hi < n and not _SPACE[data[hi]] and offsets[np.searchsorted(offsets, hi)] != hi:
+        while hi < n and not is_space(data[hi : hi + 1])[0] and offsets[np.searchsorted(offsets, hi)] != hi:
             stop = min(n, hi + 4096, int(offsets[np.searchsorted(offsets, hi)]))
-            gap = np.flatnonzero(_SPACE[data[hi:stop]])
+            gap = np.flatnonzero(is_space(data[hi:stop]))
             hi = hi + int(gap[0]) if len(gap) else stop
         x = data[lo:hi]
         # where a word may not go on: behind the piece, at a space, where a text begins
-        stop = np.append(_SPACE[x], True)
+        stop = np.append(is_space(x), True)
         word = ~stop[:-1]
         cut = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi)] - lo
         begins = np.append(True, stop[:-2])
         begins[cut] = True
         stop[cut] = True
         start, last = np.flatnonzero(word & begins), np.flatnonzero(word & stop[1:])
-        power, inverse = _powers(max(20, (len(x) - 1).bit_length()))
-        sums = np.append(np.uint64(0), np.cumsum(_BYTE[x] * power[: len(x)], dtype=np.uint64))
-        hashes.append((scrambled((sums[last + 1] - sums[start]) * inverse[start]) >> 15) | 2)  # over START and END
+        power, inverse = _powers(max(18, (len(x) - 1).bit_length()))
+        if len(room) < 2 * len(x):
+            room = np.empty(2 * len(x), np.uint64)
+        value, sums = room[: len(x)], room[len(x) : 2 * len(x)]
+        np.take(_BYTE, x, out=value, mode="clip")
+        np.multiply(value, power[: len(x)], out=value)
+        np.cumsum(value, out=sums)
+        hashes.append((scrambled((sums[last] - sums[start] + value[start]) * inverse[start]) >> 15) | 2)  # over START and END
         at.append(start + lo)
         lo = hi
     place = np.searchsorted(np.concatenate(at), offsets)
@@ -372,7 +384,7 @@ def local(words: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, lis
 
 def tuple_key(columns: list[np.ndarray], size: int) -> np.ndarray:
     """One number for each row of columns of numbers below size, in the rows' order."""
-    key = columns[0]
+    key = columns[0].astype(np.int64)
     bound = size
     for c in columns[1:]:
         if bound * size >= 2**62:  # ranks of what there is so far
@@ -406,11 +418,14 @@ def names(k: int) -> list[str]:
 
 
 def together(messages: list[dict[str, np.ndarray]], k: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(ascending words of all messages, columns of n-grams as numbers among them)."""
+    """(ascending words of all messages, columns of n-grams as numbers among them); the
+    messages lose theirs."""
     sizes = [len(m["words"]) for m in messages]
-    words, number = np.unique(np.concatenate([m["words"] for m in messages]), return_inverse=True)
+    words, number = np.unique(np.concatenate([m.pop("words") for m in messages]), return_inverse=True)
+    if len(words) < 2**31:
+        number = number.astype(np.int32)
     base = np.cumsum(sizes) - sizes
-    return words, [np.concatenate([number[b + m[c]] for b, m in zip(base, messages)]) for c in names(k)]
+    return words, [np.concatenate([number[b + m.pop(c)] for b, m in zip(base, messages)]) for c in names(k)]
 
 
 def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -747,7 +762,7 @@ def scored(model):
         if level == 0:
             return t
         out: list[tuple] = []
-        sent = [(s.as_py(), unpack(d.as_py())) for s, kind, d in zip(t.column("src"), t.column("kind"), t.column("data")) if kind.as_py() == SCORE]
+        sent = [(s.as_py(), unpack(d.as_py(), narrow=True)) for s, kind, d in zip(t.column("src"), t.column("kind"), t.column("data")) if kind.as_py() == SCORE]
         if level == 1:
             tables = [unpack(d.as_py()) for kind, d in zip(t.column("kind"), t.column("data")) if kind.as_py() == TABLE]
             for number, s in sent:
@@ -762,7 +777,7 @@ def scored(model):
         words, columns = together([s for _, s in sent], level)
         size = len(words)
         order, first = grouped(tuple_key(columns, size))
-        group = np.empty(len(order), np.int64)
+        group = np.empty(len(order), np.int32 if len(order) < 2**31 else np.int64)
         group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
         del order
         n = np.concatenate([s["n"] for _, s in sent])
@@ -790,11 +805,10 @@ def scored(model):
             seen = c > 0
             doc, at = np.unique(s["doc"][seen], return_inverse=True)
             times_in = s["n"][seen]
-            got = {"doc": doc, "score": np.bincount(at, times_in * value[g[seen]], minlength=len(doc)).astype(float)}
-            for r in range(1, CUTOFF + 1):
-                is_r = c[seen] == r
-                got[f"r{r}"] = np.bincount(at[is_r], times_in[is_r], minlength=len(doc)).astype(np.int64)
-            out.append((0, 0, number, SUMS, pack(**got)))
+            # and how many tokens have each count that is discounted
+            small_counts = np.bincount(at * (CUTOFF + 1) + np.minimum(c[seen], CUTOFF + 1) - 1, times_in, minlength=len(doc) * (CUTOFF + 1)).reshape(-1, CUTOFF + 1)[:, :CUTOFF]
+            score = np.bincount(at, times_in * value[g[seen]], minlength=len(doc)).astype(float)
+            out.append((0, 0, number, SUMS, pack(doc=doc, score=score, small=small_counts.astype(np.int64).ravel())))
             later = seen & maybe[g]
             if later.any():
                 out.append((0, 0, number, HELD, pack(doc=s["doc"][later], key=keys[of[g[later]]], n=s["n"][later], seen=np.ones(int(later.sum()), np.int64))))
@@ -823,9 +837,8 @@ def gathering(model):
             if kind == SUMS:
                 if "score" in r:
                     score[r["doc"]] += r["score"]
-                for x in range(1, CUTOFF + 1):
-                    if f"r{x}" in r:
-                        score[r["doc"]] += r[f"r{x}"] * d[x]
+                if "small" in r:
+                    score[r["doc"]] += r["small"].reshape(-1, CUTOFF) @ d[1:]
                 if "base" in r:
                     base[r["doc"]] += r["base"]
                     known[r["doc"]] += r["known"]
