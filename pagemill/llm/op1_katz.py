@@ -43,12 +43,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import lru_cache, reduce
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ CUTOFF = 5
 HOT_WORDS, HOT_CONTEXTS = 2**20, 2**20
 ROUNDS = 3
 BLOCK_TOKENS = 500_000
-PART_TOKENS = 3_000_000
+PART_TOKENS = 2_000_000
 ADD = 0.1
 START, END = 0, 1  # hashes that stand for the start of a text and the end token
 RARE = 2**48  # a word's code: its place among the most frequent words, from 1 on, or its hash and this
@@ -317,13 +318,24 @@ class Model:
     parts: int
     tokens: int = 0
     types: int = 0
-    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # the most frequent, hashes and RARE, ascending
-    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    frequent: Broadcast | None = None  # (hashes and RARE of the most frequent words, ascending; their counts)
     scale: float = 1.0  # of word probabilities
     unknown: float = 1.0  # probability of the unknown word
     discount: dict[int, np.ndarray] = field(default_factory=dict)
     hot: dict[int, Hot] = field(default_factory=dict)
 
+    @property
+    def words(self) -> np.ndarray:
+        return self.frequent.value[0] if self.frequent else np.zeros(0, np.int64)
+
+    @property
+    def counts(self) -> np.ndarray:
+        return self.frequent.value[1] if self.frequent else np.zeros(0, np.int64)
+
+    def now(self) -> Model:
+        """As it is now: what tasks get with their function, but for the words, which go once."""
+        return replace(self, discount=dict(self.discount), hot=dict(self.hot))
+
     def codes(self, full: np.ndarray) -> np.ndarray:
         """Codes of words given by hash and RARE."""
         at = find(self.words, full)
@@ -487,7 +499,7 @@ def counted(level: int):
 
 
 def table_of(level: int, rows: DataFrame, model: Model, block_tokens: int, name: str) -> DataFrame:
-    sent = rows.mapInArrow(counting(level, model, block_tokens), _ROW)
+    sent = rows.mapInArrow(counting(level, model.now(), block_tokens), _ROW)
     return written(sent.groupBy("level", "part").applyInArrow(counted(level), _ROW), name, "uncompressed")
 
 
@@ -556,7 +568,7 @@ def asking(level: int, model):
         for b in batches:
             for p, x in zip(b.column("part"), b.column("data")):
                 row = unpack(x.as_py())
-                asked, each, last = questions(level, row, model.value)
+                asked, each, last = questions(level, row, model)
                 out = []
                 for lower, q, at in each:
                     columns = [c[at] for c in asked] if lower == level - 1 else [last[at]]
@@ -572,7 +584,7 @@ def answering(model):
     where the n-gram was never seen."""
 
     def run(key, own, asked):
-        m, level = model.value, key[0].as_py()
+        m, level = model, key[0].as_py()
         row = unpack(own.column("data")[0].as_py()) if own.num_rows else {"words": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), **{c: np.zeros(0, np.int64) for c in names(level)}, "x": np.zeros(0, np.int64), "total": np.zeros(0, np.int64), "weight": np.zeros(0)}
         size = len(row["words"]) + 1
         have = tuple_key([row[c] for c in names(level)], size)
@@ -606,7 +618,7 @@ def weighted(level: int, model):
     the list; and sums for texts of n-grams that were never seen."""
 
     def run(key, own, answers):
-        m = model.value
+        m = model
         if not own.num_rows:
             return pa.Table.from_batches([rows_of([])])
         p, row = own.column("part")[0].as_py(), unpack(own.column("data")[0].as_py())
@@ -719,7 +731,7 @@ def sending(model, block_tokens: int):
     words that are not among the most frequent; and what the texts are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        m = model
         for i, b in enumerate(blocks(batches, block_tokens)):
             b = b.training_first()
             train = np.array([int((~b.held_out).sum())])
@@ -758,7 +770,7 @@ def scored(model):
     words: sums for texts; what blocks are goes on as it is."""
 
     def run(key, t):
-        m, level, part = model.value, key[0].as_py(), key[1].as_py()
+        m, level, part = model, key[0].as_py(), key[1].as_py()
         if level == 0:
             return t
         out: list[tuple] = []
@@ -786,6 +798,7 @@ def scored(model):
         one = np.empty(len(first), np.int64)
         one[group] = np.arange(len(group))  # an n-gram's place among all
         each = [c[one] for c in columns]
+        del columns, one
         context = tuple_key(each[:-1], size)
         x = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
         of = np.repeat(np.arange(len(x)), np.diff(np.append(x, len(context))))
@@ -818,7 +831,7 @@ def scored(model):
         doc = np.concatenate([s["doc"] for _, s in sent])
         data = pack(
             words=words, n=count[some], **{c: e[some] for c, e in zip(names(level), each)}, times=times(count[some]),
-            **{f"o{c}": e[opens] for c, e in zip(names(level), columns)}, block=block[opens], doc=doc[opens], on=n[opens],
+            **{f"o{c}": e[group[opens]] for c, e in zip(names(level), each)}, block=block[opens], doc=doc[opens], on=n[opens],
         )
         out.append((level, part, 0, TABLE, data))
         return pa.Table.from_batches([rows_of(out)])
@@ -828,7 +841,7 @@ def scored(model):
 
 def gathering(model):
     def run(key, t):
-        m = model.value
+        m = model
         rows = [(kind.as_py(), unpack(d.as_py())) for kind, d in zip(t.column("kind"), t.column("data"))]
         meta = next(r for kind, r in rows if kind == META)
         score, base, known = np.zeros(len(meta["n"])), meta["base"], meta["known"].copy()
@@ -879,7 +892,6 @@ def score(docs: DataFrame, hot_words: int = HOT_WORDS, part_tokens: int = PART_T
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
     Contexts of more than hot_share of a part's tokens are on the list."""
     spark = docs.sparkSession
-    share = lambda x: spark.sparkContext.broadcast(x)
     rows = docs.select("doc_id", held_out().alias("held_out"), whole_text().alias("text"))
     # words: as many parts as their number asks for is known only later; texts have six bytes a word or more
     guess = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
@@ -890,7 +902,7 @@ def score(docs: DataFrame, hot_words: int = HOT_WORDS, part_tokens: int = PART_T
     m.discount[1] = discounts(got["times"].tolist())
     # the most frequent words: whole bins of counts from the top
     top = np.cumsum(got["bins"][::-1])[::-1]
-    m.words, m.counts = frequent(1, words, 2 ** (int(np.flatnonzero(top <= hot_words)[0]) / 8) * (1 - 1e-9) if (top <= hot_words).any() else np.inf)
+    m.frequent = spark.sparkContext.broadcast(frequent(1, words, 2 ** (int(np.flatnonzero(top <= hot_words)[0]) / 8) * (1 - 1e-9) if (top <= hot_words).any() else np.inf))
     # what small counts leave to the unknown word; without any, one event more
     small = got["times"][1 : CUTOFF + 1]
     left = float((small * np.arange(1, CUTOFF + 1) * (1 - m.discount[1][1:])).sum())
@@ -904,22 +916,22 @@ def score(docs: DataFrame, hot_words: int = HOT_WORDS, part_tokens: int = PART_T
         m.hot[level] = hot_contexts(level, below, m, most, texts)
         counts = table_of(level, rows, m, block_tokens, f"katz-counts-{level}")
         m.discount[level] = discounts(summed(counts)["times"].tolist())
-        tables = written(with_weights(level, counts, finished, share(m)), f"katz-weights-{level}", "uncompressed")
+        tables = written(with_weights(level, counts, finished, m.now()), f"katz-weights-{level}", "uncompressed")
         discard(counts)
         m.hot[level] = listed(level, tables, m)
         below, finished = tables, finished.unionByName(tables)
     m.hot[ORDER] = hot_contexts(ORDER, below, m, most, texts)
-    shared = share(m)
+    shared = m.now()
     sent = rows.mapInArrow(sending(shared, block_tokens), _ROW).unionByName(words)
     top = written(sent.groupBy("level", "part").applyInArrow(scored(shared), _ROW), "katz-top", "uncompressed")
     m.discount[ORDER] = discounts(summed(top)["times"].tolist())
     # in rounds over the parts: what goes between the parts of two levels is cleared after each
-    shared = share(m)
+    shared = m.now()
     rounds = [written(with_weights(ORDER, top.where(F.col("part") % ROUNDS == i), finished, shared), "katz-weights", "uncompressed") for i in range(min(ROUNDS, m.parts))]
     last = reduce(DataFrame.unionByName, rounds)
     m.hot[ORDER] = listed(ORDER, last, m)
     sums = top.where(f"kind in ({META}, {SUMS}, {HELD})").unionByName(last.where(f"kind = {SUMS} or kind = {HELD} and level = 0"))
-    return sums.groupBy("src").applyInArrow(gathering(share(m)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return sums.groupBy("src").applyInArrow(gathering(m.now()), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
