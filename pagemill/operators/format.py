@@ -45,6 +45,30 @@ def as_json(df: DataFrame, ascii_only: bool = False) -> DataFrame:
     return df.select((ascii_escaped(x) if ascii_only else x).alias("value"))
 
 
+def iso(ts: Column) -> Column:
+    """A time in ISO 8601, with microseconds where there are any; null for null."""
+    micro = F.date_format(ts, "SSSSSS")
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micro != "000000", F.concat(F.lit("."), micro)).otherwise(""))
+
+
+def as_records(df: DataFrame) -> DataFrame:
+    """df with its times as ISO text, as JSON records have them."""
+    return df.select(*[iso(F.col(f.name)).alias(f.name) if f.dataType.typeName().startswith("timestamp") else F.col(f.name) for f in df.schema])
+
+
+def search_responses(queries: DataFrame, results: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """query, response: a struct(query, results, total_results, source, success, error, cached) for each of
+    queries (query[, cached]), with its results (query, position, title, url, snippet, source) nested in
+    their order; a query of failed (query, error) has none."""
+    own = results.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("position", "title", "url", "snippet", "source"))).alias("results"))
+    x = queries.join(own, "query", "left")
+    x = x.join(failed.select("query", "error"), "query", "left") if failed is not None else x.withColumn("error", F.lit(None).cast("string"))
+    cached = F.col("cached") if "cached" in queries.columns else F.lit(False)
+    rows = F.when(F.col("error").isNull() & F.col("results").isNotNull(), F.col("results")).otherwise(F.array().cast(own.schema["results"].dataType))
+    good = F.col("error").isNull()
+    return x.select("query", F.struct("query", rows.alias("results"), F.size(rows).alias("total_results"), F.lit("duckduckgo").alias("source"), good.alias("success"), "error", cached.alias("cached")).alias("response"))
+
+
 def batch_files(docs: DataFrame, name: Column) -> tuple[DataFrame, DataFrame]:
     """(file, text of the documents (ord, url, text) with a text; one row: success_count, total).
     ord counts from 0; files are numbered from 1 by it."""

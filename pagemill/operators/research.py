@@ -61,6 +61,16 @@ def to_dict(scraped: DataFrame, include_links: bool = False) -> DataFrame:
     return scraped.select("url", "title", "content", "metadata", links.alias("links"))
 
 
+def server_replies(scraped: DataFrame, pooled: bool = False, include_links: bool = False) -> DataFrame:
+    """What the server adds to a scraped document: success, content_length, browser_pooled;
+    a page without html is a failure with an error."""
+    there = F.col("status_code") != 0
+    x = to_dict(scraped, include_links).columns
+    links = F.col("links") if include_links else F.lit(None).cast("array<string>")
+    fields = [links.alias("links") if c == "links" else F.col(c) for c in x]
+    return scraped.select(*fields, there.alias("success"), F.length(F.coalesce("content", F.lit(""))).alias("content_length"), F.lit(pooled).alias("browser_pooled"), F.when(~there, F.lit("Could not fetch page")).alias("error"))
+
+
 def joined(serp: DataFrame, retrieved: DataFrame, max_content_length: int | Column = 5000, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each search result with a url: the retrieval's fields, the title of the
     page or else of the result, the content cut at max_content_length, and a reason

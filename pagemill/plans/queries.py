@@ -939,3 +939,50 @@ def clear_discovered(spark, d):
 def clear_cache(spark, d):
     rest, n = search.cleared(table(spark, d, "events").select("event_id"))
     return rest.agg(F.lit(n).cast("long").alias("n_before"), F.count("*").alias("n_after"))
+
+
+@query(f"WITH {PAGE_TEXT} SELECT page_id AS ord, url, title, content FROM content")
+def scrape_in_order(spark, d):
+    """Many pages with their place in the input."""
+    x = spread(pages(spark, d)).withColumnRenamed("page_id", "ord")
+    return html.scrape(x, keep=("ord",)).select("ord", "url", "title", "content")
+
+
+@query(f"WITH {PAGE_TEXT} SELECT url, title, 200 <> 0 AS success, length(content) AS content_length, false AS browser_pooled, CAST(NULL AS VARCHAR) AS error FROM content UNION ALL SELECT 'https://gone.example/', NULL, false, 0, false, 'Could not fetch page'")
+def server_replies(spark, d):
+    p = spread(pages(spark, d)).select("url", "html", F.lit(200).alias("status_code")).unionByName(spark.createDataFrame([("https://gone.example/", None, 0)], "url string, html string, status_code int"))
+    return research.server_replies(html.scrape(p)).select("url", "title", "success", F.col("content_length").cast("long").alias("content_length"), "browser_pooled", "error")
+
+
+@query(f"""WITH {SERP}, q AS (SELECT DISTINCT query FROM serp) SELECT query, CASE WHEN length(query) % 2 = 0 THEN 0 ELSE (SELECT count(*) FROM serp s WHERE s.query = q.query) END AS total_results, CASE WHEN length(query) % 2 = 0 THEN 'timed out' END AS error,
+    length(query) % 2 <> 0 AS success, CASE WHEN length(query) % 2 = 0 THEN '' ELSE (SELECT string_agg(s.position || '=' || s.url, ' ' ORDER BY s.position) FROM serp s WHERE s.query = q.query) END AS results FROM q
+    UNION ALL SELECT 'nothing found', 0, NULL, true, ''""")
+def search_responses(spark, d):
+    """A response for each query, its results nested in order; failed ones hold none."""
+    s = serp(spark, d).withColumn("source", F.lit("duckduckgo"))
+    q = s.select("query").distinct()
+    failed = q.where(F.length("query") % 2 == 0).withColumn("error", F.lit("timed out"))
+    x = format.search_responses(q.union(spark.createDataFrame([("nothing found",)], "query string")), s, failed).select("response.*")
+    listed = F.array_join(F.transform("results", lambda r: F.concat(r["position"].cast("string"), F.lit("="), r["url"])), " ")
+    return x.select("query", F.col("total_results").cast("long").alias("total_results"), "error", "success", listed.alias("results"))
+
+
+@query(f"""WITH {REGISTRY} SELECT '{{"domain":"' || domain || '","url_count":' || url_count || ',"status":"' || status || '","last_fetched":"' || strftime(last_fetched, '%Y-%m-%dT%H:%M:%S') || '"}}' AS value FROM s""")
+def sitemap_records(spark, d):
+    """The registry's sitemaps as JSON, times as ISO text."""
+    return format.as_json(format.as_records(registry_sitemaps(spark, d).select("domain", "url_count", "status", "last_fetched")))
+
+
+@query("""SELECT * FROM (VALUES (1, '2024-01-02T03:04:05'), (2, '2024-01-02T03:04:05.000070'), (3, NULL)) AS v(case_id, t)""")
+def iso_times(spark, d):
+    x = spark.sql("SELECT * FROM VALUES (1, timestamp_ntz'2024-01-02 03:04:05'), (2, timestamp_ntz'2024-01-02 03:04:05.00007'), (3, null) AS v(case_id, t)")
+    return format.as_records(x)
+
+
+@query(f"""SELECT doc_id, '{{"emails":[' || coalesce(list_aggregate(list_transform(e, lambda x: '"' || x || '"'), 'string_agg', ','), '') || '],"phones":[' || coalesce(list_aggregate(list_transform(p, lambda x: '"' || x || '"'), 'string_agg', ','), '') || ']}}' AS value
+    FROM (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(coalesce(text, ''), '{tx.PRESETS["emails"]}'))) AS e, list_sort(list_distinct(regexp_extract_all(coalesce(text, ''), '{tx.PRESETS["phones"]}'))) AS p FROM {ALL_TEXT} AS t) AS x""")
+def extraction_records(spark, d):
+    """What patterns find, as a JSON object for each text."""
+    t = F.col("text")
+    x = all_text(spark, d).select("doc_id", F.to_json(F.struct(tx.extract(t, "emails").alias("emails"), tx.extract(t, "phones").alias("phones"))).alias("value"))
+    return x
