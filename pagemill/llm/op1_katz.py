@@ -10,12 +10,13 @@ are all above the cutoff counts one event more, so that it also leaves some mass
 A word is scored after its longest context, and recursively after shorter ones
 where it was never seen.
 
-The tables of a level (n-grams of so many words) are partitioned by context: a
-row for each part, which holds the part's words, its n-grams with their counts,
+The tables of a level (n-grams of so many words) are partitioned by the last word
+of the context: a row for each part, which holds the part's words, its n-grams with their counts,
 and its contexts with their totals and back-off weights, packed. Level by level,
 texts are worked off in blocks; a block's n-grams are sorted, packed and sent to
-their parts once each. A part asks the parts of the level below for the
-probabilities of its n-grams without their first word, and finds its weights. At
+their parts once each. A part needs the
+probabilities of its n-grams without their first word, by the level below: these
+lie in the part of the same number, or it asks for them; so it finds its weights. At
 the top level n-grams go with the numbers of the texts that hold them, and sums
 for each text come back; only n-grams that were never seen in training ask the
 levels below.
@@ -351,10 +352,14 @@ class Model:
         """Parts of n-grams, given as columns of word hashes."""
         if level == 1:
             return scrambled(words[0]) % self.parts
-        key = context_key(words[:-1])
-        hot = self.hot.get(level)
-        if hot is not None and len(hot.keys):
-            key = np.where(find(hot.keys, key) >= 0, context_key(words), key)
+        # by the last word of the context; where that is on the list by one word more, and so on
+        key = words[-2]
+        for k in range(2, level + 1):
+            hot = self.hot.get(k)
+            if hot is None or not len(hot.keys):
+                break
+            listed = find(hot.keys, context_key(words[level - k : -1])) >= 0
+            key = np.where(listed, context_key(words[level - k - 1 : -1] if k < level else words), key)
         return scrambled(key) % self.parts
 
 
@@ -552,22 +557,48 @@ def questions(level: int, row: dict[str, np.ndarray], model: Model) -> tuple[lis
     last = np.unique(row[f"oc{k - 1}"]) if k > 2 and "oc0" in row else np.zeros(0, np.int64)
     out = []
     for lower, columns in ((k - 1, asked), (1, [last])):
+        words = [row["words"][c] for c in columns]
         if lower == 1:  # the counts of the most frequent words are everywhere
-            rare = np.flatnonzero(row["words"][columns[0]] >= RARE)
-            columns = [c[rare] for c in columns]
-        if len(columns[0]):
-            each = by_part(model.route(lower, [row["words"][c] for c in columns]), model.parts)
-            out += [(lower, p, rare[x] if lower == 1 else x) for p, x in each]
+            some = np.flatnonzero(words[0] >= RARE)
+        else:  # what is not on the list lies in the part of the same number
+            some = np.flatnonzero(find(model.hot[lower].keys, context_key(words[:-1])) >= 0)
+        if len(some):
+            out += [(lower, p, some[x]) for p, x in by_part(model.route(lower, [w[some] for w in words]), model.parts)]
         if k == 2:
             break
     return asked, out, last
 
 
+def looked_up(level: int, row: dict[str, np.ndarray] | None, words: np.ndarray, columns: list[np.ndarray], hot: Hot) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(count, total of the context, its weight) of n-grams, given as columns of numbers
+    among words, by a part's table; 0, 0 and 1 where they were never seen."""
+    n, total, weight = np.zeros(len(columns[0]), np.int64), np.zeros(len(columns[0]), np.int64), np.ones(len(columns[0]))
+    if row is not None and len(row["n"]):
+        size = len(row["words"]) + 1
+        at = find(row["words"], words)
+        columns_here = [at[c] for c in columns]
+
+        def put(k: int, have: np.ndarray, *pairs: tuple[np.ndarray, np.ndarray]) -> None:
+            there = np.logical_and.reduce([c >= 0 for c in columns_here[:k]])
+            place = find(have, tuple_key([np.maximum(c, 0) for c in columns_here[:k]], size))
+            seen = there & (place >= 0)
+            for out, of in pairs:
+                out[seen] = of[place[seen]]
+
+        put(level, tuple_key([row[c] for c in names(level)], size), (n, row["n"]))
+        if level > 1:
+            put(level - 1, tuple_key([row[c][row["x"]] for c in names(level - 1)], size), (total, row["total"]), (weight, row["weight"]))
+    if level > 1 and len(hot.keys):
+        place = find(hot.keys, context_key([words[c] for c in columns[:-1]]))
+        total[place >= 0], weight[place >= 0] = hot.total[place[place >= 0]], hot.weight[place[place >= 0]]
+    return n, total, weight
+
+
 def asking(level: int, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p, x in zip(b.column("part"), b.column("data")):
-                row = unpack(x.as_py())
+                row = unpack(x.as_py(), narrow=True)
                 asked, each, last = questions(level, row, model)
                 out = []
                 for lower, q, at in each:
@@ -585,28 +616,12 @@ def answering(model):
 
     def run(key, own, asked):
         m, level = model, key[0].as_py()
-        row = unpack(own.column("data")[0].as_py()) if own.num_rows else {"words": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), **{c: np.zeros(0, np.int64) for c in names(level)}, "x": np.zeros(0, np.int64), "total": np.zeros(0, np.int64), "weight": np.zeros(0)}
-        size = len(row["words"]) + 1
-        have = tuple_key([row[c] for c in names(level)], size)
-        contexts = tuple_key([row[c][row["x"]] for c in names(level - 1)], size) if level > 1 else None
-        hot = m.hot.get(level, Hot())
+        row = unpack(own.column("data")[0].as_py(), narrow=True) if own.num_rows else None
         out = []
         for src, data in zip(asked.column("src"), asked.column("data")):
-            q = unpack(data.as_py())
-            at = find(row["words"], q["words"])
-            columns = [at[q[c]] for c in names(level)]
-            there = np.logical_and.reduce([c >= 0 for c in columns])
-            place = np.where(there, find(have, tuple_key([np.maximum(c, 0) for c in columns], size)), -1)
-            n = np.where(place >= 0, row["n"][place] if len(row["n"]) else 0, 0)
-            got = {"n": n}
-            if level > 1:
-                there = np.logical_and.reduce([c >= 0 for c in columns[:-1]])
-                place = np.where(there, find(contexts, tuple_key([np.maximum(c, 0) for c in columns[:-1]], size)), -1)
-                total, weight = np.zeros(len(n), np.int64), np.ones(len(n))
-                total[place >= 0], weight[place >= 0] = row["total"][place[place >= 0]], row["weight"][place[place >= 0]]
-                place = find(hot.keys, context_key([q["words"][q[c]] for c in names(level - 1)]))
-                total[place >= 0], weight[place >= 0] = hot.total[place[place >= 0]], hot.weight[place[place >= 0]]
-                got |= {"total": total, "weight": np.where(n > 0, 0.0, weight)}
+            q = unpack(data.as_py(), narrow=True)
+            n, total, weight = looked_up(level, row, q["words"], [q[c] for c in names(level)], m.hot.get(level, Hot()))
+            got = {"n": n} | ({"total": total, "weight": np.where(n > 0, 0.0, weight)} if level > 1 else {})
             out.append((0, src.as_py(), level << 32 | key[1].as_py(), ANSWER, pack(**got)))
         return pa.Table.from_batches([rows_of(out)])
 
@@ -621,11 +636,20 @@ def weighted(level: int, model):
         m = model
         if not own.num_rows:
             return pa.Table.from_batches([rows_of([])])
-        p, row = own.column("part")[0].as_py(), unpack(own.column("data")[0].as_py())
+        p, row = own.column("part")[0].as_py(), unpack(own.column("data")[0].as_py(), narrow=True)
+        row["n"] = row["n"].astype(np.int64)
         asked, each, last = questions(level, row, m)
-        got = {s.as_py(): unpack(d.as_py()) for s, d in zip(answers.column("src"), answers.column("data"))}
-        n = np.zeros(len(asked[0]), np.int64)
-        total, weight = np.ones(len(n), np.int64), np.ones(len(n))
+        got, lower_row = {}, None
+        for kind, s, d in zip(answers.column("kind"), answers.column("src"), answers.column("data")):
+            if kind.as_py() == ANSWER:
+                got[s.as_py()] = unpack(d.as_py())
+            else:
+                lower_row = unpack(d.as_py(), narrow=True)
+        if level == 2:
+            n, total, weight = np.zeros(len(asked[0]), np.int64), np.ones(len(asked[0]), np.int64), np.ones(len(asked[0]))
+        else:
+            n, total, weight = looked_up(level - 1, lower_row, row["words"], asked, Hot())
+        del lower_row
         of_last = np.zeros(len(last), np.int64)
         for counts, place in ((n, asked[0]), (of_last, last)) if level == 2 else ((of_last, last),):
             code = row["words"][place]
@@ -696,12 +720,21 @@ def summed_by(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return docs, np.bincount(at, value, minlength=len(docs)).astype(float)
 
 
-def with_weights(level: int, tables: DataFrame, lower: DataFrame, model) -> DataFrame:
-    """The rows of `weighted`; lower: the finished tables of the levels below."""
-    own = tables.where(f"kind = {TABLE}")
+def with_weights(level: int, tables: DataFrame, lower: DataFrame, model: Model, rounds: int = 1) -> DataFrame:
+    """The rows of `weighted`, written; lower: the finished tables of the levels below.
+    In rounds over the parts: what goes between parts is cleared after each."""
+    own, lower = tables.where(f"kind = {TABLE}"), lower.where(f"kind = {TABLE}")
     asks = own.select("part", "data").mapInArrow(asking(level, model), _ROW)
-    answers = lower.where(f"kind = {TABLE}").groupBy("level", "part").cogroup(asks.groupBy("level", "part")).applyInArrow(answering(model), _ROW)
-    return own.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(weighted(level, model), _ROW)
+    answers = lower.groupBy("level", "part").cogroup(asks.groupBy("level", "part")).applyInArrow(answering(model), _ROW)
+    answers = written(answers, f"katz-answers-{level}", "uncompressed")
+    beside = answers.unionByName(lower.where(f"level = {level - 1}")) if level > 2 else answers
+    out = []
+    for i in range(min(rounds, model.parts)):
+        here = F.col("part") % min(rounds, model.parts) == i
+        x = own.where(here).groupBy("part").cogroup(beside.where(here).groupBy("part")).applyInArrow(weighted(level, model), _ROW)
+        out.append(written(x, f"katz-weights-{level}", "uncompressed"))
+    discard(answers)
+    return reduce(DataFrame.unionByName, out)
 
 
 def listed(level: int, tables: DataFrame, model: Model) -> Hot:
@@ -916,7 +949,7 @@ def score(docs: DataFrame, hot_words: int = HOT_WORDS, part_tokens: int = PART_T
         m.hot[level] = hot_contexts(level, below, m, most, texts)
         counts = table_of(level, rows, m, block_tokens, f"katz-counts-{level}")
         m.discount[level] = discounts(summed(counts)["times"].tolist())
-        tables = written(with_weights(level, counts, finished, m.now()), f"katz-weights-{level}", "uncompressed")
+        tables = with_weights(level, counts, finished, m.now())
         discard(counts)
         m.hot[level] = listed(level, tables, m)
         below, finished = tables, finished.unionByName(tables)
@@ -925,10 +958,7 @@ def score(docs: DataFrame, hot_words: int = HOT_WORDS, part_tokens: int = PART_T
     sent = rows.mapInArrow(sending(shared, block_tokens), _ROW).unionByName(words)
     top = written(sent.groupBy("level", "part").applyInArrow(scored(shared), _ROW), "katz-top", "uncompressed")
     m.discount[ORDER] = discounts(summed(top)["times"].tolist())
-    # in rounds over the parts: what goes between the parts of two levels is cleared after each
-    shared = m.now()
-    rounds = [written(with_weights(ORDER, top.where(F.col("part") % ROUNDS == i), finished, shared), "katz-weights", "uncompressed") for i in range(min(ROUNDS, m.parts))]
-    last = reduce(DataFrame.unionByName, rounds)
+    last = with_weights(ORDER, top, finished, m.now(), ROUNDS)
     m.hot[ORDER] = listed(ORDER, last, m)
     sums = top.where(f"kind in ({META}, {SUMS}, {HELD})").unionByName(last.where(f"kind = {SUMS} or kind = {HELD} and level = 0"))
     return sums.groupBy("src").applyInArrow(gathering(m.now()), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
