@@ -913,6 +913,10 @@ def hot_contexts(level: int, tables: DataFrame | None, model: Model, most: float
     """The contexts of a level with more than `most` occurrences: n-grams of the level
     below, and the start of a text."""
     keys, total = frequent(level - 1, tables, most) if tables is not None else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    if level == 2:  # a table of words has hashes
+        keys = model.codes(keys)
+        order = np.argsort(keys)
+        keys, total = keys[order], total[order]
     if texts > most:
         start = context_key([np.full(1, START, np.int64)] * (level - 1))
         keys, total = np.append(keys, start), np.append(total, texts)

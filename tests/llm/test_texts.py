@@ -88,7 +88,7 @@ def book(texts):
     return prob, counts, after
 
 
-@pytest.mark.parametrize("settings", [{}, {"hot_words": 0, "part_tokens": 900, "block_tokens": 700, "hot_share": 0.02}, {"hot_words": 40, "part_tokens": 5000, "block_tokens": 300, "hot_share": 0.01}])
+@pytest.mark.parametrize("settings", [{}, {"hot_words": 0, "part_tokens": 900, "block_tokens": 700, "hot_share": 0.02}, {"hot_words": 40, "part_tokens": 900, "block_tokens": 300, "hot_share": 0.02}])
 def test_katz_is_the_model_by_the_book(spark, settings):
     """With one part and without contexts on the list, and with many parts and many such contexts."""
     few = [" ".join(rng.choice(WORDS[:12], 30)) for _ in range(60)]  # contexts after which every word was seen
