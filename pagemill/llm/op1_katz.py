@@ -10,24 +10,24 @@ are all above the cutoff counts one event more, so that it also leaves some mass
 A word is scored after its longest context, and recursively after shorter ones
 where it was never seen.
 
-The tables of a level (n-grams of so many words) are partitioned by the last word
-of the context: a row for each part, which holds the part's words, its n-grams with their counts,
-and its contexts with their totals and back-off weights, packed. Level by level,
-texts are worked off in blocks; a block's n-grams are sorted, packed and sent to
-their parts once each. A part needs the
-probabilities of its n-grams without their first word, by the level below: these
-lie in the part of the same number, or it asks for them; so it finds its weights. At
-the top level n-grams go with the numbers of the texts that hold them, and sums
-for each text come back; only n-grams that were never seen in training ask the
-levels below.
-
-Contexts with more than a fixed share of all tokens would make a part too large;
-they are at most HOT_CONTEXTS a level, their n-grams are dealt out by the whole
-n-gram, and their totals and weights go to all tasks. So do the HOT_WORDS most
-frequent words with their counts, which spares most questions and changes no
-result. All other tables stay distributed. Blocks and parts hold BLOCK_TOKENS and
-PART_TOKENS tokens; with more memory for each task, larger ones make messages
-fewer at the largest inputs.
+The tables of a level (n-grams of so many words) are partitioned by the last
+word of the context: a row for each part, which holds the part's words, its
+n-grams with their counts, and its contexts with their totals and back-off
+weights, packed (the top level's weights in rows beside its n-grams). Level by
+level, texts are worked off in blocks; a block's n-grams are sorted, packed and
+sent to their parts once each. To find its weights, a part needs the
+probabilities of its n-grams without their first word: these lie in the lower
+level's part of the same number, or it asks for them. At the top level n-grams go
+with the numbers of the texts that hold them, and sums for each text come back;
+only n-grams that were never seen in training are looked up on the levels below.
+
+Contexts with more than a fixed share of all tokens would make a part too large.
+They are on a list, HOT_CONTEXTS a level at most, which goes to all tasks with
+their totals and weights; their n-grams are dealt out by one word more. The
+HOT_WORDS most frequent words go to all tasks with their counts, which spares
+most questions and changes no result. All other tables stay distributed. Blocks
+and parts hold BLOCK_TOKENS and PART_TOKENS tokens; with more memory for each
+task, larger ones make messages fewer at the largest inputs.
 
 A word is known by its place among the most frequent words or by 48 bits of a
 hash, a context on the list of the hottest by 63 bits; an n-gram is the tuple of
@@ -664,7 +664,7 @@ def weighted(level: int, model):
         size = len(row["words"])
         have = tuple_key(asked, size)
 
-        def below(columns: list[np.ndarray]) -> np.ndarray:
+        def below(columns: list[np.ndarray], trained: bool) -> np.ndarray:
             """Probabilities of the last words after the contexts without their first words."""
             at = np.searchsorted(have, tuple_key(columns[1:], size))
             if level == 2:
@@ -672,6 +672,8 @@ def weighted(level: int, model):
             seen = discounted(n[at], m.discount[level - 1]) / np.maximum(1, total[at])
             count = np.zeros(len(at), np.int64)
             unseen = n[at] == 0
+            if trained and unseen.any():
+                raise RuntimeError(f"part {p}: an n-gram was counted, but not the one without its first word")
             count[unseen] = of_last[np.searchsorted(last, columns[-1][unseen])]
             return np.where(unseen, weight[at] * m.of_words(count), seen)
 
@@ -679,7 +681,7 @@ def weighted(level: int, model):
         context = tuple_key(columns[:-1], size)
         x = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(context) else np.zeros(0, np.int64)
         small = np.maximum.reduceat(row["n"] <= CUTOFF, x) if len(x) else np.zeros(0, bool)
-        sums = [np.add.reduceat(v, x) if len(x) else np.zeros(0) for v in (row["n"], discounted(row["n"], m.discount[level]), below(columns))]
+        sums = [np.add.reduceat(v, x) if len(x) else np.zeros(0) for v in (row["n"], discounted(row["n"], m.discount[level]), below(columns, True))]
         whole = sums[0] + ~small
         own_weight = (1 - sums[1] / whole) / (1 - sums[2]) if len(x) else np.zeros(0)
         keys = context_key([row["words"][c[x]] for c in columns[:-1]])
@@ -692,7 +694,7 @@ def weighted(level: int, model):
         out.append((level, p, 0, TABLE, pack(**grams, x=x[~listed], total=whole[~listed], weight=own_weight[~listed])))
         if "oc0" in row and len(row["oc0"]):
             columns = [row[f"o{c}"] for c in names(level)]
-            score = np.log10(below(columns))
+            score = np.log10(below(columns, False))
             open_keys = context_key([row["words"][c] for c in columns[:-1]])
             hot = find(m.hot[level].keys, open_keys) >= 0
             at = find(context[x], tuple_key(columns[:-1], size))
