@@ -61,7 +61,7 @@ CUTOFF = 5
 HOT_WORDS, HOT_CONTEXTS = 2**20, 2**20
 ROUNDS = 3
 BLOCK_TOKENS = 500_000
-PART_TOKENS = 2_000_000
+PART_TOKENS = 1_500_000
 ADD = 0.1
 START, END = 0, 1  # hashes that stand for the start of a text and the end token
 RARE = 2**48  # a word's code: its place among the most frequent words, from 1 on, or its hash and this
@@ -316,7 +316,8 @@ class Hot:
 
 @dataclass
 class Model:
-    parts: int
+    word_parts: int  # of the words
+    parts: int = 1  # of the n-grams of each level above
     tokens: int = 0
     types: int = 0
     frequent: Broadcast | None = None  # (hashes and RARE of the most frequent words, ascending; their counts)
@@ -351,7 +352,7 @@ class Model:
     def route(self, level: int, words: list[np.ndarray]) -> np.ndarray:
         """Parts of n-grams, given as columns of word hashes."""
         if level == 1:
-            return scrambled(words[0]) % self.parts
+            return scrambled(words[0]) % self.word_parts
         # by the last word of the context; where that is on the list by one word more, and so on
         key = words[-2]
         for k in range(2, level + 1):
@@ -362,6 +363,9 @@ class Model:
             key = np.where(listed, context_key(words[level - k - 1 : -1] if k < level else words), key)
         return scrambled(key) % self.parts
 
+    def parts_of(self, level: int) -> int:
+        return self.word_parts if level == 1 else self.parts
+
 
 # -- messages ---------------------------------------------------------------
 
@@ -377,6 +381,16 @@ def rows_of(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(_TYPES)], _NAMES)
 
 
+def tidy() -> None:
+    """Gives back what freed arrays have left with the allocators, between the groups of a task."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """Places of each part, in their order."""
     order = np.argsort(part.astype(np.uint16) if parts <= 2**16 else part, kind="stable")
@@ -480,7 +494,7 @@ def counting(level: int, model: Model, block_tokens: int):
                 words, tokens, _ = b.numbered(model, level, ~b.held_out)
                 columns, n = distinct(tokens[::-1], [len(words)] * level)
             out = []
-            for p, x in by_part(model.route(level, [words[c] for c in columns]), model.parts):
+            for p, x in by_part(model.route(level, [words[c] for c in columns]), model.parts_of(level)):
                 own, cols = local(words, [c[x] for c in columns])
                 out.append((level, p, 0, COUNT, pack(words=own, n=n[x], **dict(zip(names(level), cols)))))
             yield rows_of(out)
@@ -563,7 +577,7 @@ def questions(level: int, row: dict[str, np.ndarray], model: Model) -> tuple[lis
         else:  # what is not on the list lies in the part of the same number
             some = np.flatnonzero(find(model.hot[lower].keys, context_key(words[:-1])) >= 0)
         if len(some):
-            out += [(lower, p, some[x]) for p, x in by_part(model.route(lower, [w[some] for w in words]), model.parts)]
+            out += [(lower, p, some[x]) for p, x in by_part(model.route(lower, [w[some] for w in words]), model.parts_of(lower))]
         if k == 2:
             break
     return asked, out, last
@@ -636,6 +650,7 @@ def weighted(level: int, model):
         m = model
         if not own.num_rows:
             return pa.Table.from_batches([rows_of([])])
+        tidy()
         p, row = own.column("part")[0].as_py(), unpack(own.column("data")[0].as_py(), narrow=True)
         row["n"] = row["n"].astype(np.int64)
         asked, each, last = questions(level, row, m)
@@ -787,7 +802,7 @@ def sending(model, block_tokens: int):
                 """The n-grams that end at these tokens, or at all."""
                 columns = [c if at is None else c[at] for c in (*tokens[:level][::-1], doc)]  # noqa: B023
                 (*columns, d), n = distinct(columns, [len(words)] * level + [docs])  # noqa: B023
-                for p, x in by_part(m.route(level, [words[c] for c in columns]), m.parts):  # noqa: B023
+                for p, x in by_part(m.route(level, [words[c] for c in columns]), m.parts_of(level)):  # noqa: B023
                     own, cols = local(words, [c[x] for c in columns])  # noqa: B023
                     out.append((level, p, number, SCORE, pack(words=own, doc=d[x], n=n[x], train=train, **dict(zip(names(level), cols)))))  # noqa: B023
 
@@ -796,6 +811,7 @@ def sending(model, block_tokens: int):
                 message(1, rare)
             message(ORDER, None)
             yield rows_of(out)
+        tidy()
 
     return run
 
@@ -808,6 +824,7 @@ def scored(model):
         m, level, part = model, key[0].as_py(), key[1].as_py()
         if level == 0:
             return t
+        tidy()
         out: list[tuple] = []
         sent = [(s.as_py(), unpack(d.as_py(), narrow=True)) for s, kind, d in zip(t.column("src"), t.column("kind"), t.column("data")) if kind.as_py() == SCORE]
         if level == 1:
@@ -932,12 +949,11 @@ def score(docs: DataFrame, hot_words: int = HOT_WORDS, part_tokens: int = PART_T
     Contexts of more than hot_share of a part's tokens are on the list."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", held_out().alias("held_out"), whole_text().alias("text"))
-    # words: as many parts as their number asks for is known only later; texts have six bytes a word or more
-    guess = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
-    m = Model(max(1, -(-guess // part_tokens)))
+    m = Model(int(spark.conf.get("spark.sql.shuffle.partitions")))
     words = table_of(1, rows, m, block_tokens, "katz-words")
     got = summed(words)
     m.tokens, m.types = int(got["tokens"]), int(got["types"])
+    m.parts = max(1, -(-m.tokens // part_tokens))
     m.discount[1] = discounts(got["times"].tolist())
     # the most frequent words: whole bins of counts from the top
     top = np.cumsum(got["bins"][::-1])[::-1]
