@@ -54,7 +54,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, table, whole_text, written
+from .common import discard, table, tidy, whole_text, written
 
 ORDER = 3
 CUTOFF = 5
@@ -381,16 +381,6 @@ def rows_of(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(_TYPES)], _NAMES)
 
 
-def tidy() -> None:
-    """Gives back what freed arrays have left with the allocators, between the groups of a task."""
-    import ctypes
-
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
-    if trim is not None:
-        trim(0)
-
-
 def by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """Places of each part, in their order."""
     order = np.argsort(part.astype(np.uint16) if parts <= 2**16 else part, kind="stable")

@@ -52,6 +52,8 @@ from .common import scratch, whole_text, written
 #: Cut where so many top bits are zero: about one byte in 2**CUT_BITS.
 CUT_BITS = 10
 MIN_CHUNK = 256
+#: Texts that a task holds decoded at a time.
+SLICE = 1000
 BITS_EACH, MOST_BITS = 16, 2**28
 
 
@@ -243,7 +245,7 @@ def encode_documents(docs: DataFrame, path: str, most_bits: int = MOST_BITS) ->
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             encode, pieces = tokens.load(path)
             names, bits = [str(i) for i in range(len(pieces))], bloom.value
-            for b in batches:
+            for b in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
                 texts = [x.as_py() for x in b.column("text")]
                 raws = [t.encode() for t in texts]
                 has = [tokens.SPECIAL not in t and any(bits.hit(key(r[s:e])) for s, e in chunks(r)) for t, r in zip(texts, raws)]

@@ -11,18 +11,31 @@ from __future__ import annotations
 import hashlib
 from functools import lru_cache
 
+from .common import tidy
+
 SPECIAL = "<|endoftext|>"
 
 
+@lru_cache(maxsize=4)
+def library(path: str):
+    """The tokenizers library's own tokenizer, for texts on which tiktoken fails."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(path)
+    out.no_truncation()
+    out.no_padding()
+    return out
+
+
 @lru_cache(maxsize=4)
 def load(path: str):
     """(encode(text) -> ids, byte strings by id) for a tokenizers .json of byte-level BPE."""
     import json
-    import os
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -42,9 +55,9 @@ def load(path: str):
         raise ValueError(f"{path}: its ids do not follow its merges")
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=vocab, special_tokens=special)
-    slow = Tokenizer.from_file(path)
-    slow.no_truncation()
-    slow.no_padding()
+    names = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
+    del spec, model, vocab, pieces, ranks
+    tidy()
 
     def encode(text: str) -> list[int]:
         try:
@@ -52,9 +65,9 @@ def load(path: str):
         except BaseException as e:  # a Rust panic is no Exception, and its type can't be imported
             if type(e).__name__ != "PanicException" and not isinstance(e, ValueError):
                 raise
-            return slow.encode(text, add_special_tokens=False).ids
+            return library(path).encode(text, add_special_tokens=False).ids
 
-    return encode, [pieces.get(i, b"") for i in range(max(pieces) + 1)]
+    return encode, names
 
 
 def version(path: str) -> str:

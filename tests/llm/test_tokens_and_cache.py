@@ -53,6 +53,17 @@ def test_chunks_put_together_are_the_whole(parts, seed):
     assert bpe.assemble(raw, known, encode, lengths) == ids(raw.decode())
 
 
+def test_a_text_on_which_the_fast_one_fails_goes_to_the_library(monkeypatch):
+    import tiktoken
+
+    def fails(self, text, **_):
+        raise ValueError(text)
+
+    monkeypatch.setattr(tiktoken.Encoding, "encode", fails)
+    encode, _ = tokens.load(PATH)
+    assert encode("a text, 12 é") == ids("a text, 12 é")
+
+
 def passages():
     """A passage of several chunks in scripts without and with spaces."""
     rng = np.random.default_rng(2)
