@@ -29,7 +29,7 @@ most questions and changes no result. All other tables stay distributed. Blocks
 and parts hold BLOCK_TOKENS and PART_TOKENS tokens; with more memory for each
 task, larger ones make messages fewer at the largest inputs.
 
-A word is known by its place among the most frequent words or by 48 bits of a
+A word is known by its place among the most frequent words or by 47 bits of a
 hash, a context on the list of the hottest by 63 bits; an n-gram is the tuple of
 its words.
 
