@@ -61,7 +61,7 @@ CUTOFF = 5
 HOT_WORDS, HOT_CONTEXTS = 2**20, 2**20
 ROUNDS = 3
 BLOCK_TOKENS = 500_000
-PART_TOKENS = 1_500_000
+PART_TOKENS = 2_000_000
 ADD = 0.1
 START, END = 0, 1  # hashes that stand for the start of a text and the end token
 RARE = 2**48  # a word's code: its place among the most frequent words, from 1 on, or its hash and this
@@ -87,13 +87,18 @@ def pack(**arrays: np.ndarray) -> bytes:
         else:
             x = np.ascontiguousarray(x, np.int64)
             kind = "i"
-            if len(x) > 1:
+            if len(x) > 1 and x[0] <= x[-1]:
                 step = np.diff(x, prepend=0)
                 if step.min() >= 0:
                     kind, x = "s", step
             width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
         head.append((name, kind, width, len(x)))
-        body.append(x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+        if width <= 4:
+            size = (1, 2, 4, 4)[width - 1]
+            x = x.astype(f"u{size}")
+        else:
+            size = 8
+        body.append(x.view(np.uint8).reshape(-1, size)[:, :width].T.tobytes())
     top = json.dumps(head).encode()
     return len(top).to_bytes(4, "little") + top + _codecs()[0].compress(b"".join(body))
 
@@ -104,14 +109,21 @@ def unpack(data: bytes, narrow: bool = False) -> dict[str, np.ndarray]:
     raw = np.frombuffer(_codecs()[1].decompress(data[4 + size :]), np.uint8)
     out, at = {}, 0
     for name, kind, width, n in json.loads(data[4 : 4 + size]):
-        x = np.zeros((n, 8), np.uint8)
-        x[:, :width] = raw[at : at + n * width].reshape(width, n).T
+        planes = raw[at : at + n * width].reshape(width, n)
         at += n * width
-        out[name] = x.view(np.float64 if kind == "f" else np.int64).ravel()
+        if width == 1:
+            x = planes[0]
+        else:
+            x = np.zeros((n, 4 if width <= 4 else 8), np.uint8)
+            x[:, :width] = planes.T
+            x = x.view(np.float64 if kind == "f" else np.uint32 if width <= 4 else np.int64).ravel()
+        small = narrow and kind != "f" and name != "words"
         if kind == "s":
-            out[name] = np.cumsum(out[name])
-        if narrow and kind != "f" and name != "words" and (not n or out[name].max() < 2**31):
-            out[name] = out[name].astype(np.int32)
+            x = np.cumsum(x, dtype=np.int64)
+            small = small and (not n or x[-1] < 2**31)
+        elif kind == "i":
+            small = small and (width <= 3 or width == 4 and (not n or int(x.max()) < 2**31))
+        out[name] = x if kind == "f" else x.astype(np.int32 if small else np.int64)
     return out
 
 
@@ -939,7 +951,7 @@ def score(docs: DataFrame, hot_words: int = HOT_WORDS, part_tokens: int = PART_T
     Contexts of more than hot_share of a part's tokens are on the list."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", held_out().alias("held_out"), whole_text().alias("text"))
-    m = Model(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    m = Model(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))  # words are few beside n-grams
     words = table_of(1, rows, m, block_tokens, "katz-words")
     got = summed(words)
     m.tokens, m.types = int(got["tokens"]), int(got["types"])
