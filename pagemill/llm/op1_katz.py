@@ -500,6 +500,8 @@ def counting(level: int, model: Model, block_tokens: int):
                 own, cols = local(words, [c[x] for c in columns])
                 out.append((level, p, 0, COUNT, pack(words=own, n=n[x], **dict(zip(names(level), cols)))))
             yield rows_of(out)
+            del b, words, columns, n, out
+        tidy()
 
     return run
 
@@ -507,7 +509,7 @@ def counting(level: int, model: Model, block_tokens: int):
 def counted(level: int):
     """The table of a part from what was sent to it."""
 
-    def run(key, t):
+    def work(key, t):
         messages = [unpack(x.as_py()) for x in t.column("data")]
         words, columns = together(messages, level)
         order, first = grouped(tuple_key(columns, len(words)))
@@ -516,6 +518,11 @@ def counted(level: int):
         data = pack(words=words, n=n, **dict(zip(names(level), columns)), times=times(n))
         return pa.Table.from_batches([rows_of([(level, key[1].as_py(), 0, TABLE, data)])])
 
+    def run(key, t):
+        out = work(key, t)
+        tidy()
+        return out
+
     return run
 
 
@@ -630,7 +637,7 @@ def answering(model):
     """Answers in the order of the question: counts, totals, and the weight of the context
     where the n-gram was never seen."""
 
-    def run(key, own, asked):
+    def work(key, own, asked):
         m, level = model, key[0].as_py()
         row = unpack(own.column("data")[0].as_py(), narrow=True) if own.num_rows else None
         out = []
@@ -641,6 +648,11 @@ def answering(model):
             out.append((0, src.as_py(), level << 32 | key[1].as_py(), ANSWER, pack(**got)))
         return pa.Table.from_batches([rows_of(out)])
 
+    def run(key, own, asked):
+        out = work(key, own, asked)
+        tidy()
+        return out
+
     return run
 
 
@@ -648,11 +660,10 @@ def weighted(level: int, model):
     """A part's table with its contexts' totals and weights; partial sums of contexts on
     the list; and sums for texts of n-grams that were never seen."""
 
-    def run(key, own, answers):
+    def work(key, own, answers):
         m = model
         if not own.num_rows:
             return pa.Table.from_batches([rows_of([])])
-        tidy()
         p, row = own.column("part")[0].as_py(), unpack(own.column("data")[0].as_py(), narrow=True)
         row["n"] = row["n"].astype(np.int64)
         asked, each, last = questions(level, row, m)
@@ -725,6 +736,11 @@ def weighted(level: int, model):
                     out.append((0, 0, b, HELD, pack(doc=row["doc"][h], key=open_keys[h], n=row["on"][h], seen=np.zeros(len(h), np.int64))))
         return pa.Table.from_batches([rows_of(out)])
 
+    def run(key, own, answers):
+        out = work(key, own, answers)
+        tidy()
+        return out
+
     return run
 
 
@@ -813,6 +829,7 @@ def sending(model, block_tokens: int):
                 message(1, rare)
             message(ORDER, None)
             yield rows_of(out)
+            del b, words, tokens, doc, out, message
         tidy()
 
     return run
@@ -822,11 +839,10 @@ def scored(model):
     """A part of the top level: its table, n-grams never seen, and sums for texts; a part of
     words: sums for texts; what blocks are goes on as it is."""
 
-    def run(key, t):
+    def work(key, t):
         m, level, part = model, key[0].as_py(), key[1].as_py()
         if level == 0:
             return t
-        tidy()
         out: list[tuple] = []
         sent = [(s.as_py(), unpack(d.as_py(), narrow=True)) for s, kind, d in zip(t.column("src"), t.column("kind"), t.column("data")) if kind.as_py() == SCORE]
         if level == 1:
@@ -890,11 +906,16 @@ def scored(model):
         out.append((level, part, 0, TABLE, data))
         return pa.Table.from_batches([rows_of(out)])
 
+    def run(key, t):
+        out = work(key, t)
+        tidy()
+        return out
+
     return run
 
 
 def gathering(model):
-    def run(key, t):
+    def work(key, t):
         m = model
         rows = [(kind.as_py(), unpack(d.as_py())) for kind, d in zip(t.column("kind"), t.column("data"))]
         meta = next(r for kind, r in rows if kind == META)
@@ -920,6 +941,11 @@ def gathering(model):
             "train_tokens": np.full(len(ids), m.tokens, np.int64), "base_score": base - meta["n"] * np.log10(m.tokens + ADD * (m.types + 1)), "score": score,
         })
 
+    def run(key, t):
+        out = work(key, t)
+        tidy()
+        return out
+
     return run
 
 
