@@ -93,6 +93,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def list_dirs(spark: SparkSession, path: str, holding: str) -> list[str]:
+    """Names of the folders in a folder that hold a file of this name; none where the folder is missing."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), holding)))
+
+
 def tidy() -> None:
     """Gives back what freed arrays have left with the allocators: a worker lives through many stages."""
     import ctypes

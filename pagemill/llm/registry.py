@@ -18,6 +18,12 @@ from .op8_mixing import op8_mixing
 from .op8_mixing import oracle as op8_oracle
 from .op9_licence import op9_licence
 from .op10_digest_cache import op10_digest_cache
+from .op11_line_runs import op11_line_runs
+from .op11_line_runs import oracle as op11_oracle
+from .op12_conversations import op12_conversations
+from .op12_conversations import oracle as op12_oracle
+from .op13_importance import op13_importance
+from .op13_importance import oracle as op13_oracle
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,9 +44,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_licence": op9_licence,
         "op10_digest_cache": op10_digest_cache,
+        "op11_line_runs": op11_line_runs,
+        "op12_conversations": op12_conversations,
+        "op13_importance": op13_importance,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": op2_oracle(), "op8_mixing": op8_oracle()}
+    return {"op2_warc": op2_oracle(), "op8_mixing": op8_oracle(), "op11_line_runs": op11_oracle(), "op12_conversations": op12_oracle(), "op13_importance": op13_oracle()}

@@ -509,4 +509,4 @@ def test_query_is_what_sql_gives(spark, sf, duck, name):
 
 def test_one_query_for_each_operator():
     names = registry.queries()
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
