@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import cache_key
+from .cache import MAX_ENTRIES, TTL_SECONDS
 from .html import APART, first, strings, tree, walk
 
 SERP = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType() if n == "raw_pos" else T.StringType()) for n in ("raw_pos", "title", "href", "snippet")]))
-TTL_SECONDS, MAX_ENTRIES = 300, 100
 SEARCH_CAP, RESEARCH_CAP = 25, 5
 
 
@@ -96,7 +96,8 @@ def lookup(entries: DataFrame, requests: DataFrame, ttl: int = TTL_SECONDS, keep
     """requests (query, num_results, ts, and the columns of keep) and hit: whether entries (query, num_results,
     ts, success) hold a successful one of the same key, made at most ttl seconds before
     (exclusive). An as-of join: the latest entry up to the request, by one window over
-    both. What counts is at most ttl old, so a key's line is cut into slices of ttl
+    both. Entries are given here, each request's answer apart; `cache.replay` has
+    the requests themselves make the entries. What counts is at most ttl old, so a key's line is cut into slices of ttl
     seconds; a slice also gets the latest entry of the one before, and a key with very
     many requests is dealt over as many tasks as it has slices."""
     key = cache_key(F.col("query"), F.col("num_results"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls as ur
-from ..operators import classify, discovery, format, html, registry, research, search, sitemap
+from ..operators import cache, classify, discovery, format, html, registry, research, search, sitemap
 from ..sources.captures import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -680,22 +680,58 @@ def search_and_scrape(spark, d):
     return research.search_and_scrape(serp(spark, d), got).select("query", "url", F.col("content_length").cast("long").alias("content_length"), "scraped_successfully", "error")
 
 
-CACHE = """
-    e AS (SELECT event_id, 'Q' || (user_id % 50) AS query, 10 AS num_results, ts, event_id % 4 <> 0 AS success FROM events)
-"""
+def cache_requests(spark, d, keys: int) -> DataFrame:
+    """Every event asks for a query of its user's, every fourth in vain, every other in another spelling."""
+    i = F.col("event_id")
+    q = (F.col("user_id") % keys).cast("string")
+    return table(spark, d, "events").select(i.alias("request_id"), F.when(i % 2 == 0, F.concat(F.lit("Q"), q)).otherwise(F.concat(F.lit(" q"), q, F.lit(" "))).alias("query"), F.lit(10).alias("num_results"), F.col("ts").cast("timestamp_ntz").alias("ts"), (i % 4 != 0).alias("success"))
+
 
+def replay_sql(keys: int, ttl: int, capacity: int) -> str:
+    """One request after the other: what is held (ks, ts, in the order made), and what became of the request."""
+    held = f"CASE WHEN len(x.KK) >= {capacity} THEN x.KK[2:] ELSE x.KK END"
+    gone = "CASE WHEN p.at IS NOT NULL AND NOT h.hit THEN r.KK[:p.at - 1] || r.KK[p.at + 1:] ELSE r.KK END AS KK"
+    add = lambda c, v: f"CASE WHEN m.made THEN list_append({held.replace('KK', c)}, {v}) ELSE x.{c} END"
+    return f"""
+    WITH RECURSIVE e AS (SELECT event_id, epoch_us(ts) AS t, user_id % {keys} AS k, event_id % 4 <> 0 AS good, row_number() OVER (ORDER BY ts, event_id) AS i FROM events),
+    r(i, ks, ts, event_id, hit, made) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), false, false
+      UNION ALL SELECT e.i, {add("ks", "e.k")}, {add("ts", "e.t")}, e.event_id, h.hit, m.made
+      FROM r JOIN e ON e.i = r.i + 1, LATERAL (SELECT list_position(r.ks, e.k) AS at) AS p, LATERAL (SELECT p.at IS NOT NULL AND e.t - r.ts[p.at] < {ttl * 1_000_000} AS hit) AS h,
+      LATERAL (SELECT NOT h.hit AND e.good AS made) AS m, LATERAL (SELECT {gone.replace("KK", "ks")}, {gone.replace("KK", "ts")}) AS x)
+    SELECT event_id, hit, made FROM r WHERE i > 0"""
 
-@query(f"""WITH {CACHE} SELECT r.event_id, coalesce(epoch_us(r.ts) - epoch_us((SELECT max(x.ts) FROM e x WHERE x.success AND x.event_id % 2 = 0 AND lower(x.query) = lower(trim(r.query)) AND x.ts <= r.ts)) < 300000000, false) AS hit
-    FROM e r WHERE r.event_id % 2 = 1""")
+
+@query(replay_sql(50, 300, 100))
 def cache_hits(spark, d):
-    e = table(spark, d, "events").select("event_id", F.concat(F.lit("Q"), (F.col("user_id") % 50).cast("string")).alias("query"), F.lit(10).alias("num_results"), F.col("ts").cast("timestamp_ntz").alias("ts"), (F.col("event_id") % 4 != 0).alias("success"))
-    asked = e.where("event_id % 2 = 1").withColumn("query", F.concat(F.lit(" "), F.lower("query"), F.lit(" ")))
-    return search.lookup(e.where("event_id % 2 = 0"), asked, keep=("event_id",)).select("event_id", "hit")
+    """Which events the cache answers, and which make an entry: five minutes, a hundred entries."""
+    return cache.replay(cache_requests(spark, d, 50)).select(F.col("request_id").alias("event_id"), "hit", "made")
+
+
+@query(replay_sql(1000, 86_400, 100))
+def cache_evictions(spark, d):
+    """The same with entries that live for a day, more of which are made than the cache holds."""
+    return cache.replay(cache_requests(spark, d, 1000), 86_400, 100).select(F.col("request_id").alias("event_id"), "hit", "made")
+
+
+@query("""WITH e AS (SELECT event_id, user_id % 50 AS k, epoch_us(ts) AS t, event_id % 4 <> 0 AS good FROM events),
+    x AS (SELECT k, t, 0 AS side, NULL AS event_id FROM e WHERE good UNION ALL SELECT k, t + 1000000, 1, event_id FROM e),
+    y AS (SELECT *, max(CASE WHEN side = 0 THEN t END) OVER (PARTITION BY k ORDER BY t, side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS made FROM x)
+    SELECT event_id, coalesce(t - made < 300000000, false) AS hit FROM y WHERE side = 1""")
+def cache_lookup(spark, d):
+    """Entries as given: every event is asked for a second later, and every good one is an entry."""
+    e = cache_requests(spark, d, 50)
+    asked = e.select(F.col("request_id").alias("event_id"), "query", "num_results", (F.col("ts") + F.expr("interval 1 second")).alias("ts"))
+    return search.lookup(e, asked, keep=("event_id",)).select("event_id", "hit")
 
 
-@query("SELECT CAST(range AS INTEGER) AS failures, least(pow(2, range), 30) AS delay FROM range(8)")
+@query("""WITH e AS (SELECT event_id, user_id, ts, event_type <> 'error' AS good FROM events),
+    s AS (SELECT *, count(*) FILTER (good) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM e),
+    f AS (SELECT *, count(*) FILTER (NOT good) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS failures FROM s)
+    SELECT event_id, failures, CAST(least(pow(2, failures), 30) AS DOUBLE) AS delay FROM f""")
 def backoff_delays(spark, d):
-    return spark.range(8).select(F.col("id").cast("int").alias("failures"), tx.backoff_delay(F.col("id")).alias("delay"))
+    """How long each event has to wait after the errors in a row of its user."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("request_id"), "user_id", "ts", (F.col("event_type") != "error").alias("success"))
+    return cache.delays(e, "user_id").select(F.col("request_id").alias("event_id"), "failures", "delay")
 
 
 @query("SELECT event_id FROM events ORDER BY ts DESC, event_id LIMIT 100")

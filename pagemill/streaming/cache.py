@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import cache_key
-from ..operators.search import TTL_SECONDS
+from ..operators.cache import TTL_SECONDS, replay
 
 OUT = "key string, request_id long, ts timestamp, hit boolean"
 
@@ -19,11 +19,14 @@ def hits(requests: DataFrame, ttl: int = TTL_SECONDS, late: str = "1 hour") -> D
     """request_id, ts, key, hit of requests (request_id, query, num_results, ts, success).
 
     A request hits if its key's entry is younger than ttl seconds; otherwise a
-    successful request makes a new entry. Works on streams and on tables alike;
+    successful request makes a new entry. Works on streams and on tables alike
+    (a table goes through `replay`, without a capacity);
     on a stream, requests of one batch are taken in the order of ts, those further
     behind the latest ts than `late` are not answered, and an entry's state goes
     when the time that has passed beyond that has made it older than ttl.
     """
+    if not requests.isStreaming:
+        return replay(requests, ttl, None).select("key", "request_id", "ts", "hit")
     x = requests.withColumn("key", cache_key(F.col("query"), F.col("num_results"))).select("key", "request_id", "ts", "success")
 
     def step(pdf: pd.DataFrame, made: pd.Timestamp | None) -> tuple[pd.DataFrame, pd.Timestamp | None]:
@@ -36,9 +39,6 @@ def hits(requests: DataFrame, ttl: int = TTL_SECONDS, late: str = "1 hour") -> D
             out.append(hit)
         return pdf[["key", "request_id", "ts"]].assign(hit=out), made
 
-    if not requests.isStreaming:
-        return x.groupBy("key").applyInPandas(lambda pdf: step(pdf, None)[0], OUT)
-
     def stream(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
