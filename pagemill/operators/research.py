@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import falsy, truncated
 from ..functions.urls import is_js_heavy
+from . import captures as cp
 from .classify import outcome
 from .html import scrape
 
@@ -24,35 +25,44 @@ def route(url: Column, static_content: Column, force: str | None = None, min_con
 
 def routed(static: DataFrame, rendered: DataFrame, force: str | None = None, min_content: int = MIN_CONTENT) -> DataFrame:
     """The scraped columns of static (see scrape) or, where the route asks for it,
-    of rendered, by url; and route. Only rows so routed meet rendered."""
+    of rendered, by url; and route. Only rows so routed meet rendered, of which each url has one row."""
+    rendered = cp.one_each(rendered)
     x = static.withColumn("route", route(F.col("url"), F.col("content"), force, min_content))
     other = x.where("route <> 'static'").select("url", "route").join(rendered, "url", "left")
     return x.where("route = 'static'").unionByName(other, allowMissingColumns=True)
 
 
 def compare_methods(static: DataFrame, rendered: DataFrame) -> DataFrame:
-    """url, success, length and preview of both methods, and the recommended one."""
+    """url, success, length and preview of both methods, and the recommended one; each url once."""
     def side(df: DataFrame, p: str) -> DataFrame:
         c = F.coalesce("content", F.lit(""))
         return df.select("url", (c != "").alias(f"{p}_success"), F.length(c).alias(f"{p}_length"), F.left(c, F.lit(PREVIEW)).alias(f"{p}_preview"))
 
-    x = side(static, "static").join(side(rendered, "js"), "url")
+    x = side(cp.one_each(static), "static").join(side(cp.one_each(rendered), "js"), "url")
     return x.withColumn("recommended", F.when(F.col("static_success") & (F.col("static_length") > MIN_CONTENT), "static").otherwise("javascript"))
 
 
-def with_signals(scraped: DataFrame, method: str = "static", encoding_error: Column | None = None) -> DataFrame:
-    """url, title, content, metadata, signals, classification of scraped rows."""
+def with_signals(scraped: DataFrame, method: str = "static", encoding_error: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """url, title, content, metadata, signals, classification of scraped rows, and the columns of keep."""
     error = F.lit(False) if encoding_error is None else F.coalesce(encoding_error, F.lit(False))
     c = F.coalesce("content", F.lit(""))
     signals = F.struct(F.length(c).alias("content_length"), F.lit(method).alias("method"), F.lit(True).alias("had_html"), error.alias("encoding_error"))
-    return scraped.select("url", "title", "content", "metadata", signals.alias("signals"), outcome(F.col("content"), F.col("title"), error).alias("classification"))
+    return scraped.select("url", "title", "content", "metadata", signals.alias("signals"), outcome(F.col("content"), F.col("title"), error).alias("classification"), *keep)
 
 
-def retrieve(captures: DataFrame, method: str = "static") -> DataFrame:
-    """Captured pages (url, html[, status_code, encoding_error]) as retrieval records."""
+def retrieve(captures: DataFrame, method: str = "static", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Captured pages (url, html[, status_code, encoding_error]) as retrieval records, one for each row."""
     flags = tuple(c for c in ("encoding_error",) if c in captures.columns)
-    scraped = scrape(captures, ("clean_text", "metadata"), method, keep=flags)
-    return with_signals(scraped, method, F.col("encoding_error") if flags else None)
+    scraped = scrape(captures, ("clean_text", "metadata"), method, keep=flags + keep)
+    return with_signals(scraped, method, F.col("encoding_error") if flags else None, keep)
+
+
+def answered(serp: DataFrame, captures: DataFrame, max_content_length: int | Column = 5000, keep: tuple[str, ...] = (), at: str | None = None, method: str = "static") -> DataFrame:
+    """`joined` rows of search results with the one capture that answers each (see captures): the latest
+    up to the result's time in the column `at`, or of all. Only captures that answer are parsed, each once."""
+    own = cp.named(captures)
+    asks = cp.as_of(serp.where(F.coalesce(F.col("url"), F.lit("")) != ""), own, at)
+    return joined(asks, retrieve(cp.wanted(own, asks), method, keep=("capture",)), max_content_length, keep)
 
 
 def to_dict(scraped: DataFrame, include_links: bool = False) -> DataFrame:
@@ -75,10 +85,14 @@ def joined(serp: DataFrame, retrieved: DataFrame, max_content_length: int | Colu
     """A row for each search result with a url: the retrieval's fields, the title of the
     page or else of the result, the content cut at max_content_length, and a reason
     where the page is not usable; and the result's columns of keep. Results without a
-    retrieval are errors."""
+    retrieval are errors. Where both sides name a capture, they meet by it; otherwise
+    one retrieval of each url counts."""
     s = serp.where(F.coalesce(F.col("url"), F.lit("")) != "")
-    r = retrieved.select(F.col("url").alias("_url"), F.col("title").alias("_title"), "content", "signals", "classification")
-    x = s.join(r, F.col("url") == F.col("_url"), "left")
+    by_capture = "capture" in serp.columns and "capture" in retrieved.columns
+    r = retrieved if by_capture else cp.one_each(retrieved)
+    r = r.select(F.col("url").alias("_url"), *([F.col("capture").alias("_capture")] if by_capture else []), F.col("title").alias("_title"), "content", "signals", "classification")
+    same = F.col("url") == F.col("_url")
+    x = s.join(r, same & (F.col("capture") == F.col("_capture")) if by_capture else same, "left")
     status = F.coalesce("classification.status", F.lit("error"))
     usable = status == "usable"
     reason = F.when(status == "error", F.array(F.lit("not retrieved"))).when(~usable, F.col("classification.detected_patterns"))
@@ -122,8 +136,8 @@ def search_errors(queries: DataFrame, failed: DataFrame) -> DataFrame:
 
 
 def search_and_scrape(serp: DataFrame, retrieved: DataFrame, max_content_length: int = 5000) -> DataFrame:
-    """Every search result with its content, scraped_successfully and an error; no outcome."""
-    r = retrieved.select("url", "content", "signals")
+    """Every search result with its content, scraped_successfully and an error; no outcome. One retrieval of each url counts."""
+    r = cp.one_each(retrieved).select("url", "content", "signals")
     x = serp.join(r, "url", "left")
     good = F.coalesce("content", F.lit("")) != ""
     return x.select("query", "position", "url", "title", "snippet", F.when(good, truncated(F.col("content"), max_content_length)).alias("content"), F.length(F.when(good, F.col("content"))).alias("content_length"), good.alias("scraped_successfully"), F.when(~good, F.lit("no content")).alias("error"))

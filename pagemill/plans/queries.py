@@ -648,8 +648,7 @@ def library_results(spark, d):
 
 
 def research_rows(spark, d) -> DataFrame:
-    got = research.retrieve(spread(pages(spark, d)))
-    return research.joined(serp(spark, d), got, 300)
+    return research.answered(serp(spark, d), spread(pages(spark, d)), 300)
 
 
 RESEARCH = f"""SELECT s.query, s.position, s.url, coalesce(nullif(o.title, ''), s.title) AS title, s.snippet, coalesce(o.status, 'error') AS status, o.detected_patterns, o.content FROM
@@ -674,6 +673,27 @@ def research_metrics(spark, d):
     return research.metrics(research_rows(spark, d), queries)
 
 
+WALL = "<title>Just a moment...</title><article>verify you are human</article>"
+
+
+@query(f"""WITH {SERP}, late AS (SELECT url, page_id % 2 = 1 AND page_id % 3 <> 0 AS late, page_id % 3 = 0 AS early FROM pages)
+    SELECT s.query, s.position, s.url, CASE WHEN l.url IS NULL THEN s.title WHEN late THEN coalesce(nullif(o.title, ''), s.title) ELSE 'Just a moment...' END AS title,
+    CASE WHEN l.url IS NULL THEN 'error' WHEN late THEN o.status ELSE 'blocked' END AS status, CASE WHEN l.url IS NULL THEN NULL WHEN late THEN length(o.content) ELSE 20 END AS content_length
+    FROM serp AS s LEFT JOIN late AS l ON l.url = s.url LEFT JOIN ({PAGE_STATUS}) AS o ON o.url = s.url""")
+def research_as_of(spark, d):
+    """Results whose pages were captured three times, one of these twice over: a wall on the fifth and, for every
+    third page, on the ninth, the page on the seventh. Results for odd pages were found on the tenth, others on the
+    sixth, some before any capture: each has one answer."""
+    p = spread(pages(spark, d))
+    day = lambda n: F.lit(dt.datetime(2024, 1, n)).cast("timestamp_ntz")
+    wall = p.select("page_id", "url", F.lit(WALL).alias("html"))
+    every = wall.withColumn("fetched_at", day(5)).union(wall.withColumn("fetched_at", day(5))).union(p.select("page_id", "url", "html").withColumn("fetched_at", day(7))).union(wall.where("page_id % 3 = 0").withColumn("fetched_at", day(9)))
+    i = F.regexp_extract("title", r"(\d+)$", 1).cast("long")
+    found = serp(spark, d).withColumn("searched_at", F.when(i % 2 == 1, day(10)).when(i % 4 == 0, day(1)).otherwise(day(6)))
+    x = research.answered(found, every.drop("page_id"), 300, at="searched_at")
+    return x.select("query", "position", "url", "title", "status", F.col("content_length").cast("long").alias("content_length"))
+
+
 @query(f"WITH {SERP}, {PAGE_TEXT} SELECT s.query, s.url, length(content) AS content_length, coalesce(content, '') <> '' AS scraped_successfully, CASE WHEN coalesce(content, '') = '' THEN 'no content' END AS error FROM serp s LEFT JOIN content AS c USING (url)")
 def search_and_scrape(spark, d):
     got = research.retrieve(spread(pages(spark, d)))

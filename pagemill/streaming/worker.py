@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.urls import is_external
 from ..operators.discovery import page_links
 from ..operators.format import ascii_escaped
-from ..operators.research import counts, joined, retrieve, usable_rate
+from ..operators.captures import latest
+from ..operators.research import answered, counts, retrieve, usable_rate
 from ..operators.search import RESEARCH_CAP, capped
 
 # Tools and the names that stand for them.
@@ -63,7 +64,8 @@ def replies(handled: DataFrame) -> DataFrame:
 
 def tools(results: DataFrame, captures: DataFrame) -> dict[str, Callable[[DataFrame], DataFrame]]:
     """The handlers of the four tools, over search results (query, position, title, url,
-    snippet) and captured pages (url, html, ...). Each joins its requests to these tables."""
+    snippet) and captured pages (url, html, ...). Each joins its requests to these
+    tables; of a url captured many times the latest capture answers."""
     n = lambda name, default: F.coalesce(F.try_element_at("args", F.lit(name)).try_cast("int"), F.lit(default))
     arg = lambda name: F.try_element_at("args", F.lit(name))
     js = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
@@ -77,7 +79,7 @@ def tools(results: DataFrame, captures: DataFrame) -> dict[str, Callable[[DataFr
 
     def retrieve_source(requests: DataFrame) -> DataFrame:
         x = requests.withColumn("url", arg("url"))
-        page = retrieve(captures.join(x.select("url").distinct(), "url", "left_semi")).select("url", js(F.struct("url", "title", "content", "signals", "classification")).alias("result"))
+        page = retrieve(latest(captures.join(x.select("url").distinct(), "url", "left_semi"))).select("url", js(F.struct("url", "title", "content", "signals", "classification")).alias("result"))
         x = x.join(page, "url", "left")
         return x.withColumn("error", F.when(F.col("result").isNull(), F.lit("No capture"))).select(*requests.columns, "result")
 
@@ -85,8 +87,7 @@ def tools(results: DataFrame, captures: DataFrame) -> dict[str, Callable[[DataFr
         x = requests.withColumn("query", arg("query")).withColumn("_most", capped(n("limit", RESEARCH_CAP), RESEARCH_CAP)).withColumn("_cut", n("max_content_length", 5000))
         asked = x.select("query", "_most", "_cut").distinct()
         serp = asked.join(results, "query").where(F.col("position") <= F.col("_most"))
-        pages = retrieve(captures.join(serp.select("url").distinct(), "url", "left_semi"))
-        rows = joined(serp, pages, F.col("_cut"), ("_most", "_cut"))
+        rows = answered(serp, captures, F.col("_cut"), ("_most", "_cut"))
         good = F.col("status") == "usable"
         entry = lambda *c: F.struct("position", "url", "title", "snippet", "status", "method", "content_length", *c)
         by = ["query", "_most", "_cut"]
@@ -99,7 +100,7 @@ def tools(results: DataFrame, captures: DataFrame) -> dict[str, Callable[[DataFr
 
     def extract_urls(requests: DataFrame) -> DataFrame:
         x = requests.withColumn("url", arg("url")).withColumn("_external", F.coalesce(F.lower(arg("filter_external")) == "true", F.lit(False)))
-        page = page_links(captures.join(x.select("url").distinct(), "url", "left_semi"))
+        page = page_links(latest(captures.join(x.select("url").distinct(), "url", "left_semi")))
         x = x.join(page.select("url", "urls"), "url", "left")
         urls = F.coalesce("urls", F.array().cast("array<string>"))
         urls = F.when(F.col("_external"), F.filter(urls, lambda u: is_external(u, F.col("url")))).otherwise(urls)

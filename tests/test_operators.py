@@ -200,3 +200,32 @@ def test_cache_slices_agree_with_all_pairs(spark):
     got = {x.i: x.hit for x in search.lookup(entries, spark.createDataFrame(r, "i int, query string, num_results int, ts timestamp_ntz"), keep=("i",)).collect()}
     want = {i: any(ok and 0 <= (ts - made).total_seconds() < 300 for _, _, made, ok in e) for i, _, _, ts in r}
     assert got == want
+
+
+def test_a_url_captured_twice_has_one_answer(spark):
+    from pagemill.streaming import worker
+
+    day = lambda n: dt.datetime(2024, 1, n)
+    good, wall = "<title>T</title><article>" + "word " * 200 + "</article>", "<article>captcha</article>"
+    rows = [("u1", wall, day(1)), ("u1", good, day(3)), ("u1", good, day(3)), ("u1", None, day(5)), ("u2", good, None), ("u2", wall, None), ("u3", wall, day(4)), (None, good, day(1))]
+    caps = spark.createDataFrame(rows, "url string, html string, fetched_at timestamp_ntz")
+    asks = [("q", 1, "u1", 2), ("q", 2, "u1", 3), ("q", 3, "u1", 4), ("q", 4, "u1", 9), ("q", 5, "u3", 1), ("q", 6, "u4", 9), ("q", 7, "u1", None), ("q", 8, "", 1), ("q", 9, None, 1)]
+    serp = spark.createDataFrame([(q, p, u, "t", "s", n and day(n)) for q, p, u, n in asks], "query string, position int, url string, title string, snippet string, at timestamp_ntz")
+    got = {r.position: r.status for r in research.answered(serp, caps, at="at").collect()}
+    assert got == {1: "blocked", 2: "usable", 3: "usable", 4: "empty", 5: "blocked", 6: "error", 7: "empty"}
+    plain = research.joined(serp.where("position in (1, 5)"), research.retrieve(caps), 100)
+    assert plain.count() == 2 and research.metrics(plain).first().total == 2
+    assert research.search_and_scrape(serp.where("position = 1"), research.retrieve(caps)).count() == 1
+    assert research.compare_methods(html.scrape(caps), html.scrape(caps)).where("url is not null").count() == 3
+    assert research.routed(html.scrape(caps.where("url = 'u3'")), html.scrape(caps)).count() == 1
+    ask = spark.createDataFrame([('{"tool": "%s", "args": {"url": "u1", "query": "q"}}' % t,) for t in ("retrieve_source", "extract_urls", "research_with_sources")], "value string")
+    r = worker.requests(ask)
+    handlers = worker.tools(serp.drop("at"), caps)
+    assert [handlers[t](r.where(F.col("tool") == t)).count() for t in ("retrieve_source", "extract_urls", "research_with_sources")] == [1, 1, 1]
+
+
+def test_only_captures_that_answer_are_parsed(spark):
+    caps = spark.createDataFrame([("u1", "<p>a</p>")], "url string, html string")
+    serp = spark.createDataFrame([("q", 1, "u1", "t", "s")], "query string, position int, url string, title string, snippet string")
+    plan = research.answered(serp, caps)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("LeftSemi")
