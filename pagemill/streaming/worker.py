@@ -12,7 +12,9 @@ from ..operators.discovery import page_links
 from ..operators.format import ascii_escaped
 from ..operators.captures import latest
 from ..operators.research import answered, counts, retrieve, usable_rate
+from ..operators.order import placed, running_sum
 from ..operators.search import RESEARCH_CAP, capped
+from ..tables import hadoop_path, written
 
 # Tools and the names that stand for them.
 TOOLS = {"search_sources": "search_sources", "retrieve_source": "retrieve_source", "research_with_sources": "research_with_sources", "extract_urls": "extract_urls", "web_search": "search_sources", "scrape_url": "retrieve_source", "search_and_scrape": "research_with_sources"}
@@ -109,25 +111,51 @@ def tools(results: DataFrame, captures: DataFrame) -> dict[str, Callable[[DataFr
     return {"search_sources": search_sources, "retrieve_source": retrieve_source, "research_with_sources": research_with_sources, "extract_urls": extract_urls}
 
 
-def serve(spark: SparkSession, source: str, sink: str, checkpoint: str, handlers: dict[str, Callable[[DataFrame], DataFrame]]):
-    """Answers the lines of files below source that are new, into files below sink.
+def numbered(lines: DataFrame) -> DataFrame:
+    """file, line (from 1, blank ones counted), value of lines (value, file, start: where the row's part of its file
+    begins) just as a scan gives them: the scan's order within a part, then the parts' order, is that of the file."""
+    x = written(placed(lines.withColumn("_n", F.monotonically_increasing_id()), "file", "start", "_n"), "lines")
+    return running_sum(x, F.lit(1).cast("long"), "line", ("file",)).select("file", "line", "value")
+
+
+def answers(lines: DataFrame, handlers: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """file, line, value: one reply for each line (file, line, value) that is not blank."""
+    r = written(requests(lines), "requests")
+    good = F.col("error").isNull()
+    out = r.where(~good).withColumn("result", F.lit(None).cast("string"))
+    for tool, handle in handlers.items():
+        out = out.unionByName(handle(r.where((F.col("tool") == tool) & good)))
+    lost = r.where(~F.coalesce(F.col("tool").isin(*handlers), F.lit(False)) & good)
+    out = out.unionByName(lost.withColumn("error", F.lit("No handler")).withColumn("result", F.lit(None).cast("string")))
+    return replies(out).select("file", "line", "value")
+
 
-    A handler gets the requests of its tool and returns them with result. Each
-    batch's folder is overwritten if the batch is run again, so replies are whole
-    and there once. Returns when all files at hand are done.
+def serve(spark: SparkSession, source: str, sink: str, checkpoint: str, handlers: dict[str, Callable[[DataFrame], DataFrame]]):
+    """Answers the lines of files below source that are new: of a file of requests, the replies stand
+    in sink/batch=<n>/file=<its name>, one for each line that is not blank, in their order.
+
+    A handler gets the requests of its tool and returns them, once each, with result.
+    A batch is the same files whenever it is run, lines keep their numbers, and a
+    batch's folder is overwritten; so after a failure the replies are whole, in order
+    and there once. Part files are in the order of their names. The sort deals a
+    file's replies over ranges, so a file of any size has many tasks. Files of one
+    batch must have different names. Returns when all files at hand are done.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        df = requests(df).persist()
-        out = df.where("error is not null").withColumn("result", F.lit(None).cast("string"))
-        for tool, handle in handlers.items():
-            out = out.unionByName(handle(df.where((F.col("tool") == tool) & F.col("error").isNull())))
-        lost = df.where(~F.coalesce(F.col("tool").isin(*handlers), F.lit(False)) & F.col("error").isNull())
-        out = out.unionByName(lost.withColumn("error", F.lit("No handler")).withColumn("result", F.lit(None).cast("string")))
-        replies(out).select("value").write.mode("overwrite").text(f"{sink}/batch={number}")
-        df.unpersist()
-
-    lines = spark.readStream.text(source)
+        out = answers(numbered(df), handlers).withColumn("file", F.element_at(F.split("file", "/"), -1))
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        out = out.repartitionByRange(n, "file", "line").sortWithinPartitions("file", "line")
+        out.select("file", "value").write.mode("overwrite").partitionBy("file").text(f"{sink}/batch={number}")
+
+    lines = spark.readStream.text(source).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     query = lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def served(spark: SparkSession, sink: str, batch: int, file: str) -> list[str]:
+    """The replies to a file of requests, in order, from the part files that `serve` wrote."""
+    fs, p = hadoop_path(spark, f"{sink}/batch={batch}/file={file}")
+    parts = sorted(s.getPath().toString() for s in fs.listStatus(p) if s.getPath().getName().startswith("part-"))
+    return [r["value"] for part in parts for r in spark.read.text(part).coalesce(1).collect()]
