@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import falsy, parts_joined, truncated
+from ..tables import written
+from .order import placed, running_sum
 
 
 def _part(c: Column, *, before: str = "", after: str = "") -> Column:
@@ -80,9 +82,12 @@ def batch_files(docs: DataFrame, name: Column) -> tuple[DataFrame, DataFrame]:
 
 
 def unique_names(files: DataFrame, order: str, name: str = "name", extension: str = ".md") -> DataFrame:
-    """files and `file`: of equal names the first keeps its name, the others get _1, _2, ... in order."""
-    at = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
-    return files.withColumn("file", F.concat(F.col(name), F.when(at > 0, F.concat(F.lit("_"), at.cast("string"))).otherwise(""), F.lit(extension)))
+    """files and `file`: of equal names the first keeps its name, the others get _1, _2, ... in order.
+    Names are counted over slices, so one name may be that of any share of the files."""
+    x = written(placed(files, name, order, place="_place"), "names")
+    x = running_sum(x, F.lit(1).cast("long"), "_nth", (name,), "_place")
+    at = F.col("_nth") - 1
+    return x.select(*files.columns, F.concat(F.col(name), F.when(at > 0, F.concat(F.lit("_"), at.cast("string"))).otherwise(""), F.lit(extension)).alias("file"))
 
 
 def write_text_files(df: DataFrame, key: str, text: str, path: str) -> None:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import cache_key
+from ..tables import written
 from .cache import MAX_ENTRIES, TTL_SECONDS
 from .html import APART, first, strings, tree, walk
+from .order import placed, running_sum
 
 SERP = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType() if n == "raw_pos" else T.StringType()) for n in ("raw_pos", "title", "href", "snippet")]))
 SEARCH_CAP, RESEARCH_CAP = 25, 5
@@ -66,10 +68,11 @@ def search_urls(serp: DataFrame, query: str, num_results: int = 10) -> DataFrame
 
 
 def from_library(rows: DataFrame) -> DataFrame:
-    """query, position, title, url, snippet of (query, ord, title, href, link, body, snippet)."""
-    w = Window.partitionBy("query").orderBy("ord")
+    """query, position, title, url, snippet of (query, ord, title, href, link, body, snippet). Positions are
+    counted over slices, so a query may have any share of the rows."""
+    x = running_sum(written(placed(rows, "query", "ord", place="_place"), "library"), F.lit(1).cast("long"), "_nth", ("query",), "_place")
     either = lambda a, b: F.coalesce(F.nullif(a, F.lit("")), F.col(b), F.lit(""))
-    return rows.select("query", F.row_number().over(w).alias("position"), "title", either("href", "link").alias("url"), either("body", "snippet").alias("snippet"))
+    return x.select("query", F.col("_nth").cast("int").alias("position"), "title", either("href", "link").alias("url"), either("body", "snippet").alias("snippet"))
 
 
 def first_source(queries: DataFrame, sources: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:

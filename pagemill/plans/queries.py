@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import urls as ur
 from ..operators import cache, classify, discovery, format, html, registry, research, search, sitemap
+from ..operators.order import placed, running_sum
 from ..sources.captures import table
+from ..tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -628,7 +630,8 @@ def serp(spark, d) -> DataFrame:
     h = ur.host(F.col("url"))
     own = pages(spark, d).select("page_id", "url")
     found = own.unionByName(own.where("page_id % 9 = 0").select((F.col("page_id") + 1000000).alias("page_id"), F.concat("url", F.lit("?gone")).alias("url")))
-    return found.select(h.alias("query"), F.row_number().over(Window.partitionBy(h).orderBy("page_id")).alias("position"), "url", F.concat(F.lit("Result "), F.col("page_id").cast("string")).alias("title"), F.concat(F.lit("about "), F.col("page_id").cast("string")).alias("snippet"))
+    x = written(placed(found.withColumn("query", h), "query", "page_id"), "serp")
+    return running_sum(x, F.lit(1).cast("long"), "nth", ("query",)).select("query", F.col("nth").cast("int").alias("position"), "url", F.concat(F.lit("Result "), F.col("page_id").cast("string")).alias("title"), F.concat(F.lit("about "), F.col("page_id").cast("string")).alias("snippet"))
 
 
 @query(f"WITH {SERP} SELECT position, url, title FROM serp WHERE query = (SELECT query FROM serp GROUP BY query ORDER BY count(*) DESC, query LIMIT 1) AND position <= 3")
