@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls as ur
-from ..operators import cache, classify, discovery, format, html, registry, research, search, sitemap
+from ..operators import cache, classify, discovery, format, html, layout, registry, research, search, sitemap
 from ..operators.order import placed, running_sum
+from ..sources import captures
 from ..sources.captures import table
-from ..tables import written
+from ..tables import scratch, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -49,6 +50,11 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
+def nth_of(df: DataFrame, key: str, order: str) -> DataFrame:
+    """df and nth, the row's number (from 1) in its key's order, counted over slices."""
+    return running_sum(written(placed(df, key, order), "nth"), F.lit(1).cast("long"), "nth", (key,)).drop("place")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """One small file is one task; before Python work its rows are dealt out."""
     n = df.sparkSession.sparkContext.defaultParallelism
@@ -110,9 +116,11 @@ def classify_documents(spark, d):
     return flat(classify.with_outcome(documents(spark, d).select("doc_id", "text"), "text", None).drop("text"))
 
 
-@query(outcome_sql("content", "title", "encoding_error", f"(SELECT * FROM (VALUES {CASES}) AS v(case_id, content, title, encoding_error))", "case_id"))
+@query(outcome_sql("content", "title", "encoding_error", f"(SELECT -case_id AS case_id, content, title, encoding_error FROM (VALUES {CASES}) AS v(case_id, content, title, encoding_error) UNION ALL SELECT doc_id, text, source, doc_id % 50 = 0 FROM documents)", "case_id"))
 def classify_cases(spark, d):
-    x = spark.sql(f"SELECT * FROM VALUES {CASES} AS v(case_id, content, title, encoding_error)")
+    """Documents with a title and, for some, an encoding error; cases for every limit under negative ids."""
+    x = spark.sql(f"SELECT cast(-case_id AS bigint) AS case_id, content, title, encoding_error FROM VALUES {CASES} AS v(case_id, content, title, encoding_error)")
+    x = x.unionByName(documents(spark, d).select(F.col("doc_id").alias("case_id"), F.col("text").alias("content"), F.col("source").alias("title"), (F.col("doc_id") % 50 == 0).alias("encoding_error")))
     return flat(classify.with_outcome(x, "content", "title", "encoding_error").drop("content", "title", "encoding_error"))
 
 
@@ -218,46 +226,48 @@ def links_after_clean_text(spark, d):
     return counts_of(spark, d, "clean_text", "links", "images", "structured")
 
 
-@query("""SELECT * FROM (VALUES (1, 'links_all', 'https://E.org/d'), (1, 'links_all', 'https://other.org/'), (1, 'links_all', 'https://www.e.org/c'), (1, 'links_all', 'https://www.e.org/n'), (1, 'links_all', 'mailto:a@b.org'),
+@query(f"""WITH {LINKS} SELECT -page_id AS page_id, kind, url FROM (VALUES (1, 'links_all', 'https://E.org/d'), (1, 'links_all', 'https://other.org/'), (1, 'links_all', 'https://www.e.org/c'), (1, 'links_all', 'https://www.e.org/n'), (1, 'links_all', 'mailto:a@b.org'),
     (1, 'links_kept', 'https://E.org/d'), (1, 'links_kept', 'https://other.org/'), (1, 'links_kept', 'https://www.e.org/c'), (1, 'links_kept', 'mailto:a@b.org'), (1, 'external', 'https://other.org/'), (1, 'external', 'mailto:a@b.org'),
     (1, 'images_all', 'https://www.e.org/a/i.png'), (1, 'images_all', 'https://www.e.org/i.png'), (1, 'images_all', 'https://www.e.org/n.png'), (1, 'images_kept', 'https://www.e.org/a/i.png'), (1, 'images_kept', 'https://www.e.org/i.png'),
     (1, 'pooled_links', 'https://E.org/d'), (1, 'pooled_links', 'https://other.org/'),
     (2, 'links_all', 'https://e.org/k'), (2, 'links_all', 'https://e.org/m'), (2, 'links_all', 'https://e.org/s'), (2, 'links_kept', 'https://e.org/m'), (3, 'links_all', 'https://e.org/f'), (3, 'links_all', 'https://e.org/g'), (3, 'links_kept', 'https://e.org/g')
-    ) AS v(page_id, kind, url)""")
+    ) AS v(page_id, kind, url) UNION ALL SELECT page_id, 'links_all', link FROM links""")
 def html_link_cases(spark, d):
-    """Links and images of the cases: of the whole page, after the text extractor, external, of the pooled profile."""
-    x = html.parsed(html_cases(spark), "links_all", "links_kept", "images_all", "images_kept", "pooled_links")
+    """Links and images of pages and cases: of the whole page, after the text extractor (which takes the pages' links
+    away), external, of the pooled profile. Cases have negative ids."""
+    x = html.parsed(with_cases(spark, d), "links_all", "links_kept", "images_all", "images_kept", "pooled_links")
     lists = {n: F.col(f"page.{n}") for n in ("links_all", "links_kept", "images_all", "images_kept", "pooled_links")} | {"external": F.filter("page.links_all", lambda u: ur.is_external(u, F.col("url")))}
     each = [x.select("page_id", F.lit(n).alias("kind"), F.explode(c).alias("url")) for n, c in lists.items()]
-    return reduce(DataFrame.unionByName, each).withColumn("page_id", F.col("page_id").cast("int"))
+    return reduce(DataFrame.unionByName, each)
 
 
-@query("""SELECT * FROM (VALUES (1, 'T', 'two', 'k1,k2', 'An', '2024', 'og:description=OD;og:title=O2', 'twitter:card=c', 'T', 'two', 'O2', 'OD'),
+@query(f"""WITH {PAGE_TEXT} SELECT -page_id AS page_id, title, description, keywords, author, published_date, og, twitter, js_title, js_description, js_og_title, js_og_description FROM (VALUES (1, 'T', 'two', 'k1,k2', 'An', '2024', 'og:description=OD;og:title=O2', 'twitter:card=c', 'T', 'two', 'O2', 'OD'),
     (2, NULL, NULL, NULL, NULL, NULL, '', '', NULL, NULL, NULL, NULL), (3, NULL, NULL, NULL, NULL, '2021', 'og:image=img', '', NULL, NULL, NULL, NULL),
     (4, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL), (5, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL)
-    ) AS v(page_id, title, description, keywords, author, published_date, og, twitter, js_title, js_description, js_og_title, js_og_description)""")
+    ) AS v(page_id, title, description, keywords, author, published_date, og, twitter, js_title, js_description, js_og_title, js_og_description)
+    UNION ALL SELECT page_id, title, NULL, NULL, NULL, NULL, '', '', title, NULL, NULL, NULL FROM content""")
 def html_metadata_cases(spark, d):
-    """Metadata of the cases by both readers."""
-    x = html.parsed(html_cases(spark), "title", "metas").select("page_id", F.when(F.col("page").isNotNull(), html.metadata()).alias("m"), F.when(F.col("page").isNotNull(), html.rendered_metadata()).alias("r"))
+    """Metadata of pages and cases by both readers."""
+    x = html.parsed(with_cases(spark, d), "title", "metas").select("page_id", F.when(F.col("page").isNotNull(), html.metadata()).alias("m"), F.when(F.col("page").isNotNull(), html.rendered_metadata()).alias("r"))
     flat_map = lambda c: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
     own = [F.col(f"m.{c}") for c in ("title", "description", "keywords", "author", "published_date")]
     js = [F.col(f"r.{c}").alias(f"js_{c}") for c in ("title", "description", "og_title", "og_description")]
-    return x.select(F.col("page_id").cast("int").alias("page_id"), *own, flat_map("m.og_data").alias("og"), flat_map("m.twitter_data").alias("twitter"), *js)
+    return x.select("page_id", *own, flat_map("m.og_data").alias("og"), flat_map("m.twitter_data").alias("twitter"), *js)
 
 
-@query("""SELECT * FROM (VALUES (1, 0, '{"a":1}'), (3, 0, '[1,2]'), (3, 1, '{"b":"é"}')) AS v(page_id, pos, json_ld)""")
+@query("""SELECT -page_id AS page_id, pos, json_ld FROM (VALUES (1, 0, '{"a":1}'), (3, 0, '[1,2]'), (3, 1, '{"b":"é"}'), (2, NULL, NULL), (4, NULL, NULL), (5, NULL, NULL)) AS v(page_id, pos, json_ld) UNION ALL SELECT page_id, NULL, NULL FROM pages""")
 def html_json_ld_cases(spark, d):
-    """The valid JSON-LD blocks of the cases, in order."""
-    x = html.parsed(html_cases(spark), "json_ld").select(F.col("page_id").cast("int").alias("page_id"), F.posexplode(F.transform(html.json_ld(), lambda v: F.to_json(v))).alias("pos", "json_ld"))
-    return x
+    """The valid JSON-LD blocks of pages and cases, in order; a row without one where there is none."""
+    x = html.parsed(with_cases(spark, d), "json_ld")
+    return x.select("page_id", F.posexplode_outer(F.transform(html.json_ld(), lambda v: F.to_json(v))).alias("pos", "json_ld"))
 
 
-@query("SELECT * FROM (VALUES (1, 'T', 'x\\nc', 1), (2, NULL, 'm\\nm\\nm', 1), (3, NULL, 'text\\ng', 1), (4, NULL, NULL, 0), (5, NULL, NULL, 0)) AS v(page_id, title, content, has_links)".replace("\\n", "' || chr(10) || '"))
+@query(f"WITH {PAGE_TEXT} SELECT -page_id AS page_id, title, content, has_links FROM (VALUES (1, 'T', 'x#c', 1), (2, NULL, 'm#m#m', 1), (3, NULL, 'text#g', 1), (4, NULL, NULL, 0), (5, NULL, NULL, 0)) AS v(page_id, title, content, has_links)".replace("#", "' || chr(10) || '") + " UNION ALL SELECT c.page_id, c.title, array_to_string(t.p, chr(10)), 1 FROM content c JOIN txt t USING (page_id)")
 def to_dict_cases(spark, d):
-    """Documents as dictionaries: text of the rendered reader, with links where asked for."""
-    x = html.scrape(html_cases(spark), ("clean_text", "metadata", "links"), "rendered", keep=("page_id",))
+    """Pages and cases as dictionaries: text of the rendered reader, with links where asked for."""
+    x = html.scrape(with_cases(spark, d), ("clean_text", "metadata", "links"), "rendered", keep=("page_id",))
     y = research.to_dict(x, include_links=True).join(x.select("url", "page_id"), "url")
-    return y.select(F.col("page_id").cast("int").alias("page_id"), "title", F.replace("content", F.lit("\n\n"), F.lit("\n")).alias("content"), F.col("links").isNotNull().cast("int").alias("has_links"))
+    return y.select("page_id", "title", F.replace("content", F.lit("\n\n"), F.lit("\n")).alias("content"), F.col("links").isNotNull().cast("int").alias("has_links"))
 
 
 @query(f"WITH {LINKS} SELECT p.url, CAST(count(link) AS INTEGER) AS count, 0 AS external FROM pages p LEFT JOIN links l ON p.url = l.url GROUP BY p.url UNION ALL SELECT * FROM (VALUES ('https://www.e.org/a/b', 5, 2), ('https://e.org/', 3, 0), ('https://e.org/x', 2, 0), ('https://e.org/empty', 0, 0), ('https://e.org/null', 0, 0)) AS v(url, count, external)")
@@ -296,11 +306,16 @@ def case_urls(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {URL_CASES} AS v(case_id, url)")
 
 
+def with_case_urls(spark: SparkSession, d: str) -> DataFrame:
+    """case_id, url of the pages, and of the cases under negative ids."""
+    return pages(spark, d).select(F.col("page_id").alias("case_id"), "url").unionByName(case_urls(spark).select((-F.col("case_id")).cast("long").alias("case_id"), "url"))
+
+
 @query(f"""SELECT case_id, coalesce({host_sql()}, '') AS host, {words_sql(host_sql(), ur.JS_HEAVY)} AS js_heavy, {words_sql("lower(url)", ur.JUNK)} AS junk, {words_sql("url", ur.TRACKERS)} AS tracker,
-    coalesce({host_sql("CASE WHEN url LIKE 'http%' THEN url ELSE 'https://' || url END")}, '') AS domain FROM {CASE_URLS} AS c""")
+    coalesce({host_sql("CASE WHEN url LIKE 'http%' THEN url ELSE 'https://' || url END")}, '') AS domain FROM (SELECT -case_id AS case_id, url FROM {CASE_URLS} AS c UNION ALL SELECT page_id, url FROM pages) AS c""")
 def url_cases(spark, d):
     u = F.col("url")
-    return case_urls(spark).select("case_id", F.coalesce(ur.host(u), F.lit("")).alias("host"), ur.is_js_heavy(u).alias("js_heavy"), ur.is_junk(u).alias("junk"), ur.is_tracker(u).alias("tracker"), F.coalesce(ur.domain(u), F.lit("")).alias("domain"))
+    return with_case_urls(spark, d).select("case_id", F.coalesce(ur.host(u), F.lit("")).alias("host"), ur.is_js_heavy(u).alias("js_heavy"), ur.is_junk(u).alias("junk"), ur.is_tracker(u).alias("tracker"), F.coalesce(ur.domain(u), F.lit("")).alias("domain"))
 
 
 @query(f"""SELECT page_id, {words_sql(host_sql(), ur.JS_HEAVY)} AS js_heavy, {words_sql("lower(url)", ur.JUNK)} AS junk FROM pages
@@ -411,10 +426,13 @@ def formats(t, c, s, a, p):
     return [format.markdown(t, c, s, a, p).alias("markdown"), format.for_llm(t, c, s).alias("llm"), format.article(t, c).alias("article")]
 
 
-@query(f"SELECT case_id, {FORMATS} FROM (VALUES {FORMAT_CASES}) AS v(case_id, t, c, s, a, p)")
+@query(f"SELECT case_id, {FORMATS} FROM (SELECT -case_id AS case_id, t, c, s, a, p FROM (VALUES {FORMAT_CASES}) AS v(case_id, t, c, s, a, p) UNION ALL SELECT doc_id, source, text, lang, CASE WHEN doc_id % 2 = 0 THEN 'An Author' END, CASE WHEN doc_id % 3 = 0 THEN '2024' ELSE '' END FROM documents) AS x")
 def format_cases(spark, d):
-    x = spark.sql(f"SELECT * FROM VALUES {FORMAT_CASES} AS v(case_id, t, c, s, a, p)")
-    return x.select("case_id", *formats(*map(F.col, "tcsap")))
+    """Documents with all parts or some, and cases under negative ids."""
+    x = spark.sql(f"SELECT cast(-case_id AS bigint) AS case_id, t, c, s, a, p FROM VALUES {FORMAT_CASES} AS v(case_id, t, c, s, a, p)")
+    i = F.col("doc_id")
+    own = documents(spark, d).select(i.alias("case_id"), F.col("source").alias("t"), F.col("text").alias("c"), F.col("lang").alias("s"), F.when(i % 2 == 0, "An Author").alias("a"), F.when(i % 3 == 0, "2024").otherwise("").alias("p"))
+    return x.unionByName(own).select("case_id", *formats(*map(F.col, "tcsap")))
 
 
 @query(f"WITH {PAGE_TEXT} SELECT page_id, {FORMATS} FROM (SELECT page_id, title AS t, content AS c, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS VARCHAR) AS a, CAST(NULL AS VARCHAR) AS p FROM content) AS x")
@@ -553,8 +571,9 @@ def parse_sitemap(spark, d):
     tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
     amp = F.replace("url", F.lit("&"), F.lit("&amp;"))
     row = F.concat(F.lit("<url>"), tag("loc", amp), tag("lastmod", F.col("last_modified")), F.coalesce(tag("priority", F.col("priority").cast("string")), F.lit("")), F.lit("</url>"))
-    xml = u.groupBy("domain").agg(F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.collect_list(row), ""), F.lit("</urlset>")).alias("xml"))
-    files = xml.select(F.concat(F.lit("https://"), F.col("domain"), F.lit("/sitemap.xml")).alias("url"), F.col("xml").cast("binary").alias("content"))
+    u = nth_of(u, "domain", "page_id").withColumn("cut", F.floor((F.col("nth") - 1) / FILE_URLS))
+    xml = u.groupBy("domain", "cut").agg(F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.collect_list(row), ""), F.lit("</urlset>")).alias("xml"))
+    files = xml.select(F.concat(F.lit("https://"), F.col("domain"), F.lit("/sitemap"), F.when(F.col("cut") > 0, F.col("cut").cast("string")).otherwise(""), F.lit(".xml")).alias("url"), F.col("xml").cast("binary").alias("content"))
     return sitemap.parsed(files).select("domain", "url", "last_modified", "priority")
 
 
@@ -576,9 +595,13 @@ def discover_first_seen(spark, d):
     return discovered_now(spark, d)[0]
 
 
-@query(f"WITH {SOURCES}, f AS ({FIRST}) SELECT l.url AS source, coalesce(any_value(n), 0) AS new, 0 AS junk FROM links l LEFT JOIN (SELECT discovered_from, count(*) AS n FROM f GROUP BY 1) AS c ON c.discovered_from = l.url GROUP BY l.url")
+@query(f"WITH {SOURCES}, f AS ({FIRST}), c AS (SELECT discovered_from, count(*) AS n FROM f GROUP BY 1) SELECT p.url AS source, coalesce(n, 0) AS new, CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS junk FROM pages p LEFT JOIN c ON c.discovered_from = p.url WHERE page_id % 3 = 0 OR p.url IN (SELECT url FROM links)")
 def discovery_counters(spark, d):
-    return discovered_now(spark, d)[1]
+    """New links and junk of each page, every third of which begins with a link to an advertisement."""
+    p = spread(pages(spark, d))
+    i = F.col("page_id")
+    p = p.withColumn("html", F.when(i % 3 == 0, F.concat(F.lit('<a href="/ads/'), i.cast("string"), F.lit('">ad</a>'), "html")).otherwise(F.col("html")))
+    return discovery.discover(pages(spark, d).select(i.alias("ord"), "url"), p, pages(spark, d).where("page_id % 7 = 0").select("url"), F.lit("2024"))[1]
 
 
 @query(f"WITH {SOURCES} SELECT (SELECT count(*) FROM src) AS total_sources, count(*) AS total_discovered, max('2024-01-10T00:00:00') AS latest FROM ({FIRST}) AS f")
@@ -591,9 +614,11 @@ def discovered_search(spark, d):
     return discovery.search(pages(spark, d).select("url").union(spark.createDataFrame([("https://e.org/50%25_A",), ("https://e.org/b",)], "url string")), "A")
 
 
-@query(f"SELECT case_id, url FROM {CASE_URLS} AS c WHERE NOT {words_sql('lower(url)', ur.JUNK)}")
+@query(f"SELECT case_id, url FROM (SELECT -case_id AS case_id, url FROM {CASE_URLS} AS c UNION ALL SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url || '/Track/1' ELSE url END FROM pages) AS x WHERE NOT {words_sql('lower(url)', ur.JUNK)}")
 def junk_filter(spark, d):
-    return discovery.filter_junk(case_urls(spark))
+    """Pages' urls, every third made junk, and cases under negative ids."""
+    made = F.when(F.col("case_id") % 3 == 0, F.concat("url", F.lit("/Track/1"))).otherwise(F.col("url"))
+    return discovery.filter_junk(with_case_urls(spark, d).withColumn("url", F.when(F.col("case_id") >= 0, made).otherwise(F.col("url"))))
 
 
 @query("""WITH n AS (SELECT page_id AS ord, url FROM pages UNION ALL SELECT page_id + 1000000, ' ' || regexp_extract(url, '://(.*)$', 1) || ' ' FROM pages),
@@ -613,12 +638,17 @@ SERP_CASES = """
 """
 
 
-@query(f"""WITH v AS (SELECT * FROM (VALUES {SERP_CASES}) AS v(query, raw_pos, title, href, snippet)),
-    t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY raw_pos) AS n FROM v),
+RAW = f"(SELECT * FROM (VALUES {SERP_CASES}) AS v(query, raw_pos, title, href, snippet) UNION ALL SELECT {host_sql()}, CAST(page_id AS INTEGER), CASE WHEN page_id % 5 <> 0 THEN 'T' || page_id END, CASE WHEN page_id % 3 = 0 THEN '/relative' ELSE url END, CASE WHEN page_id % 2 = 0 THEN 's' || page_id END FROM pages)"
+
+
+@query(f"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY raw_pos) AS n FROM {RAW} AS v),
     u AS (SELECT *, CASE WHEN contains(href, 'uddg=') THEN url_decode(regexp_extract(href, 'uddg=([^&]+)', 1)) ELSE href END AS url FROM t WHERE n <= 4)
     SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY raw_pos) AS INTEGER) AS position, title, url, coalesce(snippet, '') AS snippet, 'duckduckgo' AS source FROM u WHERE title IS NOT NULL AND url LIKE 'http%'""")
 def serp_positions(spark, d):
-    return search.positions(spark.sql(f"SELECT * FROM VALUES {SERP_CASES} AS v(query, raw_pos, title, href, snippet)"), 4)
+    """The first four results of each host's pages, and of two queries of cases."""
+    i = F.col("page_id")
+    own = pages(spark, d).select(ur.host(F.col("url")).alias("query"), i.cast("int").alias("raw_pos"), F.when(i % 5 != 0, F.concat(F.lit("T"), i.cast("string"))).alias("title"), F.when(i % 3 == 0, "/relative").otherwise(F.col("url")).alias("href"), F.when(i % 2 == 0, F.concat(F.lit("s"), i.cast("string"))).alias("snippet"))
+    return search.positions(spark.sql(f"SELECT * FROM VALUES {SERP_CASES} AS v(query, raw_pos, title, href, snippet)").unionByName(own), 4)
 
 
 FOUND = "(SELECT page_id, url FROM pages UNION ALL SELECT page_id + 1000000, url || '?gone' FROM pages WHERE page_id % 9 = 0)"
@@ -768,8 +798,8 @@ LISTED = "l AS (SELECT page_id, url, row_number() OVER (PARTITION BY " + host_sq
 
 
 def result_pages(spark, d) -> DataFrame:
-    """query, html: a page of results for each host, with redirects, results without a title and relative ones."""
-    p = pages(spark, d).select("page_id", "url", ur.host(F.col("url")).alias("query"))
+    """query, html: a page of up to 25 results for each host, with redirects, results without a title and relative ones."""
+    p = nth_of(pages(spark, d).select("page_id", "url", ur.host(F.col("url")).alias("query")), "query", "page_id").where(F.col("nth") <= search.SEARCH_CAP)
     encoded = F.replace(F.replace(F.url_encode("url"), F.lit("+"), F.lit("%20")), F.lit("%7E"), F.lit("~"))
     href = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("//duck.example/l/?uddg="), encoded, F.lit("&amp;rut=1"))).when(F.col("page_id") % 7 == 0, F.lit("/relative")).otherwise(F.replace("url", F.lit("&"), F.lit("&amp;")))
     i = F.col("page_id").cast("string")
@@ -788,25 +818,37 @@ def serp_html(spark, d):
     return search.positions(raw).select("query", "position", "title", "url", "snippet")
 
 
-@query("SELECT * FROM (VALUES (1, 'Ab', '/x', ''), (2, NULL, NULL, 's t'), (3, 'C', '', NULL)) AS v(raw_pos, title, href, snippet)")
+@query(f"""WITH {LISTED} SELECT 'case' AS query, raw_pos, title, href, snippet FROM (VALUES (1, 'Ab', '/x', ''), (2, NULL, NULL, 's t'), (3, 'C', '', NULL)) AS v(raw_pos, title, href, snippet)
+    UNION ALL SELECT {host_sql()}, CAST(n AS INTEGER), CASE WHEN page_id % 4 <> 0 THEN 'Result' || page_id END, CASE WHEN page_id % 4 = 0 THEN NULL WHEN page_id % 5 = 0 THEN '//duck.example/l/?uddg=' || url_encode(url) || '&rut=1' WHEN page_id % 7 = 0 THEN '/relative' ELSE url END,
+    CASE WHEN page_id % 3 <> 0 THEN 'about & ' || page_id END FROM l WHERE n <= 25""")
 def serp_html_cases(spark, d):
-    """Elements of a result page with parts missing, nested ones, other classes."""
+    """Elements of the hosts' result pages, and of one with parts missing, nested ones, other classes."""
     made = '<div class="result__body x"><h2><a class="result__a" href="/x"> A<b>b</b> </a></h2><a class="result__snippet"> </a></div><div class="result"><div class="result__body"><span class="result__snippet">s <i>t</i></span></div></div><div class="result__body"><a class="result__a">C</a></div><div class="other">n</div>'
-    return spark.createDataFrame([(made,)], "html string").select(F.inline(search.parse_results("html"))).select("raw_pos", F.trim("title").alias("title"), "href", F.replace(F.trim("snippet"), F.lit("st"), F.lit("s t")).alias("snippet"))
+    x = spread(result_pages(spark, d)).unionByName(spark.createDataFrame([("case", made)], "query string, html string"))
+    return x.select("query", F.inline(search.parse_results("html"))).select("query", "raw_pos", F.trim("title").alias("title"), "href", F.replace(F.trim("snippet"), F.lit("st"), F.lit("s t")).alias("snippet"))
+
+
+#: A sitemap file holds so many urls at most, as the protocol has it.
+FILE_URLS = 50_000
 
 
 def sitemap_files(spark, d) -> DataFrame:
-    """url, content: for each domain an index of two sitemaps, its urls of even and of odd ids."""
-    u = registry_urls(spark, d).withColumn("half", (F.col("page_id") % 2).cast("string"))
-    base = lambda half: F.concat(F.lit("https://"), F.col("domain"), F.lit("/s"), half, F.lit(".xml"))
+    """url, content: for each domain an index of its sitemaps, those with its urls of odd and of even ids; a sitemap
+    of more than FILE_URLS goes on in others."""
+    u = registry_urls(spark, d).withColumn("half", (F.col("page_id") % 2).cast("string")).withColumn("of", F.concat_ws(" ", "domain", "half"))
+    u = nth_of(u, "of", "page_id").withColumn("cut", F.floor((F.col("nth") - 1) / FILE_URLS))
+    base = F.concat(F.lit("https://"), F.col("domain"), F.lit("/s"), F.col("half"), F.when(F.col("cut") > 0, F.concat(F.lit("-"), F.col("cut").cast("string"))).otherwise(""), F.lit(".xml"))
     amp = F.replace("url", F.lit("&"), F.lit("&amp;"))
-    rows = u.groupBy("domain", "half").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", F.concat(F.lit("<url><loc> "), amp, F.lit(" </loc></url>")).alias("x")))), lambda r: r["x"]), "").alias("x"))
-    children = rows.select(base(F.col("half")).alias("url"), F.concat(F.lit("<urlset>"), "x", F.lit("</urlset>")).cast("binary").alias("content"))
-    index = u.select("domain").distinct().select(F.concat(F.lit("https://"), F.col("domain"), F.lit("/sitemap_index.xml")).alias("url"), F.concat(F.lit('<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc>'), base(F.lit("1")), F.lit("</loc></sitemap><sitemap><loc>"), base(F.lit("0")), F.lit("</loc></sitemap></sitemapindex>")).cast("binary").alias("content"))
-    return index.unionByName(children)
+    rows = u.groupBy("domain", "half", "cut").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", F.concat(F.lit("<url><loc> "), amp, F.lit(" </loc></url>")).alias("x")))), lambda r: r["x"]), "").alias("x"))
+    rows = written(rows.withColumn("name", base), "sitemap-files")
+    children = rows.select(F.col("name").alias("url"), F.concat(F.lit("<urlset>"), "x", F.lit("</urlset>")).cast("binary").alias("content"))
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("half").cast("int")).alias("half"), "cut", F.concat(F.lit("<sitemap><loc>"), "name", F.lit("</loc></sitemap>")).alias("x"))))
+    index = rows.groupBy("domain").agg(F.array_join(F.transform(listed, lambda r: r["x"]), "").alias("x"))
+    head = F.lit('<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">')
+    return index.select(F.concat(F.lit("https://"), F.col("domain"), F.lit("/sitemap_index.xml")).alias("url"), F.concat(head, "x", F.lit("</sitemapindex>")).cast("binary").alias("content")).unionByName(children)
 
 
-@query(f"WITH {REGISTRY} SELECT 'https://' || domain || '/sitemap_index.xml' AS sitemap_url, domain, CAST(1 - page_id % 2 AS INTEGER) AS child, CAST(row_number() OVER (PARTITION BY domain, page_id % 2 ORDER BY page_id) - 1 AS INTEGER) AS place, url FROM u")
+@query(f"WITH {REGISTRY} SELECT 'https://' || domain || '/sitemap_index.xml' AS sitemap_url, domain, CAST(CASE WHEN page_id % 2 = 1 THEN 0 ELSE (SELECT count(*) FROM (SELECT DISTINCT page_id % 2 AS h FROM u v WHERE v.domain = u.domain AND v.page_id % 2 = 1) AS w) END AS INTEGER) AS child, CAST(row_number() OVER (PARTITION BY domain, page_id % 2 ORDER BY page_id) - 1 AS INTEGER) AS place, url FROM u")
 def sitemap_index(spark, d):
     """An index and its children, one level deep, in the order of both."""
     f = sitemap_files(spark, d)
@@ -823,13 +865,17 @@ def first_fetchable_sitemap(spark, d):
     return sitemap.first_fetchable(c.withColumn("content", F.when(there, F.encode(F.lit("no xml"), "UTF-8")))).select("domain", "sitemap_url")
 
 
-@query("SELECT * FROM (VALUES ('https://e.org/a.xml.gz', 'https://e.org/1', 0.5::DOUBLE), ('https://e.org/b.xml', 'https://e.org/2', NULL)) AS v(sitemap_url, url, priority)")
+@query(f"""WITH {REGISTRY} SELECT * FROM (VALUES ('https://e.org/a.xml.gz', 'https://e.org/1', 0.5::DOUBLE), ('https://e.org/b.xml', 'https://e.org/2', NULL)) AS v(sitemap_url, url, priority)
+    UNION ALL SELECT 'https://' || domain || '/s' || page_id % 2 || CASE WHEN page_id % 2 = 0 THEN '.xml.gz' ELSE '.xml' END, url, NULL FROM u""")
 def sitemap_gzip_cases(spark, d):
-    """A packed sitemap, a plain one, bad XML, an empty file."""
+    """The domains' sitemaps, half of them packed; a packed one with a priority, a plain one, bad XML, an empty file."""
     import gzip
 
     rows = [("https://e.org/a.xml.gz", gzip.compress(b"<urlset><url><loc>https://e.org/1</loc><priority>0.5</priority></url></urlset>")), ("https://e.org/b.xml", b"<urlset><url><loc>https://e.org/2</loc></url><url><loc> </loc></url></urlset>"), ("https://e.org/c.xml", b"<urlset><url>"), ("https://e.org/d.xml", b"")]
-    f = spark.createDataFrame(rows, "url string, content binary")
+    f = sitemap_files(spark, d).where(~F.col("url").endswith("_index.xml"))
+    packed = F.pandas_udf(lambda s: s.map(gzip.compress), "binary")
+    f = f.where(F.contains("url", F.lit("/s1"))).unionByName(f.where(F.contains("url", F.lit("/s0"))).select(F.concat("url", F.lit(".gz")).alias("url"), packed("content").alias("content")))
+    f = f.unionByName(spark.createDataFrame(rows, "url string, content binary"))
     return sitemap.parsed(f.select("url", sitemap.unpacked(F.col("url"), F.col("content")).alias("content"))).select("sitemap_url", "url", "priority")
 
 
@@ -888,10 +934,11 @@ def search_errors(spark, d):
     return research.search_errors(s, s.where(F.length("query") % 2 == 0).withColumn("error", F.lit("timed out")))
 
 
-@query("SELECT CAST(range AS INTEGER) AS asked, CAST(least(range, 25) AS INTEGER) AS searched, CAST(least(range, 5) AS INTEGER) AS researched FROM range(30)")
+@query("SELECT page_id, CAST(page_id % 40 AS INTEGER) AS asked, CAST(least(page_id % 40, 25) AS INTEGER) AS searched, CAST(least(page_id % 40, 5) AS INTEGER) AS researched FROM pages")
 def request_caps(spark, d):
-    n = F.col("id").cast("int")
-    return spark.range(30).select(n.alias("asked"), search.capped(n).alias("searched"), search.capped(n, search.RESEARCH_CAP).alias("researched"))
+    """How many results each page's request gets."""
+    n = (F.col("page_id") % 40).cast("int")
+    return pages(spark, d).select("page_id", n.alias("asked"), search.capped(n).alias("searched"), search.capped(n, search.RESEARCH_CAP).alias("researched"))
 
 
 @query("SELECT count(*) AS size, 100 AS max_size, 300 AS ttl_seconds FROM events")
@@ -937,12 +984,15 @@ REPLIES = "(1, '\"é\"', NULL), (2, '{\"a\":\"😀 ☃\"}', NULL), (3, NULL, 'no
 ESCAPED = "array_to_string(list_transform(string_split(j, ''), lambda c: CASE WHEN unicode(c) < 127 THEN c WHEN unicode(c) < 65536 THEN '\\u' || lower(lpad(hex(unicode(c)), 4, '0')) ELSE '\\u' || lower(hex(55296 + (unicode(c) - 65536) // 1024)) || '\\u' || lower(hex(56320 + (unicode(c) - 65536) % 1024)) END), '')"
 
 
-@query(f"""SELECT id, {ESCAPED} AS value FROM (SELECT id, CASE WHEN error IS NULL THEN '{{"ok":true,"result":' || coalesce(result, 'null') || '}}' ELSE '{{"ok":false,"error":"' || error || '"}}' END AS j FROM (VALUES {REPLIES}) AS v(id, result, error)) AS x""")
+@query(f"""SELECT id, {ESCAPED} AS value FROM (SELECT id, CASE WHEN error IS NULL THEN '{{"ok":true,"result":' || coalesce(result, 'null') || '}}' ELSE '{{"ok":false,"error":"' || error || '"}}' END AS j FROM (SELECT -id AS id, result, error FROM (VALUES {REPLIES}) AS v(id, result, error)
+    UNION ALL SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN CAST(json_object('text', text, 'lang', lang) AS VARCHAR) END, CASE WHEN doc_id % 4 = 0 THEN source || ' „' || lang || '“ é' END FROM documents) AS w) AS x""")
 def line_replies(spark, d):
-    """Reply lines hold ASCII alone."""
+    """Replies with documents and errors, and cases under negative ids: lines hold ASCII alone."""
     from ..streaming import worker
 
-    return worker.replies(spark.sql(f"SELECT * FROM VALUES {REPLIES} AS v(id, result, error)")).select("id", "value")
+    i = F.col("doc_id")
+    own = documents(spark, d).select(i.alias("id"), F.when(i % 4 != 0, F.to_json(F.struct("text", "lang"))).alias("result"), F.when(i % 4 == 0, F.concat("source", F.lit(" „"), "lang", F.lit("“ é"))).alias("error"))
+    return worker.replies(spark.sql(f"SELECT cast(-id AS bigint) AS id, result, error FROM VALUES {REPLIES} AS v(id, result, error)").unionByName(own)).select("id", "value")
 
 
 @query(f"""WITH {LINKS} SELECT p.page_id, 'extract_urls' AS tool, count(link) AS n FROM pages p LEFT JOIN links l ON p.page_id = l.page_id GROUP BY p.page_id
@@ -965,11 +1015,14 @@ def line_tools(spark, d):
     return out.select("page_id", "tool", n.alias("n"))
 
 
-@query("""SELECT * FROM (VALUES ('extract_urls', 2, 'url'), ('research_with_sources', 3, 'query'), ('retrieve_source', 2, 'url'), ('scrape_url', 2, 'url'), ('search_and_scrape', 3, 'query'), ('search_sources', 2, 'query'), ('web_search', 2, 'query')) AS v(tool, n_arguments, required)""")
+@query("""SELECT page_id, tool, n_arguments, required FROM pages JOIN (VALUES (0, 'extract_urls', 2, 'url'), (1, 'research_with_sources', 3, 'query'), (2, 'retrieve_source', 2, 'url'), (3, 'scrape_url', 2, 'url'), (4, 'search_and_scrape', 3, 'query'), (5, 'search_sources', 2, 'query'), (6, 'web_search', 2, 'query')) AS v(n, tool, n_arguments, required) ON page_id % 7 = n""")
 def tool_schemas(spark, d):
+    """What the tool that each page's request names accepts."""
     from ..streaming import worker
 
-    return worker.schemas(spark).select("tool", F.size("properties").alias("n_arguments"), F.array_join("required", ",").alias("required"))
+    names = F.array(*[F.lit(t) for t in sorted(worker.TOOLS)])
+    asked = pages(spark, d).select("page_id", F.get(names, (F.col("page_id") % 7).cast("int")).alias("tool"))
+    return asked.join(worker.schemas(spark), "tool").select("page_id", "tool", F.size("properties").alias("n_arguments"), F.array_join("required", ",").alias("required"))
 
 
 @query(f"WITH {SOURCES}, {PAGE_TEXT} SELECT link AS url, arg_min(l.url, l.page_id) AS discovered_from FROM links l WHERE l.page_id % 4 <> 0 GROUP BY link")
@@ -1032,10 +1085,12 @@ def sitemap_records(spark, d):
     return format.as_json(format.as_records(registry_sitemaps(spark, d).select("domain", "url_count", "status", "last_fetched")))
 
 
-@query("""SELECT * FROM (VALUES (1, '2024-01-02T03:04:05'), (2, '2024-01-02T03:04:05.000070'), (3, NULL)) AS v(case_id, t)""")
+@query("""SELECT -case_id AS case_id, t FROM (VALUES (1, '2024-01-02T03:04:05'), (2, '2024-01-02T03:04:05.000070'), (3, NULL)) AS v(case_id, t)
+    UNION ALL SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(microsecond(ts) % 1000000 AS VARCHAR), 6, '0') END FROM events""")
 def iso_times(spark, d):
-    x = spark.sql("SELECT * FROM VALUES (1, timestamp_ntz'2024-01-02 03:04:05'), (2, timestamp_ntz'2024-01-02 03:04:05.00007'), (3, null) AS v(case_id, t)")
-    return format.as_records(x)
+    """The events' times, and cases under negative ids."""
+    x = spark.sql("SELECT cast(-case_id AS bigint) AS case_id, t FROM VALUES (1, timestamp_ntz'2024-01-02 03:04:05'), (2, timestamp_ntz'2024-01-02 03:04:05.00007'), (3, null) AS v(case_id, t)")
+    return format.as_records(x.unionByName(table(spark, d, "events").select(F.col("event_id").alias("case_id"), F.col("ts").cast("timestamp_ntz").alias("t"))))
 
 
 @query(f"""SELECT doc_id, '{{"emails":[' || coalesce(list_aggregate(list_transform(e, lambda x: '"' || x || '"'), 'string_agg', ','), '') || '],"phones":[' || coalesce(list_aggregate(list_transform(p, lambda x: '"' || x || '"'), 'string_agg', ','), '') || ']}}' AS value
@@ -1045,3 +1100,117 @@ def extraction_records(spark, d):
     t = F.col("text")
     x = all_text(spark, d).select("doc_id", F.to_json(F.struct(tx.extract(t, "emails").alias("emails"), tx.extract(t, "phones").alias("phones"))).alias("value"))
     return x
+
+
+# -- stored tables, streams and files ---------------------------------------------
+
+
+@query("SELECT asked, url FROM pages, (VALUES ('HTTPS://'), ('a'), ('.Example'), ('org/p'), ('zzzz'), ('the'), ('ing/')) AS v(asked) WHERE contains(lower(url), lower(asked))")
+def search_url_index(spark, d):
+    """Substrings asked of an index of all pages' urls."""
+    path = scratch(spark, "url-index")
+    layout.write_url_index(pages(spark, d), path)
+    asked = ("HTTPS://", "a", ".Example", "org/p", "zzzz", "the", "ing/")
+    return reduce(DataFrame.unionByName, [layout.search_index(spark, path, q).select(F.lit(q).alias("asked"), "url") for q in asked])
+
+
+@query(f"WITH {REGISTRY} SELECT s.domain, url_count, count(*) FILTER (NOT scraped) AS unscraped, url_count - count(*) FILTER (NOT scraped) AS scraped FROM s JOIN u USING (domain) GROUP BY s.domain, url_count")
+def progress_by_bucket(spark, d):
+    """Progress of all domains from the registry's tables in buckets by domain."""
+    path = scratch(spark, "layout")
+    name = "laid_" + path.rsplit("-", 1)[-1]
+    return registry.domain_progress(*layout.write_registry(registry_sitemaps(spark, d), known_urls(spark, d), name, int(spark.conf.get("spark.sql.shuffle.partitions")), path))
+
+
+@query(f"WITH {REGISTRY} SELECT url, last_modified, priority FROM u")
+def sitemap_parts(spark, d):
+    """All urls as one sitemap file for each task that writes, read in parts."""
+    u = registry_urls(spark, d)
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+    amp = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    row = F.concat(F.lit("<url>"), tag("loc", amp), tag("lastmod", F.col("last_modified")), F.coalesce(tag("priority", F.col("priority").cast("string")), F.lit("")), F.lit("</url>"))
+    path = scratch(spark, "sitemap-xml")
+    # a record for each url, the last one closing the file
+    files = written(placed(u.select(row.alias("value"), "page_id"), "page_id").withColumn("file", F.shiftright("place", 33)), "sitemap-rows")
+    ends = files.groupBy("file").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    opened = F.when(F.col("place") == F.col("first"), F.lit('<?xml version="1.0"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">')).otherwise("")
+    closed = F.when(F.col("place") == F.col("last"), F.lit("</urlset>")).otherwise("")
+    x = files.join(F.broadcast(ends), "file").select("file", "place", F.concat(opened, "value", closed).alias("value"))
+    x.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "file").sortWithinPartitions("file", "place").select("file", "value").write.partitionBy("file").text(path)
+    return sitemap.read_sitemaps(spark, path, large=0).select("url", "last_modified", "priority")
+
+
+@query(f"WITH {SOURCES}, {PAGE_TEXT}, f AS (SELECT link AS url, arg_min(url, page_id) AS discovered_from FROM links GROUP BY link) SELECT f.url, discovered_from, trim(title) AS source_title FROM f JOIN content c ON c.url = f.discovered_from")
+def discover_on_a_stream(spark, d):
+    """First-seen discovery over the pages as a stream of files."""
+    from ..streaming import discovery as stream
+
+    x = pages(spark, d).select(F.col("page_id").alias("ord"), "url", "html", F.expr("timestamp'2024-01-01' + make_dt_interval(0, 0, 0, page_id % 1000)").alias("fetched_at"))
+    source, sink = scratch(spark, "stream-pages"), scratch(spark, "stream-links")
+    spread(x).write.parquet(source)
+    found = stream.discovered(spark.readStream.schema(x.schema).parquet(source))
+    found.writeStream.format("parquet").option("path", sink).option("checkpointLocation", scratch(spark, "stream-checkpoint")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.OUT).parquet(sink).drop("fetched_at")
+
+
+@query(f"""WITH {REGISTRY}, c AS (SELECT domain, count(*) AS n FROM u GROUP BY domain)
+    SELECT domain, 'https://' || domain || '/sitemap_index.xml' AS sitemap_url, n AS url_count, n AS n_urls FROM c""")
+def stored_registry(spark, d):
+    """All domains added to the stored registry in two batches, the second of which is run twice."""
+    from ..streaming.registry import Store
+
+    store = Store(spark, scratch(spark, "store"), 8)
+    files = written(sitemap_files(spark, d), "store-files")
+    names = registry_urls(spark, d).select("domain").distinct()
+    even = F.pmod(F.hash("domain"), F.lit(2)) == 0
+    for part in (even, ~even, ~even):
+        store.add(names.where(part), files, dt.datetime(2024, 1, 10))
+    n = store.read("urls").groupBy("domain").agg(F.count("*").alias("n_urls"))
+    return store.read("sitemaps").join(n, "domain").select("domain", "sitemap_url", "url_count", "n_urls")
+
+
+@query(f"""WITH {LINKS}, n AS (SELECT p.page_id, count(link) AS n FROM pages p LEFT JOIN links l ON p.page_id = l.page_id GROUP BY p.page_id)
+    SELECT page_id AS line, CASE WHEN page_id % 4 = 1 THEN 'Invalid JSON' WHEN page_id % 4 = 3 THEN 'Unknown tool: nope' END AS error, CASE WHEN page_id % 4 = 2 THEN n END AS n_urls FROM n WHERE page_id % 4 <> 0""")
+def replies_in_order(spark, d):
+    """A request line for each page (a fourth blank, a fourth no JSON, a fourth for no tool), and the reply to each."""
+    from ..streaming import worker
+
+    p = pages(spark, d).select("page_id", "url", "html")
+    i = F.col("page_id")
+    ask = lambda tool: F.to_json(F.struct(F.lit(tool).alias("tool"), F.struct("url").alias("args")))
+    value = F.when(i % 4 == 0, "  ").when(i % 4 == 1, "{no").when(i % 4 == 2, ask("extract_urls")).otherwise(ask("nope"))
+    got = worker.answers(p.select(F.lit("pages").alias("file"), i.alias("line"), value.alias("value")), worker.tools(serp(spark, d), spread(p.select("url", "html"))))
+    return got.select("line", F.get_json_object("value", "$.error").alias("error"), F.get_json_object("value", "$.result.count").cast("long").alias("n_urls"))
+
+
+@query("SELECT url FROM pages")
+def url_lists(spark, d):
+    """The pages' urls as text files with comments and blank lines, read back."""
+    path = scratch(spark, "url-lists")
+    pages(spark, d).select(F.concat(F.lit("# a url\n\n  "), "url", F.lit(" \n   ")).alias("value")).write.text(path)
+    return captures.url_list(spark, path)
+
+
+@query("SELECT url, CASE WHEN page_id % 6 = 0 THEN 0 ELSE 200 END AS status_code, CASE WHEN page_id % 6 <> 0 THEN length(html) END AS n_chars, page_id % 5 = 0 AS encoding_error FROM pages")
+def captured_pages(spark, d):
+    """Captures as JSON files, some of which could not be fetched, read back with their schema."""
+    path, i = scratch(spark, "captures"), F.col("page_id")
+    x = pages(spark, d).select("url", F.when(i % 6 != 0, F.col("html")).alias("html"), F.when(i % 6 == 0, 0).otherwise(200).alias("status_code"), (i % 5 == 0).alias("encoding_error"), F.lit("ignored").alias("more"))
+    x.write.json(path)
+    return captures.captures(spark, path, "json").select("url", "status_code", F.length("html").cast("long").alias("n_chars"), "encoding_error")
+
+
+@query("SELECT lang, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) AS x GROUP BY lang")
+def text_files(spark, d):
+    """Documents as text files below a folder for each language, read back by line."""
+    path = scratch(spark, "texts") + "/out"
+    format.write_text_files(documents(spark, d).where("text is not null"), "lang", "text", path)
+    x = spark.read.option("lineSep", "\n").text(path)
+    return x.groupBy("lang").agg(F.count("*").alias("n_lines"), F.sum(F.length("value")).alias("n_chars"))
+
+
+@query(f"WITH {REGISTRY} SELECT url, domain FROM u WHERE domain = {TOP_DOMAIN}")
+def quick_add(spark, d):
+    """One domain added by its name."""
+    none = [registry.empty(spark, x) for x in (registry.SITEMAPS, registry.URLS)]
+    return registry.quick_add_domain(*none, sitemap_files(spark, d), "https://www." + top_domain(spark, d) + "/", dt.datetime(2024, 1, 10))[1].select("url", "domain")
