@@ -257,13 +257,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """The records; a revisit whose response is missing or has another payload raises."""
-    target = records.where("record_type = 'response' and page_id is not null").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("of"), F.col("payload_bytes").alias("size")).distinct()
-    revisit = records.where("record_type = 'revisit'").join(target, "refers_to", "left")
-    revisit = revisit.groupBy(*[c for c in records.columns]).agg(F.coalesce(F.max((F.col("of") == F.col("payload_digest")) & (F.col("size") == F.col("payload_bytes"))), F.lit(False)).alias("ok"), F.count_distinct("of").alias("n"), F.count("*").alias("rows"))
-    revisit = revisit.withColumn("ok", F.when(F.col("ok"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no response for the revisit of page "), F.col("page_id").cast("string"))).cast("boolean"))).where("ok")
-    revisit = revisit.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("rows div greatest(n, 1)"))))
-    return records.where("record_type = 'response'").unionByName(revisit.select(*records.columns))
+    """The records; a revisit whose response is missing or has another payload raises. Each revisit meets one
+    row, so nothing is gathered after the join, and one that very many copies refer to can be split."""
+    response = records.where("record_type = 'response'")
+    target = response.where("page_id is not null").select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_of"), F.col("payload_bytes").alias("_size")).distinct().withColumn("_there", F.lit(True))
+    same = (F.col("refers_to") == F.col("_page")) & (F.col("payload_digest") == F.col("_of")) & (F.col("payload_bytes") == F.col("_size"))
+    revisit = records.where("record_type = 'revisit'").join(target, same, "left")
+    lost = F.raise_error(F.concat(F.lit("no response for the revisit of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))).cast("boolean")
+    return response.unionByName(revisit.where(F.coalesce(F.col("_there"), lost)).select(*records.columns))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

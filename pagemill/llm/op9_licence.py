@@ -26,8 +26,12 @@ A family is confirmed by comparison with its templates: words count by how few
 families use them, and a unit (with UNIT words of its block on either side) must
 hold CONFIRM of a template's weight in the template's order (longest common
 subsequence), and CONFIRM of the words that fewest families share, so that a
-licence of another name or version is not taken for it. What passes the
-threshold and is confirmed by no template is of the unknown class.
+licence of another name or version is not taken for it; nor is one whose name
+goes on with another family's. A unit has every family so confirmed, compared
+with all of them, but those whose naming words stand in a heavier match of
+another (BY in BY-SA; of equal ones the first in FAMILIES stays). What passes the
+threshold and is confirmed by no template is of the unknown class. `probability`
+is that of any licence, as the comparison tells which.
 
 Defined results: a null or empty text has no paragraph and no licence; a very
 long text or line is scored in windows, whole; equal paragraphs get equal
@@ -224,42 +228,68 @@ def compared() -> list[list[tuple[list[str], np.ndarray, np.ndarray]]]:
 
 
 def common_order(a: list[str], b: list[str], weight: np.ndarray) -> np.ndarray:
-    """Which words of b are in the heaviest common subsequence of a and b."""
+    """For each word of b its place in a in the heaviest common subsequence of both, -1 where it has none."""
     position: dict[str, list[int]] = {}
     for j, w in enumerate(b):
         position.setdefault(w, []).append(j)
-    a = [w for w in a if w in position]
-    line = np.zeros((len(a) + 1, len(b) + 1))
-    for i, w in enumerate(a):
+    kept = [i for i, w in enumerate(a) if w in position]
+    line = np.zeros((len(kept) + 1, len(b) + 1))
+    for i, w in enumerate(a[k] for k in kept):
         row = line[i].copy()
         for j in position[w]:
             row[j + 1] = max(row[j + 1], line[i, j] + weight[j])
         line[i + 1] = np.maximum.accumulate(row)
-    taken = np.zeros(len(b), bool)
-    i, j = len(a), len(b)
+    taken = np.full(len(b), -1)
+    i, j = len(kept), len(b)
     while i and j:
         if line[i, j] == line[i, j - 1]:
             j -= 1
         elif line[i, j] == line[i - 1, j]:
             i -= 1
         else:
-            taken[j - 1] = True
+            taken[j - 1] = kept[i - 1]
             i, j = i - 1, j - 1
     return taken
 
 
-def resemblance(text: list[str], family: int) -> tuple[float, float]:
-    """(share, matched weight) of the family's template that the text holds best, 0 if it
-    lacks the words that name the family."""
+@dataclass
+class Match:
+    """How a text holds a template."""
+
+    share: float  # of its weight
+    weight: float
+    places: frozenset[int]  # of its words in the text
+    names: frozenset[int]  # of those that name the family
+
+
+def longer_name(text: list[str], template: list[str], weight: np.ndarray, place: np.ndarray) -> bool:
+    """Whether the text goes on with the name of another family right inside the template's name: between
+    two neighbouring words of the template, of which few families use the second and the first or the one
+    before it, stand one or two words, all of which are one family's own. So BY-NC-SA is not BY-NC, while MIT or Apache-2.0 is both."""
+    of = weights_of_words()
+    own, few = float(np.log1p(len(FAMILIES))), float(np.log1p(len(FAMILIES) / 4)) - 1e-9
+    for j in range(len(template) - 1):
+        if place[j] >= 0 and place[j + 1] >= 0 and max(weight[max(0, j - 1) : j + 1]) >= few and weight[j + 1] >= few:
+            between = text[place[j] + 1 : place[j + 1]]
+            if 0 < len(between) <= 2 and all(of.get(w, 0.0) >= own - 1e-9 for w in between):
+                return True
+    return False
+
+
+def resemblance(text: list[str], family: int) -> Match | None:
+    """The family's template that the text holds best; none if it lacks the words that name the family."""
     have = set(text)
-    best = (0.0, 0.0)
+    best = None
     for w, weight, names in compared()[family]:
         there = np.array([x in have for x in w])
         if weight[there].sum() < CONFIRM * weight.sum() or there[names].sum() < CONFIRM * names.sum():
             continue  # no order can hold more
-        taken = common_order(text, w, weight)
-        if taken[names].sum() >= CONFIRM * names.sum():
-            best = max(best, (float(weight[taken].sum() / weight.sum()), float(weight[taken].sum())))
+        place = common_order(text, w, weight)
+        taken = place >= 0
+        if taken[names].sum() >= CONFIRM * names.sum() and not longer_name(text, w, weight, place):
+            got = Match(float(weight[taken].sum() / weight.sum()), float(weight[taken].sum()), frozenset(place[taken].tolist()), frozenset(place[taken & names].tolist()))
+            if best is None or (got.share, got.weight) > (best.share, best.weight):
+                best = got
     return best
 
 
@@ -393,16 +423,20 @@ class Found:
     confirmation: float
 
 
-def judge(model: Model, q: np.ndarray, text: list[str]) -> Found | None:
-    """What a unit of probabilities q is; text: its words and those round it."""
-    if 1 - q[NONE] < model.threshold:
-        return None
-    likely = [int(i) for i in np.argsort(-q[:UNKNOWN])[:5]]
-    got = [(share >= 0.95, matched, q[i], i, share) for i in likely for share, matched in [resemblance(text, i)] if share >= CONFIRM]
-    if not got:
-        return Found(UNKNOWN, float(1 - q[NONE]), 0.0) if 1 - q[NONE] >= model.unknown else None
-    *_, i, share = max(got)
-    return Found(i, float(q[i]), share)
+def judge(model: Model, q: np.ndarray, text: list[str]) -> list[Found]:
+    """What a unit of probabilities q is; text: its words and those round it.
+
+    Every family that a template confirms, by its place in FAMILIES, but for one
+    whose naming words all stand in a heavier match of another family. Their
+    probability is that of any licence, as it is the comparison that tells which.
+    """
+    any_licence = float(1 - q[NONE])
+    if any_licence < model.threshold:
+        return []
+    got = {i: m for i in range(UNKNOWN) if (m := resemblance(text, i)) is not None and m.share >= CONFIRM}
+    within = lambda i, m: any(j != i and m.names <= o.places and (o.weight, -j) > (m.weight, -i) for j, o in got.items())
+    out = [Found(i, any_licence, m.share) for i, m in got.items() if not within(i, m)]
+    return out or ([Found(UNKNOWN, any_licence, 0.0)] if any_licence >= model.unknown else [])
 
 
 def scan_texts(model: Model, texts: list[str]) -> list[list[tuple[int, int, Found]]]:
@@ -438,8 +472,7 @@ def scan_texts(model: Model, texts: list[str]) -> list[list[tuple[int, int, Foun
     for x in hits.tolist():
         lo, hi = first_word[x], first_word[x] + n[x]
         b = int(block[lo])
-        if got := judge(model, p[x], [tokens[j] for j in word_at[lo:hi]]):
-            out[text_of_block[b]].append((b, x, got))
+        out[text_of_block[b]] += [(b, x, f) for f in judge(model, p[x], [tokens[j] for j in word_at[lo:hi]])]
     # windows: two cells of STEP words each, in blocks that a single short line does not make
     size = np.bincount(block, minlength=len(ends))
     start = np.cumsum(size) - size
@@ -473,14 +506,13 @@ def scan_texts(model: Model, texts: list[str]) -> list[list[tuple[int, int, Foun
         b = int(block_of_cell[c])
         lo = int(start[b] + (c - cell_start[b]) * STEP)
         lo, hi = max(int(start[b]), lo - UNIT), min(int(start[b] + size[b]), lo + 2 * UNIT)
-        if got := judge(model, p[c], [tokens[j] for j in word_at[lo:hi]]):
-            out[text_of_block[b]].append((b, -1, got))
+        out[text_of_block[b]] += [(b, -1, f) for f in judge(model, p[c], [tokens[j] for j in word_at[lo:hi]])]
     return out
 
 
 def summary(units: list[tuple[int, int, Found]]) -> tuple[int, int, str, float, float]:
-    """(n_licensed, n_unknown, families, probability, confirmation) of a text's units: a
-    block's windows count where none of its lines has their family, once for each."""
+    """(n_licensed, n_unknown, families, probability, confirmation) of a text's units: a line
+    counts once, whatever it holds; a block's windows where none of its lines has their family, once for each."""
     of_lines: dict[int, set[int]] = {}
     for b, x, f in units:
         if x >= 0:
@@ -496,7 +528,8 @@ def summary(units: list[tuple[int, int, Found]]) -> tuple[int, int, str, float,
     # a window is unknown where nothing in its block is known
     settled = set(of_lines) | {b for (b, k) in windows if k != UNKNOWN}
     unknown += sum(k == UNKNOWN and b not in settled for b, k in windows)
-    return len(known), unknown, ",".join(sorted({FAMILIES[f.family] for f in known})), max((f.probability for f in known), default=0.0), max((f.confirmation for f in known), default=0.0)
+    licensed = len({(b, x) for b, x, f in units if x >= 0 and f.family != UNKNOWN}) + sum(k != UNKNOWN for _, k in windows)
+    return licensed, unknown, ",".join(sorted({FAMILIES[f.family] for f in known})), max((f.probability for f in known), default=0.0), max((f.confirmation for f in known), default=0.0)
 
 
 def sampled_units(docs: DataFrame, sample: int = SAMPLE, units: int = SAMPLE_UNITS) -> list[list[str]]:
