@@ -219,3 +219,20 @@ def test_ranks_are_places_of_the_whole_order(spark):
     x = spark.range(1000).selectExpr("id % 7 AS score", "id AS row")
     got = draws.ranked(x, [draws.F.desc("score"), draws.F.asc("row")]).collect()
     assert [(r.score, r.row) for r in sorted(got, key=lambda r: r["rank"])] == sorted(((i % 7, i) for i in range(1000)), key=lambda p: (-p[0], p[1])) and {r["rank"] for r in got} == set(range(1, 1001))
+
+
+def test_pipeline_stages_keep_columns_that_are_named_like_their_own(spark, sf):
+    """Extra columns named like those that stages work with stay as they are, and change no decision."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    names = ["row", "i", "k", "no_id", "row_key", "text_key", "copies", "score", "_copy", "n_tokens", "slice", "no_source"]
+    more = docs.select("*", *[F.concat(F.lit(f"{n}-"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        want = sorted(r.doc_id for r in stage(spark, docs, sf).select("doc_id").collect())
+        got = stage(spark, more, sf).collect()
+        assert sorted(r.doc_id for r in got) == want, name
+        assert all(r[n] == f"{n}-{r.doc_id}" for r in got for n in names), name
+    _, bpe = corpus_pipeline.STAGES[-1]
+    assert sorted(map(repr, bpe(spark, more, sf).collect())) == sorted(map(repr, bpe(spark, docs, sf).collect()))
