@@ -10,7 +10,7 @@ A list all of whose entries are links is saturated: there may be more. It is
 enlarged to twice its length, again and again, up to MOST_LIST entries, and the
 rounds go on with the longer lists. Classes with more links than that stand in
 a crowd: the component of links around one is compared as a whole, in tiles of
-about TILE x TILE vectors that return sums for each vector and not pairs, which
+two blocks of up to CROWD_TILE vectors that return sums for each vector and not pairs, which
 is exact whatever the component's size.
 
 A pair at the threshold shares the leading bits of a code that tell n vectors of
@@ -55,7 +55,8 @@ THRESHOLD = 0.93
 LIST, MOST_LIST = 8, 32
 CODES, CODE_BITS, CODE_WINDOW = 4, 32, 2
 MOST_ROUNDS = 6
-TILE = 512
+#: Rows of a product of matrices; rows, and bytes, of a block of a crowd.
+TILE, CROWD_TILE, TILE_BYTES = 512, 8192, 64_000_000
 AUDIT, MOST_AUDIT, LEAST_TRUE, NEAR_MISS = 500, 8000, 200, 0.05
 GOOD_RECALL, LEAST_RECALL, SEARCHES = 0.98, 0.9, 3
 NEAR = 1e-9
@@ -300,29 +301,44 @@ def _audited(vectors: DataFrame, links: DataFrame, inside: DataFrame, threshold:
     return (got["found"] / got["n"] if got["n"] else 1.0), got["n"], few.num_rows == vectors.count()
 
 
-def tiles(members: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
-    """(node, links): sums of m over the links of each node within its root, from
-    (root, node, m, embedding). A tile is all a task holds."""
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("blocks"))
+def dealt(members: DataFrame, tile: int = CROWD_TILE) -> DataFrame:
+    """Members (root, node, m, embedding) in blocks of `tile` rows (fewer of long vectors, so that a block has
+    TILE_BYTES at most), once for each pair of blocks that theirs is in: pair, first (whether theirs is the first
+    of the pair), own (whether the pair is one block with itself). A root of n rows makes n * ceil(n / tile) rows."""
+    rows = F.least(F.lit(tile), F.greatest(F.lit(1), F.floor(F.lit(TILE_BYTES / 8) / F.max(F.size("embedding")))))
+    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / rows).cast("int").alias("blocks"))
     x = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = x.select("root", F.col("block").alias("i"), other.alias("j"), F.lit(True).alias("left"), "node", "m", "embedding")
-    right = x.select("root", other.alias("i"), F.col("block").alias("j"), F.lit(False).alias("left"), "node", "m", "embedding")
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # one key, or all tiles of a root would stay in the task that its join left them in
+    pair = F.concat_ws("/", "root", F.least("block", "other"), F.greatest("block", "other"))
+    return x.select(pair.alias("pair"), (F.col("block") <= F.col("other")).alias("first"), (F.col("block") == F.col("other")).alias("own"), "node", "m", "embedding")
+
+
+def tiles(members: DataFrame, threshold: float, tile: int = CROWD_TILE) -> DataFrame:
+    """(node, links): sums of m over the links of each node within its root, from
+    (root, node, m, embedding). Two blocks are all a task holds, and compares once for both."""
 
     def run(key, t):
         t = t.combine_chunks()
-        side = t.column("left").to_numpy()
-        a, b = t.filter(pa.array(side)).combine_chunks(), t.filter(pa.array(~side)).combine_chunks()
+        first, own = t.column("first").to_numpy(), t.column("own").to_numpy().any()
+        a = t.filter(pa.array(first)).combine_chunks()
+        b = a if own else t.filter(pa.array(~first)).combine_chunks()
         if not a.num_rows or not b.num_rows:
             return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
-        near = cosines(matrix(a.column("embedding").combine_chunks()), matrix(b.column("embedding").combine_chunks()), threshold) >= threshold
-        ids = a.column("node").to_numpy()
-        near &= ids[:, None] != b.column("node").to_numpy()[None, :]
-        return pa.table({"node": ids, "links": near @ b.column("m").to_numpy()})
-
-    # one key, or all tiles of a root would stay in the task that its join left them in
-    both = left.union(right).withColumn("tile", F.concat_ws("/", "root", "i", "j")).drop("root", "i", "j").groupBy("tile").applyInArrow(run, "node long, links long")
-    return both.groupBy("node").agg(F.sum("links").alias("links"))
+        x, y = (matrix(z.column("embedding").combine_chunks()) for z in (a, b))
+        weight, ids = b.column("m").to_numpy(), a.column("node").to_numpy()
+        to_a, to_b = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+        for lo in range(0, len(x), TILE):
+            near = cosines(x[lo : lo + TILE], y, threshold) >= threshold
+            if own:
+                near[np.arange(len(near)), np.arange(lo, lo + len(near))] = False
+            to_a[lo : lo + TILE] = near @ weight
+            to_b += near.T @ a.column("m").to_numpy()[lo : lo + TILE]
+        if own:
+            return pa.table({"node": ids, "links": to_a})
+        return pa.table({"node": np.append(ids, b.column("node").to_numpy()), "links": np.append(to_a, to_b)})
+
+    return dealt(members, tile).groupBy("pair").applyInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, most: int = LIST) -> tuple[DataFrame, float, int]:

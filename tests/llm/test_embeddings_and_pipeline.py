@@ -3,6 +3,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -238,3 +239,20 @@ def test_first_pairs_hold_isolated_pairs_of_large_labels(spark):
     cos = (base[:500] * twin).sum(axis=1) / np.linalg.norm(base[:500], axis=1) / np.linalg.norm(twin, axis=1)
     want = [(i, 5000 + i) for i in np.flatnonzero(cos >= nn.THRESHOLD)]
     assert len(want) > 300 and np.mean([p in got for p in want]) >= 0.95
+
+
+def test_a_crowd_is_compared_in_few_rows(spark):
+    """Every pair of a crowd is compared once, whatever the blocks; rows are dealt out by the number of blocks."""
+    r = np.random.default_rng(3)
+    base = r.normal(size=(3, 8))
+    rows = [(int(i % 3), int(i), int(1 + i % 4), (base[i % 3] + 0.25 * r.normal(size=8)).astype(np.float32).tolist()) for i in range(90)]
+    members = spark.createDataFrame(rows, "root long, node long, m long, embedding array<float>")
+    e = nn.matrix(pa.array([x[3] for x in rows], pa.list_(pa.float32())))
+    near = nn.cosines(e, e, 0.93) >= 0.93
+    want = {i: sum(rows[j][2] for j in range(90) if j != i and j % 3 == i % 3 and near[i, j]) for i in range(90)}
+    assert any(want.values())
+    for tile in (1000, 7, 1):
+        assert nn.dealt(members, tile).count() == 3 * 30 * -(-30 // tile)
+        assert {x.node: x.links for x in nn.tiles(members, 0.93, tile).collect()} == want
+    # half of the rows that two sides for each block would make, and a sixteenth of that in blocks of 16 times the rows
+    assert nn.dealt(members, 5).count() * 2 == 2 * 90 * 6
