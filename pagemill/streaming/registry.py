@@ -58,7 +58,8 @@ class Store:
     def _replace(self, table: str, rows: DataFrame) -> None:
         """Overwrites the buckets of rows (with bucket), which hold all of these buckets."""
         staged = f"{self.path}/_staged/{table}"
-        rows.repartition("bucket").write.mode("overwrite").parquet(staged)
+        # a host with very many urls is written by several tasks
+        rows.repartition("bucket", F.pmod(F.xxhash64("url" if table == "urls" else "domain"), F.lit(16))).write.mode("overwrite").parquet(staged)
         self._finish()
 
     def _finish(self) -> None:
