@@ -61,7 +61,7 @@ CUTOFF = 5
 HOT_WORDS, HOT_CONTEXTS = 2**20, 2**20
 ROUNDS = 3
 BLOCK_TOKENS = 500_000
-PART_TOKENS = 2_000_000
+PART_TOKENS = 1_200_000
 ADD = 0.1
 START, END = 0, 1  # hashes that stand for the start of a text and the end token
 RARE = 2**48  # a word's code: its place among the most frequent words, from 1 on, or its hash and this
