@@ -43,6 +43,8 @@ ROWS_PER_BUCKET = 2048
 MOST_BUCKETS = 2**18
 #: Rows of one id and text from which they are counted; there are fewer than rows / HEAVY such pairs.
 HEAVY = 100_000
+#: Up to so many such pairs are broadcast; more are joined by a shuffle.
+BROADCAST_HEAVY = 1_000_000
 
 
 def shingle_hashes(w: Column, words: int = WORDS) -> Column:
@@ -152,7 +154,8 @@ def fingerprints(docs: DataFrame, scale: int = SCALE, words: int = WORDS, heavy:
     many = written(many.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "copies"), "sketch-heavy")
     alike = None
     if not many.isEmpty():
-        x = rows.join(F.broadcast(many), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left").drop("_id", "_h")
+        few = many.limit(BROADCAST_HEAVY + 1).count() <= BROADCAST_HEAVY
+        x = rows.join(F.broadcast(many) if few else many, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left").drop("_id", "_h")
         alike = x.where("copies is not null").groupBy("doc_id", "h", "copies").agg(F.first("text").alias("text"))
         rows = x.where("copies is null").drop("copies").unionByName(alike.drop("copies"))
     rows = with_next(with_sketch(rows, "text", "own", scale, words), {"text": "next_text", "own": "next_own"}, rows_per_bucket)

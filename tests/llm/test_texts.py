@@ -280,8 +280,9 @@ def alike(a, b):
     return len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
 
 
-@pytest.mark.parametrize(("heavy", "bucket"), [(100_000, 2048), (1, 3)])
-def test_sketches_by_hand(spark, heavy, bucket):
+@pytest.mark.parametrize(("heavy", "bucket", "few"), [(100_000, 2048, 1_000_000), (1, 3, 1_000_000), (1, 3, 0)])
+def test_sketches_by_hand(spark, monkeypatch, heavy, bucket, few):
+    monkeypatch.setattr(sketch, "BROADCAST_HEAVY", few)
     docs = odd_table(spark)
     signed = lambda t: (lambda h: h - 2**64 if h >> 63 else h)(xxhash.xxh64_intdigest((t or "").encode(), seed=42))
     rows = sorted(docs.collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), -signed(r.text)))
