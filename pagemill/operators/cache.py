@@ -7,51 +7,77 @@ been made after it: when a new one finds the cache full, the oldest goes. (What
 has expired is older than anything alive, so it never costs a living entry its
 place.)
 
-A sequential replay asks the entries one after another. Here, each request that
-could make an entry points to the next of its key that could make one after it:
-the first one that comes when the entry has expired. Entries are what can be
-reached from requests with no other of their key in the ttl seconds before; all
-are found in as many rounds as the longest chain has doublings. With a capacity,
-an entry also ends at the entry made `capacity` later, whose number is a count
-over the whole log; as that depends on the entries themselves, pointers and
-counts are made anew until the entries stay as they are. Each time all entries
-up to the first wrong one and that one are right, so the end is the sequential
-replay. Mostly this takes a round or two; a log in which evictions decide about
-further evictions over and over takes as many as these chains are long.
-
-No key, time or session is gathered in one task; see `order`.
+The log is cut into blocks of its order. Each block is replayed by itself, first as
+if the cache were empty before it, and gives the living entries at its end; a block
+that began with other entries than the one before it has left is replayed again,
+until none did. Then every block has begun as in the sequential replay. What a
+block began with is mostly forgotten at its end, as entries expire or are evicted,
+so few rounds are needed, each over fewer blocks; at worst, where a difference
+goes on through the whole log, there are as many rounds as blocks.
+
+With a capacity the order is time, and no more than `capacity` entries go from block
+to block. Without one keys are independent: the order is key, then time, and the one
+entry that goes on is that of the key in which a block ends. So no key, time or
+session is gathered in one task; see `order`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import backoff_delay, cache_key
 from ..tables import discard, written
-from .order import nearest, placed, running_sum
+from .order import blocks, placed, running_sum
 
 TTL_SECONDS, MAX_ENTRIES = 300, 100
+_HELD = "_block long, keys array<string>, ats array<long>"
 
 
-def _chain(pointers: DataFrame, starts: DataFrame) -> DataFrame:
-    """place of all that starts (place) reach over pointers (place, to)."""
-    reached, jump = written(starts.select("place"), "cache-reached"), written(pointers.select("place", "to"), "cache-jump")
-    while not jump.isEmpty():
-        more = reached.join(jump, "place").select(F.col("to").alias("place"))
-        last = reached
-        reached = written(reached.union(more).distinct(), "cache-reached")
-        longer = jump.select("place", F.col("to").alias("via")).join(jump.select(F.col("place").alias("via"), "to"), "via").select("place", "to")
-        spent, jump = jump, written(longer, "cache-jump")
-        discard(last, spent)
-    discard(jump)
-    return reached
+def _replayed(live: dict[str, int], rows, ttl: int, capacity: int | None) -> list[tuple[bool, bool]]:
+    """(hit, made) of rows (key, at, good), one after the other; live (key to the time of its entry, oldest first)
+    is left as it is after them."""
+    out = []
+    for key, at, good in rows:
+        if key is None or at is None:
+            out.append((False, False))
+            continue
+        since = live.get(key)
+        hit = since is not None and at - since < ttl
+        if not hit:
+            live.pop(key, None)
+            if good:
+                if capacity is not None and len(live) >= capacity:
+                    del live[next(iter(live))]
+                live[key] = at
+        out.append((hit, good and not hit))
+    return out
 
 
-def _counted(log: DataFrame, entries: DataFrame) -> DataFrame:
-    """log with made (whether the request makes an entry) and number (of entries made up to and with it)."""
-    x = log.join(entries.select("place", F.lit(True).alias("made")), "place", "left").withColumn("made", F.coalesce("made", F.lit(False)))
-    return running_sum(x, F.col("made").cast("long"), "number")
+def _block(log, held, ttl: int, capacity: int | None):
+    """(log in order, hit and made of its rows, living entries after it) of a block's Arrow tables."""
+    import pyarrow.compute as pc
+
+    log = log.take(pc.sort_indices(log["place"]))
+    live = {} if not held.num_rows else dict(zip(held["keys"][0].as_py(), held["ats"][0].as_py()))
+    keys, ats = log["key"].to_pylist(), log["at"].to_pylist()
+    out = _replayed(live, zip(keys, ats, log["good"].to_pylist()), ttl, capacity)
+    # what has expired is left out, so that blocks which differ in it alone end alike
+    live = {k: at for k, at in live.items() if (ats[-1] is None or ats[-1] - at < ttl) and (capacity is not None or k == keys[-1])}
+    return log, out, live
+
+
+def _ends(log: DataFrame, held: DataFrame, ttl: int, capacity: int | None) -> DataFrame:
+    """_HELD after each block of log, which began with held."""
+
+    def run(left, right):
+        import pyarrow as pa
+
+        live = _block(left, right, ttl, capacity)[2]
+        return pa.table({"_block": left["_block"][:1], "keys": pa.array([list(live)], pa.list_(pa.string())), "ats": pa.array([list(live.values())], pa.list_(pa.int64()))})
+
+    asks = log.select("_block", "place", "key", "at", "good")
+    return written(asks.groupBy("_block").cogroup(held.groupBy("_block")).applyInArrow(run, _HELD), "cache-ends")
 
 
 def replay(requests: DataFrame, ttl: int = TTL_SECONDS, capacity: int | None = MAX_ENTRIES, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -67,47 +93,37 @@ def replay(requests: DataFrame, ttl: int = TTL_SECONDS, capacity: int | None = M
     spark = requests.sparkSession
     at, age = F.unix_micros(F.col("ts").cast("timestamp")), ttl * 1_000_000
     x = requests.select(cache_key(F.col("query"), F.col("num_results")).alias("key"), "request_id", "ts", at.alias("at"), F.coalesce("success", F.lit(False)).alias("good"), *keep)
-    log = written(placed(x, "at", "request_id"), "cache-log")
-    asks = log.select("key", "at", "place", "good").where("key is not null and at is not null")
-    good = asks.where("good").select("key", "at", "place")
-    before = nearest(good, good, "key", ["at", "place"], ["at"], forward=False)
-    starts = written(before.where(F.col("found").isNull() | (F.col("at") - F.col("found.at") >= age)).select("place"), "cache-starts")
-
-    def entries(ends: DataFrame) -> DataFrame:
-        """What ends (key, at, place: where each request's entry would end; request) lead to."""
-        to = nearest(good, ends, "key", ["at", "place"], ["place"], forward=True)
-        to = to.where("found is not null").select(F.col("request").alias("place"), F.col("found.place").alias("to"))
-        # a start needs no pointer
-        return _chain(to.join(starts.select(F.col("place").alias("to")), "to", "left_anti"), starts)
-
-    by_age = F.struct((F.col("at") + age).alias("at"), F.lit(-1).cast("long").alias("place"))
-    made = entries(good.select("key", by_age.alias("end"), F.col("place").alias("request")).select("key", "end.at", "end.place", "request"))
-    counted = written(_counted(log, made), "cache-counted")
-    while capacity is not None:
-        # an entry also ends behind the one made `capacity` later
-        last = counted.where("made").select(F.col("number").alias("_number"), F.struct("at", "place").alias("_last"))
-        own = counted.where("good and key is not null and at is not null").join(last, F.col("number") + capacity == F.col("_number"), "left")
-        ends = own.select("key", "made", F.least(by_age, F.col("_last")).alias("end"), F.col("place").alias("request"), (F.col("_last") < by_age).alias("early"))
-        if ends.where("made and early").isEmpty():
-            break
-        again = entries(ends.select("key", "end.at", "end.place", "request"))
-        same = again.join(made, "place", "left_anti").isEmpty() and made.join(again, "place", "left_anti").isEmpty()
-        discard(made)
-        made = again
-        if same:
+    order = ("at", "request_id") if capacity is not None else ("key", "at", "request_id")
+    log = written(blocks(written(placed(x, *order), "cache-placed")), "cache-log")
+    # a row for each block
+    after = written(log.select("_block").distinct().select("_block", F.lead("_block").over(Window.orderBy("_block")).alias("_next")), "cache-blocks")
+    none = spark.createDataFrame([], _HELD)
+    held, ends = none, _ends(log, none, age, capacity)
+    while True:
+        now = written(ends.join(after.where("_next is not null"), "_block").select(F.col("_next").alias("_block"), "keys", "ats"), "cache-held")
+        began = held.select("_block", F.col("keys").alias("_keys"), F.col("ats").alias("_ats"))
+        empty = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>"))
+        other = now.join(began, "_block", "left").where((F.col("keys") != empty("_keys", "string")) | (F.col("ats") != empty("_ats", "bigint")))
+        other = written(other.select("_block", "keys", "ats"), "cache-other")
+        discard(held)
+        held = now
+        if other.isEmpty():
             break
-        spent, counted = counted, written(_counted(log, made), "cache-counted")
-        discard(spent)
-    given = counted.where("made").select("key", "at", "place", "number")
-    asked = counted.where("key is not null and at is not null").select("key", "at", "place", F.col("number").alias("so_far"), "made")
-    met = nearest(given, asked, "key", ["at", "place"], ["at", "number"], forward=False)
-    alive = F.col("at") - F.col("found.at") < age
-    if capacity is not None:
-        # entries made after it, the request's own left out
-        alive = alive & (F.col("so_far") - F.col("made").cast("long") - F.col("found.number") < capacity)
-    hit = F.coalesce(~F.col("made") & alive, F.lit(False))
-    out = log.join(met.select("place", hit.alias("hit"), "made"), "place", "left")
-    return out.select("key", "request_id", "ts", *keep, F.coalesce("hit", F.lit(False)).alias("hit"), F.coalesce("made", F.lit(False)).alias("made"))
+        again = _ends(log.join(other.select("_block"), "_block", "left_semi"), other, age, capacity)
+        last, ends = ends, written(ends.join(again.select("_block"), "_block", "left_anti").unionByName(again), "cache-ends")
+        discard(last, again, other)
+    schema = log.select("key", "request_id", "ts", *keep).withColumn("hit", F.lit(False)).withColumn("made", F.lit(False)).schema
+
+    def run(left, right):
+        import pyarrow as pa
+
+        rows, out, _ = _block(left, right, age, capacity)
+        rows = rows.select(["key", "request_id", "ts", *keep])
+        for i, name in enumerate(("hit", "made")):
+            rows = rows.append_column(name, pa.array([x[i] for x in out], pa.bool_()))
+        return rows
+
+    return log.groupBy("_block").cogroup(held.groupBy("_block")).applyInArrow(run, schema)
 
 
 def delays(requests: DataFrame, key: str, base: float = 1.0, cap: float = 30.0, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -45,6 +45,22 @@ def test_replay_is_the_sequential_one(spark, monkeypatch, n, keys, seconds, ttl,
     assert got == want and any(h for h, _ in want.values())
 
 
+def written_by_replay(spark, monkeypatch, rows, ttl, capacity):
+    """How many tables the replay of rows writes, which is right."""
+    names = []
+    monkeypatch.setattr(cache, "written", lambda df, name, real=cache.written: (names.append(name), real(df, name))[1])
+    df = spark.createDataFrame(rows, "request_id long, query string, num_results int, ts timestamp_ntz, success boolean")
+    got = {r.request_id: (r.hit, r.made) for r in cache.replay(df, ttl, capacity).collect()}
+    assert got == sequential(rows, ttl, capacity)
+    return len(names)
+
+
+def test_evictions_that_decide_about_evictions_take_few_rounds(spark, monkeypatch):
+    r = random.Random(11)
+    rows = [(i, f"k{r.randrange(12)}", 10, T0 + dt.timedelta(seconds=i), r.random() < 0.8) for i in range(800)]
+    assert written_by_replay(spark, monkeypatch, rows, 86_400, 4) <= 16
+
+
 def test_replay_of_no_requests(spark):
     assert cache.replay(spark.createDataFrame([], "request_id long, query string, num_results int, ts timestamp, success boolean")).count() == 0
 
