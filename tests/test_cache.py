@@ -61,6 +61,12 @@ def test_evictions_that_decide_about_evictions_take_few_rounds(spark, monkeypatc
     assert written_by_replay(spark, monkeypatch, rows, 86_400, 4) <= 16
 
 
+@pytest.mark.parametrize("capacity", [100, None])
+def test_one_long_chain_of_entries_takes_few_rounds(spark, monkeypatch, capacity):
+    rows = [(i, "hot", 10, T0 + dt.timedelta(seconds=i), True) for i in range(1500)]
+    assert written_by_replay(spark, monkeypatch, rows, 3, capacity) <= 10
+
+
 def test_replay_of_no_requests(spark):
     assert cache.replay(spark.createDataFrame([], "request_id long, query string, num_results int, ts timestamp, success boolean")).count() == 0
 
