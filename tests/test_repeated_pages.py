@@ -24,7 +24,7 @@ def odd(spark, sf, tmp_path_factory):
     return path, c
 
 
-NAMES = ["added_urls", "extract_urls", "first_write_wins", "format_pages", "html_metadata_cases", "mark_scraped", "line_tools", "page_clean_text"]
+NAMES = ["added_urls", "extract_urls", "first_write_wins", "format_pages", "html_metadata_cases", "mark_scraped", "line_tools", "page_clean_text", "page_other_profiles"]
 
 
 @pytest.mark.parametrize("name", NAMES)
