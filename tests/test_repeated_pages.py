@@ -24,7 +24,7 @@ def odd(spark, sf, tmp_path_factory):
     return path, c
 
 
-NAMES = ["added_urls", "extract_urls", "first_write_wins", "format_pages", "html_metadata_cases", "mark_scraped", "line_tools", "page_clean_text", "page_other_profiles", "page_status", "page_status_summary", "page_titles", "quick_add"]
+NAMES = ["added_urls", "extract_urls", "first_write_wins", "format_pages", "html_metadata_cases", "mark_scraped", "line_tools", "page_clean_text", "page_other_profiles", "page_status", "page_status_summary", "page_titles", "quick_add", "replies_in_order"]
 
 
 @pytest.mark.parametrize("name", NAMES)
