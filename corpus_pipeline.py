@@ -30,8 +30,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest id:
-    five-word shingles, a similarity of 0.8 or more. (The query op6_simhash links
-    fingerprints of three-word shingles within two bits, which is far closer.)
+    five-word shingles, a similarity of 0.8 or more. op6_simhash's fingerprints of these
+    shingles link close copies, bands of minhashes what lies further apart; each link
+    is verified. (The query op6_simhash takes three-word shingles and two bits alone.)
     A row with a null id stays where its group has no other; rows of one id with
     different texts are different documents; of equal rows one stays; null, empty
     and white texts are one group; very long texts are compared whole; an empty

@@ -1,10 +1,14 @@
 """Near copies of texts: word shingles with a Jaccard similarity of LEAST or more.
 
 A text is the set of its shingles of WORDS words (one shingle of all words where
-there are fewer). Texts of one set are one class from the start. Candidates are
-classes that share a band of minhashes: at a similarity of 0.8, BANDS bands of
-BAND minhashes miss a pair with a probability of 3e-6. Every candidate is
-verified by its exact similarity; the links' components are the groups.
+there are fewer). Texts of one set are one class from the start. The first candidates
+are `op6_simhash`'s: classes whose fingerprints of these shingles are within two
+bits, from its grid of segment popcounts. Two bits hold the close copies (at a
+similarity of 0.8 fingerprints differ by ten bits), so classes that these links
+have not joined are also candidates where they share a band of minhashes: at a
+similarity of 0.8, BANDS bands of BAND minhashes miss a pair with a probability of
+3e-6. Every candidate is verified by its exact similarity; the components of the
+links of both are the groups.
 
 Members of a bucket of a band are paired off where they are PAIRED_BUCKET at most.
 Members of larger ones are first compared with HUBS of them. Then only members of
@@ -28,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, tidy, whole_text, written
+from .op6_simhash import links as fingerprint_links
+from .op6_simhash import majority
 
 WORDS, LEAST = 5, 0.8
 BANDS, BAND = 32, 5
@@ -74,7 +80,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = [shingles(x.as_py()) for x in b.column("text")]
         node = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), b.column("text_key"), pa.array(node), pa.array([bands(h) for h in sets], pa.list_(pa.int64()))], ["doc_id", "row_key", "text_key", "node", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), b.column("text_key"), pa.array(node), pa.array([majority(h) for h in sets], pa.int64()), pa.array([bands(h) for h in sets], pa.list_(pa.int64()))], ["doc_id", "row_key", "text_key", "node", "fp", "bands"])
         del sets
         tidy()
 
@@ -146,9 +152,19 @@ def across(x: DataFrame, sets: DataFrame, least: float, tile: int = TILE) -> Dat
     return tiles.groupBy("tile").applyInArrow(run, "a long, b long").distinct()
 
 
+def close(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes (node, fp) whose fingerprints are within two bits, enough of them that their
+    components are those of all such pairs: each class with the first of its fingerprint, and first ones."""
+    first = written(classes.groupBy("fp").agg(F.min("node").alias("b")), "near-fingerprints")
+    of = lambda c: first.select(F.col("fp").alias(f"fp_{c}"), F.col("b").alias(c))
+    near = fingerprint_links(first.select("fp")).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    near = near.join(of("a"), "fp_a").join(of("b"), "fp_b").select("a", "b")
+    return classes.select(F.col("node").alias("a"), "fp").join(first, "fp").select("a", "b").union(near)
+
+
 def near_texts(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, row_key, text_key, root for every row: rows of one root are near copies."""
-    rows = written(docs.select("doc_id", row_key(docs).alias("row_key"), text_key().alias("text_key"), whole_text().alias("text")).mapInArrow(_signed, "doc_id long, row_key long, text_key long, node long, bands array<long>"), "near-rows")
+    rows = written(docs.select("doc_id", row_key(docs).alias("row_key"), text_key().alias("text_key"), whole_text().alias("text")).mapInArrow(_signed, "doc_id long, row_key long, text_key long, node long, fp long, bands array<long>"), "near-rows")
     # any row of a class stands for it
     first = rows.groupBy("node").agg(F.min_by("bands", "text_key").alias("bands"), F.min("text_key").alias("text_key"))
     placed = first.select("node", "text_key", F.explode("bands").alias("band"))
@@ -160,15 +176,23 @@ def near_texts(docs: DataFrame, least: float = LEAST) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([shingles(x.as_py()).tobytes() for x in b.column("text")], pa.binary())], ["node", "h"])
 
-    need = members.select("node", "text_key").distinct()
+    ordered = lambda x: x.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    classes = written(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("text_key").alias("text_key")), "near-classes")
+    nearest = written(ordered(close(classes)), "near-close")
+    ends = nearest.select(F.col("a").alias("node")).union(nearest.select(F.col("b").alias("node"))).distinct()
+    need = members.select("node", "text_key").union(classes.join(ends, "node").select("node", "text_key")).distinct()
     texts = docs.select(text_key().alias("text_key"), whole_text().alias("text")).join(need, "text_key").groupBy("node").agg(F.first("text").alias("text"))
     sets = written(texts.mapInArrow(sets_of, "node long, h binary"), "near-sets")
 
-    ordered = lambda x: x.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    copies = written(verified(nearest, sets, least), "near-copies")
+    close_roots = written(components(copies, "near-components"), "near-close-roots")
     small = members.where(f"n <= {PAIRED_BUCKET}")
     pairs = small.select("band", F.col("node").alias("a")).join(small.select("band", F.col("node").alias("b")), "band").where("a < b").select("a", "b")
     stars = members.where(f"n > {PAIRED_BUCKET}").select(F.col("node").alias("a"), F.explode("hubs").alias("b"))
-    links = written(verified(ordered(pairs.union(stars)), sets, least), "near-links")
+    # what the fingerprints' links have joined needs no further one
+    root = lambda c: close_roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    apart = ordered(pairs.union(stars)).join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    links = written(verified(apart.select("a", "b"), sets, least).union(copies), "near-links")
     roots = written(components(links, "near-components"), "near-roots")
 
     x = members.where(f"n > {PAIRED_BUCKET}").select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))

@@ -52,11 +52,15 @@ def simhash(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
         return 0
     runs = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
     n = max(1, len(words) - shingle + 1)
-    h = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), runs), np.uint64, n)
+    return majority(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), runs), np.uint64, n))
+
+
+def majority(h: np.ndarray) -> int:
+    """The signed number of the bits that are set in over half the hashes; zero for none."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, n, 65_536):
+    for i in range(0, len(h), 65_536):
         ones += np.unpackbits(h[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

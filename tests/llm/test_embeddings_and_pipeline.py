@@ -162,6 +162,30 @@ def test_pipeline_drops_near_copies_by_five_word_similarity(spark, sf, monkeypat
     assert kept == {find(i) for i in texts} and len(kept) < len(rows)
 
 
+def test_near_dedup_links_by_fingerprints_first(spark, sf, monkeypatch):
+    """Without minhashes, fingerprints alone join close copies; texts with one fingerprint by chance stay."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for _ in range(3):
+        w = list(rng.choice([f"w{i}" for i in range(900)], 900))
+        rows += [(len(rows) + k, " ".join([*w[:-1], f"last{k}"]), "en", "a", 0) for k in range(4)]
+    rows += [(50, "one of a few", "en", "a", 0), (51, "some other words", "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(near_texts, "_signed", _without_bands(near_texts._signed))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()) == [0, 4, 8, 50, 51]
+
+
+def _without_bands(signed):
+    def run(batches):
+        import pyarrow as pa
+
+        for b in signed(batches):
+            none = pa.array([[] for _ in range(b.num_rows)], b.schema.field("bands").type)
+            yield b.set_column(b.schema.get_field_index("bands"), "bands", none)
+
+    return run
+
+
 def test_audit_is_not_carried_by_a_crowd(spark):
     rng = np.random.default_rng(2)
     crowd = rng.normal(size=16) + rng.normal(size=(60, 16)) * 0.05
