@@ -29,13 +29,12 @@ def slice_of(place: str = "place", rows: int | None = None) -> Column:
     return F.shiftright(F.col(place), (rows or SLICE).bit_length() - 1)
 
 
-def blocks(df: DataFrame, place: str = "place") -> DataFrame:
-    """df and _block: slices one after the other, up to SLICE rows or a slice more, so that short slices make no block of their own."""
-    x = df.withColumn("_slice", slice_of(place))
+def blocks(slices: DataFrame) -> DataFrame:
+    """_slice and _block of slices (_slice, _n: their rows): slices one after the other, up to SLICE rows or a slice more, so
+    that short slices make no block of their own."""
     # a row for each slice
-    before = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = x.groupBy(F.col("_slice").alias("_of")).agg(F.count("*").alias("_n")).select("_of", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / SLICE).alias("_block"))
-    return x.join(sizes, F.col("_slice") == F.col("_of")).select(*df.columns, "_block")
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    return slices.select("_slice", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / SLICE).alias("_block"))
 
 
 def running_sum(df: DataFrame, value: Column, name: str, by: tuple[str, ...] = (), place: str = "place") -> DataFrame:

@@ -67,6 +67,19 @@ def test_one_long_chain_of_entries_takes_few_rounds(spark, monkeypatch, capacity
     assert written_by_replay(spark, monkeypatch, rows, 3, capacity) <= 10
 
 
+@pytest.mark.parametrize("capacity", [5, None])
+def test_little_is_replayed_twice(spark, monkeypatch, capacity):
+    """Each part of the log goes on from block to block, so only where parts meet does a block begin otherwise."""
+    monkeypatch.setattr(order, "SLICE", 64)
+    counts = []
+    monkeypatch.setattr(cache, "_ends", lambda log, *rest, real=cache._ends: (counts.append(log.count()), real(log, *rest))[1])
+    rows = log(4000, 8, 80_000, 5)
+    df = spark.createDataFrame(rows, "request_id long, query string, num_results int, ts timestamp_ntz, success boolean")
+    got = {r.request_id: (r.hit, r.made) for r in cache.replay(df, 300, capacity).collect()}
+    assert got == sequential(rows, 300, capacity)
+    assert sum(counts) < len(rows) / 4
+
+
 def test_replay_of_no_requests(spark):
     assert cache.replay(spark.createDataFrame([], "request_id long, query string, num_results int, ts timestamp, success boolean")).count() == 0
 
