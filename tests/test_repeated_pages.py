@@ -31,3 +31,26 @@ NAMES = ["added_urls", "extract_urls", "first_write_wins", "format_pages", "html
 def test_odd_pages_are_as_sql_has_them(spark, odd, name):
     path, c = odd
     same(QUERIES[name](spark, path), c, ORACLE[name])
+
+
+@pytest.fixture(scope="module")
+def references(spark, tmp_path_factory):
+    """(folder, DuckDB) with pages of references that SQL does not read, of no title, of null and of empty html."""
+    path = str(tmp_path_factory.mktemp("references"))
+    texts = ["A &lt;b&gt; c", "it&#39;s", "x &ampquot; y", "&COPY; &notit; &eacute;&quot;", "&#x26;quot;", "&amp;lt; &&amp; A&B;C", "x" * 494 + "&nbsp;y"]
+    page = lambda x: f"<html><head><title>{x}</title></head><body><article><h1>{x}</h1><p>{x} more</p><p>{x}</p></article></body></html>"
+    rows = [(i, f"https://e{i}.org/", page(x)) for i, x in enumerate(texts)]
+    rows += [(90, "https://e90.org/", "<html><body><article><p>no title</p></article></body></html>"), (91, "https://e91.org/", None), (92, "https://e92.org/", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{path}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{path}/pages.parquet/*.parquet' ORDER BY page_id")
+    return path, c
+
+
+REFERENCES = ["page_clean_text"]
+
+
+@pytest.mark.parametrize("name", REFERENCES)
+def test_references_are_read_as_sql_has_them(spark, references, name):
+    path, c = references
+    same(QUERIES[name](spark, path), c, ORACLE[name])
