@@ -47,7 +47,7 @@ def references(spark, tmp_path_factory):
     return path, c
 
 
-REFERENCES = ["page_clean_text"]
+REFERENCES = ["page_clean_text", "page_other_profiles"]
 
 
 @pytest.mark.parametrize("name", REFERENCES)
