@@ -47,7 +47,7 @@ def references(spark, tmp_path_factory):
     return path, c
 
 
-REFERENCES = ["page_clean_text", "page_other_profiles", "page_titles"]
+REFERENCES = ["page_clean_text", "page_other_profiles", "page_titles", "page_status_summary"]
 
 
 @pytest.mark.parametrize("name", REFERENCES)
