@@ -47,7 +47,7 @@ def references(spark, tmp_path_factory):
     return path, c
 
 
-REFERENCES = ["page_clean_text", "page_other_profiles", "page_titles", "page_status_summary", "html_metadata_cases"]
+REFERENCES = ["page_clean_text", "page_other_profiles", "page_titles", "page_status_summary", "html_metadata_cases", "page_status"]
 
 
 @pytest.mark.parametrize("name", REFERENCES)
