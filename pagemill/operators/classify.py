@@ -15,6 +15,11 @@ WALL_MOST, THIN, VERY_THIN, LONG = 1500, 500, 200, 2000
 STATUSES = ("usable", "thin", "blocked", "empty", "encoding-failure")
 
 
+def lowered(c: Column) -> Column:
+    """In lower case, a character for a character as in SQL; lower() alone makes two of the one capital that has a dot above."""
+    return F.lower(F.replace(c, F.lit("\u0130"), F.lit("I")))
+
+
 def outcome(content: Column, title: Column, encoding_error: Column) -> Column:
     """struct(status, confidence, detected_patterns); the first rule that holds decides.
 
@@ -23,7 +28,7 @@ def outcome(content: Column, title: Column, encoding_error: Column) -> Column:
     """
     c, t = F.coalesce(content, F.lit("")), F.coalesce(title, F.lit(""))
     n = F.length(c)
-    hits = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.concat(t, F.lit(" "), c)), F.lit("(" + "|".join(WALLS) + ")"), F.lit(1))))
+    hits = F.array_sort(F.array_distinct(F.regexp_extract_all(lowered(F.concat(t, F.lit(" "), c)), F.lit("(" + "|".join(WALLS) + ")"), F.lit(1))))
 
     def is_(status: str, confidence: Column | str, patterns: Column) -> Column:
         confidence = F.lit(confidence) if isinstance(confidence, str) else confidence
@@ -35,7 +40,7 @@ def outcome(content: Column, title: Column, encoding_error: Column) -> Column:
         F.when(F.coalesce(encoding_error, F.lit(False)), is_("encoding-failure", "high", F.array(F.lit("encoding_error"))))
         .when(n == 0, is_("empty", "high", F.array(F.lit("no_content"))))
         .when((n < WALL_MOST) & (F.size(hits) > 0), is_("blocked", short(THIN), hits))
-        .when(F.lower(t).isin(*WALL_TITLES), is_("blocked", "high", F.array(F.concat(F.lit("title:"), t))))
+        .when(lowered(t).isin(*WALL_TITLES), is_("blocked", "high", F.array(F.concat(F.lit("title:"), t))))
         .when(n < THIN, is_("thin", short(VERY_THIN), F.array(F.concat(F.lit("content_length:"), n.cast("string")))))
         .when((n >= LONG) & is_paragraphed(c), is_("usable", "high", none))
         .otherwise(is_("usable", "medium", none))

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from conftest import same
+from pagemill.operators.html import parse_page
 from pagemill.plans.queries import ORACLE, QUERIES
 
 
@@ -54,3 +55,34 @@ REFERENCES = ["page_clean_text", "page_other_profiles", "page_titles", "page_sta
 def test_references_are_read_as_sql_has_them(spark, references, name):
     path, c = references
     same(QUERIES[name](spark, path), c, ORACLE[name])
+
+
+@pytest.fixture(scope="module")
+def marks(spark, tmp_path_factory):
+    """(folder, DuckDB) with pages whose marks and white space a parser reads otherwise than SQL's patterns."""
+    path = str(tmp_path_factory.mktemp("marks"))
+    page = lambda title, article, before="": f"<html><head><title>{title}</title></head><body>{before}<article>{article}</article></body></html>"
+    x = "x" * 495
+    htmls = [
+        page("T", "<p>one\ntwo</p><p>\n</p>"), page("T", "<p> one </p><p>　</p><p>\x0b</p>"), page("T", f"<p>{x}</p><p>a</b>b</p>"), page("T", "<nav>n</nav><script>s</script><template>t</template><div class='ad'>d</div>"),
+        page("T", "a < b <p>c</p> d < e"), page("T", "<!-- a > b -->c<![CDATA[d]]>"), page("T", "<p>x</p>", "<nav>").replace("<article>", '<article class="a">'), page("T", "<p>x</p>", "<nav>"), page("T", "<p>x</p>").replace("</article>", ""),
+        page("T", "<article>one</article>two"), page("Just a <b>moment</b>...", x + "12345"), page("Access denied", x + "12345").replace("title>", "TITLE>"), page("ACCESS DENİED", x + "12345"), page("T", "CHECKİNG your browser"),
+        "<html><body>no article</body></html>", "plain text", "", None,
+    ]
+    rows = [(i, f"https://e{i}.org/", h) for i, h in enumerate(htmls)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{path}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{path}/pages.parquet/*.parquet' ORDER BY page_id")
+    return path, c
+
+
+@pytest.mark.parametrize("name", ["page_status", "page_status_summary"])
+def test_marks_are_read_as_sql_has_them(spark, marks, name):
+    path, c = marks
+    same(QUERIES[name](spark, path), c, ORACLE[name])
+
+
+def test_texts_are_as_they_stand():
+    p = parse_page("<nav>n</nav><article> a\nb <p> c</p><script>s</script></article>", "u")
+    assert p["texts"] == [" a\nb ", " c"] and p["lines"] == ["a", "b", "c"]
+    assert parse_page("<i> x </i>", "u", frozenset({"texts"})) == {"texts": [" x "]}
