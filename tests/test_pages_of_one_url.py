@@ -29,7 +29,7 @@ def many(spark, sf, tmp_path_factory):
 
 
 NAMES = [
-    "compare_methods", "discover_first_seen", "discover_on_a_stream", "discovery_counters", "research_as_of", "research_failures", "research_metrics", "research_sources", "retrieve_twice_captured", "search_and_scrape", "search_url_index", "stored_registry", "to_dict_cases",
+    "compare_methods", "discover_by_status", "discover_first_seen", "discover_on_a_stream", "discovery_counters", "research_as_of", "research_failures", "research_metrics", "research_sources", "retrieve_twice_captured", "search_and_scrape", "search_url_index", "stored_registry", "to_dict_cases",
 ]
 
 
